@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .context_mixing import context_mixing_scores
 from .digest_index import exact_dedup
 from .langid import language_of
 from .mixing import mix_report
 from .packing import best_fit_packing
+from .pii import personal_data
 from .shared import table
 from .simhash import simhash_near_duplicates
 
@@ -28,11 +30,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
+
+
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op3_language, op4_mixing, op5_packing, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op3_language, op4_mixing, op5_packing, op7_personal_data, op8_context_mixing, op9_exact_dedup)}
 
 SQL = {
     "op9_exact_dedup": """
