@@ -176,14 +176,14 @@ def _cell(logit: np.ndarray) -> np.ndarray:
 
 def _count(batches):
     """Word counts (slot -1) and bit counts by slot of one partition of training texts, in bounded memory."""
-    bits_seen = np.zeros(2 * SLOTS, dtype=np.int64)  # two a slot
-    words, counts = Words(), np.zeros(1 << 20, dtype=np.int64)
+    bits_seen = np.zeros(2 * SLOTS, dtype=np.uint32)  # two a slot; a task reads fewer than 2^32 words
+    words, counts = Words(), np.zeros(1 << 20, dtype=np.uint32)
 
     def flush():
         for i in range(0, len(words.words), 100_000):
             part = words.words[i : i + 100_000]
             n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(counts[i : i + n]), pa.array(np.zeros(n, dtype=np.int64))], names=["slot", "word", "n", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, dtype=np.int32)), pa.array(part, pa.binary()), pa.array(counts[i : i + n].astype(np.int64)), pa.array(np.zeros(n, dtype=np.int64))], names=["slot", "word", "n", "n1"])
         words.reset(0)
         counts[:] = 0
 
@@ -207,7 +207,7 @@ def _count(batches):
     used = np.flatnonzero(bits_seen.reshape(-1, 2).any(axis=1))
     for i in range(0, len(used), 100_000):
         u = used[i : i + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.nulls(len(u), pa.binary()), pa.array(bits_seen[2 * u]), pa.array(bits_seen[2 * u + 1])], names=["slot", "word", "n", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)), pa.nulls(len(u), pa.binary()), pa.array(bits_seen[2 * u].astype(np.int64)), pa.array(bits_seen[2 * u + 1].astype(np.int64))], names=["slot", "word", "n", "n1"])
 
 
 def _tuned(batches, n0, n1, rate):

@@ -21,6 +21,7 @@ result; other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -212,52 +213,58 @@ def _masks(width: int, t: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(width), k)], dtype=np.int64)
 
 
-def links(fps: DataFrame, radius: int = 3, partitions: int | None = None) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of distinct fingerprints ``fps(fp)`` that differ in at most ``radius`` bits."""
-    spark = fps.sparkSession
+def links(nodes: DataFrame, radius: int = 3, partitions: int | None = None) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of ids of ``nodes(fp, id, comp)`` whose fingerprints differ in at most ``radius`` bits.
+
+    Pairs within one ``comp`` are left out: they are connected already.
+    """
+    spark, fps = nodes.sparkSession, nodes.select("fp")
     n, both = _bit_pairs(fps)
     m = partitions or choose_partitions(n, radius)
     groups = group_bits(n, both, m)
     slack = radius - m + 1
     hist = _histograms(fps, groups)
-    probes = np.array([[0] + [len(_masks(len(g), t)) for t in range(radius + 1)] if len(g) <= 32 else [0] * (radius + 2) for g in groups])
+    probes = np.array([[0] + [sum(comb(len(g), k) for k in range(t + 1)) for t in range(radius + 1)] for g in groups], dtype=np.float32)
     tables = spark.sparkContext.broadcast([ball_sizes(hist[i], len(g), radius, n).astype(np.float32) for i, g in enumerate(groups)])
 
     def index(batches):
         for batch in batches:
             f = np.asarray(batch.column(0), dtype=np.int64)
             for i, g in enumerate(groups):
-                yield _keyed(np.full(len(f), i), values_of(f, g), f)
+                yield _keyed(batch, None, i, values_of(f, g))
 
     def probe(batches):
         for batch in batches:
             f = np.asarray(batch.column(0), dtype=np.int64)
             v = [values_of(f, g) for g in groups]
-            costs = [tables.value[i][:, _cell(v[i], len(g))] + 20.0 * probes[i][:, None] for i, g in enumerate(groups)]
+            costs = [tables.value[i][:, _cell(v[i], len(g))] + 20 * probes[i][:, None] for i, g in enumerate(groups)]
             t = allocate(costs, slack)
             for i, g in enumerate(groups):
                 for level in range(radius + 1):
                     rows = np.flatnonzero(t[:, i] == level)
-                    flips = _masks(len(g), level) if len(rows) else ()
-                    for k in range(0, len(flips) and len(rows), max(1, 200_000 // max(1, len(flips)))):
-                        part = rows[k : k + max(1, 200_000 // len(flips))]
-                        yield _keyed(np.full(len(part) * len(flips), i), (v[i][part, None] ^ flips).ravel(), np.repeat(f[part], len(flips)))
+                    if len(rows):
+                        flips = _masks(len(g), level)
+                        step = max(1, 100_000 // len(flips))
+                        for k in range(0, len(rows), step):
+                            part = rows[k : k + step]
+                            yield _keyed(batch, np.repeat(part, len(flips)), i, (v[i][part, None] ^ flips).ravel())
 
-    a = fps.mapInArrow(probe, "i int, v long, a long")
-    b = fps.mapInArrow(index, "i int, v long, a long").withColumnRenamed("a", "b")
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
-    return a.join(b, ["i", "v"]).filter((F.col("a") < F.col("b")) & near).select("a", "b")
+    a = nodes.select("fp", "id", "comp").mapInArrow(probe, "i int, v long, fa long, a long, ca long")
+    b = nodes.select("fp", "id", "comp").mapInArrow(index, "i int, v long, fb long, b long, cb long")
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
+    return a.join(b, ["i", "v"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b")
 
 
-def _keyed(i, v, f):
-    return pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(v), pa.array(f)], names=["i", "v", "a"])
+def _keyed(batch, rows, i, v):
+    kept = batch.columns if rows is None else [c.take(pa.array(rows)) for c in batch.columns]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, dtype=np.int32)), pa.array(v), *kept], names=["i", "v", "f", "id", "comp"])
 
 
 def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, partitions: int | None = None) -> DataFrame:
     """One row per document: ``(id_col, fingerprint, component_id)``."""
     fps = cut(fingerprints(docs, id_col, text_col, words))
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("first")))
-    comp = components(links(nodes.select("fp"), radius, partitions))
+    comp = components(links(nodes.select("fp", F.col("fp").alias("id"), F.col("fp").alias("comp")), radius, partitions))
     rooted = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = _named(rooted)
     out = fps.join(rooted, "fp", "left")
@@ -270,7 +277,81 @@ def _named(rooted: DataFrame) -> DataFrame:
     return rooted.join(names, "root").select("fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the document with the smallest id; rows without an id stay."""
-    stay = simhash_near_duplicates(docs, id_col, text_col, words, radius).filter(F.col(id_col) == F.col("component_id"))
-    return docs.join(stay.select(F.col(id_col).alias("__kept_id")).distinct(), F.col(id_col).cast("long") == F.col("__kept_id"), "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+# --- near duplicates by the texts themselves ---------------------------------------------
+
+#: Smallest hashes kept of a text's shingles: the whole set of texts with fewer.
+SKETCH = 256
+
+
+def word_fingerprint(tokens: list[bytes]) -> int:
+    """As :func:`fingerprint` over the distinct words: an edit changes one vote, not those of all shingles over it."""
+    if not tokens:
+        return 0
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w, 42) for w in set(tokens)], dtype="<u8")
+    by_byte = np.bincount((h.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
+    return int(np.packbits(2 * (by_byte @ _BIT_OF_BYTE).ravel() > len(h), bitorder="little").view("<u8")[0])
+
+
+def sketch(tokens: list[bytes], words: int = 5) -> np.ndarray:
+    """The ``SKETCH`` smallest hashes of the distinct shingles, ascending."""
+    if not tokens:
+        return np.zeros(0, dtype=np.uint32)
+    n = max(1, len(tokens) - words + 1)
+    shingles = map(b" ".join, zip(*(tokens[i : i + n] for i in range(min(words, len(tokens)))), strict=False)) if len(tokens) >= words else [b" ".join(tokens)]
+    digest = xxhash.xxh32_intdigest
+    return np.unique(np.array([digest(s) for s in shingles], dtype=np.uint32))[:SKETCH]
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two texts' shingles: exact if both have fewer than ``SKETCH``, else estimated on the smallest of both."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    union = np.union1d(a, b)
+    if len(a) == SKETCH or len(b) == SKETCH:
+        union = union[union <= min(x[-1] for x in (a, b) if len(x) == SKETCH)][:SKETCH]
+    return np.isin(union, np.intersect1d(a, b, assume_unique=True)).sum() / len(union)
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, radii: tuple[int, ...] = (3, 7)) -> DataFrame:
+    """``(id, root)`` of documents that are similar to others: root is the smallest id of the group.
+
+    Candidates are pairs whose word fingerprints are near; a link is a pair whose shingles of ``words`` words have a Jaccard
+    similarity of ``min_similarity`` or more. The radius grows in steps, and what a smaller one has
+    connected is not paired again, so that a large group costs few pairs.
+    """
+
+    def run(batches):
+        for batch in batches:
+            tokens = [(t or "").encode("utf-8", "replace").translate(LOWER_BYTES).split() for t in batch.column(1).to_pylist()]
+            fps = np.array([word_fingerprint(x) for x in tokens], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([sketch(x, words).tobytes() for x in tokens], pa.binary())], names=["id", "fp", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null")
+    made = cut(rows.mapInArrow(run, "id long, fp long, sketch binary"))
+    of = made.select("id", "sketch")
+
+    def similar(batches):
+        for batch in batches:
+            a, b = (batch.column(i).to_pylist() for i in (2, 3))
+            kept = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= min_similarity]
+            yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
+
+    groups, all_links = None, None
+    for radius in radii:
+        nodes = made.select("fp", "id").withColumn("comp", F.col("id"))
+        if groups is not None:
+            nodes = made.select("fp", "id").join(groups, F.col("id") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "id").alias("comp"))
+        pairs = links(cut(nodes.distinct()), radius).distinct()
+        both = pairs.join(of.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(of.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+        found = cut(both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"))
+        all_links = found if all_links is None else all_links.union(found)
+        groups = components(all_links)
+        all_links = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return groups.select(F.col("node").alias("id"), "root")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the document with the smallest id; rows without an id stay."""
+    gone = near_duplicate_groups(docs, id_col, text_col, words, min_similarity).filter("id <> root").select(F.col("id").alias("__gone"))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
