@@ -10,7 +10,8 @@ PARTS = r"\p{Lu}*\p{Ll}+|\p{Lu}+|[0-9]+"
 
 
 def strip_html(text: Column) -> Column:
-    return F.regexp_replace(text, r"<(.|\n)+?>", "")
+    """Without tags: from each < to the first > after at least one character."""
+    return F.regexp_replace(text, r"<[\s\S][^>]*>", "")
 
 
 def append_member(owner: Column, member: Column) -> Column:
