@@ -4,7 +4,8 @@ Pages of a host share a template. Each page is read as a sequence of structural
 path of tags, classes and ids, or a text outside any article together with its path. Tokens that occur equally often on
 every page of a host (equal occurrence vectors) form an equivalence class. Classes of at least
 ``min_class`` tokens on at least ``min_share`` of the host's pages (and two pages) whose tokens
-are nested in the same parent wherever they occur are valid; nested into each other they make up the host's
+are nested in the same parent wherever they occur are valid (texts on ``min_text_share`` of the pages and three at least; copies of
+one page are no evidence); nested into each other they make up the host's
 template. What stands between template tokens are the slots, each known by its innermost template
 element. Slots in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are dropped; if
 the page has article slots they are the text, else slots of its main element, else all other
@@ -87,6 +88,7 @@ class Page:
     def __init__(self, html: str | None):
         self.tokens: dict[int, int] = {}
         self.parents: dict[int, int] = {}
+        self.texts: set[int] = set()  # tokens that are texts
         self.blocks: list[tuple] = []
         self._stack: list[tuple] = [("", 1, False, NONE)]  # tag, token, dropped, role
         self._text: list[str] = []
@@ -102,6 +104,7 @@ class Page:
                 if role == NONE:  # texts outside articles may belong to the template
                     own = xxhash.xxh64_intdigest(text, token & 0xFFFFFFFF) & _MASK
                     self._token(own, token)
+                    self.texts.add(own)
                 self.blocks.append((role, dropped, text, own, self._linked, [x[1] for x in self._stack] if role == NONE else ()))
             self._text.clear()
         self._linked = 0
@@ -252,37 +255,41 @@ def _tokens(batches):
         for i in range(0, len(items), 50_000):
             part = items[i : i + 50_000]
             cols = [pa.array([k[0] for k, _ in part]), pa.array([k[1] for k, _ in part], pa.int64())]
-            cols += [pa.array([v[j] for _, v in part], pa.int64()) for j in range(5)]
-            yield pa.RecordBatch.from_arrays(cols, names=["host", "token", "pages", "vector1", "vector2", "low", "high"])
+            cols += [pa.array([v[j] for _, v in part], pa.int64()) for j in range(8)]
+            yield pa.RecordBatch.from_arrays(cols, names=["host", "token", "pages", "vector1", "vector2", "low", "high", "first", "last", "is_text"])
 
     for batch in batches:
         for key, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             host, page = _host(url), Page(html)
+            whole = xxhash.xxh64_intdigest(html or "") & _MASK
             page.tokens[0] = 1  # stands for the page itself
             for token, count in page.tokens.items():
                 h = xxhash.xxh64_intdigest(f"{key}:{count}")
                 parent = page.parents.get(token, 0)
                 old = held.get((host, token))
                 if old is None:
-                    held[host, token] = [1, h & 0x3FFFFFFF, h >> 34, parent, parent]
+                    held[host, token] = [1, h & 0x3FFFFFFF, h >> 34, parent, parent, whole, whole, int(token in page.texts)]
                 else:
                     old[0] += 1
                     old[1] += h & 0x3FFFFFFF
                     old[2] += h >> 34
                     old[3], old[4] = min(old[3], parent), max(old[4], parent)
+                    old[5], old[6] = min(old[5], whole), max(old[6], whole)
         if len(held) > 300_000:
             yield from flush()
     yield from flush()
 
 
-def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_class: int = 2, min_share: float = 0.3) -> DataFrame:
+def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_class: int = 2, min_share: float = 0.3, min_text_share: float = 0.9) -> DataFrame:
     """Template tokens by host: ``(host, tokens array<long>)``."""
     rows = pages.select(F.col(id_col).cast("string").alias("k"), F.col(url_col).cast("string").alias("u"), F.col(html_col).cast("string").alias("h"))
-    sums = rows.mapInArrow(_tokens, "host string, token long, pages long, vector1 long, vector2 long, low long, high long")
-    sums = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("vector1").alias("vector1"), F.sum("vector2").alias("vector2"), F.min("low").alias("low"), F.max("high").alias("high"))
+    sums = rows.mapInArrow(_tokens, "host string, token long, pages long, vector1 long, vector2 long, low long, high long, first long, last long, is_text long")
+    sums = sums.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("vector1").alias("vector1"), F.sum("vector2").alias("vector2"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("is_text").alias("is_text"))
     sums = cut(sums.filter("pages >= 2"))
     hosts = sums.filter("token = 0").select("host", F.col("pages").alias("of"))
-    often = sums.filter("token <> 0 and low = high").join(hosts, "host").filter(F.col("pages") >= min_share * F.col("of"))
+    # Copies of one page say nothing about a template, and an article that many pages copy is not part of one.
+    share = F.when(F.col("is_text") == 1, F.lit(min_text_share)).otherwise(F.lit(min_share))
+    often = sums.filter("token <> 0 and low = high and first <> last").join(hosts, "host").filter(F.col("pages") >= share * F.col("of")).filter("is_text = 0 or pages >= 3")
     by_class = often.groupBy("host", "vector1", "vector2", "pages").agg(F.collect_list("token").alias("tokens")).filter(F.size("tokens") >= min_class)
     return by_class.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
 
