@@ -69,6 +69,21 @@ def test_preferences(spark):
     assert {tuple(r) for r in sets.prefer(rows, ["k"], F.col("name").rlike("^scala")).select("k", "name").collect()} == {("a", "scala.X"), ("b", "p.Y")}
 
 
+def test_frequencies_by_list_and_by_table(spark):
+    from typeloom.operators import index as ix
+    from typeloom.sources.definitions import read_lines
+
+    lines = ["type p.A", "type p.B <: p.A", "type p.C <: p.B", "type p.Box[+T]", "type p.MyBox[+T] <: p.Box[T]", "p.x: p.A", "p.y: <methodInvocation1>[p.C, p.B]", "p.z[Q]: <methodInvocation1>[p.Box[Q], p.MyBox[p.A]]"]
+    kinds = ix.split_kinds(read_lines(spark.createDataFrame([(x,) for x in lines], "value string")))
+    values = kinds["values"].withColumn("value_id", F.xxhash64("name"))
+    table = ix.with_view_keys(kinds["views"])
+    listed = [View(Type.decode(r["source"]), Type.decode(r["target"])) for r in table.collect()]
+    a, b = (sorted(map(tuple, ix.type_frequencies(values, v, 3).collect())) for v in (listed, table))
+    assert a == b
+    found = {v + n: round(f, 4) for v, n, f in a}
+    assert found["+scala.Nothing"] == 1.0 and found["+p.A"] == 0.6667 and found["+p.C"] == 1.0 and found["-p.A"] == 0.3333
+
+
 TYPES = [Definition("Long", read_type("+Long"), is_type=True), Definition("Int", read_type("+Int"), is_type=True, supertypes=(read_type("+Long"),))]
 
 

@@ -79,7 +79,9 @@ class Engine:
         put(f"{at}/views", ix.with_view_keys(ix.wanted_views(_last(tables["views"], ["module_id", "name", "source", "target"]))))
         put(f"{at}/modules", _last(tables["modules"], ["module_id"]))
         types = _last(tables["type_defs"], ["module_id", "name"]).drop("f_co", "f_contra", "f_inv")
-        views = self._driver_views(get(f"{at}/views")) if s.views else []
+        views = get(f"{at}/views")
+        few = not s.views or views.limit(DRIVER_VIEWS + 1).count() <= DRIVER_VIEWS
+        views = (self._driver_views(views) if s.views else []) if few else views
         frequencies = ix.type_frequencies(values, views, s.statistics_steps, s.sample_size)
         put(f"{at}/frequencies", frequencies)
         put(f"{at}/type_defs", ix.pivoted(types, get(f"{at}/frequencies")))

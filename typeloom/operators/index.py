@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,33 +84,83 @@ def wanted_views(views: DataFrame) -> DataFrame:
     return views.filter(F.col("source")[0]["name"] != "java.lang.Object")
 
 
-def type_frequencies(values: DataFrame, views: list[View], steps: int = 3, sample_size: int = 0) -> DataFrame:
+def _subtypes(values: DataFrame) -> DataFrame:
+    """``(value_id, shown)``: the distinct subtrees of each value's normalized type, as text."""
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for vid, tpe, params in zip(frame["value_id"], frame["tpe"], frame["params"], strict=True):
+                found = {json.dumps(sub.encode()) for sub in normalize(Type.decode(tpe), params_of(params)).nodes()}
+                rows += [(vid, x) for x in found]
+            yield pd.DataFrame(rows, columns=["value_id", "shown"])
+
+    return values.select("value_id", "tpe", "params").mapInPandas(run, "value_id long, shown string")
+
+
+_NAMED = "shown string, variance string, name string"
+
+
+def _seen_as_on_driver(types: DataFrame, views: list[View], steps: int) -> DataFrame:
+    """``(shown, variance, name)`` of the alternatives of each type through a list of views."""
+
+    def run(frames):
+        alternatives = views_between(views, steps)
+        for frame in frames:
+            rows = [(x, y.variance, y.name) for x in frame["shown"] for y, _ in alternatives(Type.decode(json.loads(x)))]
+            yield pd.DataFrame(rows, columns=["shown", "variance", "name"])
+
+    return types.select("shown").mapInPandas(run, _NAMED)
+
+
+def _seen_as_by_join(types: DataFrame, views: DataFrame, steps: int) -> DataFrame:
+    """The same through a table of views: a round of hops is a join on the view key, with unification as what remains to check."""
+
+    def keyed(frames):
+        for frame in frames:
+            found = [Type.decode(json.loads(x)) for x in frame["at"]]
+            yield frame[["shown", "at"]].assign(key=[t.key() for t in found], any_key=[f"{t.variance}_" for t in found])
+
+    def hop(frames):
+        for frame in frames:
+            rows = []
+            for shown, at, source, target in zip(frame["shown"], frame["at"], frame["source"], frame["target"], strict=True):
+                y = View(Type.decode(source), Type.decode(target))(Type.decode(json.loads(at)))
+                if y is not None:
+                    rows.append((shown, json.dumps(y.encode()), y.variance, y.name))
+            yield pd.DataFrame(rows, columns=["shown", "at", "variance", "name"])
+
+    out_schema = "shown string, at string, variance string, name string"
+    front = types.select("shown", F.col("shown").alias("at"))
+    start = front.mapInPandas(keyed, "shown string, at string, key string, any_key string")
+    found = start.join(views, F.col("any_key") == F.col("from_key")).select("shown", "at", "source", "target").mapInPandas(hop, out_schema)
+    for _ in range(steps + 1):
+        at = front.mapInPandas(keyed, "shown string, at string, key string, any_key string")
+        direct = views.filter(~F.col("source")[0]["is_param"])
+        hops = at.join(direct, F.col("key") == F.col("from_key")).select("shown", "at", "source", "target").mapInPandas(hop, out_schema).distinct()
+        found = found.union(hops)
+        front = hops.select("shown", "at")
+    return found.select("shown", "variance", "name").distinct()
+
+
+def type_frequencies(values: DataFrame, views: list[View] | DataFrame, steps: int = 3, sample_size: int = 0) -> DataFrame:
     """``(variance, name, frequency)``: the share of values a type occurs in, itself or by its alternatives.
 
     A value's types are all subtrees of its normalized type, with the alternatives of each; polar
-    ones count as invariant too. Each counts once a value.
+    ones count as invariant too. Each counts once a value. Alternatives are found once for each distinct
+    type, through a list of views or, if there are too many for the driver, a table with their keys.
     """
     if sample_size:
         values = values.orderBy(F.xxhash64("name", "module_id"), "value_id").limit(sample_size)
     total = values.count()
-
-    def run(frames):
-        alternatives, known = views_between(views, steps), {}
-        for frame in frames:
-            rows = []
-            for vid, tpe, params in zip(frame["value_id"], frame["tpe"], frame["params"], strict=True):
-                t = normalize(Type.decode(tpe), params_of(params))
-                found = set()
-                for sub in t.nodes():
-                    if sub not in known:
-                        known[sub] = {(x.variance, x.name) for x in (sub, *(y for y, _ in alternatives(sub)))}
-                    found |= known[sub]
-                found |= {(INV, n) for _, n in found}
-                rows += [(vid, v, n) for v, n in found]
-            yield pd.DataFrame(rows, columns=["value_id", "variance", "name"])
-
-    each = values.select("value_id", "tpe", "params").mapInPandas(run, "value_id long, variance string, name string")
-    return each.groupBy("variance", "name").agg((F.count(F.lit(1)) / F.lit(max(total, 1))).cast("float").alias("frequency"))
+    each = _subtypes(values)
+    types = each.select("shown").distinct()
+    seen = _seen_as_by_join(types, views, steps) if isinstance(views, DataFrame) else _seen_as_on_driver(types, views, steps)
+    root = F.from_json("shown", "array<array<string>>")[0]
+    named = seen.union(types.select("shown", root[0], root[1]))
+    named = named.union(named.select("shown", F.lit(INV), "name")).distinct()
+    once = each.join(named, "shown").select("value_id", "variance", "name").distinct()
+    return once.groupBy("variance", "name").agg((F.count(F.lit(1)) / F.lit(max(total, 1))).cast("float").alias("frequency"))
 
 
 def pivoted(type_defs: DataFrame, frequencies: DataFrame) -> DataFrame:

@@ -488,6 +488,90 @@ def search_links(spark, d):
     return table(spark, d, "documents").select("doc_id", text.link(F.lit("/search"), q=q, m=F.col("source")).alias("link"))
 
 
+# --- scalar functions and predicates ----------------------------------------------------
+
+
+@query(
+    f"WITH {_POSTINGS} SELECT value_id FROM postings WHERE term IN ('+Brand#11', '-Brand#2') GROUP BY value_id HAVING count(DISTINCT term) = 2"
+)
+def documents_with_all_keys(spark, d):
+    """Documents that hold every key."""
+    keys = ["+Brand#11", "-Brand#2"]
+    return corpus_terms(spark, d).filter(F.col("term").isin(keys)).groupBy("value_id").agg(F.countDistinct("term").alias("n")).filter(F.col("n") == len(keys)).select("value_id")
+
+
+@query(f"WITH {_POSTINGS} SELECT term, count(DISTINCT value_id) AS documents FROM postings GROUP BY term")
+def documents_by_key(spark, d):
+    return corpus_terms(spark, d).select("term", "value_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query(
+    "SELECT p_partkey, p_type || '[' || p_brand || '_, ' || p_brand || '_]' AS from_key, CASE WHEN p_size % 3 = 0 THEN 0.6667 ELSE 1.0 END::DOUBLE AS kept, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS distance FROM part"
+)
+def view_keys(spark, d):
+    """Keys, retained information and distance of views between made-up types with two parameters."""
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
+
+    def node(v, name, arity, param):
+        return F.struct(v.alias("variance"), name.alias("name"), F.lit(arity).alias("arity"), F.lit(param).alias("is_param"))
+
+    none = F.lit("")
+    source = F.array(node(none, F.col("p_type"), 2, False), node(F.col("p_brand"), F.lit("A"), 0, True), node(F.col("p_brand"), F.lit("B"), 0, True))
+    other = F.when(F.col("p_size") % 5 == 0, F.col("p_type")).otherwise(F.lit("Other"))
+    both = F.array(node(none, other, 2, False), node(none, F.lit("A"), 0, True), node(none, F.lit("B"), 0, True))
+    one = F.array(node(none, other, 1, False), node(none, F.lit("A"), 0, True))
+    keyed = ix.with_view_keys(part.select("*", source.alias("source"), F.when(F.col("p_size") % 3 == 0, one).otherwise(both).alias("target")))
+    kept = F.round(views.retained(F.col("source"), F.col("target")), 4)
+    same = (F.col("source")[0]["name"] == F.col("target")[0]["name"]) & (F.col("source")[0]["variance"] == F.col("target")[0]["variance"])
+    return keyed.select("p_partkey", "from_key", kept.alias("kept"), F.when(same, 0).otherwise(1).alias("distance"))
+
+
+@query("SELECT doc_id, regexp_matches(w, '^[\\p{L}_]$') AS type_param FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents)")
+def wildcard_names(spark, d):
+    """Single letters stand for any type."""
+    name = F.split("text", " ")[0]
+    return table(spark, d, "documents").select("doc_id", name.rlike(r"^[\p{L}_]$").alias("type_param"))
+
+
+@query("SELECT DISTINCT source AS module_id FROM documents WHERE contains(source, 'src1') OR contains(source, 'src7')")
+def default_modules(spark, d):
+    wanted = F.col("source").contains("src1") | F.col("source").contains("src7")
+    return table(spark, d, "documents").filter(wanted).select(F.col("source").alias("module_id")).distinct()
+
+
+@query("SELECT p_partkey, p_name AS name FROM part WHERE NOT (p_brand LIKE '%3' OR p_size < 10) AND p_type IS NOT NULL")
+def public_definitions(spark, d):
+    """Definitions of interest: visible and named, the brand's last digit standing for privacy, the size for anonymity."""
+    hidden = F.col("p_brand").endswith("3") | (F.col("p_size") < 10)
+    return table(spark, d, "part").filter(~hidden & F.col("p_type").isNotNull()).select("p_partkey", F.col("p_name").alias("name"))
+
+
+@query("SELECT o_orderkey, list_aggregate(list_transform(list_zip([o_orderpriority, o_orderstatus], ['A', 'B']), lambda x: x[2] || '=' || x[1]), 'string_agg', ', ') AS bindings FROM orders")
+def positional_bindings(spark, d):
+    """Arguments go to parameters by their place."""
+    pairs = F.zip_with(F.array(F.lit("A"), F.lit("B")), F.array("o_orderpriority", "o_orderstatus"), lambda p, a: F.concat(p, F.lit("="), a))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(pairs, ", ").alias("bindings"))
+
+
+@query("SELECT page_id, 'api/#' || replace(regexp_extract(url, '//([^/]*)', 1), '.', '/') || '@' || page_id AS doc_link FROM pages")
+def doc_links(spark, d):
+    host = F.regexp_extract("url", "//([^/]*)", 1)
+    return table(spark, d, "pages").select("page_id", F.concat(F.lit("api/#"), F.replace(host, F.lit("."), F.lit("/")), F.lit("@"), F.col("page_id").cast("string")).alias("doc_link"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_round_trip(spark, d):
+    """Entities as JSON and back."""
+    n = table(spark, d, "nation")
+    return n.select(F.from_json(F.to_json(F.struct(*n.columns)), n.schema).alias("e")).select("e.*")
+
+
+@query("SELECT 'not found' AS outcome, count(*) FILTER (o_orderpriority = '5-LOW') AS n FROM orders UNION ALL SELECT 'ambiguous', count(*) FILTER (o_orderpriority = '1-URGENT') FROM orders")
+def error_report(spark, d):
+    kind = F.when(F.col("o_orderpriority") == "5-LOW", "not found").when(F.col("o_orderpriority") == "1-URGENT", "ambiguous")
+    return table(spark, d, "orders").withColumn("outcome", kind).filter("outcome is not null").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- flagship ---------------------------------------------------------------------------
 
 
