@@ -192,14 +192,14 @@ def _count(batches):
             all_ = tokens(text)
             for i in range(0, len(all_), 8 * SLICE):  # a step adds fewer words than `counts` has room for
                 numbers = words.numbers(all_[i : i + 8 * SLICE])
-                np.add.at(counts, numbers, 1)
+                np.add.at(counts, numbers, np.uint32(1))
                 part = words.bytes_of(numbers)
                 b = part if i == 0 else np.concatenate([before, part])
                 first = 0 if i == 0 else 2
                 for at in range(first, len(b), SLICE):
                     stop = min(len(b), at + SLICE)
                     s = slots(b, at, stop)
-                    np.add.at(bits_seen, (2 * s + _BITS[b[at:stop]]).ravel(), 1)
+                    np.add.at(bits_seen, (2 * s + _BITS[b[at:stop]]).ravel(), np.uint32(1))
                 before = b[-2:]
                 if len(words.words) > 600_000:
                     yield from flush()
