@@ -97,7 +97,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     spark = docs.sparkSession
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
-    sized = cut(sized.withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
+    sized = cut(sized.withColumn("h", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))))))
     plan = source_plan(sized, weights, max_repeats)
     total = sum(p["want"] for p in plan)
     block = max(1, total // slots)
@@ -105,7 +105,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     # Positions in each source's shuffled order: over hash buckets, then inside them.
     rows = sized.join(numbers.select("s", "src"), F.col("source").eqNullSafe(F.col("src"))).drop("source", "src")
-    rows = rows.withColumn("part", F.shiftrightunsigned("h", 52))
+    rows = rows.withColumn("part", F.left("h", F.lit(3)))
     before = rows.groupBy("s", "part").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("c"))
     over = Window.partitionBy("s").orderBy("part")
     before = before.select("s", "part", (F.sum("n").over(over) - F.col("n")).alias("before"), (F.sum("c").over(over) - F.col("c")).alias("rows_before"))

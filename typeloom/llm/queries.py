@@ -61,6 +61,28 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_language, op4_mixing, op5_packing, op6_quality, op7_personal_data, op8_context_mixing, op9_exact_dedup, op10_nearest)}
 
 SQL = {
+    # The schedule decides the order of the blocks; what each document gives follows from its source's target: whole passes over
+    # the source, then its part of the cut one, in the order of the hash.
+    "op4_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+        c AS (
+            SELECT *, 3 * source_size / w::DOUBLE AS r,
+                   coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                   sum(w) OVER (ORDER BY 3 * source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+                   sum(source_size) OVER () AS total FROM s),
+        l AS (SELECT (total - before) / rest::DOUBLE AS level FROM c WHERE r >= (total - before) / rest::DOUBLE ORDER BY r, source NULLS LAST LIMIT 1),
+        t AS (SELECT source, source_size, least(3 * source_size, level * w)::DOUBLE AS target, round(least(3 * source_size, level * w))::BIGINT AS want FROM c, l),
+        o AS (
+            SELECT doc_id, size, source_size, target, want,
+                   sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id || ':42'), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS lo
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size::BIGINT AS size, source_size, target,
+               (CASE WHEN source_size = 0 THEN 0 ELSE (want // source_size) * size + greatest(0, least(size, want % source_size - lo)) END)::BIGINT AS taken
+        FROM o
+    """,
     "op9_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
