@@ -59,7 +59,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("id"), F.sha2(text, 256).alias("digest"))
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = 1000, hot_share: int = 10_000) -> DataFrame:
     """Deduplicate ``docs`` against ``index`` and themselves; append what is new.
 
     Returns a row per document: ``(id_col, keep_id, group_size, kept, text_sha256)``.
@@ -67,12 +67,16 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """
     index = index or DigestIndex(docs.sparkSession)
     ids = cut(digests(docs, id_col, text_col))
-    batch = uuid.uuid4().hex
-    groups = cut(ids.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).withColumn("batch", F.lit(batch)))
-    seen = index.rows().select("digest").join(groups.select("digest"), "digest", "left_semi").withColumn("old", F.lit(True))
-    seen = cut(seen)
+    groups = cut(ids.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
+    seen = cut(index.rows().select("digest").join(groups.select("digest"), "digest", "left_semi").withColumn("old", F.lit(True)))
     index.add(groups)
-    own = ids.join(index.rows().hint("merge"), "digest").join(seen, "digest", "left")
+    # Texts with more than a `hot_share`-th of the rows are fewer than `hot_share`: they go to every task, so that
+    # their many rows need not meet in one.
+    hot = cut(groups.filter(F.col("group_size") > max(hot_rows, ids.count() // hot_share)).select("digest"))
+    known = index.rows().hint("merge").join(seen, "digest", "left")
+    cold = ids.join(F.broadcast(hot), "digest", "left_anti").join(known, "digest")
+    heated = ids.join(F.broadcast(index.rows().join(F.broadcast(hot), "digest", "left_semi").join(seen, "digest", "left")), "digest")
+    own = cold.unionByName(heated)
     kept = F.col("old").isNull() & F.col("id").eqNullSafe(F.col("keep_id"))
     return own.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
 
