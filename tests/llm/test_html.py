@@ -26,6 +26,8 @@ def text(html):
         ("<article><!-- no --><p>a<!-- <p>no</p> --></p>", "a"), ("<article><p>a</p", "a"), ("<article>a<!-- never closed", "a"), ("<script>never closed", ""), ("<p title='a > b'>x</p>", "x"),
         ("<div id='cookie-notice'>c</div><div class='content'>x</div><div class='sidebar'>s</div>", "x"), ("<header>h</header><p>x</p>", "x"), ("<article><header><h1>t</h1></header>x</article>", "t x"),
         ("<ul class='menu'><li>a<li>b</ul><p>x</p>", "x"), ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a b c d"), ("<article><div></article></div><p>out</p>", ""), ("<p hidden>h</p><p style='display: none'>d</p><p>x</p>", "x"),
+        ("<div class='nav container'>n</div><div class='header-content'>h</div><div class='footer-wrapper'>f</div><div class='content-with-sidebar'>x</div>", "x"), ("<div class='main-content'>x</div><div id='cookieBanner' class='cookie_banner'>c</div>", "x"),
+        ("<article><div class='post-header'><h1>t</h1></div><div class='entry-content'>x</div><div class='entry-footer'>f</div><div class='related-posts'>r</div></article>", "t x"), ("<article><p class='notice'>n</p>x<section class='reader-comments'>c</section></article>", "x"),
         ("<article><b><p>a</b> c</p></article>", "a c"), ("</p></div><p>x", "x"), ("<div class='advert'>buy</div><p>x</p>", "x"), ("<article>x<div class='share-buttons'>s</div><section id='comments'><p>c</p></section></article>", "x"),
     ],
 )

@@ -48,12 +48,36 @@ DROPPED_WORDS = frozenset(
     "complementary contentinfo navigation skip hidden".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist respond replies disqus discussion".split())
-HEADER_WORDS = frozenset("header banner head".split())
-KEPT_WORDS = frozenset("content main article post entry story body page wrapper container layout text".split())
+HEADER_WORDS = frozenset("header banner".split())
+#: Ends of names that only say that something is contained; what is before them decides.
+CONTAINERS = frozenset("wrapper wrap container content inner outer box block section area row list items item group panel holder".split())
+#: Ends of names that say that something is the article, or around it.
+KEPT_WORDS = frozenset("main article post entry story body page text".split())
+_NEGATED = frozenset("with has no without".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_SEEN: dict[str, tuple[bool, bool, bool]] = {}
+
+
+def name_says(name: str) -> tuple[bool, bool, bool]:
+    """Whether a class, id or role marks something to drop, a header, or comments."""
+    known = _SEEN.get(name)
+    if known is None:
+        words = _WORDS.findall(name)
+        if _NEGATED & set(words):
+            words = []
+        while len(words) > 1 and words[-1] in CONTAINERS:
+            words.pop()
+        about = bool(words) and words[-1] not in KEPT_WORDS
+        found = set(words)
+        known = (about and bool(found & DROPPED_WORDS), about and bool(found & HEADER_WORDS), bool(found & COMMENT_WORDS))
+        if len(_SEEN) < 10_000:
+            _SEEN[name] = known
+    return known
+
+
 NONE, ARTICLE, MAIN = 0, 1, 2
 _MASK = (1 << 63) - 1
 
@@ -116,22 +140,21 @@ class Page:
 
     def _open(self, tag: str, attrs: str) -> None:
         _, parent, dropped, role = self._stack[-1]
-        key, words = tag, set()
+        key, main = tag, tag == "main"
+        dropped = dropped or tag in DROPPED_TAGS or (role == NONE and tag == "header")
         for name, value in _ATTR.findall(attrs) if attrs else ():
             name, value = name.lower(), value.strip("\"'").lower()
             if name in ("class", "id", "role"):
-                found = _WORDS.findall(value)
-                words.update(found)
-                key += f"|{name}={' '.join(found)}"
+                for one in value.split():
+                    drop, header, comments = name_says(one)
+                    dropped = dropped or drop or comments or (header and role == NONE)
+                    main = main or (one == "main" and tag in ("div", "section"))
+                key += f"|{name}={' '.join(_WORDS.findall(value))}"
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN_STYLE.search(value)):
                 dropped = True
-        if not dropped:
-            kept = bool(words & KEPT_WORDS)
-            dropped = tag in DROPPED_TAGS or bool(words & COMMENT_WORDS) or (bool(words & DROPPED_WORDS) and not kept)
-            dropped = dropped or (role == NONE and (tag == "header" or bool(words & HEADER_WORDS and not kept)))
         if tag == "article":
             role = ARTICLE
-        elif role == NONE and (tag == "main" or "main" in words and tag in ("div", "section")):
+        elif role == NONE and main:
             role = MAIN
         token = xxhash.xxh64_intdigest(key, parent & 0xFFFFFFFF) & _MASK
         self._token(token, parent)
