@@ -74,11 +74,12 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[kept][i : i + 65536]), pa.array(roots[kept][i : i + 65536])], names=["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 40, one_task: int = 100_000) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, root)``; root is the smallest node.
 
     Each partition first reduces its edges to a spanning forest, so that dense groups
-    shrink to one edge a node before anything is shuffled. Then large-star and
+    shrink to one edge a node before anything is shuffled. If at most ``one_task`` edges are left, one task
+    joins the forests. Beyond that, large-star and
     small-star rounds alternate until no edge changes; only sums travel to the driver.
     Every step is a min-aggregation with map-side combining and a join on the node,
     so that a hub's edges are never gathered in one task.
@@ -99,14 +100,15 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         return row.n, row.s
 
     before = digest(work)
-    if before[0]:
-        for _ in range(max_rounds):
-            work = cut(star(star(work, True), False))
-            after = digest(work)
-            if after == before:
-                break
-            before = after
-        else:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if before[0] <= one_task:
+        return cut(work.coalesce(1).mapInArrow(_forest, "a long, b long")).select(F.col("a").alias("node"), F.col("b").alias("root"))
+    for _ in range(max_rounds):
+        work = cut(star(star(work, True), False))
+        after = digest(work)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # At the fixed point every edge is (node, smallest node of its component).
     return work.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))

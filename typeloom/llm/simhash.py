@@ -21,7 +21,7 @@ result; other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
+from math import comb, floor
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .shared import LOWER_BYTES, components, cut
 
 BITS = 64
+#: Columns of 64 MinHash bits each.
+MINHASH = ["m1", "m2", "m3", "m4"]
 _BYTE_AT = np.arange(8) * 256
 _BIT_OF_BYTE = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
@@ -213,10 +215,11 @@ def _masks(width: int, t: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(width), k)], dtype=np.int64)
 
 
-def links(nodes: DataFrame, radius: int = 3, partitions: int | None = None) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of ids of ``nodes(fp, id, comp)`` whose fingerprints differ in at most ``radius`` bits.
+def links(nodes: DataFrame, radius: int = 3, partitions: int | None = None, min_bits: int | None = None) -> DataFrame:
+    """Pairs ``(a, b, apart)``, a < b, of ids of ``nodes(fp, id, comp)`` whose fingerprints differ in at most ``radius`` bits.
 
-    Pairs within one ``comp`` are left out: they are connected already.
+    Pairs within one ``comp`` are left out: they are connected already. With ``min_bits``, the columns
+    ``MINHASH`` hold the bits of a MinHash sketch, of which a pair must share so many; ``apart`` are those it does not share.
     """
     spark, fps = nodes.sparkSession, nodes.select("fp")
     n, both = _bit_pairs(fps)
@@ -239,6 +242,8 @@ def links(nodes: DataFrame, radius: int = 3, partitions: int | None = None) -> D
             v = [values_of(f, g) for g in groups]
             costs = [tables.value[i][:, _cell(v[i], len(g))] + 20 * probes[i][:, None] for i, g in enumerate(groups)]
             t = allocate(costs, slack)
+            packed = pa.array((t.astype(np.int64) + 1) @ (1 << 4 * np.arange(m, dtype=np.int64)))
+            batch = pa.RecordBatch.from_arrays([*batch.columns, packed], names=[*batch.schema.names, "t"])
             for i, g in enumerate(groups):
                 for level in range(radius + 1):
                     rows = np.flatnonzero(t[:, i] == level)
@@ -249,15 +254,26 @@ def links(nodes: DataFrame, radius: int = 3, partitions: int | None = None) -> D
                             part = rows[k : k + step]
                             yield _keyed(batch, np.repeat(part, len(flips)), i, (v[i][part, None] ^ flips).ravel())
 
-    a = nodes.select("fp", "id", "comp").mapInArrow(probe, "i int, v long, fa long, a long, ca long")
-    b = nodes.select("fp", "id", "comp").mapInArrow(index, "i int, v long, fb long, b long, cb long")
-    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
-    return a.join(b, ["i", "v"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b")
+    columns = ["fp", "id", "comp"] + (MINHASH if min_bits else [])
+    bits = "".join(f", {c} long" for c in columns[3:])
+    a = nodes.select(*columns).mapInArrow(probe, f"i int, v long, f long, id long, comp long{bits}, t long")
+    b = nodes.select(*columns).mapInArrow(index, f"i int, v long, f long, id long, comp long{bits}")
+    a, b = (x.select("i", "v", F.col("f").alias(f"f{n}"), F.col("id").alias(n), F.col("comp").alias(f"c{n}"), *[F.col(c).alias(c + n) for c in columns[3:] + ["t"] * (n == "a")]) for x, n in ((a, "a"), (b, "b")))
+    near, apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius, F.lit(0)
+    # A pair that several partitions find comes from the first of them alone.
+    for j, g in enumerate(groups):
+        mask = int(np.array(sum(1 << b for b in g), dtype=np.uint64).view(np.int64))
+        inside = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")).bitwiseAND(F.lit(mask)))
+        near = near & ((F.col("i") <= j) | (inside > F.shiftright("ta", 4 * j).bitwiseAND(F.lit(15)) - 1))
+    if min_bits:
+        apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in MINHASH[1:]), F.bit_count(F.col(f"{MINHASH[0]}a").bitwiseXOR(F.col(f"{MINHASH[0]}b"))))
+        near = near & (apart <= len(MINHASH) * BITS - min_bits)
+    return a.join(b, ["i", "v"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", apart.alias("apart"))
 
 
 def _keyed(batch, rows, i, v):
     kept = batch.columns if rows is None else [c.take(pa.array(rows)) for c in batch.columns]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, dtype=np.int32)), pa.array(v), *kept], names=["i", "v", "f", "id", "comp"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, dtype=np.int32)), pa.array(v), *kept], names=["i", "v", *batch.schema.names])
 
 
 def simhash_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 3, partitions: int | None = None) -> DataFrame:
@@ -293,14 +309,28 @@ def word_fingerprint(tokens: list[bytes]) -> int:
     return int(np.packbits(2 * (by_byte @ _BIT_OF_BYTE).ravel() > len(h), bitorder="little").view("<u8")[0])
 
 
-def sketch(tokens: list[bytes], words: int = 5) -> np.ndarray:
-    """The ``SKETCH`` smallest hashes of the distinct shingles, ascending."""
+def shingle_hashes(tokens: list[bytes], words: int = 5) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
     if not tokens:
         return np.zeros(0, dtype=np.uint32)
     n = max(1, len(tokens) - words + 1)
     shingles = map(b" ".join, zip(*(tokens[i : i + n] for i in range(min(words, len(tokens)))), strict=False)) if len(tokens) >= words else [b" ".join(tokens)]
     digest = xxhash.xxh32_intdigest
-    return np.unique(np.array([digest(s) for s in shingles], dtype=np.uint32))[:SKETCH]
+    return np.unique(np.array([digest(s) for s in shingles], dtype=np.uint32))
+
+
+_ODD = (np.random.default_rng(42).integers(0, 1 << 31, len(MINHASH) * BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
+
+
+def minhash_bits(hashes: np.ndarray) -> np.ndarray:
+    """One bit of the MinHash of each of 256 orders, as four words; two texts share a bit with probability (1 + J) / 2."""
+    if not len(hashes):
+        return np.zeros(len(MINHASH), dtype=np.int64)
+    least = np.full(len(_ODD), np.uint32(0xFFFFFFFF))
+    for i in range(0, len(hashes), 4096):
+        np.minimum(least, (hashes[i : i + 4096, None] * _ODD).min(axis=0), out=least)
+    # A bit that multiplication has mixed well, not the lowest, which is that of the hash.
+    return np.packbits(((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -313,10 +343,11 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return np.isin(union, np.intersect1d(a, b, assume_unique=True)).sum() / len(union)
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, radii: tuple[int, ...] = (3, 7)) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, radii: tuple[int, ...] = (2, 6), slack: float = 0.05, partitions: int = 4, broadcast_ids: int = 200_000) -> DataFrame:
     """``(id, root)`` of documents that are similar to others: root is the smallest id of the group.
 
-    Candidates are pairs whose word fingerprints are near; a link is a pair whose shingles of ``words`` words have a Jaccard
+    Candidates are pairs whose word fingerprints are near, unless their MinHash bits are further apart than those of
+    texts with ``slack`` less similarity; a link is a pair whose shingles of ``words`` words have a Jaccard
     similarity of ``min_similarity`` or more. The radius grows in steps, and what a smaller one has
     connected is not paired again, so that a large group costs few pairs.
     """
@@ -325,10 +356,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for batch in batches:
             tokens = [(t or "").encode("utf-8", "replace").translate(LOWER_BYTES).split() for t in batch.column(1).to_pylist()]
             fps = np.array([word_fingerprint(x) for x in tokens], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), pa.array([sketch(x, words).tobytes() for x in tokens], pa.binary())], names=["id", "fp", "sketch"])
+            hashes = [shingle_hashes(x, words) for x in tokens]
+            bits = np.array([minhash_bits(h) for h in hashes]).reshape(-1, len(MINHASH))
+            columns = [batch.column(0), pa.array(fps), *(pa.array(x.copy()) for x in bits.T), pa.array([h[:SKETCH].tobytes() for h in hashes], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", *MINHASH, "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null")
-    made = cut(rows.mapInArrow(run, "id long, fp long, sketch binary"))
+    made = cut(rows.mapInArrow(run, "id long, fp long, " + "".join(f"{c} long, " for c in MINHASH) + "sketch binary"))
     of = made.select("id", "sketch")
 
     def similar(batches):
@@ -337,17 +371,33 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             kept = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= min_similarity]
             yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
 
-    groups, all_links = None, None
+    def verified(pairs: DataFrame) -> DataFrame:
+        # Only the sketches of documents in pairs are shuffled, if their ids are few enough to be sent to all tasks.
+        ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+        need = cut(of.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "id", "left_semi"))
+        both = pairs.join(need.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(need.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+        return cut(both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"))
+
+    def nearest(pairs: DataFrame) -> DataFrame:
+        """Each document's pair with the one whose MinHash is closest."""
+        both = pairs.union(pairs.select("b", "a", "apart"))
+        best = both.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
+        return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    def rooted(rows: DataFrame, column: str, name: str) -> DataFrame:
+        return rows.join(groups.withColumnRenamed("root", name), F.col(column) == F.col("node"), "left").drop("node").withColumn(name, F.coalesce(name, column))
+
+    shared = floor(len(MINHASH) * BITS * (1 + min_similarity - slack) / 2)  # (1 + J) / 2 of the bits are expected to agree
+    groups = components(made.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b")))
     for radius in radii:
-        nodes = made.select("fp", "id").withColumn("comp", F.col("id"))
-        if groups is not None:
-            nodes = made.select("fp", "id").join(groups, F.col("id") == F.col("node"), "left").select("fp", "id", F.coalesce("root", "id").alias("comp"))
-        pairs = links(cut(nodes.distinct()), radius).distinct()
-        both = pairs.join(of.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(of.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        found = cut(both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"))
-        all_links = found if all_links is None else all_links.union(found)
-        groups = components(all_links)
-        all_links = groups.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        nodes = rooted(made.select("fp", "id", *MINHASH), "id", "comp")
+        pairs = cut(links(cut(nodes.distinct()), radius, partitions, shared))
+        # First the closest pair of each document; what that connects need not be verified.
+        for first in (True, False):
+            chosen = cut(nearest(pairs)) if first else pairs.select("a", "b")
+            groups = components(verified(chosen).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            if first:
+                pairs = cut(rooted(rooted(pairs.join(chosen, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b", "apart"))
     return groups.select(F.col("node").alias("id"), "root")
 
 
