@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts of a word: a break is where lower case turns to upper, letters to digits, or at anything else.
@@ -73,10 +73,15 @@ def tokens(text: Column, stemmed: bool = False) -> Column:
 
 
 def term_counts(docs: DataFrame, id_col: str, text: Column, stemmed: bool = False) -> DataFrame:
-    """``(id, token, tf, length)``: how often each token stands in each document, and the document's tokens in all."""
-    each = docs.select(F.col(id_col).alias("id"), tokens(text, stemmed).alias("t"))
-    each = each.select("id", F.size("t").cast("long").alias("length"), F.explode("t").alias("token"))
-    return each.groupBy("id", "token", "length").agg(F.count(F.lit(1)).alias("tf"))
+    """``(id, token, tf, length)``: how often each token stands in each document, and the document's tokens in all.
+
+    The tokens of :func:`tokens`, one row a word, so that everything but the split runs in generated code.
+    """
+    words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(text, r"[\s.]+")).alias("w")).filter("w <> ''")
+    each = words.select("id", F.explode(F.array_union(F.array("w"), F.regexp_extract_all("w", F.lit(PARTS), F.lit(0)))).alias("t"))
+    token = F.lower("t")
+    counts = each.select("id", (stem(token) if stemmed else token).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
 
 
 def tfidf(tf: Column, df: Column, n: Column, length: Column) -> Column:
