@@ -164,3 +164,22 @@ def test_the_index_persists(spark, tmp_path):
     got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in digest_index.exact_dedup(spark.createDataFrame([(9, "a"), (8, "c")], "doc_id long, text string"), again).collect()}
     assert got == {9: (2, False), 8: (8, True)}
     assert {r["keep_id"] for r in again.rows().collect()} == {2, 3, 8}
+
+
+def test_all_similar_pairs_are_found(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+        changed = [*words[:30], f"other{i}", *words[31:]]  # 51 of 61 shingles shared
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    got = {(r["root"], r["id"]) for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["root"] != r["id"]}
+    assert got == {(2 * i, 2 * i + 1) for i in range(150)}
+
+
+def test_large_near_group_and_equal_sets(spark):
+    base = [f"w{x}" for x in range(100)]
+    rows = [(i, " ".join([*base[: 5 + i % 90], f"x{i}", *base[6 + i % 90 :]])) for i in range(120)]
+    rows += [(500 + i, "A  few words" + " " * i) for i in range(3)] + [(600, None), (601, " ")]
+    got = {r["id"]: r["root"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["root"] != r["id"]}
+    assert got == {i: 0 for i in range(1, 120)} | {501: 500, 502: 500, 601: 600}

@@ -21,12 +21,12 @@ result; other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb, floor
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import LOWER_BYTES, components, cut
@@ -215,11 +215,10 @@ def _masks(width: int, t: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(t + 1) for c in combinations(range(width), k)], dtype=np.int64)
 
 
-def links(nodes: DataFrame, radius: int = 3, partitions: int | None = None, min_bits: int | None = None) -> DataFrame:
-    """Pairs ``(a, b, apart)``, a < b, of ids of ``nodes(fp, id, comp)`` whose fingerprints differ in at most ``radius`` bits.
+def links(nodes: DataFrame, radius: int = 3, partitions: int | None = None) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of ids of ``nodes(fp, id, comp)`` whose fingerprints differ in at most ``radius`` bits.
 
-    Pairs within one ``comp`` are left out: they are connected already. With ``min_bits``, the columns
-    ``MINHASH`` hold the bits of a MinHash sketch, of which a pair must share so many; ``apart`` are those it does not share.
+    Pairs within one ``comp`` are left out: they are connected already.
     """
     spark, fps = nodes.sparkSession, nodes.select("fp")
     n, both = _bit_pairs(fps)
@@ -254,21 +253,16 @@ def links(nodes: DataFrame, radius: int = 3, partitions: int | None = None, min_
                             part = rows[k : k + step]
                             yield _keyed(batch, np.repeat(part, len(flips)), i, (v[i][part, None] ^ flips).ravel())
 
-    columns = ["fp", "id", "comp"] + (MINHASH if min_bits else [])
-    bits = "".join(f", {c} long" for c in columns[3:])
-    a = nodes.select(*columns).mapInArrow(probe, f"i int, v long, f long, id long, comp long{bits}, t long")
-    b = nodes.select(*columns).mapInArrow(index, f"i int, v long, f long, id long, comp long{bits}")
-    a, b = (x.select("i", "v", F.col("f").alias(f"f{n}"), F.col("id").alias(n), F.col("comp").alias(f"c{n}"), *[F.col(c).alias(c + n) for c in columns[3:] + ["t"] * (n == "a")]) for x, n in ((a, "a"), (b, "b")))
-    near, apart = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius, F.lit(0)
+    a = nodes.select("fp", "id", "comp").mapInArrow(probe, "i int, v long, f long, id long, comp long, t long")
+    b = nodes.select("fp", "id", "comp").mapInArrow(index, "i int, v long, f long, id long, comp long")
+    a, b = (x.select("i", "v", F.col("f").alias(f"f{n}"), F.col("id").alias(n), F.col("comp").alias(f"c{n}"), *[F.col("t").alias("ta")] * (n == "a")) for x, n in ((a, "a"), (b, "b")))
+    near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
     # A pair that several partitions find comes from the first of them alone.
     for j, g in enumerate(groups):
         mask = int(np.array(sum(1 << b for b in g), dtype=np.uint64).view(np.int64))
         inside = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")).bitwiseAND(F.lit(mask)))
         near = near & ((F.col("i") <= j) | (inside > F.shiftright("ta", 4 * j).bitwiseAND(F.lit(15)) - 1))
-    if min_bits:
-        apart = sum((F.bit_count(F.col(f"{c}a").bitwiseXOR(F.col(f"{c}b"))) for c in MINHASH[1:]), F.bit_count(F.col(f"{MINHASH[0]}a").bitwiseXOR(F.col(f"{MINHASH[0]}b"))))
-        near = near & (apart <= len(MINHASH) * BITS - min_bits)
-    return a.join(b, ["i", "v"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", apart.alias("apart"))
+    return a.join(b, ["i", "v"]).filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b")
 
 
 def _keyed(batch, rows, i, v):
@@ -299,16 +293,6 @@ def _named(rooted: DataFrame) -> DataFrame:
 SKETCH = 256
 
 
-def word_fingerprint(tokens: list[bytes]) -> int:
-    """As :func:`fingerprint` over the distinct words: an edit changes one vote, not those of all shingles over it."""
-    if not tokens:
-        return 0
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(w, 42) for w in set(tokens)], dtype="<u8")
-    by_byte = np.bincount((h.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
-    return int(np.packbits(2 * (by_byte @ _BIT_OF_BYTE).ravel() > len(h), bitorder="little").view("<u8")[0])
-
-
 def shingle_hashes(tokens: list[bytes], words: int = 5) -> np.ndarray:
     """Hashes of the distinct shingles, ascending."""
     if not tokens:
@@ -343,27 +327,85 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return np.isin(union, np.intersect1d(a, b, assume_unique=True)).sum() / len(union)
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, radii: tuple[int, ...] = (2, 6), slack: float = 0.05, partitions: int = 4, broadcast_ids: int = 200_000) -> DataFrame:
-    """``(id, root)`` of documents that are similar to others: root is the smallest id of the group.
+_MULTIPLIERS = (np.random.default_rng(7).integers(0, 1 << 62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Cells that count in how many texts shingles are; they only set the order in which prefixes are taken.
+FREQUENCY_CELLS = 1 << 18
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """64-bit hashes of all distinct shingles of a text, ascending."""
+    tokens = (text or "").encode("utf-8", "replace").translate(LOWER_BYTES).split()
+    if not tokens:
+        return np.zeros(0, dtype=np.uint64)
+    digest = xxhash.xxh64_intdigest
+    if len(tokens) < words:
+        return np.array([digest(b" ".join(tokens))], dtype=np.uint64)
+    each = np.array([digest(w, 42) for w in tokens], dtype=np.uint64)
+    n = len(tokens) - words + 1
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(words):
+        h += each[k : k + n] * _MULTIPLIERS[k]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    return np.unique(h)
+
+
+def prefix_length(n: int, min_similarity: float) -> int:
+    """Of ``n`` shingles in one order for all texts, how many must be looked at: similar texts share one of them."""
+    return n - ceil(min_similarity * n - 1e-9) + 1 if n else 0
 
-    Candidates are pairs whose word fingerprints are near, unless their MinHash bits are further apart than those of
-    texts with ``slack`` less similarity; a link is a pair whose shingles of ``words`` words have a Jaccard
-    similarity of ``min_similarity`` or more. The radius grows in steps, and what a smaller one has
-    connected is not paired again, so that a large group costs few pairs.
-    """
+
+def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
+    """Texts by cell of a shingle's hash, summed over the cluster."""
 
     def run(batches):
+        held = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
         for batch in batches:
-            tokens = [(t or "").encode("utf-8", "replace").translate(LOWER_BYTES).split() for t in batch.column(1).to_pylist()]
-            fps = np.array([word_fingerprint(x) for x in tokens], dtype=np.uint64).view(np.int64)
-            hashes = [shingle_hashes(x, words) for x in tokens]
-            bits = np.array([minhash_bits(h) for h in hashes]).reshape(-1, len(MINHASH))
-            columns = [batch.column(0), pa.array(fps), *(pa.array(x.copy()) for x in bits.T), pa.array([h[:SKETCH].tobytes() for h in hashes], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", *MINHASH, "sketch"])
+            for text in batch.column(1).to_pylist():
+                np.add.at(held, (shingle_set(text, words) & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64), 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["at", "n"])
+
+    summed = rows.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
+    out[np.asarray(summed["at"])] = np.asarray(summed["n"])
+    return out
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, neighbours: int = 8, broadcast_ids: int = 200_000) -> DataFrame:
+    """``(id, root)`` of documents that are similar to others: root is the smallest id of the group.
 
+    A link is a pair whose sets of shingles of ``words`` words have a Jaccard similarity of ``min_similarity`` or more.
+    All links are found: if all texts' shingles are in one order (rare ones first), two texts that similar share one
+    of the first :func:`prefix_length` of each, so a join on those gives candidates, and each is verified on
+    the sketches of both texts. Equal sets are taken together first. Then each document is verified with up to
+    ``neighbours`` others that share a prefix shingle; the join is only of those in groups that this did not connect.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null")
-    made = cut(rows.mapInArrow(run, "id long, fp long, " + "".join(f"{c} long, " for c in MINHASH) + "sketch binary"))
-    of = made.select("id", "sketch")
+    often = rows.sparkSession.sparkContext.broadcast(_frequencies(rows, words))
+
+    def prefixes(batches):
+        for batch in batches:
+            n, digests, kept = [], [], []
+            for text in batch.column(1).to_pylist():
+                h = shingle_set(text, words)
+                order = np.lexsort((h, often.value[(h & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64)]))
+                n.append(len(h))
+                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                kept.append(h[order[: prefix_length(len(h), min_similarity)]].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(kept, pa.binary())], names=["id", "n", "digest", "prefix"])
+
+    def exploded(batches):
+        for batch in batches:
+            for id_, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                h = np.frombuffer(prefix, dtype=np.int64)
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), id_)), pa.array(np.full(len(h), n, dtype=np.int32)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "id", "n", "at"])
+
+    def shingled(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes((t or "").encode("utf-8", "replace").translate(LOWER_BYTES).split(), words)[:SKETCH].tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
     def similar(batches):
         for batch in batches:
@@ -372,32 +414,38 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        # Only the sketches of documents in pairs are shuffled, if their ids are few enough to be sent to all tasks.
+        # Only the texts of documents in pairs are shuffled, if their ids are few enough to be sent to all tasks.
         ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-        need = cut(of.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "id", "left_semi"))
-        both = pairs.join(need.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(need.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+        need = cut(rows.join(F.broadcast(ids) if ids.count() <= broadcast_ids else ids, "id", "left_semi").select("id", "t").mapInArrow(shingled, "id long, shingles binary"))
+        both = pairs.join(need.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(need.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         return cut(both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"))
 
-    def nearest(pairs: DataFrame) -> DataFrame:
-        """Each document's pair with the one whose MinHash is closest."""
-        both = pairs.union(pairs.select("b", "a", "apart"))
-        best = both.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))
-        return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    def rooted(rows: DataFrame, column: str, name: str) -> DataFrame:
-        return rows.join(groups.withColumnRenamed("root", name), F.col(column) == F.col("node"), "left").drop("node").withColumn(name, F.coalesce(name, column))
-
-    shared = floor(len(MINHASH) * BITS * (1 + min_similarity - slack) / 2)  # (1 + J) / 2 of the bits are expected to agree
-    groups = components(made.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b")))
-    for radius in radii:
-        nodes = rooted(made.select("fp", "id", *MINHASH), "id", "comp")
-        pairs = cut(links(cut(nodes.distinct()), radius, partitions, shared))
-        # First the closest pair of each document; what that connects need not be verified.
-        for first in (True, False):
-            chosen = cut(nearest(pairs)) if first else pairs.select("a", "b")
-            groups = components(verified(chosen).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-            if first:
-                pairs = cut(rooted(rooted(pairs.join(chosen, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b", "apart"))
+    def possible(x: str, y: str):
+        """Whether sizes, and what can still follow a shared shingle, leave the pair similar enough."""
+        (nx, ax), (ny, ay) = ((F.col(f"{c}.n"), F.col(f"{c}.at")) for c in (x, y))
+        most = F.least(ax, ay) + 1 + F.least(nx - ax - 1, ny - ay - 1)
+        return most >= (nx + ny) * (min_similarity / (1 + min_similarity)) - 1e-6
+
+    made = cut(rows.mapInArrow(prefixes, "id long, n int, digest binary, prefix binary"))
+    first = cut(made.groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("x"), F.count(F.lit(1)).alias("rows")))
+    equal = made.select("id", "digest").join(first.filter("rows > 1").select("digest", F.col("x.id").alias("a")), "digest").select("a", F.col("id").alias("b"))
+    by_shingle = Window.partitionBy("h").orderBy(F.xxhash64("id", "h"), "id")
+    chained = first.select("x.id", "x.n", "x.prefix").mapInArrow(exploded, "h long, id long, n int, at int")
+    chained = chained.select("h", F.struct("id", "n", "at").alias("x")).select("h", F.col("x.id").alias("id"), "x")
+    chained = chained.select("h", "x", F.lead("x").over(by_shingle).alias("y"), F.lag("x").over(by_shingle).isNotNull().alias("after"))
+    shared = cut(chained.filter(F.col("y").isNotNull() | F.col("after")).select("h", "x", "y"))
+
+    pairs = shared.filter(F.col("y").isNotNull() & possible("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).filter("a <> b")
+    best = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, neighbours).alias("best"))
+    groups = components(verified(cut(best.select("a", F.explode("best.b").alias("b")))).union(equal))
+
+    of = shared.select("h", "x", F.col("x.id").alias("node")).join(groups, "node", "left").select("h", "x", F.coalesce("root", "node").alias("comp"))
+    of = cut(of)
+    apart = of.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("h")
+    of = cut(of.join(apart, "h", "left_semi"))
+    left, right = of.select("h", "x", F.col("comp").alias("cx")), of.select("h", F.col("x").alias("y"), F.col("comp").alias("cy"))
+    pairs = left.join(right, "h").filter((F.col("x.id") < F.col("y.id")) & (F.col("cx") != F.col("cy")) & possible("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    groups = components(verified(cut(pairs)).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return groups.select(F.col("node").alias("id"), "root")
 
 
