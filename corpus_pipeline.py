@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, mixing, packing.
+"""The corpus pipeline: language ID, exact dedup, near-dedup, mixing, packing.
 
 Each stage works on all that its predecessor kept. Apart from the last they return the
 columns of ``documents``; :func:`run` writes each stage's result as Parquet into the shared

@@ -183,3 +183,18 @@ def test_large_near_group_and_equal_sets(spark):
     rows += [(500 + i, "A  few words" + " " * i) for i in range(3)] + [(600, None), (601, " ")]
     got = {r["id"]: r["root"] for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["root"] != r["id"]}
     assert got == {i: 0 for i in range(1, 120)} | {501: 500, 502: 500, 601: 600}
+
+
+def test_links_are_verified_on_whole_texts(spark):
+    rows, wanted = [], set()
+    for i in range(40):
+        words = [f"t{i}w{x}" for x in range(4000)]
+        # A run of changed words leaves 3996 - c - 4 shared shingles: similarity 0.81 for even i, 0.79 for odd i.
+        c = 415 if i % 2 == 0 else 465
+        other = words[:1000] + [f"t{i}y{x}" for x in range(c)] + words[1000 + c :]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        if simhash.jaccard(simhash.shingle_set(rows[-2][1]), simhash.shingle_set(rows[-1][1])) >= 0.8:
+            wanted.add((2 * i, 2 * i + 1))
+    assert wanted == {(2 * i, 2 * i + 1) for i in range(0, 40, 2)}
+    got = {(r["root"], r["id"]) for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["root"] != r["id"]}
+    assert got == wanted

@@ -328,8 +328,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 _MULTIPLIERS = (np.random.default_rng(7).integers(0, 1 << 62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-#: Cells that count in how many texts shingles are; they only set the order in which prefixes are taken.
-FREQUENCY_CELLS = 1 << 18
+#: Cells that count in how many texts shingles are, and the least count of a task that is sent on. Both only set the
+#: order in which prefixes are taken, which has no influence on the result.
+FREQUENCY_CELLS, FREQUENT = 1 << 22, 3
 
 
 def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
@@ -351,6 +352,14 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(h)
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two whole sets of shingles."""
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def prefix_length(n: int, min_similarity: float) -> int:
     """Of ``n`` shingles in one order for all texts, how many must be looked at: similar texts share one of them."""
     return n - ceil(min_similarity * n - 1e-9) + 1 if n else 0
@@ -360,27 +369,28 @@ def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
     """Texts by cell of a shingle's hash, summed over the cluster."""
 
     def run(batches):
-        held = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
+        held = np.zeros(FREQUENCY_CELLS, dtype=np.int32)
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 np.add.at(held, (shingle_set(text, words) & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at])], names=["at", "n"])
+        at = np.flatnonzero(held >= FREQUENT)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(held[at].astype(np.int64))], names=["at", "n"])
 
     summed = rows.mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(FREQUENCY_CELLS, dtype=np.int64)
+    out = np.zeros(FREQUENCY_CELLS, dtype=np.uint32)
     out[np.asarray(summed["at"])] = np.asarray(summed["n"])
     return out
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, neighbours: int = 8, broadcast_ids: int = 200_000) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, orders: int = 4, broadcast_ids: int = 200_000) -> DataFrame:
     """``(id, root)`` of documents that are similar to others: root is the smallest id of the group.
 
     A link is a pair whose sets of shingles of ``words`` words have a Jaccard similarity of ``min_similarity`` or more.
-    All links are found: if all texts' shingles are in one order (rare ones first), two texts that similar share one
-    of the first :func:`prefix_length` of each, so a join on those gives candidates, and each is verified on
-    the sketches of both texts. Equal sets are taken together first. Then each document is verified with up to
-    ``neighbours`` others that share a prefix shingle; the join is only of those in groups that this did not connect.
+    All links are found: if all texts' shingles are in one order (frequent ones last), two texts that similar share
+    shingles of the first :func:`prefix_length` of each, namely so many that these and all that follow can make up the overlap;
+    a join on those gives candidates, and each is verified on all shingles of both texts. Equal sets are taken together
+    first. Then each document is verified with those next to it in a few orders of the documents that have a
+    prefix shingle; the join is only of those in groups that this did not connect.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null")
     often = rows.sparkSession.sparkContext.broadcast(_frequencies(rows, words))
@@ -401,16 +411,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for id_, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 h = np.frombuffer(prefix, dtype=np.int64)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), id_)), pa.array(np.full(len(h), n, dtype=np.int32)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "id", "n", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), id_)), pa.array(np.full(len(h), n, dtype=np.int32))], names=["h", "id", "n"])
 
     def shingled(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_hashes((t or "").encode("utf-8", "replace").translate(LOWER_BYTES).split(), words)[:SKETCH].tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(t, words).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["id", "shingles"])
 
     def similar(batches):
         for batch in batches:
             a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            kept = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= min_similarity]
+            kept = [i for i, (x, y) in enumerate(zip(a, b, strict=True)) if jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= min_similarity]
             yield pa.RecordBatch.from_arrays([c.take(pa.array(kept, pa.int64())) for c in batch.columns[:2]], names=["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -420,32 +430,38 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         both = pairs.join(need.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(need.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         return cut(both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"))
 
-    def possible(x: str, y: str):
-        """Whether sizes, and what can still follow a shared shingle, leave the pair similar enough."""
-        (nx, ax), (ny, ay) = ((F.col(f"{c}.n"), F.col(f"{c}.at")) for c in (x, y))
-        most = F.least(ax, ay) + 1 + F.least(nx - ax - 1, ny - ay - 1)
-        return most >= (nx + ny) * (min_similarity / (1 + min_similarity)) - 1e-6
+    def possible(pairs: DataFrame) -> DataFrame:
+        """Of pairs by shared prefix shingle, those of not too different sizes that share enough of them."""
+        rest = [F.ceil(min_similarity * F.col(n) - 1e-9) - 1 for n in ("na", "nb")]
+        size = F.least("na", "nb") >= F.greatest("na", "nb") * min_similarity - 1e-6
+        counted = pairs.filter(size).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
+        return counted.filter(F.col("n") + F.greatest(*rest) >= (F.col("na") + F.col("nb")) * (min_similarity / (1 + min_similarity)) - 1e-6).select("a", "b").distinct()
 
     made = cut(rows.mapInArrow(prefixes, "id long, n int, digest binary, prefix binary"))
-    first = cut(made.groupBy("digest").agg(F.min(F.struct("id", "n", "prefix")).alias("x"), F.count(F.lit(1)).alias("rows")))
-    equal = made.select("id", "digest").join(first.filter("rows > 1").select("digest", F.col("x.id").alias("a")), "digest").select("a", F.col("id").alias("b"))
-    by_shingle = Window.partitionBy("h").orderBy(F.xxhash64("id", "h"), "id")
-    chained = first.select("x.id", "x.n", "x.prefix").mapInArrow(exploded, "h long, id long, n int, at int")
-    chained = chained.select("h", F.struct("id", "n", "at").alias("x")).select("h", F.col("x.id").alias("id"), "x")
-    chained = chained.select("h", "x", F.lead("x").over(by_shingle).alias("y"), F.lag("x").over(by_shingle).isNotNull().alias("after"))
-    shared = cut(chained.filter(F.col("y").isNotNull() | F.col("after")).select("h", "x", "y"))
-
-    pairs = shared.filter(F.col("y").isNotNull() & possible("x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).filter("a <> b")
-    best = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), asc=False), 1, neighbours).alias("best"))
-    groups = components(verified(cut(best.select("a", F.explode("best.b").alias("b")))).union(equal))
-
-    of = shared.select("h", "x", F.col("x.id").alias("node")).join(groups, "node", "left").select("h", "x", F.coalesce("root", "node").alias("comp"))
-    of = cut(of)
+    first = made.groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    equal = cut(made.select("id", "digest").join(first, "digest").filter("id <> a").select("a", F.col("id").alias("b")))
+    gone = equal.select(F.col("b").alias("id")).distinct()
+    left = made.select("id", "n", "prefix").join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "id", "left_anti")
+    by_shingle = left.mapInArrow(exploded, "h long, id long, n int").withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    shared = cut(by_shingle.filter("texts > 1").drop("texts"))
+
+    near = shared
+    for k in range(orders):
+        near = near.withColumn(f"next{k}", F.lead(F.struct("id", "n")).over(Window.partitionBy("h").orderBy(*([F.xxhash64("id", F.lit(k))] if k else []), "id")))
+    pairs = None
+    for k in range(orders):
+        y = F.col(f"next{k}")
+        swap = F.col("id") > y["id"]
+        part = near.filter(y.isNotNull() & (F.col("id") != y["id"])).select("h", F.least("id", y["id"]).alias("a"), F.greatest("id", y["id"]).alias("b"), F.when(swap, y["n"]).otherwise(F.col("n")).alias("na"), F.when(swap, F.col("n")).otherwise(y["n"]).alias("nb"))
+        pairs = part if pairs is None else pairs.union(part)
+    groups = components(verified(cut(possible(pairs.distinct()))).union(equal))
+
+    of = cut(shared.join(groups, F.col("id") == F.col("node"), "left").select("h", "id", "n", F.coalesce("root", "id").alias("comp")))
     apart = of.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("h")
     of = cut(of.join(apart, "h", "left_semi"))
-    left, right = of.select("h", "x", F.col("comp").alias("cx")), of.select("h", F.col("x").alias("y"), F.col("comp").alias("cy"))
-    pairs = left.join(right, "h").filter((F.col("x.id") < F.col("y.id")) & (F.col("cx") != F.col("cy")) & possible("x", "y")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    groups = components(verified(cut(pairs)).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    x, y = (of.select("h", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("comp").alias(f"c{i}")) for i in "ab")
+    pairs = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b", "na", "nb")
+    groups = components(verified(cut(possible(pairs))).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     return groups.select(F.col("node").alias("id"), "root")
 
 
