@@ -427,6 +427,18 @@ def union_distinct(spark, d):
     return ev.merge(s, table(spark, d, "customer").filter("c_custkey < 50").select(F.col("c_name").alias("name")), s).distinct()
 
 
+@query("SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem EXCEPT ALL SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag = 'R'")
+def bag_difference_whole(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
+    return sets.bag_difference(rows, rows.filter("l_returnflag = 'R'"))
+
+
+@query("SELECT s_name AS name FROM supplier UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier")
+def union_distinct_whole(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_name").alias("name"))
+    return ev.merge(s, table(spark, d, "customer").select(F.col("c_name").alias("name")), s).distinct()
+
+
 @query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS batch FROM orders")
 def batch_numbers(spark, d):
     return sets.batches(table(spark, d, "orders").select("o_orderkey"), 1000, ["o_orderkey"])
