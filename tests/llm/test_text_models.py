@@ -171,3 +171,15 @@ def test_model_edges(spark):
     by = {r["doc_id"]: r for r in got}
     assert by[1]["n_tokens"] == by[2]["n_tokens"] == 1 and by[1]["bits_per_byte"] is None and by[None]["held_out"] is False
     assert context_mixing.context_mixing_scores(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_weights_are_updated_within_short_texts():
+    rng = np.random.default_rng(1)
+    b = rng.integers(1, 256, 120).astype(np.int32)
+    expected = np.stack([context_mixing.matches(b, 2), context_mixing.matches(b, 1)])
+    x = context_mixing.inputs(b, 0, len(b), lambda s, _: np.ones(s.shape, dtype=np.float32), expected)
+    assert x.shape[2] == context_mixing.TABLES + 3 and np.abs(x[:, :, context_mixing.TABLES + 1]).sum() > 0
+    weights = context_mixing.start_weights()
+    got = context_mixing.Mixer(weights).run(x, context_mixing._BITS[b])
+    fixed = np.einsum("tjk,jk->tj", x, weights)
+    assert np.allclose(got[:16], fixed[:16], atol=1e-5) and not np.allclose(got[32:], fixed[32:], atol=1e-3)

@@ -3,8 +3,8 @@
 A text is a sequence of tokens: its words, lower-cased in ASCII, and an end. A token is coded as
 one byte, a hash of the word (0 for the end), and as a choice among the words with that byte. The bits of
 the byte are predicted by several models, each a table of bit counts by hashed context (bytes before, bits of
-the byte so far), and by a match model that follows the last place in the text where
-the same two bytes stood. Their stretched probabilities are combined by a logistic mixer with a weight
+the byte so far), and by two match models that follow the last place in the text where
+the same two bytes, or the same byte, stood. Their stretched probabilities are combined by a logistic mixer with a weight
 set for each bit position as the gate; the weights are updated after every ``STEP`` tokens. An
 adaptive probability map then refines the result. The word in its byte's bucket has the probability
 ``(c + 0.5) / (C + 0.5 (V + 1))`` of the corpus counts. So the model is a distribution over all
@@ -37,8 +37,8 @@ ORDER2_SLOTS = 1 << 19
 O0, O1, SKIP, O2 = 0, 256, 256 + 65536, 256 + 2 * 65536
 SLOTS = O2 + ORDER2_SLOTS
 TABLES = 4
-INPUTS = TABLES + 2  # the match model and a constant
-STEP = 256  # tokens between two updates of the weights
+INPUTS = TABLES + 3  # two match models and a constant
+STEP = 16  # tokens between two updates of the weights
 RATE = 0.02
 HEAD = 1 << 18
 APM_CELLS = 33
@@ -158,13 +158,15 @@ def inputs(b: np.ndarray, at: int, stop: int, table, expected) -> np.ndarray:
     s, bits = slots(b, at, stop), _BITS[b[at:stop]]
     for k in range(TABLES):
         x[:, :, k] = table(s[k], bits)
-    x[:, :, TABLES] = _match_input(expected[at:stop], b[at:stop])
+    x[:, :, TABLES:-1] = 0
+    for k, e in enumerate(np.atleast_2d(expected)):
+        x[:, :, TABLES + k] = _match_input(e[at:stop], b[at:stop])
     x[:, :, -1] = 0.3
     return x
 
 
 def start_weights() -> np.ndarray:
-    return np.tile(np.array([0.1, 0.3, 0.2, 0.4, 1.0, 0.0], dtype=np.float32), (8, 1))
+    return np.tile(np.array([0.1, 0.3, 0.2, 0.4, 1.0, 0.3, 0.0], dtype=np.float32), (8, 1))
 
 
 def _cell(logit: np.ndarray) -> np.ndarray:
@@ -224,7 +226,7 @@ def _tuned(batches, n0, n1, rate):
         for text in batch.column(0).to_pylist():
             words.reset(600_000)
             b = words.bytes_of(words.numbers(tokens(text)))
-            expected = matches(b, 2)
+            expected = np.stack([matches(b, 2), matches(b, 1)])
             mixer = Mixer(mixed, rate)
             for at in range(0, len(b), SLICE):
                 stop = min(len(b), at + SLICE)
@@ -269,7 +271,7 @@ def _scores(batches, table_, weights, refine, head, logs_of, shares, rate):
             words.reset(300_000)
             numbers = words.numbers(tokens(text))
             b = words.bytes_of(numbers)
-            expected = matches(b, 2)
+            expected = np.stack([matches(b, 2), matches(b, 1)])
             mixer, ln = Mixer(weights, rate), 0.0
             for at in range(0, len(b), SLICE):
                 stop = min(len(b), at + SLICE)
