@@ -5,10 +5,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from typeloom.llm import context_mixing, langid, quality
+from typeloom.llm.shared import LOWER_BYTES
 
 TABLES = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, score double, held_out string"
@@ -112,9 +116,13 @@ def test_passages_cover_the_text():
 # --- language model ---------------------------------------------------------------------
 
 
+def tokens_of(text):
+    return (text or "").encode().translate(LOWER_BYTES).split() + [b""]
+
+
 def test_base_scores_against_brute_force(docs):
     got = {r["doc_id"]: r for r in context_mixing.context_mixing_scores(docs).collect()}
-    words = {r["doc_id"]: context_mixing.tokens(r["text"]) for r in docs.select("doc_id", "text").collect()}
+    words = {r["doc_id"]: tokens_of(r["text"]) for r in docs.select("doc_id", "text").collect()}
     counts = Counter()
     for d, w in words.items():
         if crc(d, 5) != 1:
@@ -126,8 +134,10 @@ def test_base_scores_against_brute_force(docs):
         assert r["n_known"] == sum(counts[x] > 0 for x in w)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), rel=1e-9)
         assert r["score"] < 0
-    held = [r for r in got.values() if r["held_out"]]
-    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    # The model is better than single words, on short texts too.
+    for least, most in ((0, 300), (300, 10**9)):
+        held = [r for r in got.values() if r["held_out"] and least <= r["n_tokens"] < most]
+        assert sum(r["score"] - r["base_score"] for r in held) > 0.05 * sum(r["n_tokens"] for r in held)
 
 
 def test_counts_beyond_the_head(docs, monkeypatch):
@@ -139,30 +149,132 @@ def test_counts_beyond_the_head(docs, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+TEXTS = ["the cat and the dog and the cat and the bird", None, " \t", "A  b\tc a b c A B C a b d \x1c é", "one", "the dog " * 40, "x y z x y z x y q"]
+M64 = (1 << 64) - 1
+
+
+def lines_of(words, i):
+    """First slot of both lines in each table, from the words before token i."""
+    cm = context_mixing
+    h = [(xxhash.xxh64_intdigest(w, 42) | 1) if w else 0 for w in words]
+    code = 1 + xxhash.xxh64_intdigest(words[i], 42) % 255 if words[i] else 0
+    one, two = (h[i - 1] if i else 0), (h[i - 2] if i > 1 else 0)
+    a, b, c = int(cm._A), int(cm._B), int(cm._C)
+    contexts = [one * b & M64, (one * a & M64) ^ ((two * b & M64) >> 7), two * c & M64]
+    out = [(0, (code // 16 + 1) * 16)]
+    for k, x in enumerate(contexts):
+        rows = cm.ORDERS[k] // 16
+        place = lambda y: cm.BEGINS[k] + 16 * (((y & M64) * c & M64) * rows >> 64)  # noqa: B023, E731
+        out.append((place(x), place(x + (code // 16 + 1) * a)))
+    return code, contexts, out
+
+
+def sequential(words, n0, n1, weights, map_):
+    """Natural logarithm of the probability of a text's bytes, one bit after the other."""
+    cm = context_mixing
+    total, size = 0.0, cm.RECENT
+    for i in range(len(words)):
+        if i % cm.SEGMENT == 0:
+            w, m = weights.astype(float).copy(), map_.astype(float).reshape(8, -1).copy()
+            memory = [{}, {}]
+        code, (one, pair, _), lines = lines_of(words, i)
+        expected = []
+        for k, x in enumerate((pair, one)):
+            key, check = ((x * int(cm._C)) & M64) * size >> 64, (((x >> 20) & 0xFFFF) | 1) & 0xFF
+            known = memory[k].get(key, (0, 0))
+            expected.append(known[1] if known[0] == check else None)
+            memory[k][key] = (check, code)
+        for bit in range(8):
+            value = code >> (7 - bit) & 1
+            half, depth = divmod(bit, 4)
+            nibble = code >> 4 if half == 0 else code & 15
+            node = 1 << depth | nibble >> (4 - depth)
+            x = [float(np.clip(np.rint(np.float32(np.log((n1[s[half] + node] + np.float32(0.4)) / (n0[s[half] + node] + np.float32(0.4)))) * 16), -127, 127)) / 16 for s in lines]
+            told = [0 if e is None or (e >> (8 - bit)) != (code >> (8 - bit)) else 2 * (e >> (7 - bit) & 1) - 1 for e in expected]
+            x = np.array(x + told + [0.3, 0.0])
+            gate = 2 if told[0] else 1 if told[1] else 0
+            logit = float(np.clip(w[bit, gate] @ x, -8, 8))
+            w[bit, gate] += cm.RATE * (value - 1 / (1 + math.exp(-logit))) * x
+            cell = int(logit * 2 + 16.5)
+            refined = m[bit, cell]
+            m[bit, cell] += cm.MAP_RATE * (value - 1 / (1 + math.exp(-refined)))
+            total -= math.log1p(math.exp((logit + refined) / 2 * (1 - 2 * value)))
+    return total
+
+
+@pytest.mark.parametrize("segment", [4096, 16])
+def test_scores_against_one_bit_after_the_other(monkeypatch, segment):
+    """Counts, weights, gates, followers and the map, side by side, are those of plain sequential scoring."""
+    cm = context_mixing
+    monkeypatch.setattr(cm, "SEGMENT", segment)
+    words = [tokens_of(t) for t in TEXTS]
+    held = Counter()
+    for w in words:
+        for i in range(len(w)):
+            code, _, lines = lines_of(w, i)
+            held.update(x for high, low in lines for x in (high + code // 16, low + code % 16))
+    counted = np.zeros(cm.SLOTS)
+    for rows in cm._counted([pa.RecordBatch.from_arrays([pa.array(TEXTS)], names=["text"])]):
+        for r in rows.to_pylist():
+            if r["chunk"] >= 0:
+                part = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["data"]), np.uint32)
+                counted[r["chunk"] * cm.CHUNK :][: len(part)] += part
+    assert {int(i): counted[i] for i in np.flatnonzero(counted)} == held
+    n0, n1 = cm.bit_counts(counted)
+    weights = cm.start_weights() + np.random.default_rng(3).normal(0, 0.1, cm.start_weights().shape).astype(np.float32)
+    mixer = cm.Mixer(cm.packed(cm.stretch(n0, n1)), weights, cm.start_map(), lanes=3)
+    got = mixer.run(cm.Tokens(pa.array(TEXTS)))
+    assert got == pytest.approx([sequential(w, n0, n1, weights, cm.start_map()) for w in words], rel=1e-4)
+    alone = [cm.Mixer(mixer.lines.view(np.int8), weights, cm.start_map()).run(cm.Tokens(pa.array([t], pa.string())))[0] for t in TEXTS]
+    assert got == pytest.approx(alone, rel=1e-5)
+
+
+def test_learning_moves_weights_and_map_within_short_texts(monkeypatch):
+    cm = context_mixing
+    t = cm.Tokens(pa.array(["a b c d e f g h i j"] * 2 + ["a b a b a b a b a b"]))
+    table, m = np.zeros(cm.SLOTS, np.int8), cm.start_map()
+    moving = cm.Mixer(table, cm.start_weights(), m).run(t)
+    frozen = cm.Mixer(table, cm.start_weights(), m, rate=0).run(t)
+    plain = cm.Mixer(table, cm.start_weights(), m, rate=0, map_rate=0).run(t)
+    assert moving[0] == pytest.approx(moving[1]) and (moving != frozen).all() and (frozen != plain).all()
+    assert plain[2] > plain[0] + 5  # what followed before is expected again
+
+
+def test_own_counts_are_left_out():
+    cm = context_mixing
+    n0, n1 = np.array([3.0, 0.0, 1.0], np.float32), np.array([1.0, 1.0, 0.0], np.float32)
+    own = cm.without_own(n0, n1)
+    assert (own[::2] == cm.packed(cm.stretch(np.array([2.0, 0, 0]), n1))).all() and (own[1::2] == cm.packed(cm.stretch(n0, np.array([0.0, 0, 0])))).all()
+
+
 def test_the_model_is_a_distribution():
-    """Over the next byte of a text the mixer's probabilities sum to one."""
+    """Over the next byte of a text the probabilities sum to one."""
+    cm = context_mixing
     rng = np.random.default_rng(0)
-    n0, n1 = rng.integers(0, 50, context_mixing.SLOTS).astype(np.float32), rng.integers(0, 50, context_mixing.SLOTS).astype(np.float32)
-    table = context_mixing.stretch(n0, n1)
-    before = np.array([5, 9, 5, 9, 5], dtype=np.int32)
-    total = 0.0
-    for last in range(256):
-        b = np.append(before, last).astype(np.int32)
-        mixer = context_mixing.Mixer(context_mixing.start_weights())
-        bits = context_mixing._BITS[b]
-        logit = mixer.run(context_mixing.inputs(b, 0, len(b), lambda s, _: table[s], context_mixing.matches(b, 2)), bits)[-1]
-        p = 1 / (1 + np.exp(-logit.astype(float)))
-        total += np.prod(np.where(bits[-1], p, 1 - p))
-    assert total == pytest.approx(1, abs=1e-5)
-
-
-def test_slices_see_what_whole_texts_see():
-    b = np.random.default_rng(0).integers(0, 256, 50).astype(np.int32)
-    whole = context_mixing.slots(b, 0, 50)
-    for at in (1, 2, 3, 20):
-        assert (context_mixing.slots(b, at, 50) == whole[:, at:]).all()
-    m = context_mixing.matches(np.array([1, 2, 3, 1, 2, 4, 1, 2, 9]), 2)
-    assert m[5] == 3 and m[8] == 4 and (m[:5] == -1).all()
+    table = rng.integers(-60, 60, cm.SLOTS).astype(np.int8)
+    byte = {}
+    for i in range(40_000):
+        byte.setdefault(1 + xxhash.xxh64_intdigest(f"w{i}".encode(), 42) % 255, f"w{i}")
+    assert len(byte) == 255
+    before = "a b a b a"
+    texts = pa.array([before] + [f"{before} {w}" for w in byte.values()])
+
+    class Cut(cm.Tokens):  # the last token alone differs: an end or a word
+        def __init__(self, texts):
+            super().__init__(texts)
+            keep = np.ones(len(self.code), bool)
+            keep[self.ends[1:] - 1] = False
+            self.sizes = self.sizes - np.append(0, np.ones(len(self.sizes) - 1, int))
+            for name in ("code", "one", "pair", "skip", "number"):
+                setattr(self, name, getattr(self, name)[keep])
+            self.ends = np.cumsum(self.sizes)
+            self.starts = self.ends - self.sizes
+
+    logs = cm.Mixer(table, cm.start_weights(), cm.start_map()).run(Cut(texts))
+    known = cm.Tokens(pa.array([before]))
+    known.sizes, known.ends = known.sizes - 1, known.ends - 1
+    shared = cm.Mixer(table, cm.start_weights(), cm.start_map()).run(known)[0]
+    assert np.exp(logs - shared).sum() == pytest.approx(1, abs=1e-3)
 
 
 def test_model_edges(spark):
@@ -171,15 +283,3 @@ def test_model_edges(spark):
     by = {r["doc_id"]: r for r in got}
     assert by[1]["n_tokens"] == by[2]["n_tokens"] == 1 and by[1]["bits_per_byte"] is None and by[None]["held_out"] is False
     assert context_mixing.context_mixing_scores(spark.createDataFrame([], SCHEMA)).count() == 0
-
-
-def test_weights_are_updated_within_short_texts():
-    rng = np.random.default_rng(1)
-    b = rng.integers(1, 256, 120).astype(np.int32)
-    expected = np.stack([context_mixing.matches(b, 2), context_mixing.matches(b, 1)])
-    x = context_mixing.inputs(b, 0, len(b), lambda s, _: np.ones(s.shape, dtype=np.float32), expected)
-    assert x.shape[2] == context_mixing.TABLES + 3 and np.abs(x[:, :, context_mixing.TABLES + 1]).sum() > 0
-    weights = context_mixing.start_weights()
-    got = context_mixing.Mixer(weights).run(x, context_mixing._BITS[b])
-    fixed = np.einsum("tjk,jk->tj", x, weights)
-    assert np.allclose(got[:16], fixed[:16], atol=1e-5) and not np.allclose(got[32:], fixed[32:], atol=1e-3)
