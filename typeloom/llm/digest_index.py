@@ -19,7 +19,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, shared_dir
+from .shared import cut, remove_folder, shared_dir, unused
 
 
 class DigestIndex:
@@ -48,9 +48,11 @@ class DigestIndex:
         new = groups.select("digest", "keep_id", "group_size").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
         new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.insertInto(self.table)
 
-    def drop(self) -> None:
-        """Forget the table's name; the files stay at the location."""
+    def drop(self, files: bool = False) -> None:
+        """Forget the table's name; the files stay at the location unless ``files`` is set."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if files:
+            remove_folder(self.spark, self.location)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -63,8 +65,10 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     """Deduplicate ``docs`` against ``index`` and themselves; append what is new.
 
     Returns a row per document: ``(id_col, keep_id, group_size, kept, text_sha256)``.
-    ``group_size`` counts the equal rows of the batch that brought the text in.
+    ``group_size`` counts the equal rows of the batch that brought the text in. Without an ``index`` that is to
+    stay, one is made for this call and removed.
     """
+    own_index = index is None
     index = index or DigestIndex(docs.sparkSession)
     ids = cut(digests(docs, id_col, text_col))
     groups = cut(ids.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")))
@@ -78,12 +82,17 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     heated = ids.join(F.broadcast(index.rows().join(F.broadcast(hot), "digest", "left_semi").join(seen, "digest", "left")), "digest")
     own = cold.unionByName(heated)
     kept = F.col("old").isNull() & F.col("id").eqNullSafe(F.col("keep_id"))
-    return own.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    out = own.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.col("digest").alias("text_sha256"))
+    if own_index:
+        out = cut(out)
+        index.drop(files=True)
+    return out
 
 
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; one row of each id and text."""
-    marked = exact_dedup(docs, index, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept_id"), F.col("text_sha256").alias("__digest")).distinct()
+    id_, digest = unused("kept_id", docs), unused("kept_digest", docs)
+    marked = exact_dedup(docs, index, id_col, text_col).filter("kept").select(F.col(id_col).alias(id_), F.col("text_sha256").alias(digest)).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__kept_id")) & (F.sha2(text, 256) == F.col("__digest"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.sha2(text, 256) == F.col(digest))
     return docs.join(marked, same, "left_semi")

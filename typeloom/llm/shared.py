@@ -7,6 +7,7 @@ folder that the cluster names in ``spark.checkpoint.dir``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 import numpy as np
@@ -25,9 +26,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see. It is set here only where the cluster set none (tests)."""
+    """The folder all executors see. It is set here only where none is set and all run in this process (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "typeloom-checkpoints")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
@@ -40,6 +43,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this package's own under the shared folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, made longer until no table has a column of that name in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_of_id(id_col: str):
     """crc32 of a document's id written as text."""
     return F.crc32(F.col(id_col).cast("string"))
@@ -74,7 +91,7 @@ def _forest(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes[kept][i : i + 65536]), pa.array(roots[kept][i : i + 65536])], names=["a", "b"])
 
 
-def components(edges: DataFrame, max_rounds: int = 40, one_task: int = 100_000) -> DataFrame:
+def components(edges: DataFrame, one_task: int = 100_000) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node, root)``; root is the smallest node.
 
     Each partition first reduces its edges to a spanning forest, so that dense groups
@@ -102,13 +119,7 @@ def components(edges: DataFrame, max_rounds: int = 40, one_task: int = 100_000)
     before = digest(work)
     if before[0] <= one_task:
         return cut(work.coalesce(1).mapInArrow(_forest, "a long, b long")).select(F.col("a").alias("node"), F.col("b").alias("root"))
-    for _ in range(max_rounds):
-        work = cut(star(star(work, True), False))
-        after = digest(work)
-        if after == before:
-            break
+    while (after := digest(work := cut(star(star(work, True), False)))) != before:
         before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     # At the fixed point every edge is (node, smallest node of its component).
     return work.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root"))
