@@ -57,7 +57,7 @@ SEGMENT = 4096
 RECENT = 1 << 11
 SLICE = 1 << 15
 #: Bytes of text that are held as tokens at a time (or one longer text).
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 CHUNK = 1 << 14
 #: Stretched probabilities are kept in steps of 1/16.
 STEPS = 16
@@ -212,7 +212,7 @@ class Mixer:
         self.seen = np.zeros(2 * 8 * MAP_CELLS, dtype=np.int64)
 
     def run(self, t: Tokens) -> np.ndarray:
-        """Natural logarithm of the probability of each text's bytes; ``last`` keeps the lanes' final weights, ``spent`` their tokens."""
+        """Natural logarithm of the probability of each text's bytes (zero while learning); ``last`` keeps the lanes' final weights, ``spent`` their tokens."""
         text, start, size = segments_of(t)
         dealt = lanes_of(size, self.lanes)
         total = np.array([int(size[d].sum()) for d in dealt], dtype=np.int64)
@@ -290,13 +290,19 @@ class Mixer:
                 np.multiply(xf, step[:, None], out=change)
                 change += used
                 np.put(sets, rows, change.view(sets.dtype).ravel())
-                cell = map_of[: live * 8] + (logit * 2 + np.float32(16.5)).astype(np.int64)
-                a = flat_map.take(cell)
-                flat_map[cell] = a + self.map_rate * (bits[i] - 1 / (1 + np.exp(-a)))
-                final[i] = np.float32(0.5) * (logit + a) if self.anew else logit
-            if not self.anew:
+                final[i] = logit
+                if self.anew:
+                    cell = map_of[: live * 8] + (logit * 2 + np.float32(16.5)).astype(np.int64)
+                    a = flat_map.take(cell)
+                    flat_map[cell] = a + self.map_rate * (bits[i] - 1 / (1 + np.exp(-a)))
+                    final[i] += a
+            if self.anew:
+                final *= np.float32(0.5)
+            else:
                 cell = np.tile(np.arange(8), live) * MAP_CELLS + (final * 2 + np.float32(16.5)).astype(np.int64)
                 self.seen += np.bincount((cell + bits.astype(np.int64) * (8 * MAP_CELLS)).ravel(), minlength=len(self.seen))
+                at = stop
+                continue
             final *= 1 - 2 * bits
             loss[where.T] = np.log1p(np.exp(final)).reshape(steps, live, 8).sum(axis=2)
             at = stop
