@@ -78,6 +78,31 @@ def test_contexts_find_more(spark):
     assert got[102]["spans"] == "phone:5:16"  # the instance is known by then
 
 
+def test_groups_of_digits_long_cues_and_secrets(spark):
+    rows = [(i, f"telefon: +49 30 1234{i:03d} bye") for i in range(20)] + [(50, "telefon: 0171 555 0199, please"), (51, "0171 555 0177 is a number")]
+    word = "x" * 200
+    rows += [(100 + i, f"a {word}\t+49 40 9876{i:03d} b") for i in range(5)] + [(110, f"a {word} 040-9876543 b"), (111, f"a y{word} 040-9876599 b")]
+    key = "0123456789abcdef" * 2
+    rows += [(200 + i, f'token = "{key}{i:02x}" rest') for i in range(5)] + [(210, f"{key.upper()} {'a' * 40} {'7' * 40}"), (211, "token = A1b2C3d4E5f6G7 and A9b8C7d6E5")]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50]["spans"] == "phone:9:22" and got[51]["spans"] == "" and got[50]["n_spans"] == 1
+    assert got[110]["spans"] == "phone:203:214" and got[111]["spans"] == ""
+    assert all(got[200 + i]["spans"] == "secret:9:43" and got[200 + i]["n_secret"] == 1 and got[200 + i]["n_card"] == 0 for i in range(5))
+    assert got[210]["spans"] == "" and got[211]["spans"] == "secret:8:22"
+
+
+def test_chains_go_on_until_nothing_is_added(spark):
+    """Each word leads to numbers that the next word stands before."""
+    rows, i = [(k, f"cuea +49 30 555{k:04d} x") for k in range(5)], 100
+    for step in range(6):
+        for k in range(3):
+            rows += [(i, f"cue{chr(97 + step)} {k}{step}/4445566 x"), (i + 1, f"cue{chr(98 + step)} {k}{step}/4445566 x")]
+            i += 2
+    rows.append((i, "cueg 99/1112223 x"))
+    got = {r["doc_id"]: r["spans"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[i] == "phone:5:15"
+
+
 def test_edges(spark):
     rows = [(1, None, "e", "k", "m"), (2, "", "e", "k", "m"), (3, "a@b.c", "e", "k", "m"), (3, "a@b.c", "e", "k", "m"), (None, "1.2.3.4", "e", "k", "m")]
     got = sorted((str(r["doc_id"]), r["spans"]) for r in pii.personal_data(spark.createDataFrame(rows, SCHEMA)).collect())
