@@ -4,8 +4,9 @@ Slot k of the schedule stands at the golden-ratio point frac((k + 1/2) / phi), w
 mapped through the sources' cumulative target shares: each source gets its share of any
 run of slots, to within a few slots. The slots of a source are ranked in order, and rank r takes
 block r (beginning again after the last) of that source's documents, shuffled by a hash
-of their content key and cut into blocks of equal tokens. The last slot of a source is cut where the
-source's target is met, so taken words equal the targets but for rounding.
+of their id and cut into blocks of equal tokens. The last slot of a source is cut where the
+source's target is met, and a source that the points gave too few slots goes on in slots after the schedule, so taken words
+equal the targets but for rounding. The mix is read in the order of the slots.
 
 A source's targets: the sources in code-point order (null last) weigh 1, 2, 3, repeating,
 and share all words; no target exceeds ``max_repeats`` times its source's words, and the
@@ -27,7 +28,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, word_count
+from .shared import cut, unused, word_count
 
 WEIGHTS = (1, 2, 3)
 INVERSE_PHI = (math.sqrt(5) - 1) / 2
@@ -58,10 +59,7 @@ def source_plan(sized: DataFrame, weights: dict | None = None, max_repeats: floa
 
 
 def schedule(spark, plan: list[dict], block: int) -> DataFrame:
-    """The mix as slots ``(k, s, rank)``: source and rank in it of slot k.
-
-    Sources that the points missed, or gave too few slots, end with one slot that stretches to the target.
-    """
+    """The mix as slots ``(k, s, rank)``: source and rank in it of slot k."""
     total = sum(p["want"] for p in plan)
     slots = -(-total // block) if total else 0
     edges, at = [], 0
@@ -90,13 +88,13 @@ def schedule(spark, plan: list[dict], block: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: dict | None = None, max_repeats: float = 3.0, slots: int = 1 << 18, seed: int = 42):
     """The mix of ``docs``: ``(pieces, documents, plan)``.
 
-    ``pieces(k, s, doc_id, size, start, length)``: slot k takes ``length`` words of a document from word
+    ``pieces(k, pass, s, row, doc_id, size, content, start, length)``: slot k takes ``length`` words of a document from word
     ``start`` on; read by k, start they are the mixed corpus. ``documents``: the input's
-    ``(doc_id, s, size, row)``. ``slots``: the blocks are total / slots words long, a parameter
+    ``(doc_id, s, size, content, row)``. ``slots``: the blocks are total / slots words long, a parameter
     of fineness that does not depend on the input's size. ``weights``: by source; 1, 2, 3 repeating by default.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"))
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("content"))
     sized = cut(sized.withColumn("h", F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit(str(seed))))))
     plan = source_plan(sized, weights, max_repeats)
     total = sum(p["want"] for p in plan)
@@ -111,13 +109,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = before.select("s", "part", (F.sum("n").over(over) - F.col("n")).alias("before"), (F.sum("c").over(over) - F.col("c")).alias("rows_before"))
     inside = Window.partitionBy("s", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("upto", F.sum("size").over(inside)).withColumn("nth", F.count(F.lit(1)).over(inside)).join(before, ["s", "part"])
-    placed = placed.select("doc_id", "s", "size", (F.col("before") + F.col("upto") - F.col("size")).alias("at"), (F.col("rows_before") + F.col("nth") - 1).alias("row"))
+    placed = placed.select("doc_id", "s", "size", "content", (F.col("before") + F.col("upto") - F.col("size")).alias("at"), (F.col("rows_before") + F.col("nth") - 1).alias("row"))
     placed = cut(placed)
 
     # Blocks of `block` words; a document lies in those it overlaps.
     pieces = placed.filter("size > 0").withColumn("b", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))))
     lo, hi = F.greatest(F.col("at"), F.col("b") * block), F.least(F.col("at") + F.col("size"), (F.col("b") + 1) * block)
-    pieces = pieces.select("s", "b", "row", "doc_id", "size", (lo - F.col("at")).alias("start"), lo.alias("lo"), hi.alias("hi"))
+    pieces = pieces.select("s", "b", "row", "doc_id", "size", "content", (lo - F.col("at")).alias("start"), lo.alias("lo"), hi.alias("hi"))
 
     # Slots in source order: rank r is block r mod blocks in pass r div blocks, and takes the words that lie before `want`.
     ranked = schedule(spark, plan, block).join(numbers, "s").withColumn("blocks", F.expr(f"(source_size + {block} - 1) div {block}")).filter("source_size > 0")
@@ -127,32 +125,46 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     short = numbers.filter("want > 0").join(given, "s", "left").withColumn("blocks", F.expr(f"(source_size + {block} - 1) div {block}"))
     next_ = F.coalesce(F.col("last") + 1, F.lit(0))
     need = F.expr(f"(want div source_size) * blocks + ((want % source_size) + {block} - 1) div {block}")
-    closing = short.filter(next_ < need).select(F.lit(None).cast("long").alias("k"), "s", F.explode(F.sequence(next_, need - 1)).alias("rank"), "source_size", "want", "blocks")
+    closing = short.filter(next_ < need).select("s", next_.alias("next"), F.explode(F.sequence(next_, need - 1)).alias("rank"), "source_size", "want", "blocks")
+    after = F.lit(-(-total // block)) + (F.col("rank") - F.col("next")) * max(1, len(plan)) + F.col("s")
+    closing = closing.select(after.cast("long").alias("k"), "s", "rank", "source_size", "want", "blocks")
     taken = ranked.union(closing).withColumn("b", F.expr("rank % blocks")).withColumn("from", F.expr("(rank div blocks) * source_size"))
-    taken = taken.withColumn("stop", F.col("want") - F.col("from")).filter(F.col("stop") > F.col("b") * block).select("k", "s", "b", "rank", "stop")
+    taken = taken.withColumn("stop", F.col("want") - F.col("from")).filter(F.col("stop") > F.col("b") * block).select("k", "s", "b", "rank", "stop", F.expr("rank div blocks").alias("pass"))
     mixed = pieces.join(taken, ["s", "b"]).withColumn("length", F.least("hi", "stop") - F.col("lo")).filter("length > 0")
-    return mixed.select("k", "rank", "s", "row", "doc_id", "size", "start", "length"), placed, numbers
+    return mixed.select("k", "rank", "pass", "s", "row", "doc_id", "size", "content", "start", "length"), placed, numbers
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
-    """Per document: ``(doc_id, size, source_size, target, taken)``; taken counts repeats."""
+    """Per document: ``(doc_id, size, source_size, target, taken, first_slot, n_slots)``.
+
+    ``taken`` counts repeats; ``first_slot`` is the first slot of the schedule that takes words of the document (null if none does),
+    ``n_slots`` how many do.
+    """
     pieces, placed, numbers = mix(docs, **options)
-    taken = pieces.groupBy("s", "row").agg(F.sum("length").alias("taken"))
+    taken = pieces.groupBy("s", "row").agg(F.sum("length").alias("taken"), F.min("k").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
     out = placed.join(taken, ["s", "row"], "left").join(numbers.select("s", "source_size", "target"), "s")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    none = F.lit(0).cast("long")
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", none).alias("taken"), "first_slot", F.coalesce("n_slots", none).alias("n_slots"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix as whole documents with all the columns of ``docs``: a row for each time one is taken.
+    """The mix as whole documents with all the columns of ``docs``, in the order of the schedule: a row for each time one is taken.
 
-    A document that a source's target cuts is taken if at least half of its words are. Documents
-    without words are never taken, as they bring no source nearer its target.
+    A document stands at the slot that takes its first words in that pass over its source. One that a source's
+    target cuts is taken if at least half of its words are. Documents without words are never taken, as they bring no source
+    nearer its target.
     """
     pieces, _, _ = mix(docs, id_col, text_col, source_col, **options)
-    taken = pieces.groupBy("s", "row", "doc_id", "size").agg(F.sum("length").alias("taken"))
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    # Rows that share an id are told apart by size only; equal rows share their takes evenly.
-    takes = taken.select("doc_id", "size", times.alias("times")).groupBy("doc_id", "size").agg(F.sum("times").alias("times"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (word_count(F.col(text_col).cast("string")) == F.col("__size"))
-    out = docs.join(takes.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("times").alias("__times")), same).filter("__times > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    takes = pieces.groupBy("s", "row", "doc_id", "size", "content", "pass").agg(F.min("k").alias("k"), F.sum("length").alias("taken")).filter("2 * taken >= size")
+    id_, content, slot, part, row, rows = (unused(n, docs) for n in ("mix_id", "mix_content", "mix_slot", "mix_pass", "mix_row", "mix_rows"))
+    takes = cut(takes.select(F.col("doc_id").alias(id_), F.col("content").alias(content), F.col("k").alias(slot), F.col("pass").alias(part), F.col("row").alias(row)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(content))
+    out = docs.join(takes, same)
+    # Rows that repeat id and text each meet the takes of all of them, and are rid of what is too much.
+    repeated = takes.select(id_, content, row).distinct().groupBy(id_, content).agg(F.count(F.lit(1)).alias(rows)).filter(F.col(rows) > 1)
+    if not repeated.isEmpty():
+        many = out.join(repeated.select(F.col(id_).alias(id_ + "2"), F.col(content).alias(content + "2")), F.col(id_).eqNullSafe(F.col(id_ + "2")) & (F.col(content) == F.col(content + "2")), "left")
+        once = F.when(F.col(content + "2").isNotNull(), F.struct(row, part, slot))
+        keyed = many.withColumn(rows, F.coalesce(once, F.struct(F.lit(-1).cast("long"), F.monotonically_increasing_id(), F.lit(-1).cast("long"))))
+        out = keyed.dropDuplicates([rows])
+    return out.orderBy(slot, id_, row).select(*[docs[c] for c in docs.columns])

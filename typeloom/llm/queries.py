@@ -61,27 +61,45 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_language, op4_mixing, op5_packing, op6_quality, op7_personal_data, op8_context_mixing, op9_exact_dedup, op10_nearest)}
 
 SQL = {
-    # The schedule decides the order of the blocks; what each document gives follows from its source's target: whole passes over
-    # the source, then its part of the cut one, in the order of the hash.
+    # Slot k stands at the golden-ratio point and takes the next block of its source in the order of the hash; slots that
+    # a source lacks at the end follow the schedule.
     "op4_mixing": r"""
         WITH d AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
         s AS (
-            SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
         c AS (
-            SELECT *, 3 * source_size / w::DOUBLE AS r,
-                   coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-                   sum(w) OVER (ORDER BY 3 * source_size / w::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
+            SELECT *, i % 3 + 1 AS w, 3 * source_size / (i % 3 + 1)::DOUBLE AS r,
+                   coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / (i % 3 + 1)::DOUBLE, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                   sum(i % 3 + 1) OVER (ORDER BY 3 * source_size / (i % 3 + 1)::DOUBLE, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
                    sum(source_size) OVER () AS total FROM s),
         l AS (SELECT (total - before) / rest::DOUBLE AS level FROM c WHERE r >= (total - before) / rest::DOUBLE ORDER BY r, source NULLS LAST LIMIT 1),
-        t AS (SELECT source, source_size, least(3 * source_size, level * w)::DOUBLE AS target, round(least(3 * source_size, level * w))::BIGINT AS want FROM c, l),
+        t AS (SELECT i, source, source_size, least(3 * source_size, level * w)::DOUBLE AS target, round(least(3 * source_size, level * w))::BIGINT AS want FROM c, l),
+        m AS (SELECT sum(want)::BIGINT AS total, greatest(1, sum(want)::BIGINT // 262144) AS block FROM t),
+        e AS (
+            SELECT t.*, block, (source_size + block - 1) // block AS blocks, total,
+                   coalesce(sum(want) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / total::DOUBLE AS low,
+                   CASE WHEN i = max(i) OVER () THEN 1.0 ELSE sum(want) OVER (ORDER BY i) / total::DOUBLE END AS high
+            FROM t, m),
+        points AS (SELECT k, ((k + 0.5) * 0.6180339887498949::DOUBLE) % 1.0 AS point FROM m, range((total + block - 1) // block) x(k)),
+        slots AS (SELECT k, i, row_number() OVER (PARTITION BY i ORDER BY k) - 1 AS rank FROM points JOIN e ON low <= point AND point < high),
+        given AS (SELECT i, max(rank) + 1 AS next FROM slots GROUP BY i),
+        closing AS (
+            SELECT (total + block - 1) // block + (rank - coalesce(next, 0)) * (SELECT count(*) FROM t) + e.i AS k, e.i, rank
+            FROM e LEFT JOIN given USING (i), range(coalesce(next, 0), (want // source_size) * blocks + (want % source_size + block - 1) // block) x(rank) WHERE source_size > 0),
+        taken_slots AS (
+            SELECT k, x.i, rank % blocks AS b, want - (rank // blocks) * source_size AS stop
+            FROM (SELECT k, i, rank FROM slots UNION ALL SELECT k, i, rank FROM closing) x JOIN e ON e.i = x.i WHERE source_size > 0),
         o AS (
-            SELECT doc_id, size, source_size, target, want,
+            SELECT doc_id, size, source_size, target, i, block,
                    sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id || ':42'), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS lo
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-        SELECT doc_id, size::BIGINT AS size, source_size, target,
-               (CASE WHEN source_size = 0 THEN 0 ELSE (want // source_size) * size + greatest(0, least(size, want % source_size - lo)) END)::BIGINT AS taken
-        FROM o
+            FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+        pieces AS (
+            SELECT doc_id, k, least(lo + size, (y.b + 1) * block, stop) - greatest(lo, y.b * block) AS length
+            FROM o, range((lo // block)::BIGINT, ((lo + size - 1) // block + 1)::BIGINT) y(b) JOIN taken_slots z ON z.i = o.i AND z.b = y.b WHERE size > 0),
+        p AS (SELECT doc_id, sum(length)::BIGINT AS taken, min(k)::BIGINT AS first_slot, count(*) AS n_slots FROM pieces WHERE length > 0 GROUP BY doc_id)
+        SELECT doc_id, size::BIGINT AS size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
+        FROM o LEFT JOIN p USING (doc_id)
     """,
     "op9_exact_dedup": """
         SELECT doc_id,
