@@ -1,15 +1,16 @@
 """Main text of web pages by equivalence-class template deduction (operator 2).
 
 Pages of a host share a template. Each page is read as a sequence of structural tokens: an element with its
-path of tags, classes and ids, or a text outside any article together with its path. Tokens that occur equally often on
+path of tags, classes and ids, or a text together with its path. Tokens that occur equally often on
 every page of a host (equal occurrence vectors) form an equivalence class. Classes of at least
 ``min_class`` tokens on at least ``min_share`` of the host's pages (and two pages) whose tokens
 are nested in the same parent wherever they occur are valid (texts on ``min_text_share`` of the pages and three at least; copies of
 one page are no evidence); nested into each other they make up the host's
 template. What stands between template tokens are the slots, each known by its innermost template
-element. Slots in menus, headers, footers, sidebars, notices, adverts, forms and reader comments are dropped; if
-the page has article slots they are the text, else slots of its main element, else all other
-slots without the texts that are template tokens and without lists of links.
+element. Texts that are template tokens are no content, inside an article either. Slots are labelled by role: those in menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments are dropped. Of the others, article slots are the text, unless the slots
+around them hold more: those of the main element or, on a page without one, twice as much in all slots that are not lists of links
+(the articles are then teasers beside the text). Reading and extraction take time and memory in proportion to the page.
 
 Vectors are compared by sums of hashes of (page, count), which Spark adds up by host and token; so no host's pages
 meet in one task. Templates go to the pages by broadcast if they have at most
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +36,11 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math xmp noframes object select".split())
+RAW = frozenset("script style noscript template textarea title iframe svg xmp noframes object select".split())
 FORMATTING = frozenset("a abbr b bdi bdo big cite code data dfn em font i kbd label mark q s samp small span strike strong sub sup time tt u var ins del".split())
 DROPPED_TAGS = frozenset("head nav footer aside form button menu dialog fieldset audio video canvas datalist".split())
 FENCES = frozenset("article main section nav aside header footer body table td th form".split())
+LISTS = frozenset("ul ol dl table".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Words of classes, ids and roles that mark what is not the article.
@@ -82,39 +85,46 @@ NONE, ARTICLE, MAIN = 0, 1, 2
 _MASK = (1 << 63) - 1
 
 
-def _tag_end(html: str, at: int) -> int:
-    """Index of the > that ends the tag at ``at``; quoted ones don't count if their quotes close."""
-    end = html.find(">", at)
-    while end >= 0:
-        inside = html[at:end]
-        if '"' not in inside and "'" not in inside:
-            return end
-        quote, i = "", at
-        for m in re.finditer("[\"']", inside):
-            if not quote:
-                # A quote opens a value only after an equals sign.
-                quote = m[0] if inside[: m.start()].rstrip().endswith("=") else ""
-                i = m.start()
-            elif m[0] == quote:
-                quote = ""
-        if not quote:
-            return end
-        close = html.find(quote, at + i + 1)
-        if close < 0 or close - at > 65536:
-            return end
-        end = html.find(">", close)
-    return -1
+#: The rest of a tag: quotes count after an equals sign, if they close. Nothing is given back, so this takes linear time.
+_REST = re.compile(r"""(?:[^>="']++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+>""")
+
+
+class Block(NamedTuple):
+    """A run of text: what it belongs to, and its place in the page's tree of elements."""
+
+    role: int
+    dropped: bool
+    text: str
+    token: int
+    linked: int  # characters that are links
+    node: int
+
+
+class _Open(NamedTuple):
+    """An open element; ``fence``, ``stop`` and ``block`` are the places of the innermost ones of these kinds up to it."""
+
+    tag: str
+    token: int
+    dropped: bool
+    role: int
+    node: int
+    in_link: bool
+    fence: int
+    stop: int
+    block: int
 
 
 class Page:
-    """One page's tokens and blocks. A block: (role, dropped, text, token, link characters, path of tokens)."""
+    """One page's tokens and blocks, and the tree of its elements (``tree``: token and parent of each node)."""
 
     def __init__(self, html: str | None):
         self.tokens: dict[int, int] = {}
         self.parents: dict[int, int] = {}
         self.texts: set[int] = set()  # tokens that are texts
-        self.blocks: list[tuple] = []
-        self._stack: list[tuple] = [("", 1, False, NONE)]  # tag, token, dropped, role
+        self.blocks: list[Block] = []
+        self.tree: list[tuple[int, int]] = [(1, -1)]
+        self._stack: list[_Open] = [_Open("", 1, False, NONE, 0, False, 0, 0, 0)]
+        self._places: dict[str, list[int]] = {}  # of open elements by tag
         self._text: list[str] = []
         self._linked = 0
         self._read(html or "")
@@ -123,13 +133,11 @@ class Page:
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
             if text:
-                _, token, dropped, role = self._stack[-1]
-                own = 0
-                if role == NONE:  # texts outside articles may belong to the template
-                    own = xxhash.xxh64_intdigest(text, token & 0xFFFFFFFF) & _MASK
-                    self._token(own, token)
-                    self.texts.add(own)
-                self.blocks.append((role, dropped, text, own, self._linked, [x[1] for x in self._stack] if role == NONE else ()))
+                top = self._stack[-1]
+                own = xxhash.xxh64_intdigest(text, top.token & 0xFFFFFFFF) & _MASK
+                self._token(own, top.token)
+                self.texts.add(own)
+                self.blocks.append(Block(top.role, top.dropped, text, own, self._linked, top.node))
             self._text.clear()
         self._linked = 0
 
@@ -139,8 +147,8 @@ class Page:
         self.parents[token] = parent if self.parents.setdefault(token, parent) == parent else -1
 
     def _open(self, tag: str, attrs: str) -> None:
-        _, parent, dropped, role = self._stack[-1]
-        key, main = tag, tag == "main"
+        top = self._stack[-1]
+        dropped, role, key, main = top.dropped, top.role, tag, tag == "main"
         dropped = dropped or tag in DROPPED_TAGS or (role == NONE and tag == "header")
         for name, value in _ATTR.findall(attrs) if attrs else ():
             name, value = name.lower(), value.strip("\"'").lower()
@@ -156,33 +164,35 @@ class Page:
             role = ARTICLE
         elif role == NONE and main:
             role = MAIN
-        token = xxhash.xxh64_intdigest(key, parent & 0xFFFFFFFF) & _MASK
-        self._token(token, parent)
-        self._stack.append((tag, token, dropped, role))
+        token = xxhash.xxh64_intdigest(key, top.token & 0xFFFFFFFF) & _MASK
+        self._token(token, top.token)
+        at = len(self._stack)
+        self._stack.append(_Open(tag, token, dropped, role, len(self.tree), top.in_link or tag == "a", at if tag in FENCES else top.fence, at if tag in FENCES or tag in LISTS else top.stop, top.block if tag in FORMATTING else at))
+        self.tree.append((token, top.node))
+        self._places.setdefault(tag, []).append(at)
+
+    def _cut(self, at: int) -> None:
+        """Close the element at a place of the stack, and all in it."""
+        while len(self._stack) > at:
+            self._places[self._stack.pop().tag].pop()
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self._stack) - 1, 0, -1):
-            name = self._stack[i][0]
-            if name == tag:
-                del self._stack[i:]
-                return
-            if (tag in FORMATTING and name not in FORMATTING) or (name in FENCES and tag not in FENCES):
-                return
+        places, top = self._places.get(tag), self._stack[-1]
+        if places and not (tag in FORMATTING and top.block > places[-1]) and not (tag not in FENCES and top.fence > places[-1]):
+            self._cut(places[-1])
 
     def _imply(self, tag: str) -> None:
         """Close what the start of ``tag`` closes."""
-        ends = CLOSED_BY.get(tag, ())
-        if tag in CLOSES_P:
-            ends = {"p"}
-        if ends:
-            for i in range(len(self._stack) - 1, 0, -1):
-                name = self._stack[i][0]
-                if name in ends:
-                    del self._stack[i:]
-                    if tag not in ("tr",):
-                        return
-                elif name in FENCES or name in ("ul", "ol", "dl", "table") or (name not in FORMATTING and "p" in ends):
-                    return
+        if tag in CLOSES_P and self._stack[-1].block and self._stack[self._stack[-1].block].tag == "p":
+            self._cut(self._stack[-1].block)
+        ends = CLOSED_BY.get(tag)
+        while ends:
+            last = max((p[-1] for t in ends if (p := self._places.get(t))), default=0)
+            if not last or last < self._stack[-1].stop:
+                break
+            self._cut(last)
+            if tag != "tr":
+                break
 
     def _read(self, html: str) -> None:
         at, n = 0, len(html)
@@ -214,10 +224,11 @@ class Page:
                     at = lt + 1
                 continue
             tag = m[0].lower()
-            end = _tag_end(html, m.end())
-            if end < 0:
+            rest = _REST.match(html, m.end())
+            if not rest:
                 break
-            at = end + 1
+            at = rest.end()
+            end = at - 1
             if tag == "br":
                 self._add(" ")
                 continue
@@ -240,27 +251,30 @@ class Page:
 
     def _add(self, text: str) -> None:
         self._text.append(text)
-        if any(x[0] == "a" for x in self._stack[-4:]):
+        if self._stack[-1].in_link:
             self._linked += len(text)
 
 
 def main_text(page: Page, template: frozenset[int] | set[int] = frozenset()) -> str:
     """The blocks of the page's main slots, joined by one space."""
-    blocks = [b for b in page.blocks if not b[1]]
-    for role in (ARTICLE, MAIN):
-        chosen = [b[2] for b in blocks if b[0] == role]
-        if chosen:
-            return " ".join(chosen)
-    # No article: by slot, the innermost template element around a block.
-    slots: dict[int, list[tuple]] = {}
-    order = []
+    blocks = [b for b in page.blocks if not b.dropped and b.token not in template]
+    slot_of = [0] * len(page.tree)  # by node: the innermost template element around it
+    for i, (token, parent) in enumerate(page.tree):
+        slot_of[i] = token if token in template else slot_of[parent] if parent >= 0 else 0
+    size: dict[int, int] = {}
+    linked: dict[int, int] = {}
     for b in blocks:
-        if b[3] not in template:
-            slot = next((t for t in reversed(b[5]) if t in template), 0)
-            slots.setdefault(slot, []).append(b)
-            order.append((slot, b))
-    links = {s for s, of in slots.items() if 2 * sum(b[4] for b in of) > sum(len(b[2]) for b in of)}
-    return " ".join(b[2] for s, b in order if s not in links)
+        slot = slot_of[b.node]
+        size[slot] = size.get(slot, 0) + len(b.text)
+        linked[slot] = linked.get(slot, 0) + b.linked
+    articles = [b.text for b in blocks if b.role == ARTICLE]
+    around = [b for b in blocks if b.role == MAIN]
+    if articles or not around:
+        around = [b for b in around or blocks if b.role != ARTICLE and 2 * linked[slot_of[b.node]] <= size[slot_of[b.node]]]
+    share = 1 if any(b.role == MAIN for b in around) else 2
+    if articles and share * sum(map(len, articles)) >= sum(len(b.text) for b in around):
+        return " ".join(articles)
+    return " ".join(b.text for b in around)
 
 
 def _host(url: str | None) -> str:
