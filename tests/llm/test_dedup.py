@@ -107,15 +107,16 @@ def test_one_of_each_near_group_stays(spark):
     assert simhash.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def test_similarity_sketches():
-    words = [f"w{i}".encode() for i in range(2000)]
-    a = simhash.shingle_hashes(words)
-    b = simhash.shingle_hashes(words[:1800] + [b"x%d" % i for i in range(200)])
-    true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-    assert simhash.similarity(a[: simhash.SKETCH], b[: simhash.SKETCH]) == pytest.approx(true, abs=0.1)
-    bits = int(np.bitwise_count((simhash.minhash_bits(a) ^ simhash.minhash_bits(b)).view(np.uint64)).sum())
-    assert 1 - bits / 128 == pytest.approx(true, abs=0.15)
-    assert simhash.similarity(a[:0], a[:0]) == 1 and simhash.similarity(a[:0], a[:9]) == 0
+def test_parity_bitmaps_rule_out_no_similar_pair():
+    rng = np.random.default_rng(2)
+    for n in (3, 40, 900, 5000):
+        for _ in range(20):
+            both, one, other = rng.integers(0, 1 << 63, n, dtype=np.uint64), *(rng.integers(0, 1 << 63, int(rng.integers(0, n)), dtype=np.uint64) for _ in range(2))
+            a, b = np.unique(np.concatenate([both, one])), np.unique(np.concatenate([both, other]))
+            apart = sum((x ^ y).bit_count() for x, y in zip(*(np.array(simhash.parities(x)).view(np.uint64).tolist() for x in (a, b)), strict=True))
+            assert apart <= len(np.setxor1d(a, b))
+    assert simhash.parities(np.zeros(0, np.uint64)) == [0] * simhash.PARITY and simhash.majority(np.zeros(0, np.uint64)) == 0
+    assert simhash.majority(np.array([5], np.uint64)) == 5
 
 
 @pytest.mark.parametrize("one_task", [0, 100_000])

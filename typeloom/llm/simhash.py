@@ -29,11 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER_BYTES, components, cut
+from .shared import LOWER_BYTES, components, cut, unused
 
 BITS = 64
-#: Columns of 64 MinHash bits each.
-MINHASH = ["m1", "m2", "m3", "m4"]
 _BYTE_AT = np.arange(8) * 256
 _BIT_OF_BYTE = (np.arange(256)[:, None] >> np.arange(8)) & 1
 
@@ -289,44 +287,6 @@ def _named(rooted: DataFrame) -> DataFrame:
 
 # --- near duplicates by the texts themselves ---------------------------------------------
 
-#: Smallest hashes kept of a text's shingles: the whole set of texts with fewer.
-SKETCH = 256
-
-
-def shingle_hashes(tokens: list[bytes], words: int = 5) -> np.ndarray:
-    """Hashes of the distinct shingles, ascending."""
-    if not tokens:
-        return np.zeros(0, dtype=np.uint32)
-    n = max(1, len(tokens) - words + 1)
-    shingles = map(b" ".join, zip(*(tokens[i : i + n] for i in range(min(words, len(tokens)))), strict=False)) if len(tokens) >= words else [b" ".join(tokens)]
-    digest = xxhash.xxh32_intdigest
-    return np.unique(np.array([digest(s) for s in shingles], dtype=np.uint32))
-
-
-_ODD = (np.random.default_rng(42).integers(0, 1 << 31, len(MINHASH) * BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-
-
-def minhash_bits(hashes: np.ndarray) -> np.ndarray:
-    """One bit of the MinHash of each of 256 orders, as four words; two texts share a bit with probability (1 + J) / 2."""
-    if not len(hashes):
-        return np.zeros(len(MINHASH), dtype=np.int64)
-    least = np.full(len(_ODD), np.uint32(0xFFFFFFFF))
-    for i in range(0, len(hashes), 4096):
-        np.minimum(least, (hashes[i : i + 4096, None] * _ODD).min(axis=0), out=least)
-    # A bit that multiplication has mixed well, not the lowest, which is that of the hash.
-    return np.packbits(((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two texts' shingles: exact if both have fewer than ``SKETCH``, else estimated on the smallest of both."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    union = np.union1d(a, b)
-    if len(a) == SKETCH or len(b) == SKETCH:
-        union = union[union <= min(x[-1] for x in (a, b) if len(x) == SKETCH)][:SKETCH]
-    return np.isin(union, np.intersect1d(a, b, assume_unique=True)).sum() / len(union)
-
-
 _MULTIPLIERS = (np.random.default_rng(7).integers(0, 1 << 62, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 #: Cells that count in how many texts shingles are, and the least count of a task that is sent on. Both only set the
 #: order in which prefixes are taken, which has no influence on the result.
@@ -360,6 +320,28 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+#: Words of 64 bits of a text's parity bitmap.
+PARITY = 8
+
+
+def parities(shingles: np.ndarray) -> list[int]:
+    """Whether the number of shingles that fall on each of 512 places is odd, as eight words of 64 bits.
+
+    A shingle that only one of two texts has changes one bit. So if more bits differ than shingles may, the texts are
+    not similar; however long they are, no similar pair is ruled out.
+    """
+    odd = np.bincount((shingles & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
+def majority(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes, as a signed long."""
+    if not len(shingles):
+        return 0
+    by_byte = np.bincount((shingles.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
+    return int(np.packbits(2 * (by_byte @ _BIT_OF_BYTE).ravel() > len(shingles), bitorder="little").view("<i8")[0])
+
+
 def prefix_length(n: int, min_similarity: float) -> int:
     """Of ``n`` shingles in one order for all texts, how many must be looked at: similar texts share one of them."""
     return n - ceil(min_similarity * n - 1e-9) + 1 if n else 0
@@ -382,29 +364,35 @@ def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
     return out
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, orders: int = 4, broadcast_ids: int = 200_000) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, radius: int = 4, orders: int = 4, broadcast_ids: int = 200_000) -> DataFrame:
     """``(id, root)`` of documents that are similar to others: root is the smallest id of the group.
 
     A link is a pair whose sets of shingles of ``words`` words have a Jaccard similarity of ``min_similarity`` or more.
-    All links are found: if all texts' shingles are in one order (frequent ones last), two texts that similar share
-    shingles of the first :func:`prefix_length` of each, namely so many that these and all that follow can make up the overlap;
-    a join on those gives candidates, and each is verified on all shingles of both texts. Equal sets are taken together
-    first. Then each document is verified with those next to it in a few orders of the documents that have a
-    prefix shingle; the join is only of those in groups that this did not connect.
+    Every link is verified on all shingles of both texts, and none is lost:
+
+    1. Equal sets are taken together.
+    2. Each document is verified with those next to it in a few orders of the documents that have a prefix shingle,
+       which connects large groups with a number of pairs that is linear in the documents.
+    3. Fingerprints within ``radius`` bits, found by the general pigeonhole, of documents that are not connected yet.
+    4. The rest, exactly: if all texts' shingles are in one order (frequent ones last), two similar texts share one of the first
+       :func:`prefix_length` of each. A join on those gives candidates, of documents in groups that are still apart, with sizes
+       and parity bitmaps that a similar pair can have.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null")
     often = rows.sparkSession.sparkContext.broadcast(_frequencies(rows, words))
 
     def prefixes(batches):
         for batch in batches:
-            n, digests, kept = [], [], []
+            n, digests, kept, fps, odd = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingle_set(text, words)
                 order = np.lexsort((h, often.value[(h & np.uint64(FREQUENCY_CELLS - 1)).astype(np.int64)]))
                 n.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
                 kept.append(h[order[: prefix_length(len(h), min_similarity)]].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(kept, pa.binary())], names=["id", "n", "digest", "prefix"])
+                fps.append(majority(h))
+                odd.append(parities(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(kept, pa.binary()), pa.array(fps, pa.int64()), pa.array(odd, pa.list_(pa.int64()))], names=["id", "n", "digest", "prefix", "fp", "odd"])
 
     def exploded(batches):
         for batch in batches:
@@ -430,19 +418,15 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         both = pairs.join(need.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(need.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         return cut(both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"))
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Of pairs by shared prefix shingle, those of not too different sizes that share enough of them."""
-        rest = [F.ceil(min_similarity * F.col(n) - 1e-9) - 1 for n in ("na", "nb")]
-        size = F.least("na", "nb") >= F.greatest("na", "nb") * min_similarity - 1e-6
-        counted = pairs.filter(size).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n"))
-        return counted.filter(F.col("n") + F.greatest(*rest) >= (F.col("na") + F.col("nb")) * (min_similarity / (1 + min_similarity)) - 1e-6).select("a", "b").distinct()
+    def sizes_fit(a: str, b: str):
+        return F.least(a, b) >= F.greatest(a, b) * min_similarity - 1e-6
 
-    made = cut(rows.mapInArrow(prefixes, "id long, n int, digest binary, prefix binary"))
+    made = cut(rows.mapInArrow(prefixes, "id long, n int, digest binary, prefix binary, fp long, odd array<long>"))
     first = made.groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     equal = cut(made.select("id", "digest").join(first, "digest").filter("id <> a").select("a", F.col("id").alias("b")))
     gone = equal.select(F.col("b").alias("id")).distinct()
-    left = made.select("id", "n", "prefix").join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "id", "left_anti")
-    by_shingle = left.mapInArrow(exploded, "h long, id long, n int").withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    left = made.select("id", "n", "prefix", "fp", "odd").join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "id", "left_anti")
+    by_shingle = left.select("id", "n", "prefix").mapInArrow(exploded, "h long, id long, n int").withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("h")))
     shared = cut(by_shingle.filter("texts > 1").drop("texts"))
 
     near = shared
@@ -454,18 +438,35 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         swap = F.col("id") > y["id"]
         part = near.filter(y.isNotNull() & (F.col("id") != y["id"])).select("h", F.least("id", y["id"]).alias("a"), F.greatest("id", y["id"]).alias("b"), F.when(swap, y["n"]).otherwise(F.col("n")).alias("na"), F.when(swap, F.col("n")).otherwise(y["n"]).alias("nb"))
         pairs = part if pairs is None else pairs.union(part)
-    groups = components(verified(cut(possible(pairs.distinct()))).union(equal))
+    # Enough of both prefixes in common, as far as these neighbours show.
+    rest = [F.ceil(min_similarity * F.col(n) - 1e-9) - 1 for n in ("na", "nb")]
+    enough = F.col("n") + F.greatest(*rest) >= (F.col("na") + F.col("nb")) * (min_similarity / (1 + min_similarity)) - 1e-6
+    pairs = pairs.distinct().filter(sizes_fit("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("a", "b").distinct()
+    groups = components(verified(cut(pairs)).union(equal))
+
+    def joined_to(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+        return nodes.join(groups, F.col("id") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+    def with_links(groups: DataFrame, found: DataFrame) -> DataFrame:
+        return components(found.union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    # One document for each fingerprint and component: all its others are connected to it.
+    nodes = joined_to(groups, left.filter("n > 0").select("id", "fp")).groupBy("fp", "comp").agg(F.min("id").alias("id"))
+    groups = with_links(groups, verified(cut(links(cut(nodes), radius).distinct())))
 
-    of = cut(shared.join(groups, F.col("id") == F.col("node"), "left").select("h", "id", "n", F.coalesce("root", "id").alias("comp")))
+    of = cut(joined_to(groups, shared))
     apart = of.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("h")
-    of = cut(of.join(apart, "h", "left_semi"))
-    x, y = (of.select("h", F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("comp").alias(f"c{i}")) for i in "ab")
-    pairs = x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b", "na", "nb")
-    groups = components(verified(cut(possible(pairs))).union(groups.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    of = cut(of.join(apart, "h", "left_semi").join(left.select("id", "odd"), "id").select("h", "id", "n", "comp", *[F.col("odd")[i].alias(f"p{i}") for i in range(PARITY)]))
+    x, y = (of.select("h", *[F.col(c).alias(f"{c}{i}") for c in of.columns if c != "h"]) for i in "ab")
+    differ = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(PARITY)), F.lit(0))
+    most = (F.col("na") + F.col("nb")) * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6  # shingles that one alone may have
+    found = x.join(y, "h").filter((F.col("ida") < F.col("idb")) & (F.col("compa") != F.col("compb")) & sizes_fit("na", "nb") & (differ <= most))
+    groups = with_links(groups, verified(cut(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())))
     return groups.select(F.col("node").alias("id"), "root")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each group the document with the smallest id; rows without an id stay."""
-    gone = near_duplicate_groups(docs, id_col, text_col, words, min_similarity).filter("id <> root").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    name = unused("gone", docs)
+    gone = near_duplicate_groups(docs, id_col, text_col, words, min_similarity).filter("id <> root").select(F.col("id").alias(name))
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
