@@ -6,8 +6,8 @@ dictionary contributes, and goes to the language with the smallest total. A text
 smallest totals differ by less than ``min_margin`` of the smallest is rejected.
 
 The dictionaries are fitted on a bounded sample: at most ``sample_docs`` documents a language, those
-with the smallest hash of id and text among the training rows; each gives up to
-``dict_bytes / sample_docs`` bytes. Every text is encoded whole.
+with the smallest hash of id and text among the training rows, whole texts until ``dict_bytes`` are reached. (Of a text
+of more than ``PIECES * PIECE`` characters, that many pieces evenly spread over the whole of it.) Every text is encoded whole.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and is rejected; so is every
 text if there is no training row; ties go to the language first in code-point order; repeated rows get
@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 
 import pyarrow as pa
 import zstandard
@@ -27,14 +29,20 @@ from pyspark.sql import types as T
 
 from .shared import crc_of_id
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: What ``\w`` matches beside letters, decimal digits and the underscore: number signs such as those for one half.
+_NUMBERS = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
+_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str | None) -> bytes:
-    """Lower-cased letters, runs of anything else as one space."""
+    """Lower-cased letters (Unicode categories L), runs of anything else as one space."""
     return _NOT_LETTERS.sub(" ", text or "").lower().strip().encode("utf-8", "replace")
 
 
+#: Pieces of a very long training text, and their characters.
+PIECES, PIECE = 32, 1024
+
+
 def blocks(data: bytes, size: int) -> list[bytes]:
     """``data`` in blocks of about ``size`` bytes, cut at spaces where there is one."""
     out, at = [], 0
@@ -47,7 +55,7 @@ def blocks(data: bytes, size: int) -> list[bytes]:
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 256, dict_bytes: int = 96_000) -> dict[str, bytes]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 128, dict_bytes: int = 96_000) -> dict[str, bytes]:
     """Dictionaries by language from the rows of ``docs``, which must all be training rows."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col)).alias("h")).filter("lang is not null and text rlike '\\\\p{L}'")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -56,13 +64,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # A hash threshold leaves about 4 x sample_docs rows a language, before the exact number is taken.
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 4 * sample_docs / n)))])
     near = rows.filter(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) < share[F.col("lang")])
-    each = max(64, dict_bytes // sample_docs)
-    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("nth") <= sample_docs).select("lang", "nth", "text")
+    spread = f"array_join(transform(sequence(0, {PIECES - 1}), i -> substr(text, cast(i * ((char_length(text) - {PIECE}) / {PIECES - 1}) as int) + 1, {PIECE})), ' ')"
+    near = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("nth") <= sample_docs)
+    near = near.select("lang", "nth", F.expr(f"if(char_length(text) <= {PIECES * PIECE}, text, {spread})").alias("text"))
     parts: dict[str, list[bytes]] = {k: [] for k in sorted(counts)}
+    size = dict.fromkeys(counts, 0)
     for r in sorted(near.collect(), key=lambda r: (r["lang"], r["nth"])):
         data = letters(r["text"])
-        parts[r["lang"]].append(data[: data.rfind(b" ", 0, each)] if len(data) > each else data)
-    return {k: b" ".join(v)[-dict_bytes:] or b" " * 8 for k, v in parts.items()}
+        if size[r["lang"]] + len(data) <= dict_bytes or not size[r["lang"]]:
+            parts[r["lang"]].append(data)
+            size[r["lang"]] += len(data) + 1
+    return {k: b" ".join(v) or b" " * 8 for k, v in parts.items()}
 
 
 class Encoders:
