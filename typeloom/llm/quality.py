@@ -5,8 +5,9 @@ characters, lengths, repetition) and goes through one hidden layer; gated attent
 softmax of w (tanh(V h) * sigmoid(U h)), weighs the passages; the score is the logistic regression
 of the weighted sum. Only documents have labels; the attention learns which passages tell.
 
-The network is fitted on the driver on a bounded sample: at most ``train_docs`` labelled documents (those with the
-smallest hash of the id), with at most ``train_passages`` passages each, evenly spread. Every text is scored whole.
+The network is fitted on the driver on a bounded sample of labelled documents, in the order of a hash of the id: at most
+``train_docs``, and as many as have ``train_passages`` passages together (60 MB). Each is learned from whole, as every text is
+scored whole.
 
 Defined cases: a null or empty text is one passage without words; labels that are null or neither 0 nor 1 are not
 learned; without labels of both classes every score is the share of label 1 (0.5 without any); repeated rows
@@ -15,12 +16,14 @@ get equal scores; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_of_id
+from .shared import crc_of_id, word_count
 
 WORDS = 64
 PAIRS = 128
@@ -158,31 +161,47 @@ class Network:
         return out
 
 
-def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_docs: int = 6000, train_passages: int = 128) -> Network:
-    """Fit on a sample of the rows of ``labelled``, which must all be training rows."""
-    rows = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
-    rows = rows.orderBy(F.xxhash64("id"), "id", "y", "t").limit(train_docs)
+def within(sizes: list[int], most: int) -> list[bool]:
+    """Which documents are taken, in order, so that their sizes add up to ``most`` at most."""
+    out, left = [], most
+    for n in sizes:
+        out.append(n <= left)
+        left -= n * out[-1]
+    return out
+
+
+def train(rows: DataFrame, chosen: DataFrame, train_passages: int = 100_000) -> Network:
+    """Fit on documents ``rows(doc_id, text)`` with the labels ``chosen(doc_id, quality)``, at most some thousands."""
+    spark = rows.sparkSession
+    sized = rows.join(F.broadcast(chosen), "doc_id").withColumn("words", word_count(F.col("text"))).select("doc_id", "quality", F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), F.greatest(F.lit(1).cast("long"), F.expr(f"(words + {WORDS - 1}) div {WORDS}")).alias("n"))
+    # One row a chosen label and text; rows that repeat both count once.
+    found = sorted(sized.distinct().collect(), key=lambda r: (zlib.crc32(str(r["doc_id"]).encode()), r["doc_id"], r["quality"], r["key"]))
+    kept = [(r["doc_id"], r["quality"], r["key"]) for r, take in zip(found, within([r["n"] or 1 for r in found], train_passages), strict=True) if take]
+    if not kept:
+        return Network().fit([], np.zeros(0))
+    picked = F.broadcast(spark.createDataFrame(kept, "doc_id long, quality int, key string"))
+    texts = rows.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256)).join(picked, ["doc_id", "key"]).select("doc_id", "text", "quality", "key")
 
     def run(batches):
         for b in batches:
-            bags = [encode(t) for t in b.column(1).to_pylist()]
-            bags = [x[np.linspace(0, len(x) - 1, train_passages).astype(int)] if len(x) > train_passages else x for x in bags]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([x.tobytes() for x in bags], pa.binary())], names=["id", "y", "x"])
+            bags = [encode(t).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(bags, pa.binary())], names=["id", "y", "key", "x"])
 
-    found = rows.repartition(8).mapInArrow(run, "id long, y int, x binary").toArrow().sort_by([("id", "ascending"), ("y", "ascending")])
-    bags = [np.frombuffer(x, dtype=np.float32).reshape(-1, FEATURES) for x in found["x"].to_pylist()]
-    return Network().fit(bags, np.asarray(found["y"], dtype=np.float64))
+    by = {(i, k, y): x for i, y, k, x in zip(*(c.to_pylist() for c in texts.mapInArrow(run, "id long, y int, key string, x binary").toArrow().columns), strict=True)}
+    bags = [np.frombuffer(by[k], dtype=np.float32).reshape(-1, FEATURES) for k in sorted(by)]
+    return Network().fit(bags, np.array([y for _, _, y in sorted(by)], dtype=np.float64))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, threshold: float = 0.7, **options) -> DataFrame:
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 4, held: int = 2, threshold: float = 0.7, train_docs: int = 6000, **options
+) -> DataFrame:
     """Train outside the held-out fold and score every row: ``(doc_id, held_out, score, predicted)``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("quality")).filter("quality in (0, 1)")
-    known = known.filter(crc_of_id("__id") % folds != held)
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("quality")).filter("quality in (0, 1)")
+    known = known.filter(crc_of_id("doc_id") % folds != held)
     # The sample is chosen among the labels alone, so that only its texts are joined.
-    chosen = known.distinct().orderBy(F.xxhash64("__id"), "__id", "quality").limit(options.pop("train_docs", 6000))
-    labelled = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).drop("__id")
-    network = train(labelled, "doc_id", "text", "quality", **options)
+    chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(train_docs)
+    network = train(rows, chosen, **options)
     shared = docs.sparkSession.sparkContext.broadcast(vars(network))  # plain arrays: broadcasts are not pickled by value
 
     def run(batches):
