@@ -421,6 +421,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def sizes_fit(a: str, b: str):
         return F.least(a, b) >= F.greatest(a, b) * min_similarity - 1e-6
 
+    def bitmaps_fit(a: str, b: str, words: int):
+        """On the first ``words`` of both parity bitmaps: no more differ than shingles that one text alone may have."""
+        differ = sum((F.bit_count(F.col(f"p{i}{a}").bitwiseXOR(F.col(f"p{i}{b}"))) for i in range(words)), F.lit(0))
+        return differ <= (F.col(f"n{a}") + F.col(f"n{b}")) * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6
+
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """Of ``pairs(a, b)`` those with sizes and bitmaps that a similar pair can have."""
+        for i in "ab":
+            pairs = pairs.join(left.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), *[F.col("odd")[k].alias(f"p{k}{i}") for k in range(PARITY)]), i)
+        return pairs.filter(sizes_fit("na", "nb") & bitmaps_fit("a", "b", PARITY)).select("a", "b")
+
     made = cut(rows.mapInArrow(prefixes, "id long, n int, digest binary, prefix binary, fp long, odd array<long>"))
     first = made.groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     equal = cut(made.select("id", "digest").join(first, "digest").filter("id <> a").select("a", F.col("id").alias("b")))
@@ -442,7 +453,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rest = [F.ceil(min_similarity * F.col(n) - 1e-9) - 1 for n in ("na", "nb")]
     enough = F.col("n") + F.greatest(*rest) >= (F.col("na") + F.col("nb")) * (min_similarity / (1 + min_similarity)) - 1e-6
     pairs = pairs.distinct().filter(sizes_fit("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("a", "b").distinct()
-    groups = components(verified(cut(pairs)).union(equal))
+    groups = components(verified(cut(plausible(pairs))).union(equal))
 
     def joined_to(groups: DataFrame, nodes: DataFrame) -> DataFrame:
         return nodes.join(groups, F.col("id") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("root", "id")).drop("root")
@@ -452,16 +463,16 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     # One document for each fingerprint and component: all its others are connected to it.
     nodes = joined_to(groups, left.filter("n > 0").select("id", "fp")).groupBy("fp", "comp").agg(F.min("id").alias("id"))
-    groups = with_links(groups, verified(cut(links(cut(nodes), radius).distinct())))
+    groups = with_links(groups, verified(cut(plausible(links(cut(nodes), radius).distinct()))))
 
+    # The join sees a part of the bitmaps, and what is left meets all of them.
+    some = PARITY // 2
     of = cut(joined_to(groups, shared))
     apart = of.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("h")
-    of = cut(of.join(apart, "h", "left_semi").join(left.select("id", "odd"), "id").select("h", "id", "n", "comp", *[F.col("odd")[i].alias(f"p{i}") for i in range(PARITY)]))
+    of = of.join(apart, "h", "left_semi").join(left.select("id", *[F.col("odd")[i].alias(f"p{i}") for i in range(some)]), "id")
     x, y = (of.select("h", *[F.col(c).alias(f"{c}{i}") for c in of.columns if c != "h"]) for i in "ab")
-    differ = sum((F.bit_count(F.col(f"p{i}a").bitwiseXOR(F.col(f"p{i}b"))) for i in range(PARITY)), F.lit(0))
-    most = (F.col("na") + F.col("nb")) * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6  # shingles that one alone may have
-    found = x.join(y, "h").filter((F.col("ida") < F.col("idb")) & (F.col("compa") != F.col("compb")) & sizes_fit("na", "nb") & (differ <= most))
-    groups = with_links(groups, verified(cut(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())))
+    found = x.join(y, "h").filter((F.col("ida") < F.col("idb")) & (F.col("compa") != F.col("compb")) & sizes_fit("na", "nb") & bitmaps_fit("a", "b", some))
+    groups = with_links(groups, verified(cut(plausible(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()))))
     return groups.select(F.col("node").alias("id"), "root")
 
 
