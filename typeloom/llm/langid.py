@@ -29,14 +29,17 @@ from pyspark.sql import types as T
 
 from .shared import crc_of_id
 
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: What ``\w`` matches beside letters, decimal digits and the underscore: number signs such as those for one half.
-_NUMBERS = "".join(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
-_NOT_LETTERS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(chr(c) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl"))
 
 
 def letters(text: str | None) -> bytes:
     """Lower-cased letters (Unicode categories L), runs of anything else as one space."""
-    return _NOT_LETTERS.sub(" ", text or "").lower().strip().encode("utf-8", "replace")
+    text = text or ""
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = "".join(" " if c in _NUMBERS else c for c in text)
+    return _NOT_LETTERS.sub(" ", text).lower().strip().encode("utf-8", "replace")
 
 
 #: Pieces of a very long training text, and their characters.
