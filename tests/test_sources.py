@@ -39,7 +39,7 @@ def test_conversions():
 def test_comments():
     body, attributes = parse_comment("/** Creates '''one''' `x`.\n *\n * {{{\n * code\n * }}}\n * @param a the first\n * @param b\n * @return [[http://x.y it]]\n * @unknown z\n */")
     assert body == "<p>Creates <strong>one</strong> <code>x</code>.</p><pre><code>code</code></pre>"
-    assert [k for k, _ in attributes] == ["param", "return"]
+    assert [k for k, _ in attributes] == ["params", "returns"]
     assert "<dt>a</dt><dd><p>the first</p></dd>" in attributes[0][1] and '<a href="http://x.y">it</a>' in attributes[1][1]
 
 

@@ -7,6 +7,7 @@ never meets half an index, and searches go on while an index is built again.
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,14 @@ DRIVER_VIEWS = 100_000
 DEFAULT_MODULES = ("scala-library", "scalaz")
 
 
+BASE = ("values", "type_defs", "views", "modules", "errors")
+
+
+def only(rows: DataFrame, column: str, gone: str) -> DataFrame:
+    """Rows but those with the value ``gone``; all of a table without the column."""
+    return rows.filter(~F.col(column).eqNullSafe(gone)) if column in rows.columns else rows
+
+
 def _type(nodes) -> Type:
     return Type.decode(nodes)
 
@@ -47,31 +56,61 @@ class Engine:
         """Add a batch of definitions to the index that is being built under ``name``."""
         self.folder.write_json(f"{name}.state", {"state": BUSY})
         for kind, rows in ix.split_kinds(definitions).items():
-            self.folder.write(f"{name}/building/{kind}", rows.withColumn("batch", F.lit(time.time())), "append")
+            self.folder.write(f"{self._building(name)}/{kind}", rows.withColumn("batch", F.lit(time.time())), "append")
+
+    def _building(self, name: str) -> str:
+        """The folder of all batches of an index."""
+        return self.folder.read_json(f"{name}.building", {"at": f"{name}/building"})["at"]
 
     def finalize(self, name: str) -> int:
         """Derive the tables of a new version from all batches, and make it the one that is searched."""
-        if not self.folder.has(f"{name}/building/values"):
+        where = self._building(name)
+        if not self.folder.has(f"{where}/values"):
             raise ValueError(f"nothing was indexed under {name!r}")
-        old = self.folder.read_json(f"{name}.version", {"version": 0})["version"]
-        at, built = f"{name}/v{old + 1:06d}", {k: self.folder.table(f"{name}/building/{k}") for k in ("values", "type_defs", "views", "modules", "errors")}
-        self._derive(at, built)
-        self.folder.write_json(f"{name}.version", {"version": old + 1, "settings": self.index_settings.fingerprint()})
+        built = {k: self.folder.table(f"{where}/{k}") for k in BASE}
+        self._publish(name, built)
         self.folder.write_json("active", {"index": name})
         errors = built["errors"].count()
         self.folder.write_json(f"{name}.state", {"state": READY, "errors": errors})
-        if old:
-            self.folder.delete(f"{name}/v{old:06d}")
-        self._cache.clear()
         return errors
 
+    def rebuild(self, name: str, others: list[str] | tuple[str, ...] = ()) -> bool:
+        """Derive an index again if it was built with other settings, with the definitions of ``others`` added; whether it was."""
+        if not others and not self.needs_rebuild(name):
+            return False
+        built = {k: self.folder.table(f"{self._building(name)}/{k}") for k in BASE}
+        for other in others:
+            where = self._building(other)
+            built = {k: rows.unionByName(self.folder.table(f"{where}/{k}"), allowMissingColumns=True) for k, rows in built.items()}
+        self._replace_base(name, built)
+        self._publish(name, {k: self.folder.table(f"{self._building(name)}/{k}") for k in BASE})
+        return True
+
+    def _publish(self, name: str, built: dict[str, DataFrame]) -> None:
+        """A new version; the one before stays for searches that were planned on it, older ones go."""
+        old = self.folder.read_json(f"{name}.version", {"version": 0})["version"]
+        at = f"{name}/v{old + 1:06d}"
+        self._derive(at, built)
+        self.folder.write_json(f"{name}.version", {"version": old + 1, "settings": self.index_settings.fingerprint(), "values": self.folder.table(f"{at}/values").count()})
+        if old > 1:
+            self.folder.delete(f"{name}/v{old - 1:06d}")
+        self._cache.clear()
+
+    def _replace_base(self, name: str, tables: dict[str, DataFrame]) -> None:
+        """Write all batches anew beside the old ones, then switch to them."""
+        old, new = self._building(name), f"{name}/building-{uuid.uuid4().hex}"
+        for kind, rows in tables.items():
+            self.folder.write(f"{new}/{kind}", rows)
+        self.folder.write_json(f"{name}.building", {"at": new})
+        self.folder.delete(old)
+
     def _derive(self, at: str, tables: dict[str, DataFrame]) -> None:
         put, get = self.folder.write, self.folder.table
         s = self.index_settings
         values = tables["values"].drop("batch", "value_id", "terms", "signature", "group_key").dropDuplicates()
         # Ids follow the content, so that ties in scores come out the same in every build.
         values = values.withColumn("value_id", F.xxhash64(F.to_json(F.struct(*sorted(values.columns)))))
-        put(f"{at}/values", ix.with_fingerprints(values.repartition("module_id"), s.polarized), by=None)
+        put(f"{at}/values", ix.with_fingerprints(values, s.polarized), by=None)
         values = get(f"{at}/values")
         put(f"{at}/postings", ix.postings(values).repartitionByRange("term").sortWithinPartitions("term"))
         documents = text.document(F.col("name"), text.indexable(F.col("comment"), F.coalesce("attributes", F.expr("cast(array() as array<struct<key:string,value:string>>)"))))
@@ -131,32 +170,21 @@ class Engine:
         self._cache.clear()
 
     def delete_module(self, module: str, name: str | None = None) -> None:
-        self._rewrite(name, lambda rows: rows.filter(F.col("module_id") != module) if "module_id" in rows.columns else rows)
+        self._rewrite(name, lambda kind, rows: only(rows, "module_id", module))
 
     def delete_artifact(self, path: str, name: str | None = None) -> None:
         """Delete the values of a source file."""
-        self._rewrite(name, lambda rows: rows.filter(~F.col("artifact").eqNullSafe(path)) if "artifact" in rows.columns else rows)
+        self._rewrite(name, lambda kind, rows: only(rows, "artifact", path))
 
     def add(self, kind: str, rows: DataFrame, keys: list[str], name: str | None = None) -> None:
         """Replace or add rows of one base table."""
-        self._rewrite(name, lambda old: upsert(old, rows, keys) if kind == self._rewriting else old)
+        self._rewrite(name, lambda k, old: upsert(old, rows.withColumn("batch", F.lit(time.time())), keys) if k == kind else old)
 
     def _rewrite(self, name: str | None, change) -> None:
-        """A new version from the current one's base tables, each changed."""
+        """A new version from the batches so far, each table changed."""
         name = name or self.active()
-        tables = {}
-        for kind in ("values", "type_defs", "views", "modules", "errors"):
-            self._rewriting = kind
-            tables[kind] = change(self.table(kind, name).drop("from_key")).withColumn("batch", F.lit(0.0))
-        old = self.folder.read_json(f"{name}.version")["version"]
-        self._derive(f"{name}/v{old + 1:06d}", tables)
-        self.folder.write_json(f"{name}.version", {"version": old + 1, "settings": self.index_settings.fingerprint()})
-        self.folder.delete(f"{name}/v{old:06d}")
-        for kind, rows in tables.items():  # later batches go on from here
-            self.folder.delete(f"{name}/building/{kind}")
-            base = self.table(kind, name).drop("from_key", "value_id", "terms", "signature", "group_key", "f_co", "f_contra", "f_inv")
-            self.folder.write(f"{name}/building/{kind}", base.withColumn("batch", F.lit(0.0)) if "batch" not in base.columns else base)
-        self._cache.clear()
+        self._replace_base(name, {k: change(k, self.folder.table(f"{self._building(name)}/{k}")) for k in BASE})
+        self._publish(name, {k: self.folder.table(f"{self._building(name)}/{k}") for k in BASE})
 
     # --- planning ------------------------------------------------------------------------
 
@@ -173,6 +201,10 @@ class Engine:
                 found[r["suffix"]].append(TypeName(r["name"], tuple(params_of(r["params"]))))
         return found
 
+    def type_named(self, name: str, modules: list[str] | None = None) -> DataFrame:
+        """The type definition of exactly that name, at most one."""
+        return only_modules(self.table("type_defs"), modules).filter(F.col("name") == name).orderBy("module_id").limit(1)
+
     def _alternatives(self, t: Type, modules) -> expansion.Alternatives:
         """Views that the expansion of ``t`` can meet: all if they are few, else by keys, a job a round."""
         if not self.query_settings.views:
@@ -248,7 +280,7 @@ class Engine:
             if not words and tree is None:
                 raise TooUnspecific(keywords)
             counts = self.table("doc_terms")
-            hits = text.keyword_scores(counts, words, values.count())
+            hits = text.keyword_scores(counts, words, self.folder.read_json(f"{self.active()}.version")["values"])
         return ranked(values, self.table("postings"), tree, hits, modules, self.query_settings, n, offset)
 
     def search_grouped(self, query: str, modules: list[str] | None = None, n: int = 100) -> DataFrame:

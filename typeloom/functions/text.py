@@ -56,12 +56,16 @@ def document(name: Column, content: Column) -> Column:
 
 
 def stem(token: Column) -> Column:
-    """Plurals only: -ies to -y, -sses to -ss, -s off. The published stemmer it stands for knows more endings."""
-    return (
-        F.when(token.rlike("^.{2,}[^aeiou]ies$"), F.regexp_replace(token, "ies$", "y"))
-        .when(token.rlike("(ss|us|is)$") | (F.length(token) < 4), token)
-        .otherwise(F.regexp_replace(token, "s$", ""))
-    )
+    """Inflected forms of a word as one: plurals, -ed and -ing, without the e that these drop.
+
+    ``creates``, ``created``, ``creating`` and ``create`` are one word, and so are ``mapped`` and ``map``. The published stemmer it stands for looks words up;
+    this one goes by their endings alone.
+    """
+    s = F.when(token.rlike("^.{2,}[^aeiou]ies$"), F.regexp_replace(token, "ies$", "y")).when(token.rlike("(ss|us|is)$") | (F.length(token) < 4), token).otherwise(F.regexp_replace(token, "s$", ""))
+    cut = F.regexp_replace(s, "^(.*[aeiouy].*[^aeiou]|.*[aeiouy][^aeiou])(?:ed|ing)$", "$1")
+    single = F.regexp_replace(cut, "([bdgmnprt])\\1$", "$1")
+    base = F.when(cut != s, single).otherwise(s)
+    return F.when(F.length(base) > 3, F.regexp_replace(base, "e$", "")).otherwise(base)
 
 
 def tokens(text: Column, stemmed: bool = False) -> Column:
@@ -84,6 +88,14 @@ def term_counts(docs: DataFrame, id_col: str, text: Column, stemmed: bool = Fals
     return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
 
 
+def keyword_counts(docs: DataFrame, id_col: str, text: Column, keywords: list[str], stemmed: bool = False) -> DataFrame:
+    """``(id, token, tf, length)`` of ``keywords`` alone: each document counts its own, and nothing is shuffled."""
+    held = docs.select(F.col(id_col).alias("id"), tokens(text, stemmed).alias("all"))
+    own = F.transform(F.lit(sorted(set(keywords))), lambda k: F.struct(k.alias("token"), F.size(F.filter("all", lambda t: t == k)).cast("long").alias("tf")))
+    each = held.select("id", F.size("all").cast("long").alias("length"), F.explode(F.filter(own, lambda x: x["tf"] > 0)).alias("x"))
+    return each.select("id", "x.token", "x.tf", "length")
+
+
 def tfidf(tf: Column, df: Column, n: Column, length: Column) -> Column:
     """A token's share of a keyword score."""
     idf = 1 + F.log(n / (df + 1))

@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..functions.types import Type, View, fingerprint, normalize, structure
@@ -35,28 +37,35 @@ def split_kinds(definitions: DataFrame) -> dict[str, DataFrame]:
 
 
 def with_fingerprints(values: DataFrame, polarized: bool = True) -> DataFrame:
-    """Values with the terms of their types, their signature, and the key that results are grouped by."""
-    schema = f"value_id long, terms {TERMS}, signature string, shape string"
+    """Values with the terms of their types, their signature, and the key that results are grouped by.
 
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for vid, name, tpe, params in zip(frame["value_id"], frame["name"], frame["tpe"], frame["params"], strict=True):
-                t, ps = Type.decode(tpe), params_of(params)
-                terms = [{"term": a, "optional": b} for a, b in fingerprint(t, ps, polarized)]
+    All columns go through Arrow once, those that are not needed as they are; nothing is joined back.
+    """
+    at = {c: values.columns.index(c) for c in ("name", "tpe", "params")}
+    kinds = pa.list_(pa.struct([("term", pa.string()), ("optional", pa.bool_())]))
+
+    def run(batches):
+        for b in batches:
+            names, types, params = (b.column(at[c]).to_pylist() for c in ("name", "tpe", "params"))
+            terms, signatures, groups = [], [], []
+            for name, tpe, rows in zip(names, types, params, strict=True):
+                t, ps = Type.decode(tpe), params_of(rows)
+                terms.append([{"term": a, "optional": o} for a, o in fingerprint(t, ps, polarized)])
                 shown = f"[{', '.join(p.variance + p.name for p in ps)}]" if ps else ""
-                rows.append((vid, terms, f"{name}{shown}: {t.signature()}", str(structure(t))))
-            yield pd.DataFrame(rows, columns=["value_id", "terms", "signature", "shape"])
+                signatures.append(f"{name}{shown}: {t.signature()}")
+                groups.append(str(structure(t)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(terms, kinds), pa.array(signatures, pa.string()), pa.array(groups, pa.string())], names=[*b.schema.names, "terms", "signature", "shape"])
 
-    made = values.select("value_id", "name", "tpe", "params").mapInPandas(run, schema)
-    return values.join(made, "value_id").withColumn("group_key", F.concat_ws(" ", text.short_name(F.col("name")), F.col("shape"))).drop("shape")
+    more = T.StructType([*values.schema.fields, *T.StructType.fromDDL(f"terms {TERMS}, signature string, shape string").fields])
+    made = values.mapInArrow(run, more)
+    return made.withColumn("group_key", F.concat_ws(" ", text.short_name(F.col("name")), F.col("shape"))).drop("shape")
 
 
 def postings(values: DataFrame) -> DataFrame:
-    """``(term, value_id, module_id, optional, occurrence)``, sorted by term in each file so that scans can skip."""
-    each = values.select("value_id", "module_id", F.posexplode("terms").alias("pos", "t")).select("value_id", "module_id", "pos", "t.*")
-    nth = F.row_number().over(Window.partitionBy("value_id", "term").orderBy("pos"))
-    return each.select("term", "value_id", "module_id", "optional", nth.alias("occurrence"))
+    """``(term, value_id, module_id, optional, occurrence)``; a value's terms are in order, so occurrences are counted inside its array."""
+    numbered = F.expr("transform(terms, (t, i) -> named_struct('term', t.term, 'optional', t.optional, 'occurrence', cast(i + 2 - array_position(transform(terms, x -> x.term), t.term) as int)))")
+    each = values.select("value_id", "module_id", F.explode(numbered).alias("t"))
+    return each.select("t.term", "value_id", "module_id", "t.optional", "t.occurrence")
 
 
 def name_suffixes(type_defs: DataFrame) -> DataFrame:

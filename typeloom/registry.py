@@ -90,12 +90,6 @@ def postings_build(spark, d):
     return ix.postings(corpus_values(spark, d))
 
 
-@query(f"WITH {_POSTINGS} SELECT value_id, string_agg(CASE WHEN optional THEN '?' ELSE '!' END || term, ' ' ORDER BY term, optional) AS fingerprint FROM postings GROUP BY value_id")
-def fingerprint_array(spark, d):
-    shown = F.array_join(F.transform("terms", lambda t: F.concat(F.when(t["optional"], "?").otherwise("!"), t["term"])), " ")
-    return corpus_values(spark, d).select("value_id", shown.alias("fingerprint"))
-
-
 @query(f"WITH {_POSTINGS} SELECT DISTINCT value_id FROM postings WHERE term IN ('+Brand#11', '-Brand#22') AND module_id = '1-URGENT'")
 def candidate_semi_join(spark, d):
     from .operators.search import candidates
@@ -187,8 +181,7 @@ _FREQ = f"""{_POSTINGS}, seen AS (
 _FREQ_OUT = "SELECT v AS variance, name, count(*) AS n, round(count(*) / (SELECT count(DISTINCT value_id) FROM postings)::DOUBLE, 9) AS frequency FROM seen GROUP BY v, name"
 
 
-@query(f"WITH {_FREQ} {_FREQ_OUT}")
-def type_frequency(spark, d):
+def _frequencies(spark, d) -> DataFrame:
     """Terms and invariant copies, once a value; the count of values is exact and joined as one row."""
     terms = corpus_terms(spark, d).select("value_id", F.left("term", F.lit(1)).alias("v"), F.substring("term", 2, 100).alias("name")).distinct()
     both = terms.select("value_id", F.explode(F.array_distinct(F.array("v", F.lit("/")))).alias("variance"), "name").distinct()
@@ -203,23 +196,10 @@ def type_frequency(spark, d):
 )
 def type_frequency_pivot(spark, d):
     names = table(spark, d, "part").select(F.col("p_brand").alias("name")).union(spark.sql("SELECT 'unused'")).distinct()
-    frequencies = type_frequency(spark, d).withColumn("variance", F.translate("variance", "/", ""))
+    frequencies = _frequencies(spark, d).withColumn("variance", F.translate("variance", "/", ""))
     return ix.pivoted(names, frequencies)
 
 
-@query(
-    f"WITH {_EDGES}, docs AS (SELECT DISTINCT s_name AS key, l_orderkey AS doc FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), "
-    "counts AS (SELECT key, count(*) AS n FROM docs GROUP BY key), tf AS (SELECT target AS term, sum(n)::BIGINT AS tf FROM edges JOIN counts ON key = source GROUP BY target) "
-    "SELECT term, tf, round(tf / max(tf) OVER ()::DOUBLE, 9) AS frequency FROM tf"
-)
-def neutral_frequency(spark, d):
-    s, items = table(spark, d, "supplier").select("s_suppkey", "s_name"), table(spark, d, "lineitem").select("l_suppkey", "l_orderkey")
-    counts = items.distinct().join(s, F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", "l_orderkey").distinct().groupBy(F.col("s_name").alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    tf = view_edges(spark, d).join(counts, F.col("source") == F.col("key")).groupBy(F.col("target").alias("term")).agg(F.sum("n").alias("tf"))
-    most = F.broadcast(tf.agg(F.max("tf").alias("most")))
-    return tf.crossJoin(most).select("term", "tf", F.round(F.col("tf") / F.col("most"), 9).alias("frequency"))
-
-
 @query(
     f"WITH {_FREQ}, f AS ({_FREQ_OUT}) SELECT variance, name, round(greatest(ln(2.7 / (frequency * 2.7 + (1 - frequency))) / ln(2.7), 0.001), 6) AS itf, "
     "round(ln(2.0 / (frequency * 2.0 + 1.1 * (1 - frequency))) / ln(2.0), 6) AS neutral_itf, round(0.5 * (1 - 0.2 * 1) * greatest(ln(2.7 / (frequency * 2.7 + (1 - frequency))) / ln(2.7), 0.001), 6) AS boost, "
@@ -227,7 +207,7 @@ def neutral_frequency(spark, d):
 )
 def itf_boost(spark, d):
     f, half, one = F.col("frequency"), F.lit(0.5), F.lit(1)
-    return type_frequency(spark, d).select("variance", "name", F.round(measures.itf(f), 6).alias("itf"), F.round(measures.neutral_itf(f), 6).alias("neutral_itf"), F.round(measures.boost(half, one, f), 6).alias("boost"), F.round(measures.neutral_boost(half, one, f), 6).alias("neutral_boost"))
+    return _frequencies(spark, d).select("variance", "name", F.round(measures.itf(f), 6).alias("itf"), F.round(measures.neutral_itf(f), 6).alias("neutral_itf"), F.round(measures.boost(half, one, f), 6).alias("boost"), F.round(measures.neutral_boost(half, one, f), 6).alias("neutral_boost"))
 
 
 @query(
@@ -237,7 +217,7 @@ def itf_boost(spark, d):
     "SELECT query_id, string_agg(term, ' ' ORDER BY term) AS terms FROM walk WHERE kept GROUP BY query_id"
 )
 def cutoff_terms(spark, d):
-    leaves = type_frequency(spark, d).select(F.col("variance").alias("query_id"), F.concat("variance", "name").alias("term"), (F.col("n") % 97).cast("double").alias("boost"), "frequency")
+    leaves = _frequencies(spark, d).select(F.col("variance").alias("query_id"), F.concat("variance", "name").alias("term"), (F.col("n") % 97).cast("double").alias("boost"), "frequency")
     return measures.below_cutoff(leaves, 0.8).select("query_id", F.array_join(F.sort_array("terms"), " ").alias("terms"))
 
 
@@ -392,49 +372,14 @@ def delete_module(spark, d):
     return sets.delete_matching(docs, docs.filter("doc_id < 3"), ["source"])
 
 
-@query("SELECT page_id FROM pages WHERE NOT (url LIKE '%/en/%')")
-def delete_artifact(spark, d):
-    return table(spark, d, "pages").filter(~F.col("url").contains("/en/")).select("page_id")
-
-
-@query("SELECT n_name AS name, coalesce(c, 0) AS customers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY 1) x ON c_nationkey = n_nationkey")
-def replace_stats(spark, d):
-    counts = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
-    n = table(spark, d, "nation")
-    return n.join(counts, n.n_nationkey == counts.c_nationkey, "left").select(F.col("n_name").alias("name"), F.coalesce("customers", F.lit(0).cast("long")).alias("customers"))
-
-
-@query("SELECT DISTINCT source AS module_id, lang AS revision, (source || ':' || lang) AS full_id FROM documents ORDER BY 1, 2")
-def module_catalog(spark, d):
-    return table(spark, d, "documents").select(F.col("source").alias("module_id"), F.col("lang").alias("revision"), F.concat_ws(":", "source", "lang").alias("full_id")).distinct().orderBy("module_id", "revision")
-
-
-@query("SELECT DISTINCT o_orderpriority AS wanted, o_orderstatus AS status FROM orders WHERE o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE o_orderkey < 100)")
-def wanted_jobs(spark, d):
-    orders = table(spark, d, "orders").select(F.col("o_orderpriority").alias("wanted"), F.col("o_orderstatus").alias("status"), "o_orderkey")
-    return orders.join(orders.filter("o_orderkey < 100").select("wanted").distinct(), "wanted", "left_semi").select("wanted", "status").distinct()
-
-
-@query("SELECT l_returnflag, l_linestatus FROM lineitem WHERE l_orderkey < 500 EXCEPT ALL SELECT l_returnflag, l_linestatus FROM lineitem WHERE l_orderkey < 200")
-def bag_difference(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
-    return sets.bag_difference(rows.filter("l_orderkey < 500").drop("l_orderkey"), rows.filter("l_orderkey < 200").drop("l_orderkey"))
-
-
-@query("SELECT s_name AS name FROM supplier UNION SELECT c_name FROM customer WHERE c_custkey < 50 UNION SELECT s_name FROM supplier")
-def union_distinct(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_name").alias("name"))
-    return ev.merge(s, table(spark, d, "customer").filter("c_custkey < 50").select(F.col("c_name").alias("name")), s).distinct()
-
-
 @query("SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem EXCEPT ALL SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag = 'R'")
-def bag_difference_whole(spark, d):
+def bag_difference(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus")
     return sets.bag_difference(rows, rows.filter("l_returnflag = 'R'"))
 
 
 @query("SELECT s_name AS name FROM supplier UNION SELECT c_name FROM customer UNION SELECT s_name FROM supplier")
-def union_distinct_whole(spark, d):
+def union_distinct(spark, d):
     s = table(spark, d, "supplier").select(F.col("s_name").alias("name"))
     return ev.merge(s, table(spark, d, "customer").select(F.col("c_name").alias("name")), s).distinct()
 
@@ -489,11 +434,6 @@ def skip_first(spark, d):
     return ev.skip_first(_events(spark, d), ["user_id"], "ts", 1, ["event_id"]).select("event_id", "user_id")
 
 
-@query("SELECT event_type AS outcome, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
-def interaction_report(spark, d):
-    return _events(spark, d).groupBy(F.col("event_type").alias("outcome")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.avg("value"), 6).alias("mean"))
-
-
 @query("SELECT doc_id, '/search?q=' || replace(url_encode(lang || ' => ' || source), '%20', '+') || '&m=' || url_encode(source) AS link FROM documents")
 def search_links(spark, d):
     q = F.concat("lang", F.lit(" => "), "source")
@@ -503,20 +443,6 @@ def search_links(spark, d):
 # --- scalar functions and predicates ----------------------------------------------------
 
 
-@query(
-    f"WITH {_POSTINGS} SELECT value_id FROM postings WHERE term IN ('+Brand#11', '-Brand#2') GROUP BY value_id HAVING count(DISTINCT term) = 2"
-)
-def documents_with_all_keys(spark, d):
-    """Documents that hold every key."""
-    keys = ["+Brand#11", "-Brand#2"]
-    return corpus_terms(spark, d).filter(F.col("term").isin(keys)).groupBy("value_id").agg(F.countDistinct("term").alias("n")).filter(F.col("n") == len(keys)).select("value_id")
-
-
-@query(f"WITH {_POSTINGS} SELECT term, count(DISTINCT value_id) AS documents FROM postings GROUP BY term")
-def documents_by_key(spark, d):
-    return corpus_terms(spark, d).select("term", "value_id").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-
-
 @query(
     "SELECT p_partkey, p_type || '[' || p_brand || '_, ' || p_brand || '_]' AS from_key, CASE WHEN p_size % 3 = 0 THEN 0.6667 ELSE 1.0 END::DOUBLE AS kept, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS distance FROM part"
 )
@@ -538,52 +464,6 @@ def view_keys(spark, d):
     return keyed.select("p_partkey", "from_key", kept.alias("kept"), F.when(same, 0).otherwise(1).alias("distance"))
 
 
-@query("SELECT doc_id, regexp_matches(w, '^[\\p{L}_]$') AS type_param FROM (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents)")
-def wildcard_names(spark, d):
-    """Single letters stand for any type."""
-    name = F.split("text", " ")[0]
-    return table(spark, d, "documents").select("doc_id", name.rlike(r"^[\p{L}_]$").alias("type_param"))
-
-
-@query("SELECT DISTINCT source AS module_id FROM documents WHERE contains(source, 'src1') OR contains(source, 'src7')")
-def default_modules(spark, d):
-    wanted = F.col("source").contains("src1") | F.col("source").contains("src7")
-    return table(spark, d, "documents").filter(wanted).select(F.col("source").alias("module_id")).distinct()
-
-
-@query("SELECT p_partkey, p_name AS name FROM part WHERE NOT (p_brand LIKE '%3' OR p_size < 10) AND p_type IS NOT NULL")
-def public_definitions(spark, d):
-    """Definitions of interest: visible and named, the brand's last digit standing for privacy, the size for anonymity."""
-    hidden = F.col("p_brand").endswith("3") | (F.col("p_size") < 10)
-    return table(spark, d, "part").filter(~hidden & F.col("p_type").isNotNull()).select("p_partkey", F.col("p_name").alias("name"))
-
-
-@query("SELECT o_orderkey, list_aggregate(list_transform(list_zip([o_orderpriority, o_orderstatus], ['A', 'B']), lambda x: x[2] || '=' || x[1]), 'string_agg', ', ') AS bindings FROM orders")
-def positional_bindings(spark, d):
-    """Arguments go to parameters by their place."""
-    pairs = F.zip_with(F.array(F.lit("A"), F.lit("B")), F.array("o_orderpriority", "o_orderstatus"), lambda p, a: F.concat(p, F.lit("="), a))
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(pairs, ", ").alias("bindings"))
-
-
-@query("SELECT page_id, 'api/#' || replace(regexp_extract(url, '//([^/]*)', 1), '.', '/') || '@' || page_id AS doc_link FROM pages")
-def doc_links(spark, d):
-    host = F.regexp_extract("url", "//([^/]*)", 1)
-    return table(spark, d, "pages").select("page_id", F.concat(F.lit("api/#"), F.replace(host, F.lit("."), F.lit("/")), F.lit("@"), F.col("page_id").cast("string")).alias("doc_link"))
-
-
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
-def json_round_trip(spark, d):
-    """Entities as JSON and back."""
-    n = table(spark, d, "nation")
-    return n.select(F.from_json(F.to_json(F.struct(*n.columns)), n.schema).alias("e")).select("e.*")
-
-
-@query("SELECT 'not found' AS outcome, count(*) FILTER (o_orderpriority = '5-LOW') AS n FROM orders UNION ALL SELECT 'ambiguous', count(*) FILTER (o_orderpriority = '1-URGENT') FROM orders")
-def error_report(spark, d):
-    kind = F.when(F.col("o_orderpriority") == "5-LOW", "not found").when(F.col("o_orderpriority") == "1-URGENT", "ambiguous")
-    return table(spark, d, "orders").withColumn("outcome", kind).filter("outcome is not null").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
-
-
 # --- flagship ---------------------------------------------------------------------------
 
 
@@ -594,7 +474,7 @@ def search_ranked(spark, d):
     from .plans.expansion import weigh
     from .settings import QuerySettings
 
-    frequency = {r["variance"] + r["name"]: r["frequency"] for r in type_frequency(spark, d).collect()}
+    frequency = {r["variance"] + r["name"]: r["frequency"] for r in _frequencies(spark, d).collect()}
     tree = Sum((Max((Leaf("+Brand#11", 0.5), Leaf("+Brand#12", 0.25, 1))), Max((Leaf("-Brand#22", 0.5), Leaf("-Brand#23", 0.25, 1)))))
     tree = weigh(tree, lambda t: frequency.get(t, 0.0))
     found = ranked(corpus_values(spark, d), corpus_terms(spark, d), tree, None, None, QuerySettings(), 100)

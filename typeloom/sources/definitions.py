@@ -163,20 +163,26 @@ def read_lines(lines: DataFrame, column: str = "value", module: str | None = Non
 
 def read_archives(spark: SparkSession, path: str, suffix: str = ".scala") -> DataFrame:
     """``(artifact, inner_path, text)`` of the entries of jar or zip files, decoded as UTF-8; broken files give a row with an error."""
+    return archive_entries(spark.read.format("binaryFile").load(path).select("path", "content"), suffix)
+
+
+def archive_entries(files: DataFrame, suffix: str = ".scala") -> DataFrame:
+    """The same of a table ``files(path, content)``; entries leave one after the other, so that an archive's texts are not held together."""
     import pandas as pd
 
+    columns = ["artifact", "inner_path", "text", "error"]
+
     def run(frames):
         for frame in frames:
-            rows = []
             for where, content in zip(frame["path"], frame["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(where, n, z.read(n).decode("utf-8", "replace"), None) for n in z.namelist() if n.endswith(suffix)]
+                        for n in z.namelist():
+                            if n.endswith(suffix):
+                                yield pd.DataFrame([(where, n, z.read(n).decode("utf-8", "replace"), None)], columns=columns)
                 except zipfile.BadZipFile as problem:
-                    rows.append((where, None, None, str(problem)))
-            yield pd.DataFrame(rows, columns=["artifact", "inner_path", "text", "error"])
+                    yield pd.DataFrame([(where, None, None, str(problem))], columns=columns)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "artifact string, inner_path string, text string, error string")
 
 
@@ -188,8 +194,8 @@ def without_errors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- documentation ----------------------------------------------------------------------
 
 _TAG = re.compile(r"^@(\w+)\s*(.*)$", re.S)
-#: Attributes that are kept (fixed values).
-TAGS = ("param", "tparam", "return", "throws", "see", "note", "example", "version", "since")
+#: Attributes that are kept, by tag (fixed values).
+TAGS = {"tparam": "typeParams", "param": "params", "return": "returns", "throws": "throws", "note": "note", "see": "see", "example": "example", "author": "authors", "todo": "todo"}
 _INLINE = (
     (re.compile(r"'''(.+?)'''", re.S), r"<strong>\1</strong>"),
     (re.compile(r"''(.+?)''", re.S), r"<em>\1</em>"),
@@ -233,7 +239,7 @@ def _html(text: str) -> str:
 
 
 def parse_comment(text: str) -> tuple[str, list[tuple[str, str]]]:
-    """A documentation comment as HTML: body, and attributes in order; several of a name with names of their own make one list."""
+    """A documentation comment as HTML: body, and attributes in the order of :data:`TAGS`; several of a name make one list."""
     text = re.sub(r"^\s*/\*\*|\*/\s*$", "", text)
     text = "\n".join(re.sub(r"^\s*\* ?", "", line) for line in text.splitlines())
     body, *tags = re.split(r"^\s*(?=@\w)", text, flags=re.M)
@@ -241,12 +247,24 @@ def parse_comment(text: str) -> tuple[str, list[tuple[str, str]]]:
     for tag in tags:
         m = _TAG.match(tag.strip())
         if m and m[1] in TAGS:
-            if m[1] in ("param", "tparam", "throws"):
-                key, _, rest = m[2].strip().partition(" ")
-                named.setdefault(m[1], []).append(f"<dt>{key}</dt><dd>{_html(rest)}</dd>")
-            else:
-                named.setdefault(m[1], []).append(_html(m[2]))
-    return _html(body), [(k, f"<dl>{''.join(v)}</dl>" if k in ("param", "tparam", "throws") else "".join(v)) for k, v in named.items()]
+            key, _, rest = m[2].strip().partition(" ")
+            named.setdefault(m[1], []).append(f"<dt>{key}</dt><dd>{_html(rest)}</dd>" if m[1] in ("param", "tparam", "throws") else _html(m[2]))
+    return _html(body), [(TAGS[k], _listed(k, named[k])) for k in TAGS if k in named]
+
+
+def _listed(tag: str, found: list[str]) -> str:
+    if tag in ("param", "tparam", "throws"):
+        return f"<dl>{''.join(found)}</dl>"
+    return found[0] if len(found) == 1 else f"<ul>{''.join(f'<li>{x}</li>' for x in found)}</ul>"
+
+
+def to_json_lines(rows: DataFrame) -> DataFrame:
+    """Entities of any table as one JSON text a row (``value``), nulls left out: what is sent or appended elsewhere."""
+    return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
+
+
+def from_json_lines(lines: DataFrame, schema: T.StructType = DEFINITION) -> DataFrame:
+    return lines.select(F.from_json("value", schema).alias("e")).select("e.*")
 
 
 # --- settings ---------------------------------------------------------------------------

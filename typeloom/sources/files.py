@@ -3,11 +3,24 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def working_folder(spark: SparkSession) -> str:
+    """A new folder under the one that all executors share; only where all run in this process, under a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        shared = "file://" + os.path.join(tempfile.gettempdir(), "typeloom-work")
+    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 class Folder:
     """A folder on a Hadoop file system."""
 
