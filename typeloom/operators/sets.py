@@ -38,23 +38,41 @@ def top_k(rows: DataFrame, k: int, *order, offset: int = 0) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(k) if offset else rows.orderBy(*order).limit(k)
 
 
+def shuffled_key(key: list[str], seed: int) -> Column:
+    """What a repeatable shuffle is ordered by: a digest of the seed and the key, the same in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
+
+
 def sample_exactly(rows: DataFrame, n: int, key: list[str], seed: int = 42) -> DataFrame:
     """``n`` rows (all if there are fewer) with equal chances, repeatable for the same seed and key."""
-    return rows.withColumn("__h", F.xxhash64(F.lit(seed), *key)).orderBy("__h", *key).limit(n).drop("__h")
+    return rows.withColumn("__h", shuffled_key(key, seed)).orderBy("__h", *key).limit(n).drop("__h")
 
 
 def split_half(rows: DataFrame, key: list[str], seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """A repeatable random split in two halves of sizes that differ by at most one."""
-    both = rows.withColumn("__r", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), *key), *key)))
-    return both.filter("__r % 2 = 1").drop("__r"), both.filter("__r % 2 = 0").drop("__r")
+    """A repeatable random split in two halves of sizes that differ by at most one, without sorting in one task.
+
+    Rows are numbered in the order of their digests: first its leading digits' counts are summed, then each such part is numbered by itself.
+    """
+    both = rows.withColumn("__h", shuffled_key(key, seed)).withColumn("__p", F.left("__h", F.lit(3)))
+    counts = both.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")  # 4,096 rows at most
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy("__h", *key))
+    numbered = both.withColumn("__i", inside).join(F.broadcast(before), "__p").withColumn("__r", F.col("__before") + F.col("__i"))
+    return tuple(numbered.filter(F.col("__r") % 2 == odd).drop("__h", "__p", "__i", "__before", "__r") for odd in (1, 0))
 
 
 def batches(rows: DataFrame, n: int, order: list[str]) -> DataFrame:
     """Rows with the number of their batch of ``n``, in order, without sorting in one task.
 
-    Rows are range-partitioned; offsets of the partitions come from their counts.
+    Rows are range-partitioned and written or kept as they lie, as partitions are then counted and numbered in
+    two passes; offsets of the partitions come from their counts.
     """
     parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    context = rows.sparkSession.sparkContext
+    shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if shared and not context.getCheckpointDir():
+        context.setCheckpointDir(shared)
+    parts = parts.checkpoint() if shared else parts.persist()
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
     counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")

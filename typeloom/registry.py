@@ -250,6 +250,28 @@ def score_sum_query(spark, d):
     return scores.withColumn("final", F.round(measures.final_score(F.col("score"), F.col("penalty"), F.col("value_id") % 7), 6))
 
 
+def _max_scores(left: tuple[str, str], right: tuple[str, str], leaf: str) -> str:
+    """SQL for score and penalty of two maxima of two terms, the better first; ``leaf``: a relation of lterm and boost."""
+    best = [f"CASE WHEN bool_or(term = '{a}') THEN '{a}' WHEN bool_or(term = '{b}') THEN '{b}' END" for a, b in (left, right)]
+    return f"""w AS (SELECT value_id, term, min(optional::INT) FILTER (occurrence = 1) AS loose, sum(CASE WHEN optional THEN 0.1 ELSE 1 END) AS missed FROM postings GROUP BY value_id, term),
+        best AS (SELECT value_id, {best[0]} AS l, {best[1]} AS r FROM w GROUP BY value_id), leaf AS ({leaf}),
+        s AS (SELECT w.value_id, sum(CASE WHEN term IN (l, r) THEN boost ELSE 0 END) AS score,
+            sum(missed) - sum(CASE WHEN term IN (l, r) THEN CASE WHEN loose = 1 THEN 0.1 ELSE 1 END ELSE 0 END) + max(CASE WHEN l IS NULL THEN 1 ELSE 0 END) + max(CASE WHEN r IS NULL THEN 1 ELSE 0 END) AS penalty
+            FROM w JOIN best ON w.value_id = best.value_id LEFT JOIN leaf ON term = lterm GROUP BY w.value_id)"""
+
+
+_LEFT, _RIGHT = ("+Brand#11", "-Brand#22"), ("+Brand#4", "/Brand#3")
+_HALF_LEAVES = "SELECT * FROM (VALUES ('+Brand#11', 1.0::DOUBLE), ('-Brand#22', 0.5), ('+Brand#4', 0.25), ('/Brand#3', 0.125)) x(lterm, boost)"
+
+
+@query(f"WITH {_POSTINGS}, {_max_scores(_LEFT, _RIGHT, _HALF_LEAVES)} SELECT value_id, score, round(penalty, 1)::DOUBLE AS penalty FROM s")
+def score_max_query(spark, d):
+    """Two maxima of two alternatives: each takes the better term that is there, and counts as one if there is none."""
+    (a, b), (c, e) = _LEFT, _RIGHT
+    tree = Sum((Max((Leaf(a, boost=1.0), Leaf(b, boost=0.5))), Max((Leaf(c, boost=0.25), Leaf(e, boost=0.125)))))
+    return _scores(spark, d, tree).withColumn("penalty", F.round("penalty", 1))
+
+
 @query()
 def score_max_tree(spark, d):
     a, b, c, e = (Leaf(t, boost=x) for t, x in LEAVES.items())
@@ -284,7 +306,7 @@ _TOKENS = (
 )
 def keyword_tfidf(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    scores = text.keyword_scores(text.term_counts(docs, "doc_id", F.col("text")), KEYWORDS, docs.count())
+    scores = text.keyword_scores(text.keyword_counts(docs, "doc_id", F.col("text"), KEYWORDS), KEYWORDS, docs.count())
     return scores.select("id", F.round("doc_score", 6).alias("doc_score"))
 
 
@@ -366,10 +388,10 @@ def upsert_rows(spark, d):
     return sets.upsert(old, old.filter("id % 3 = 0").withColumn("name", F.concat(F.lit("new "), "name")), ["id"])
 
 
-@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE doc_id < 3)")
+@query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source LIKE '%1')")
 def delete_module(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
-    return sets.delete_matching(docs, docs.filter("doc_id < 3"), ["source"])
+    return sets.delete_matching(docs, docs.filter("source LIKE '%1'"), ["source"])
 
 
 @query("SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem EXCEPT ALL SELECT l_orderkey, l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag = 'R'")
@@ -389,12 +411,12 @@ def batch_numbers(spark, d):
     return sets.batches(table(spark, d, "orders").select("o_orderkey"), 1000, ["o_orderkey"])
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 500")
 def sample_exact_n(spark, d):
     return sets.sample_exactly(table(spark, d, "orders").select("o_orderkey"), 500, ["o_orderkey"])
 
 
-@query()
+@query("SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY md5('42:' || p_partkey), p_partkey) % 2 = 1 THEN 'train' ELSE 'test' END AS half FROM part")
 def query_split(spark, d):
     train, test = sets.split_half(table(spark, d, "part").select("p_partkey"), ["p_partkey"])
     return train.withColumn("half", F.lit("train")).union(test.withColumn("half", F.lit("test")))
@@ -467,18 +489,40 @@ def view_keys(spark, d):
 # --- flagship ---------------------------------------------------------------------------
 
 
-@query()
-def search_ranked(spark, d):
-    """A whole search over the corpus: candidates below the frequency cutoff, scores, the best hundred."""
+def _search(spark, d, n: int) -> DataFrame:
+    """A whole search over the corpus: candidates below the frequency cutoff, scores, the best ``n``."""
     from .operators.search import ranked
-    from .plans.expansion import weigh
+    from .plans.expansion import leaves, weigh
     from .settings import QuerySettings
 
-    frequency = {r["variance"] + r["name"]: r["frequency"] for r in _frequencies(spark, d).collect()}
+    values = corpus_values(spark, d).persist()
     tree = Sum((Max((Leaf("+Brand#11", 0.5), Leaf("+Brand#12", 0.25, 1))), Max((Leaf("-Brand#22", 0.5), Leaf("-Brand#23", 0.25, 1)))))
-    tree = weigh(tree, lambda t: frequency.get(t, 0.0))
-    found = ranked(corpus_values(spark, d), corpus_terms(spark, d), tree, None, None, QuerySettings(), 100)
-    return found.select("value_id", "module_id", F.round(F.col("score").cast("double"), 5).alias("score"))
+    asked = sorted({x.term for x in leaves(tree)})
+    holds = [F.count_if(F.array_contains("terms.term", k)).alias(f"n{i}") for i, k in enumerate(asked)]
+    counts = values.agg(F.count(F.lit(1)).alias("total"), *holds).first()
+    frequency = {k: counts[f"n{i}"] / max(counts["total"], 1) for i, k in enumerate(asked)}
+    tree = weigh(tree, frequency.__getitem__)
+    postings = values.select("value_id", "module_id", F.explode("terms.term").alias("term"))
+    found = ranked(values, postings, tree, None, None, QuerySettings(max_results=n), n)
+    return found.select("value_id", "module_id", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@query()
+def search_ranked(spark, d):
+    return _search(spark, d, 100)
+
+
+_ITF = "greatest(ln(2.7 / (f * 2.7 + (1 - f))) / ln(2.7), 0.001)"
+
+@query(
+    f"WITH {_POSTINGS}, total AS (SELECT count(DISTINCT value_id) AS total FROM postings), asked(term, share) AS (VALUES ('+Brand#11', 0.5::DOUBLE), ('+Brand#12', 0.2), ('-Brand#22', 0.5), ('-Brand#23', 0.2)), "
+    f"weights AS (SELECT term AS lterm, share * {_ITF} AS boost FROM (SELECT asked.term, share, count(DISTINCT value_id) / any_value(total)::DOUBLE AS f FROM asked LEFT JOIN postings ON asked.term = postings.term, total GROUP BY asked.term, share) x), "
+    f"{_max_scores(('+Brand#11', '+Brand#12'), ('-Brand#22', '-Brand#23'), 'SELECT * FROM weights')}, m AS (SELECT value_id, any_value(module_id) AS module_id FROM postings GROUP BY value_id) "
+    "SELECT value_id, module_id, round(score / (1 + 0.1 * penalty::DOUBLE), 4) AS score FROM s JOIN m USING (value_id) WHERE score > 0"
+)
+def search_scored(spark, d):
+    """All results of the search, not only the best."""
+    return _search(spark, d, 1 << 30)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
