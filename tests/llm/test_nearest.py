@@ -16,12 +16,29 @@ def brute(ids, x, q, k):
     return [(ids[i], s[i]) for i in own[:k]]
 
 
-def test_recall_and_scores(spark):
+def test_far_projected_neighbours_are_not_verified():
+    """On vectors without clusters the stopping test leaves most of them alone, and finds the nearest."""
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), dtype=float)
+    longest, k = np.sqrt((x * x).sum(axis=1)).max(), 20
+    space, c = sp.Space(x.shape[1], longest, 24, 42), sp.chi_square_quantile(0.9, 24)
+    queries = x[::20]
+    found = sp.search(x, np.arange(len(x)), queries, np.full(len(queries), np.inf), space, k, c, 128)
+    share = np.mean([n for _, _, n in found]) / len(x)
+    wanted = [set(np.lexsort((np.arange(len(x)), -(x @ q)))[:k]) for q in queries]
+    recall = np.mean([len(set(at.tolist()) & w) / k for (at, _, _), w in zip(found, wanted, strict=True)])
+    every = sp.search(x, np.arange(len(x)), queries[:3], np.full(3, np.inf), space, k, np.inf, 128)
+    assert share < 0.62 and recall >= 0.9 and all(n == len(x) for _, _, n in every), (share, recall)
+
+
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 300, "chunk_rows": 200, "leaf_rows": 32}])
+def test_recall_and_scores(spark, options):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = e.orderBy("vec_id").collect()
     ids, x = [r["vec_id"] for r in rows], np.array([r["embedding"] for r in rows], dtype=float)
     got = {}
-    for r in sp.nearest(e, F.col("vec_id") % 20 == 0, cell_rows=300, chunk_rows=200, leaf_rows=32).collect():
+    for r in sp.nearest(e, F.col("vec_id") % 20 == 0, **options).collect():
         got.setdefault(r["query_id"], []).append(r)
     hits = total = 0
     for q in [i for i in ids if i % 20 == 0]:

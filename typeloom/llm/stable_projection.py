@@ -3,8 +3,8 @@
 Nearness is the inner product. Each vector gets one more component that brings all to the same
 length, so that the largest inner products are the smallest Euclidean distances. ``dims`` Gaussian projections
 multiply a squared distance d2 by a chi-square variable with ``dims`` degrees of freedom. Cells of a
-kd-tree over the projections are visited in order of their distance r2 from the query's
-projection, and their vectors verified exactly, until r2 >= c * d2_k for the k-th best distance so far, where
+kd-tree over the projections are visited in order of their distance from the query's
+projection, and in them the projected neighbours in order of their own distance r2, each verified exactly, until r2 >= c * d2_k for the k-th best distance so far, where
 c is the chi-square quantile of ``recall``: a true neighbour that has not been seen by
 then has a chance of at most 1 - ``recall`` to exist beyond.
 
@@ -133,18 +133,20 @@ def _matrix(column) -> np.ndarray:
 
 
 def search(vectors, first_ids, queries, bounds, space: Space, k: int, c: float, leaf_rows: int):
-    """Best ``k`` vectors for each query, as lists of (row, score); ``bounds`` are k-th distances known so far."""
+    """Best ``k`` vectors for each query, as lists of (row, score, verified); ``bounds`` are k-th distances known so far, and verified vectors are counted."""
     points = space.indexed(vectors)
     tree = KdTree(points, max(1, len(points) // leaf_rows))
     low = np.array([points[m].min(axis=0) for m in tree.members])
     high = np.array([points[m].max(axis=0) for m in tree.members])
     sizes = np.array([len(m) for m in tree.members])
     order = np.concatenate(tree.members)
+    placed = points[order]
     begins = np.concatenate([[0], np.cumsum(sizes)])
     vectors, ids = vectors[order], first_ids[order]
     projected, lengths = space.queried(queries), np.sqrt((queries * queries).sum(axis=1))
     out = []
     for q, p, length, bound in zip(queries, projected, lengths, bounds, strict=True):
+        verified = 0
         gap = np.maximum(np.maximum(low - p, p - high), 0)
         r2 = (gap * gap).sum(axis=1)
         leaves = np.argsort(r2, kind="stable")
@@ -153,20 +155,30 @@ def search(vectors, first_ids, queries, bounds, space: Space, k: int, c: float,
         at, step = 0, 4
         while at < len(leaves) and r2[leaves[at]] < c * bound:
             rows = np.concatenate([np.arange(begins[x], begins[x + 1]) for x in leaves[at : at + step]])
-            got = vectors[rows] @ q
-            rows, got = np.concatenate([best, rows]), np.concatenate([scores, got])
-            if len(rows) > k:
-                least = np.partition(got, len(got) - k)[len(got) - k]
-                keep = got >= least
-                rows, got = rows[keep], got[keep]
-            top = np.lexsort((ids[rows], -got))[:k]
-            best, scores = rows[top], got[top]
-            if len(best) == k:
-                bound = min(bound, float(space.squared_distance(scores[-1:], length)[0]))
+            apart = placed[rows] - p
+            apart = np.einsum("ij,ij->i", apart, apart)
+            near = np.flatnonzero(apart < c * bound)
+            near = near[np.argsort(apart[near], kind="stable")]
+            rows, apart = rows[near], apart[near]
+            i, take = 0, 4 * k
+            while i < len(rows) and apart[i] < c * bound:
+                part = rows[i : i + take]
+                verified += len(part)
+                some, got = np.concatenate([best, part]), np.concatenate([scores, vectors[part] @ q])
+                if len(some) > k:
+                    least = np.partition(got, len(got) - k)[len(got) - k]
+                    keep = got >= least
+                    some, got = some[keep], got[keep]
+                top = np.lexsort((ids[some], -got))[:k]
+                best, scores = some[top], got[top]
+                if len(best) == k:
+                    bound = min(bound, float(space.squared_distance(scores[-1:], length)[0]))
+                i += take
+                take *= 2
             at += step
             step *= 2
         exact = (vectors[best] * q).sum(axis=1)
-        out.append((order[best], exact))
+        out.append((order[best], exact, verified))
     return out
 
 
@@ -177,8 +189,8 @@ def _clean(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, dims: int = 8, recall: float = 0.97,
-    sample_rows: int = 20_000, cell_rows: int = 4096, chunk_rows: int = 50_000, query_block: int = 20_000, leaf_rows: int = 128, seed: int = 42,
+    vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, dims: int = 24, recall: float = 0.9,
+    sample_rows: int = 20_000, cell_rows: int = 4096, chunk_rows: int = 50_000, query_block: int = 50_000, leaf_rows: int = 128, seed: int = 42,
 ) -> DataFrame:
     """The ``k`` nearest of every row for which ``is_query`` (a column over vec_id) holds: ``(query_id, rank, vec_id, score)``."""
     spark = vectors.sparkSession
@@ -230,12 +242,12 @@ def nearest(
             ids = left["ids"].to_pylist()
             first = np.array([x[0] for x in ids], dtype=np.int64)
             hits = search(_matrix(left["v"]), first, queries_, np.asarray(right["bound"]), space, k + 1, c, leaf_rows)
-            for query, (at, score) in zip(right["query_id"].to_pylist(), hits, strict=True):
+            for query, (at, score, _) in zip(right["query_id"].to_pylist(), hits, strict=True):
                 rows["query_id"] += [query] * len(at)
                 rows["ids"] += [ids[i] for i in at]
                 rows["score"] += score.tolist()
             # tells apart queries that share an id
-            rows["qhash"] = [h for h, (at, _) in zip(right["qhash"].to_pylist(), hits, strict=True) for _ in at]
+            rows["qhash"] = [h for h, (at, *_) in zip(right["qhash"].to_pylist(), hits, strict=True) for _ in at]
         return pa.table({"query_id": pa.array(rows["query_id"], pa.int64()), "qhash": pa.array(rows["qhash"], pa.int64()), "ids": pa.array(rows["ids"], pa.list_(pa.int64())), "score": pa.array(rows["score"], pa.float64())})
 
     keys = ["cell", "chunk", "block"]
