@@ -2,7 +2,7 @@
 
 Each stage works on all that its predecessor kept. Apart from the last they return the
 columns of ``documents``; :func:`run` writes each stage's result as Parquet into the shared
-folder and reads it again for the next.
+folder and reads it again for the next, which done it removes it; what the last one wrote stays.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from typeloom.llm.digest_index import drop_exact_duplicates
 from typeloom.llm.langid import identify, train
 from typeloom.llm.mixing import mixed_documents
 from typeloom.llm.packing import best_fit_packing
-from typeloom.llm.shared import shared_dir
+from typeloom.llm.shared import remove_folder, shared_dir
 from typeloom.llm.simhash import drop_near_duplicates
 
 
@@ -36,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out so that sources meet their target weights."""
+    """Documents repeated or left out so that sources meet their target weights, in the order of the schedule."""
     return mixed_documents(docs)
 
 
@@ -58,9 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    place = f"{shared_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        path = f"{shared_dir(spark).rstrip('/')}/pipeline/{uuid.uuid4().hex}/{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        if before:
+            remove_folder(spark, before)
+        before = f"{place}/{name}"
+        docs = spark.read.parquet(before)
     return docs
