@@ -375,8 +375,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
        which connects large groups with a number of pairs that is linear in the documents.
     3. Fingerprints within ``radius`` bits, found by the general pigeonhole, of documents that are not connected yet.
     4. The rest, exactly: if all texts' shingles are in one order (frequent ones last), two similar texts share one of the first
-       :func:`prefix_length` of each. A join on those gives candidates, of documents in groups that are still apart, with sizes
-       and parity bitmaps that a similar pair can have.
+       :func:`prefix_length` of each. A join on those gives candidates, of documents in groups that are still apart, with sizes,
+       places of the shingle and parity bitmaps that a similar pair can have.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).filter("id is not null")
     often = rows.sparkSession.sparkContext.broadcast(_frequencies(rows, words))
@@ -399,7 +399,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for id_, n, prefix in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 h = np.frombuffer(prefix, dtype=np.int64)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), id_)), pa.array(np.full(len(h), n, dtype=np.int32))], names=["h", "id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), id_)), pa.array(np.full(len(h), n, dtype=np.int32)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "id", "n", "at"])
 
     def shingled(batches):
         for batch in batches:
@@ -418,42 +418,40 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         both = pairs.join(need.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(need.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         return cut(both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"))
 
-    def sizes_fit(a: str, b: str):
-        return F.least(a, b) >= F.greatest(a, b) * min_similarity - 1e-6
+    def fit(a: str, b: str, words: range):
+        """Whether two texts can be similar, by their sizes and by words of their parity bitmaps: no more differ than shingles that one text alone may have."""
+        sizes = F.least(f"n{a}", f"n{b}") >= F.greatest(f"n{a}", f"n{b}") * min_similarity - 1e-6
+        differ = sum((F.bit_count(F.col(f"p{i}{a}").bitwiseXOR(F.col(f"p{i}{b}"))) for i in words), F.lit(0))
+        return sizes & (differ <= (F.col(f"n{a}") + F.col(f"n{b}")) * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6)
 
-    def bitmaps_fit(a: str, b: str, words: int):
-        """On the first ``words`` of both parity bitmaps: no more differ than shingles that one text alone may have."""
-        differ = sum((F.bit_count(F.col(f"p{i}{a}").bitwiseXOR(F.col(f"p{i}{b}"))) for i in range(words)), F.lit(0))
-        return differ <= (F.col(f"n{a}") + F.col(f"n{b}")) * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6
+    def enough_left(a: str, b: str):
+        """Whether the overlap that similar texts need fits behind their first common shingle, if it is this one."""
+        return 1 + F.least(F.col(f"n{a}") - F.col(f"at{a}") - 1, F.col(f"n{b}") - F.col(f"at{b}") - 1) >= (F.col(f"n{a}") + F.col(f"n{b}")) * (min_similarity / (1 + min_similarity)) - 1e-6
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """Of ``pairs(a, b)`` those with sizes and bitmaps that a similar pair can have."""
+        """Of ``pairs(a, b)`` those that sizes and whole bitmaps allow."""
         for i in "ab":
             pairs = pairs.join(left.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), *[F.col("odd")[k].alias(f"p{k}{i}") for k in range(PARITY)]), i)
-        return pairs.filter(sizes_fit("na", "nb") & bitmaps_fit("a", "b", PARITY)).select("a", "b")
+        return pairs.filter(fit("a", "b", range(PARITY))).select("a", "b")
 
     made = cut(rows.mapInArrow(prefixes, "id long, n int, digest binary, prefix binary, fp long, odd array<long>"))
     first = made.groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
     equal = cut(made.select("id", "digest").join(first, "digest").filter("id <> a").select("a", F.col("id").alias("b")))
     gone = equal.select(F.col("b").alias("id")).distinct()
     left = made.select("id", "n", "prefix", "fp", "odd").join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "id", "left_anti")
-    by_shingle = left.select("id", "n", "prefix").mapInArrow(exploded, "h long, id long, n int").withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    shared = cut(by_shingle.filter("texts > 1").drop("texts"))
+    by_shingle = left.select("id", "n", "prefix").mapInArrow(exploded, "h long, id long, n int, at int").withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("h")))
+    # Shingles that several texts have, with half of the texts' bitmaps; the pairs that are left meet the whole of them.
+    some = range(PARITY // 2)
+    shared = cut(by_shingle.filter("texts > 1").drop("texts").join(left.select("id", *[F.col("odd")[i].alias(f"p{i}") for i in some]), "id"))
 
-    near = shared
-    for k in range(orders):
-        near = near.withColumn(f"next{k}", F.lead(F.struct("id", "n")).over(Window.partitionBy("h").orderBy(*([F.xxhash64("id", F.lit(k))] if k else []), "id")))
     pairs = None
     for k in range(orders):
-        y = F.col(f"next{k}")
-        swap = F.col("id") > y["id"]
-        part = near.filter(y.isNotNull() & (F.col("id") != y["id"])).select("h", F.least("id", y["id"]).alias("a"), F.greatest("id", y["id"]).alias("b"), F.when(swap, y["n"]).otherwise(F.col("n")).alias("na"), F.when(swap, F.col("n")).otherwise(y["n"]).alias("nb"))
+        own = F.struct(*[c for c in shared.columns if c != "h"])
+        following = F.lead(own).over(Window.partitionBy("h").orderBy(*([F.xxhash64("id", F.lit(k))] if k else []), "id"))
+        part = shared.select(own.alias("x"), following.alias("y")).filter("y is not null").select(*[F.col(f"{i}.{c}").alias(c + n) for i, n in (("x", "a"), ("y", "b")) for c in shared.columns if c != "h"])
+        part = part.filter((F.col("ida") != F.col("idb")) & fit("a", "b", some) & enough_left("a", "b")).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
         pairs = part if pairs is None else pairs.union(part)
-    # Enough of both prefixes in common, as far as these neighbours show.
-    rest = [F.ceil(min_similarity * F.col(n) - 1e-9) - 1 for n in ("na", "nb")]
-    enough = F.col("n") + F.greatest(*rest) >= (F.col("na") + F.col("nb")) * (min_similarity / (1 + min_similarity)) - 1e-6
-    pairs = pairs.distinct().filter(sizes_fit("na", "nb")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("n")).filter(enough).select("a", "b").distinct()
-    groups = components(verified(cut(plausible(pairs))).union(equal))
+    groups = components(verified(cut(plausible(pairs.distinct()))).union(equal))
 
     def joined_to(groups: DataFrame, nodes: DataFrame) -> DataFrame:
         return nodes.join(groups, F.col("id") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("root", "id")).drop("root")
@@ -465,13 +463,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = joined_to(groups, left.filter("n > 0").select("id", "fp")).groupBy("fp", "comp").agg(F.min("id").alias("id"))
     groups = with_links(groups, verified(cut(plausible(links(cut(nodes), radius).distinct()))))
 
-    # The join sees a part of the bitmaps, and what is left meets all of them.
-    some = PARITY // 2
     of = cut(joined_to(groups, shared))
     apart = of.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("h")
-    of = of.join(apart, "h", "left_semi").join(left.select("id", *[F.col("odd")[i].alias(f"p{i}") for i in range(some)]), "id")
+    of = of.join(apart, "h", "left_semi")
     x, y = (of.select("h", *[F.col(c).alias(f"{c}{i}") for c in of.columns if c != "h"]) for i in "ab")
-    found = x.join(y, "h").filter((F.col("ida") < F.col("idb")) & (F.col("compa") != F.col("compb")) & sizes_fit("na", "nb") & bitmaps_fit("a", "b", some))
+    found = x.join(y, "h").filter((F.col("ida") < F.col("idb")) & (F.col("compa") != F.col("compb")) & fit("a", "b", some) & enough_left("a", "b"))
     groups = with_links(groups, verified(cut(plausible(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()))))
     return groups.select(F.col("node").alias("id"), "root")
 
