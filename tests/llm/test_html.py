@@ -2,6 +2,7 @@
 
 import html as entities
 import re
+import time
 
 import pytest
 
@@ -75,6 +76,40 @@ def test_templates_are_deduced(spark):
     assert set(tokens) == {"h.example"} and len(tokens["h.example"]) >= 5
 
 
+def test_the_template_decides_inside_articles(spark):
+    """What the articles of a host share is no content, whatever it is called; with the template off it would stay."""
+    def page(i):
+        return f"<html><body><main><article><h1>Story {i}</h1><p>Own words {i * 3}.</p><div class='z9'>Join our list today</div><p>More of {i}.</p></article></main></body></html>"
+
+    rows = [(i, f"http://h.example/{i}", page(i), "t", "h") for i in range(5)] + [(9, "http://other.example/", page(9), "t", "h")]
+    for limit in (1_000_000, 0):
+        got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, SCHEMA), broadcast_tokens=limit).collect()}
+        assert all(got[i] == f"Story {i} Own words {i * 3}. More of {i}." for i in range(5))
+        assert "Join our list today" in got[9]  # one page tells nothing
+    assert "Join our list today" in main_text(Page(page(1)))
+
+
+def test_teasers_do_not_hide_the_text():
+    body = "<p>" + "Body words. " * 20 + "</p>"
+    assert text(f"<main>{body}<article>teaser</article></main>") == ("Body words. " * 20).strip()
+    assert text(f"<body><div>{body}</div><article>teaser</article></body>") == ("Body words. " * 20).strip()
+    assert text(f"<main><p>intro</p><article>{body}</article></main>") == ("Body words. " * 20).strip()
+    assert text("<article>a <math><mi>x</mi></math> b</article>") == "a x b"
+    assert text(f"<article><p>{'<span>' * 6}<a href='x'>{body}</a></p></article>") == ("Body words. " * 20).strip()
+
+
+def test_pages_take_linear_time():
+    def seconds(html):
+        began = time.process_time()
+        main_text(Page(html))
+        return time.process_time() - began
+
+    for make in (lambda n: "<div>x" * n, lambda n: "<div>" * n + "</p>" * n, lambda n: "<section><p><b>" + "<div>" * n + "</p></b>" * n, lambda n: "<li><ul>" * n, lambda n: "<a b=\"" + "c>" * n, lambda n: "<p a='" * n):
+        seconds(make(500))
+        assert seconds(make(16_000)) < 12 * seconds(make(4_000)) + 0.2
+    assert text(f"<p title='{'>' * 100_000}'>x</p>") == "x"
+
+
 def test_edges(spark):
     rows = [(1, None, None, "t", "h"), (2, "not a url", "<p>a</p>", "t", "h"), (2, "not a url", "<p>a</p>", "t", "h"), (None, "http://u@H.example:80/x", "", "t", "h")]
     got = html_text.extract_text(spark.createDataFrame(rows, SCHEMA))

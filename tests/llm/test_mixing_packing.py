@@ -100,6 +100,54 @@ def test_mixed_documents(spark):
     assert all(abs(words[s] - t) <= 7 for s, t in target.items())
 
 
+def test_the_mix_follows_the_schedule(spark):
+    """Slots of the report are those of golden-ratio points ranked by hand, and mixed documents stand in their order."""
+    rows = [(i, "w " * (i % 5 + 1), "abc"[i % 3], 0, "x") for i in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    pieces, placed, numbers = mixing.mix(df, slots=40)
+    plan = sorted(numbers.collect(), key=lambda r: r["s"])
+    total = sum(p["want"] for p in plan)
+    block = max(1, total // 40)
+    edges = np.cumsum([p["want"] for p in plan]) / total
+    ranks, wanted = defaultdict(int), {}
+    for k in range(-(-total // block)):
+        s = min(int(np.searchsorted(edges, (k + 0.5) * mixing.INVERSE_PHI % 1.0, side="right")), len(plan) - 1)
+        wanted[k] = (s, ranks[s])
+        ranks[s] += 1
+    got = {r["k"]: (r["s"], r["rank"]) for r in pieces.collect() if r["k"] in wanted}
+    assert got and all(wanted[k] == v for k, v in got.items())
+    # No source is left for long: of any run of slots each has its share.
+    order = [wanted[k][0] for k in sorted(got)]
+    assert all(abs(order[:n].count(p["s"]) - n * p["want"] / total) < 3 for n in range(1, len(order)) for p in plan)
+    first = {}
+    for r in pieces.collect():
+        first[r["doc_id"], r["pass"]] = min(first.get((r["doc_id"], r["pass"]), 1 << 60), r["k"])
+    report = {r["doc_id"]: r for r in mixing.mix_report(df, slots=40).collect()}
+    assert all(report[d]["first_slot"] == min(k for (x, _), k in first.items() if x == d) for d, _ in first)
+    mixed = [r["doc_id"] for r in mixing.mixed_documents(df, slots=40).collect()]
+    seen, places = defaultdict(int), []
+    for d in mixed:
+        places.append(first[d, seen[d]])
+        seen[d] += 1
+    assert places == sorted(places) and len(mixed) > 100
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    schema = "doc_id long, text string, source string, MIX_slot long, mix_id string, gone string, kept_id string"
+    rows = [(1, "a b c", "s", 7, "m", "g", "k")] * 3 + [(1, "d e f", "s", 8, "m", "g", "k"), (2, "x y z", "t", 9, "m", "g", "k"), (None, "n o p", "t", 9, None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    out = mixing.mixed_documents(df)
+    assert out.columns == df.columns
+    taken = defaultdict(int)
+    for r in out.collect():
+        taken[r["doc_id"], r["text"], r["MIX_slot"]] += 1
+    report = defaultdict(int)
+    for r in mixing.mix_report(df).collect():
+        report[r["doc_id"]] += r["taken"]
+    assert sum(taken.values()) * 3 == pytest.approx(sum(report.values()), abs=6)
+    assert taken[1, "a b c", 7] <= 9 and taken[2, "x y z", 9] >= 1
+
+
 # --- packing ----------------------------------------------------------------------------
 
 
@@ -115,6 +163,29 @@ def test_packing_invariants(sizes):
         assert full <= caps[b] and not any(full <= c < caps[b] for c in (25, 50, 100))
 
 
+@given(st.lists(st.integers(1, 100), max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_packing_against_brute_force(sizes):
+    """Every open bin is looked at for every piece."""
+    sizes, capacities = sorted(sizes, reverse=True), (25, 50, 100)
+    bins, left = [], sum(sizes)  # room, contents
+    for n in sizes:
+        left -= n
+        fits = [b for b in bins if b[0] >= n]
+        if fits:
+            best = min(fits, key=lambda b: b[0])
+        else:
+            cost = {c: (64 + c + c * c / 16384) / (n + min(c - n, left)) for c in capacities if c >= n}
+            best = [min(cost, key=lambda c: (cost[c], c)), 0]
+            bins.append(best)
+        best[0] -= n
+        best[1] += n
+    wanted = sorted((min(c for c in capacities if c >= held), held) for _, held in bins)
+    of, _, caps = packing.pack(np.array(sizes, dtype=np.int64), capacities)
+    held = np.bincount(of, sizes, minlength=len(caps)) if sizes else []
+    assert sorted(zip(caps.tolist(), map(int, held), strict=True)) == wanted
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, _, _ = packing.pack(np.array([60, 50, 45, 40, 5]), (100,))
     assert bins.tolist() == [0, 1, 1, 0, 1]

@@ -56,6 +56,45 @@ def test_language_edges(spark):
     assert kept.count() == len(EDGES) and kept.select("row.held_out").columns == ["held_out"]
 
 
+def test_language_against_brute_force(docs):
+    """Every text under every dictionary, block by block, in plain Python."""
+    some = docs.limit(200)
+    models = langid.train(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    assert all(len(m) <= 96_000 for m in models.values()) and set(models) == {"de", "en", "es", "fr"}
+
+    def size(text, model):
+        held = "".join(c if c.isalpha() else " " for c in text).lower().split()
+        data, total, at = " ".join(held).encode(), 0, 0
+        compressor = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(model, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+        while at < len(data):
+            stop = len(data) if len(data) - at <= 512 else (data.rfind(b" ", at, at + 512) if data.rfind(b" ", at, at + 512) > at else at + 512)
+            total += len(compressor.compress(data[at:stop]))
+            at = stop
+        return total
+
+    got = {r["row"]["doc_id"]: r for r in langid.identify(some, models).collect()}
+    for r in some.collect():
+        sizes = sorted((size(r["text"], m), k) for k, m in models.items())
+        own = got[r["doc_id"]]
+        assert own["lang_pred"] == sizes[0][1]
+        assert own["margin"] == pytest.approx((sizes[1][0] - sizes[0][0]) / sizes[0][0]) and own["rejected"] == (own["margin"] < 0.002)
+
+
+def test_number_signs_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "² ½ ③ Ⅷ"), (2, "x² ½y")], "doc_id long, text string")
+    got = {r["row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(df, {"en": b"x y z " * 9}).collect()}
+    assert got[1] == ("und", 0.0) and got[2][0] == "en"
+    assert langid.letters("x²½y é_1") == "x y é".encode()
+
+
+def test_training_takes_whole_texts(spark):
+    words = [f"{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100 % 10]}" for i in range(1000)]
+    rows = [(i, " ".join(words[i * 10 : i * 10 + 10]), "x") for i in range(100)] + [(500, "zz " * 400_000, "long"), (501, "end", "long")]
+    models = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(models["x"].split()) == {w.encode() for w in words}
+    assert len(models["long"]) <= 96_000
+
+
 def test_blocks_hold_the_whole_text():
     data = langid.letters("Aä b,c 12 " * 400 + "z" * 3000)
     assert b"".join(langid.blocks(data, 100)) == data
@@ -105,6 +144,34 @@ def test_gradients():
             assert g.reshape(-1)[i] == pytest.approx((up - down) / 2e-5, abs=1e-5)
 
 
+def test_scores_against_brute_force():
+    """Attention and score of each document by itself, in loops."""
+    rng = np.random.default_rng(4)
+    net = quality.Network(seed=1)
+    net.mean, net.scale = rng.random(quality.FEATURES), 0.5 + rng.random(quality.FEATURES)
+    texts = ["one two three.", None, "", "A long Text, " * 300, "x" * 3000, "many words " * 70]
+    p = net.p
+
+    def score(text):
+        hidden, logits = [], []
+        for x in quality.encode(text).astype(float):
+            x = np.clip((x - net.mean) / net.scale, -6, 6)
+            h = [max(0.0, sum(x[i] * p["W"][i, j] for i in range(len(x))) + p["b"][j]) for j in range(len(p["b"]))]
+            v, u = (sum(h[i] * p[m][i] for i in range(len(h))) for m in "VU")
+            hidden.append(h)
+            logits.append(sum(math.tanh(a) / (1 + math.exp(-b)) * c for a, b, c in zip(v, u, p["w"], strict=True)))
+        weights = [math.exp(e - max(logits)) for e in logits]
+        z = [sum(w * h[j] for w, h in zip(weights, hidden, strict=True)) / sum(weights) for j in range(len(p["c"]))]
+        return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(z, p["c"], strict=True)) + p["d"][0])))
+
+    assert net.scores(texts) == pytest.approx([score(t) for t in texts], rel=1e-5)
+
+
+def test_the_sample_is_bounded_by_passages():
+    assert quality.within([5, 3, 4, 1, 1], 9) == [True, True, False, True, False]
+    assert quality.within([], 3) == []
+
+
 def test_passages_cover_the_text():
     assert quality.encode("").shape == quality.encode(None).shape == (1, quality.FEATURES)
     assert len(quality.encode("w " * (quality.WORDS * 3 + 1))) == 4

@@ -164,7 +164,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = takes.select(id_, content, row).distinct().groupBy(id_, content).agg(F.count(F.lit(1)).alias(rows)).filter(F.col(rows) > 1)
     if not repeated.isEmpty():
         many = out.join(repeated.select(F.col(id_).alias(id_ + "2"), F.col(content).alias(content + "2")), F.col(id_).eqNullSafe(F.col(id_ + "2")) & (F.col(content) == F.col(content + "2")), "left")
-        once = F.when(F.col(content + "2").isNotNull(), F.struct(row, part, slot))
-        keyed = many.withColumn(rows, F.coalesce(once, F.struct(F.lit(-1).cast("long"), F.monotonically_increasing_id(), F.lit(-1).cast("long"))))
+        none = F.lit(-1).cast("long")
+        once = F.when(F.col(content + "2").isNotNull(), F.struct(F.col(row).alias("a"), F.col(part).cast("long").alias("b"), F.col(slot).alias("c")))
+        keyed = many.withColumn(rows, F.coalesce(once, F.struct(none.alias("a"), F.monotonically_increasing_id().alias("b"), none.alias("c"))))
         out = keyed.dropDuplicates([rows])
     return out.orderBy(slot, id_, row).select(*[docs[c] for c in docs.columns])
