@@ -1,6 +1,7 @@
 import zipfile
 
 from typeloom.functions.types import Type
+from typeloom.sources.declarations import read_declarations
 from typeloom.sources.definitions import conversion_views, golden_frame, jobs, modules_frame, parse_comment, parse_line, read_archives, read_lines, read_settings, without_errors
 from typeloom.sources.files import Folder, append_csv
 
@@ -69,3 +70,44 @@ def test_files(spark, tmp_path):
     append_csv(spark.range(2), str(tmp_path / "csv"))
     append_csv(spark.range(2), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 4
+
+
+def test_fetch_copies_what_is_missing(spark, tmp_path):
+    (tmp_path / "a.jar").write_bytes(b"jar")
+    folder = Folder(spark, str(tmp_path / "held"))
+    assert folder.fetch(f"file://{tmp_path}/a.jar", "b.jar") and not folder.fetch("file:///nowhere", "b.jar")
+    assert (tmp_path / "held" / "b.jar").read_bytes() == b"jar"
+
+
+def test_declarations():
+    text = """package a { package b
+      /** A box. @param no tag inside a line
+        * @tparam T held
+        * @todo more
+        * @todo and more */
+      sealed abstract class Box[+T <: Any] private (x: Int) extends Base(1) with (Int => String) { self =>
+        protected[b] def no: Int; def yes(implicit o: Ord[T]): Option[T] = { class Local { def z: Int = 1 }; None }
+        lazy val many: (Int, String) => T = ???
+        def times(by: => T, rest: T*): Box[T]
+        var `type`: Array[Int] = null
+        def untyped = 1
+      }
+      object Box { implicit def unbox[T](b: Box[T]): List[T] = Nil; private object Hidden { val q: Int = 1 } }
+    }
+    def outside(s: "x" = "}"): Int"""
+    rows = read_declarations(text, module_id="m")
+    found = {r["name"]: r for r in rows if r["kind"] == "value"}
+    shown = {n: Type.decode(r["tpe"]).signature(True) for n, r in found.items()}
+    assert shown["a.b.Box.yes"] == "<memberAccess>[a.b.Box[T], <methodInvocation1>[<implicit>[Ord[T]], scala.Option[T]]]"
+    assert shown["a.b.Box.many"] == "<memberAccess>[a.b.Box[T], scala.Function2[scala.Int, java.lang.String, T]]"
+    assert shown["a.b.Box.times"] == "<memberAccess>[a.b.Box[T], <methodInvocation2>[<byname>[T], scala.<repeated>[T], a.b.Box[T]]]"
+    assert shown["a.b.Box.type"] == "<memberAccess>[a.b.Box[T], scala.Array[scala.Int]]"
+    assert found["a.b.Box.unbox"]["flags"] == ["implicit", "static"] and found["a.b.Box.unbox"]["doc_link"] == "a.b.Box$@unbox(b:Box[T]):List[T]"
+    assert not any(x in n for n in found for x in ("no", "Local", "Hidden", "<init>", ".z", ".q")) and "a.b.Box" in found
+    assert [r["name"] for r in rows if r["kind"] == "error"] == ["a.b.Box.untyped"]
+    box = next(r for r in rows if r["kind"] == "type")
+    assert box["comment"] == "<p>A box. @param no tag inside a line</p>"
+    assert [(a["key"], a["value"]) for a in box["attributes"]] == [("typeParams", "<dl><dt>T</dt><dd><p>held</p></dd></dl>"), ("todo", "<ul><li><p>more</p></li><li><p>and more</p></li></ul>")]
+    views = [r["name"] for r in rows if r["kind"] == "view"]
+    assert views.count("a.b.Box.unbox") == 2 and views.count("a.b.Box") >= 4
+    assert read_declarations("") == [] and isinstance(read_declarations("class { ( [ def : } object" * 50), list)

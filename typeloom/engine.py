@@ -19,7 +19,7 @@ from .operators import index as ix
 from .operators.search import ranked
 from .operators.sets import group_results, only_modules, upsert
 from .plans import expansion
-from .plans.errors import NameNotFound, TooUnspecific
+from .plans.errors import NameNotFound, QueryError, TooUnspecific
 from .plans.language import Raw, RawQuery, parse
 from .plans.resolve import TypeName, names, resolve, standard_names, to_type
 from .settings import IndexSettings, QuerySettings
@@ -294,6 +294,28 @@ class Engine:
         own = text.tokens(F.col("name"))
         return only_modules(self.table("values"), modules).filter(F.forall(F.lit(words), lambda w: F.array_contains(own, w)))
 
+    # --- service -------------------------------------------------------------------------
+
+    def call(self, request: dict) -> dict:
+        """One request of the user or control interface, as plain values: ``{"method": name, ...arguments}``."""
+        arguments = {k: v for k, v in request.items() if k != "method"}
+        try:
+            match request.get("method"):
+                case "search":
+                    rows = self.search(**arguments).select("name", "signature", "module_id", "score").collect()
+                    return {"results": [r.asDict() for r in rows]}
+                case "status":
+                    return self.status(**arguments)
+                case "modules":
+                    return {"modules": [r["module_id"] for r in self.indexed_modules(**arguments).collect()]}
+                case "assess":
+                    self.assess_positively(**arguments)
+                    return {}
+                case other:
+                    return {"error": f"unknown method {other!r}"}
+        except QueryError as problem:
+            return {"error": problem.message()}
+
     # --- feedback ------------------------------------------------------------------------
 
     def log(self, outcome: str, query: str, modules: list[str] | None = None, page: int = 0, detail: str = "") -> None:

@@ -15,13 +15,15 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.types import Type, View
+from .functions.types import Type, View, read_type
 from .functions.variance import CO, CONTRA, INV
 from .plans.expansion import Leaf, Max, Sum, Tree, candidate_terms, fixpoint
 from .plans.scoring import Scorer
 from .settings import NeutralSettings
 
 FN, TOP, BOTTOM, UNKNOWN, IGNORED = "<fn{}>", "<top{}>", "<bottom{}>", "<unknown{}>", "<ignored{}>"
+#: At most so many keys of views are sent to all tasks.
+BROADCAST_KEYS = 200_000
 #: The frequency of a term that no document leads to: the smallest positive number.
 RARE = 5e-324
 
@@ -218,9 +220,26 @@ class DocumentStore:
         """Documents with all the keys."""
         return self.docs.filter(F.forall(F.lit(list(keys)), lambda k: F.array_contains("keys", k)))
 
+    @classmethod
+    def read(cls, rows: DataFrame, settings: NeutralSettings) -> DocumentStore:
+        """Documents of ``rows(name, type, source)`` with types as text, read where the rows are."""
+        import pandas as pd
+
+        def run(frames):
+            for frame in frames:
+                keys = [value_keys(Definition(n, internal(read_type(t), settings))) for n, t in zip(frame["name"], frame["type"], strict=True)]
+                yield pd.DataFrame({"name": frame["name"], "keys": keys, "source": frame["source"]})
+
+        return cls(rows.select("name", "type", "source").mapInPandas(run, "name string, keys array<string>, source string"))
+
+    def postings(self) -> DataFrame:
+        """``(key, name, source)``: each document under each of its keys."""
+        return self.docs.select(F.explode(F.array_distinct("keys")).alias("key"), "name", "source")
+
     def by_any(self, keys: list[str]) -> DataFrame:
         """Documents with any of the keys, once each."""
-        return self.docs.filter(F.arrays_overlap("keys", F.lit(list(keys)))) if keys else self.docs.limit(0)
+        found = self.postings().filter(F.col("key").isin(list(keys))).select("name", "source").distinct()
+        return self.docs.join(found, ["name", "source"], "left_semi") if keys else self.docs.limit(0)
 
     def count(self, keys: list[str]) -> int:
         return self.by_keys(keys).count()
@@ -241,8 +260,10 @@ def type_frequencies(store: DocumentStore, types: Iterable[Definition], views: I
     spark = store.docs.sparkSession
     asked = spark.createDataFrame(wanted, "source int, key string")
     need = asked.groupBy("source").agg(F.count(F.lit(1)).alias("need"))
+    if len(wanted) <= BROADCAST_KEYS:
+        asked, need = F.broadcast(asked), F.broadcast(need)
     docs = store.docs.select(F.xxhash64("name", "source", F.to_json("keys")).alias("doc"), F.explode(F.array_distinct("keys")).alias("key"))
-    hits = docs.join(F.broadcast(asked), "key").groupBy("source", "doc").agg(F.count(F.lit(1)).alias("has")).join(F.broadcast(need), "source").filter("has = need")
+    hits = docs.join(asked, "key").groupBy("source", "doc").agg(F.count(F.lit(1)).alias("has")).join(need, "source").filter("has = need")
     out: Counter = Counter()
     for r in hits.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect():
         for v in numbered[r["source"]][1]:
@@ -257,14 +278,21 @@ class NeutralEngine:
     def __init__(self, spark: SparkSession, settings: NeutralSettings = NeutralSettings()):
         self.spark, self.settings = spark, settings
         self.definitions: list[Definition] = []
+        self.values: list[DocumentStore] = []
 
     def index(self, definitions: Iterable[Definition]) -> None:
         s = self.settings
         for d in definitions:
             self.definitions.append(replace(d, type=internal(d.type, s), supertypes=tuple(internal(x, s) for x in d.supertypes)))
 
+    def index_values(self, rows: DataFrame) -> None:
+        """Values of a table ``(name, type, source)``, which stay there; types and conversions come by :meth:`index`."""
+        self.values.append(DocumentStore.read(rows, self.settings))
+
     def finalize(self) -> None:
         self.store = DocumentStore.of(self.spark, self.definitions)
+        for more in self.values:
+            self.store.docs = self.store.docs.unionByName(more.docs)
         self.store.docs = self.store.docs.persist()
         self.views = list(dict.fromkeys(v for d in self.definitions for v in definition_views(d)))
         self.counts = type_frequencies(self.store, [d for d in self.definitions if d.is_type], self.views)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import neutral
 from .engine import Engine
+from .functions import pages
 from .functions.types import Type, read_type, show_terms
 from .functions.variance import CO
 from .operators import index as ix
@@ -302,6 +303,48 @@ def csv_sink(spark, d):
     return spark.read.option("sep", ";").option("header", True).schema("query string, ap double").csv(where)
 
 
+@query(f"WITH {_GEO} SELECT name, module_id FROM geo")
+def micro_batches(spark, d):
+    """Definition lines that arrive in files are indexed in micro-batches; what has arrived is searched."""
+    from .streaming.events import ingest
+
+    where, e = working_folder(spark), Engine(spark, working_folder(spark), IndexSettings(sample_size=0))
+    lines = corpus_lines(spark, d)
+    lines.filter("value like 'type%'").write.parquet(f"{where}/in")
+    lines.filter("not value like 'type%'").write.mode("append").parquet(f"{where}/in")
+    stream = spark.readStream.schema("value string, m string").option("maxFilesPerTrigger", 4).parquet(f"{where}/in")
+    ingest(stream, e, "geo", f"{where}/progress", lambda batch: sd.read_lines(batch, module="m", builtins=False))
+    return e.table("values").select("name", "module_id")
+
+
+@query(
+    f"WITH {_GEO}, asked AS (SELECT n, r FROM lands WHERE n = 'NATION_1') SELECT 'search' AS method, (SELECT count(*) FROM geo JOIN asked USING (r))::VARCHAR AS answer UNION ALL SELECT 'status', 'ready' "
+    "UNION ALL SELECT 'modules', (SELECT string_agg(m, ' ' ORDER BY m) FROM (SELECT DISTINCT module_id AS m FROM geo UNION SELECT 'geo:world:1' UNION SELECT 'builtin') x) "
+    "UNION ALL SELECT 'wrong', 'Type Nowhere not found.' UNION ALL SELECT 'none', 'unknown method ''none'''"
+)
+def service_calls(spark, d):
+    """Requests as plain values, and what they are answered."""
+    e, r = engine(spark, d), _lands(spark, d).filter("n = 'NATION_1'").first()["r"]
+    rows = [("search", str(len(e.call({"method": "search", "query": f"NATION_1 => {r}", "n": 100})["results"]))), ("status", e.call({"method": "status"})["state"])]
+    rows += [("modules", " ".join(sorted(e.call({"method": "modules"})["modules"]))), ("wrong", e.call({"method": "search", "query": "Nowhere[ASIA]"})["error"]), ("none", e.call({"method": "none"})["error"])]
+    return spark.createDataFrame(rows, "method string, answer string")
+
+
+@query(
+    "SELECT doc_id, '<li><h3>' || CASE WHEN lang = 'en' THEN '<a href=\"http://d/?a=1&amp;b=' || source || '\">' || x || '</a>' ELSE x END || '</h3><small>' || source || ' &middot; ' || format('{:,.2f}', n_chars / 8.0) || '</small>' || "
+    "CASE WHEN lang IN ('de', 'en') THEN '<div><b>' || lang || '</b></div>' ELSE '' END || '</li>' AS entry, CASE WHEN doc_id % 3 < 2 THEN '/search?q=' || replace(url_encode('a => ' || lang), '%20', '+') || '&p=' || (doc_id % 3 + 1) END AS next_page "
+    "FROM (SELECT *, 'f&lt;' || lang || '&gt;: A =&gt; &quot;&amp;&quot;' AS x FROM documents) y"
+)
+def result_pages(spark, d):
+    """Results as entries of a page, and the link to the next."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    signature = F.concat(F.lit("f<"), "lang", F.lit('>: A => "&"'))
+    link = F.when(F.col("lang") == "en", F.concat(F.lit("http://d/?a=1&b="), "source"))
+    comment = F.when(F.col("lang").isin("de", "en"), F.concat(F.lit("<b>"), "lang", F.lit("</b>")))
+    entry = pages.entry(signature, F.col("source"), F.col("n_chars") / 8, link, comment)
+    return docs.select("doc_id", entry.alias("entry"), pages.page_link(F.concat(F.lit("a => "), "lang"), F.col("doc_id") % 3, F.lit(2)).alias("next_page"))
+
+
 # --- sources ----------------------------------------------------------------------------
 
 
@@ -454,7 +497,7 @@ def neutral_search(spark, d):
     """The language-neutral engine from a nation to its region: those of the same nation come first."""
     e = neutral.NeutralEngine(spark)
     e.index(_neutral_types(spark, d))
-    e.index(neutral.Definition(r["s_name"], read_type(f"+Fn1[-{r['n']}, +{r['r']}]"), source="shop") for r in _suppliers(spark, d).collect())
+    e.index_values(_suppliers(spark, d).select(F.col("s_name").alias("name"), F.concat(F.lit("+Fn1[-"), "n", F.lit(", +"), "r", F.lit("]")).alias("type"), F.lit("shop").alias("source")))
     e.finalize()
     r = _lands(spark, d).filter("n = 'NATION_1'").first()["r"]
     found = e.search(read_type(f"+Fn1[-NATION_1, +{r}]"))

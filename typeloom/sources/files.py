@@ -62,6 +62,16 @@ class Folder:
         finally:
             stream.close()
 
+    def fetch(self, address: str, name: str) -> bool:
+        """Copy a file from any address that the file systems know (https too) if it is missing; whether it was."""
+        if self.has(name):
+            return False
+        source = self._jvm.org.apache.hadoop.fs.Path(address)
+        conf = self.spark._jsc.hadoopConfiguration()
+        beside = self._at(f".{name}.{uuid.uuid4().hex}")
+        self._jvm.org.apache.hadoop.fs.FileUtil.copy(source.getFileSystem(conf), source, self._fs, beside, False, conf)
+        return self._fs.rename(beside, self._at(name))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
