@@ -68,11 +68,15 @@ def stem(token: Column) -> Column:
     return F.when(F.length(base) > 3, F.regexp_replace(base, "e$", "")).otherwise(base)
 
 
+def word_parts(word: Column) -> Column:
+    """A word and its parts; most words are their only part, which needs no search for parts."""
+    return F.when(word.rlike(r"^\p{Lu}*\p{Ll}+$"), F.array(word)).otherwise(F.array_union(F.array(word), F.regexp_extract_all(word, F.lit(PARTS), F.lit(0))))
+
+
 def tokens(text: Column, stemmed: bool = False) -> Column:
     """Words between white space and dots, with their parts, in lower case; a word that is its only part counts once."""
     words = F.filter(F.split(text, r"[\s.]+"), lambda w: w != "")
-    parts = F.transform(words, lambda w: F.array_union(F.array(w), F.regexp_extract_all(w, F.lit(PARTS), F.lit(0))))
-    flat = F.transform(F.flatten(parts), lambda t: F.lower(t))
+    flat = F.flatten(F.transform(words, lambda w: F.transform(word_parts(w), lambda t: F.lower(t))))
     return F.transform(flat, stem) if stemmed else flat
 
 
@@ -82,7 +86,7 @@ def term_counts(docs: DataFrame, id_col: str, text: Column, stemmed: bool = Fals
     The tokens of :func:`tokens`, one row a word, so that everything but the split runs in generated code.
     """
     words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(text, r"[\s.]+")).alias("w")).filter("w <> ''")
-    each = words.select("id", F.explode(F.array_union(F.array("w"), F.regexp_extract_all("w", F.lit(PARTS), F.lit(0)))).alias("t"))
+    each = words.select("id", F.explode(word_parts(F.col("w"))).alias("t"))
     token = F.lower("t")
     counts = each.select("id", (stem(token) if stemmed else token).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
     return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))

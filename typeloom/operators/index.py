@@ -6,12 +6,13 @@ import json
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.types import Type, View, fingerprint, normalize, structure
+from ..functions.types import IGNORED, Type, View, fingerprint, normalize, structure
 from ..functions.variance import INV
 from ..plans.expansion import views_between
 from ..sources.definitions import params_of
@@ -36,6 +37,18 @@ def split_kinds(definitions: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _trees(column: pa.ListArray) -> list[list[tuple] | None]:
+    """Preorder rows of the types of a batch, column by column."""
+    nodes = column.flatten()
+    rows = list(zip(*(nodes.field(i).to_pylist() for i in range(4)), strict=True))
+    ends = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).cumsum().tolist()
+    return [rows[a:b] if b > a else None for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def _params(column: pa.ListArray) -> list:
+    return column.to_pylist() if len(column.flatten()) else [None] * len(column)
+
+
 def with_fingerprints(values: DataFrame, polarized: bool = True) -> DataFrame:
     """Values with the terms of their types, their signature, and the key that results are grouped by.
 
@@ -46,7 +59,7 @@ def with_fingerprints(values: DataFrame, polarized: bool = True) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            names, types, params = (b.column(at[c]).to_pylist() for c in ("name", "tpe", "params"))
+            names, types, params = b.column(at["name"]).to_pylist(), _trees(b.column(at["tpe"])), _params(b.column(at["params"]))
             terms, signatures, groups = [], [], []
             for name, tpe, rows in zip(names, types, params, strict=True):
                 t, ps = Type.decode(tpe), params_of(rows)
@@ -94,17 +107,25 @@ def wanted_views(views: DataFrame) -> DataFrame:
 
 
 def _subtypes(values: DataFrame) -> DataFrame:
-    """``(value_id, shown)``: the distinct subtrees of each value's normalized type, as text."""
-
-    def run(frames):
-        for frame in frames:
-            rows = []
-            for vid, tpe, params in zip(frame["value_id"], frame["tpe"], frame["params"], strict=True):
-                found = {json.dumps(sub.encode()) for sub in normalize(Type.decode(tpe), params_of(params)).nodes()}
-                rows += [(vid, x) for x in found]
-            yield pd.DataFrame(rows, columns=["value_id", "shown"])
+    """``(value_id, shown)``: the distinct subtrees of each value's normalized type, as text. The ignored nodes that hold them together are none."""
 
-    return values.select("value_id", "tpe", "params").mapInPandas(run, "value_id long, shown string")
+    def run(batches):
+        known: dict[Type, str] = {}
+        for b in batches:
+            ids, shown = [], []
+            for vid, tpe, params in zip(b.column(0).to_pylist(), _trees(b.column(1)), _params(b.column(2)), strict=True):
+                found = {t for t in normalize(Type.decode(tpe), params_of(params)).nodes() if not t.is_kind(IGNORED)}
+                for t in found:
+                    text_ = known.get(t)
+                    if text_ is None:
+                        text_ = json.dumps(t.encode())
+                        if len(known) < 100_000:
+                            known[t] = text_
+                    shown.append(text_)
+                ids += [vid] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shown, pa.string())], names=["value_id", "shown"])
+
+    return values.select("value_id", "tpe", "params").mapInArrow(run, "value_id long, shown string")
 
 
 _NAMED = "shown string, variance string, name string"
@@ -162,7 +183,7 @@ def type_frequencies(values: DataFrame, views: list[View] | DataFrame, steps: in
     if sample_size:
         values = values.orderBy(F.xxhash64("name", "module_id"), "value_id").limit(sample_size)
     total = values.count()
-    each = _subtypes(values)
+    each = _subtypes(values).persist()  # asked for its types, and joined with what they are seen as
     types = each.select("shown").distinct()
     seen = _seen_as_by_join(types, views, steps) if isinstance(views, DataFrame) else _seen_as_on_driver(types, views, steps)
     root = F.from_json("shown", "array<array<string>>")[0]

@@ -206,7 +206,7 @@ def type_frequency(spark, d):
 
     brands = [r["p_brand"] for r in table(spark, d, "part").select("p_brand").distinct().collect()]
     views = [View(Type("-", b), Type("-", f"Maker#{b[-1]}")) for b in brands]
-    found = ix.type_frequencies(_order_values(spark, d), views).filter(~F.col("name").startswith("<"))
+    found = ix.type_frequencies(_order_values(spark, d).persist(), views).filter(~F.col("name").startswith("<"))
     return found.select("variance", "name", F.round(F.col("frequency").cast("double"), 5).alias("frequency"))
 
 
