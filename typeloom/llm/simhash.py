@@ -20,6 +20,7 @@ result; other columns of the input are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 from math import ceil, comb
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER_BYTES, components, cut, unused
+from .shared import LOWER_BYTES, components, cut, remove_folder, shared_dir, unused
 
 BITS = 64
 _BYTE_AT = np.arange(8) * 256
@@ -364,7 +365,7 @@ def _frequencies(rows: DataFrame, words: int) -> np.ndarray:
     return out
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, radius: int = 4, orders: int = 4, broadcast_ids: int = 200_000) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, min_similarity: float = 0.8, radius: int = 3, orders: int = 4, broadcast_ids: int = 200_000) -> DataFrame:
     """``(id, root)`` of documents that are similar to others: root is the smallest id of the group.
 
     A link is a pair whose sets of shingles of ``words`` words have a Jaccard similarity of ``min_similarity`` or more.
@@ -418,10 +419,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         both = pairs.join(need.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(need.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         return cut(both.select("a", "b", "sa", "sb").mapInArrow(similar, "a long, b long"))
 
-    def fit(a: str, b: str, words: range):
-        """Whether two texts can be similar, by their sizes and by words of their parity bitmaps: no more differ than shingles that one text alone may have."""
+    def fit(a: str, b: str):
+        """Whether two texts can be similar, by their sizes and parity bitmaps: no more differ than shingles that one text alone may have."""
         sizes = F.least(f"n{a}", f"n{b}") >= F.greatest(f"n{a}", f"n{b}") * min_similarity - 1e-6
-        differ = sum((F.bit_count(F.col(f"p{i}{a}").bitwiseXOR(F.col(f"p{i}{b}"))) for i in words), F.lit(0))
+        differ = sum((F.bit_count(F.col(f"p{i}{a}").bitwiseXOR(F.col(f"p{i}{b}"))) for i in range(PARITY)), F.lit(0))
         return sizes & (differ <= (F.col(f"n{a}") + F.col(f"n{b}")) * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6)
 
     def enough_left(a: str, b: str):
@@ -429,10 +430,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return 1 + F.least(F.col(f"n{a}") - F.col(f"at{a}") - 1, F.col(f"n{b}") - F.col(f"at{b}") - 1) >= (F.col(f"n{a}") + F.col(f"n{b}")) * (min_similarity / (1 + min_similarity)) - 1e-6
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        """Of ``pairs(a, b)`` those that sizes and whole bitmaps allow."""
+        """Of ``pairs(a, b)`` those that sizes and bitmaps allow."""
         for i in "ab":
             pairs = pairs.join(left.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), *[F.col("odd")[k].alias(f"p{k}{i}") for k in range(PARITY)]), i)
-        return pairs.filter(fit("a", "b", range(PARITY))).select("a", "b")
+        return pairs.filter(fit("a", "b")).select("a", "b")
 
     made = cut(rows.mapInArrow(prefixes, "id long, n int, digest binary, prefix binary, fp long, odd array<long>"))
     first = made.groupBy("digest").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
@@ -440,20 +441,23 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = equal.select(F.col("b").alias("id")).distinct()
     left = made.select("id", "n", "prefix", "fp", "odd").join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, "id", "left_anti")
     by_shingle = left.select("id", "n", "prefix").mapInArrow(exploded, "h long, id long, n int, at int").withColumn("texts", F.count(F.lit(1)).over(Window.partitionBy("h")))
-    # Shingles that several texts have, with half of the texts' bitmaps; the pairs that are left meet the whole of them.
-    some = range(PARITY // 2)
-    shared = cut(by_shingle.filter("texts > 1").drop("texts").join(left.select("id", *[F.col("odd")[i].alias(f"p{i}") for i in some]), "id"))
-
-    pairs = None
+    # Shingles that several texts have, with the texts' bitmaps. The join leaves them in order of the texts, so that a file holds a bitmap once.
+    bits = [f"p{i}" for i in range(PARITY)]
+    place = f"{shared_dir(rows.sparkSession).rstrip('/')}/shingles-{uuid.uuid4().hex}"
+    by_shingle.filter("texts > 1").drop("texts").join(left.select("id", *[F.col("odd")[i].alias(p) for i, p in enumerate(bits)]).hint("merge"), "id").write.parquet(place)
+    shared = rows.sparkSession.read.parquet(place)
+
+    own = F.struct("id", "n", "at", *bits)
+    near = shared.select("h", own.alias("x"))
     for k in range(orders):
-        own = F.struct(*[c for c in shared.columns if c != "h"])
-        following = F.lead(own).over(Window.partitionBy("h").orderBy(*([F.xxhash64("id", F.lit(k))] if k else []), "id"))
-        part = shared.select(own.alias("x"), following.alias("y")).filter("y is not null").select(*[F.col(f"{i}.{c}").alias(c + n) for i, n in (("x", "a"), ("y", "b")) for c in shared.columns if c != "h"])
-        part = part.filter((F.col("ida") != F.col("idb")) & fit("a", "b", some) & enough_left("a", "b")).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
-        pairs = part if pairs is None else pairs.union(part)
-    groups = components(verified(cut(plausible(pairs.distinct()))).union(equal))
+        near = near.withColumn(f"y{k}", F.lead("x").over(Window.partitionBy("h").orderBy(*([F.xxhash64("x.id", F.lit(k))] if k else []), "x.id")))
+    pairs = near.select("x", F.explode(F.array(*[f"y{k}" for k in range(orders)])).alias("y")).filter("y is not null and x.id <> y.id")
+    pairs = pairs.select(*[F.col(f"{i}.{c}").alias(c + n) for i, n in (("x", "a"), ("y", "b")) for c in ("id", "n", "at", *bits)])
+    pairs = pairs.filter(fit("a", "b") & enough_left("a", "b")).select(F.least("ida", "idb").alias("a"), F.greatest("ida", "idb").alias("b"))
+    groups = components(verified(cut(pairs.distinct())).union(equal))
 
     def joined_to(groups: DataFrame, nodes: DataFrame) -> DataFrame:
+        groups = F.broadcast(groups) if groups.count() <= broadcast_ids else groups
         return nodes.join(groups, F.col("id") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
     def with_links(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -463,12 +467,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = joined_to(groups, left.filter("n > 0").select("id", "fp")).groupBy("fp", "comp").agg(F.min("id").alias("id"))
     groups = with_links(groups, verified(cut(plausible(links(cut(nodes), radius).distinct()))))
 
-    of = cut(joined_to(groups, shared))
+    of = joined_to(groups, shared)
     apart = of.groupBy("h").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).filter("least <> most").select("h")
     of = of.join(apart, "h", "left_semi")
     x, y = (of.select("h", *[F.col(c).alias(f"{c}{i}") for c in of.columns if c != "h"]) for i in "ab")
-    found = x.join(y, "h").filter((F.col("ida") < F.col("idb")) & (F.col("compa") != F.col("compb")) & fit("a", "b", some) & enough_left("a", "b"))
-    groups = with_links(groups, verified(cut(plausible(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct()))))
+    found = x.join(y, "h").filter((F.col("ida") < F.col("idb")) & (F.col("compa") != F.col("compb")) & fit("a", "b") & enough_left("a", "b"))
+    groups = with_links(groups, verified(cut(found.select(F.col("ida").alias("a"), F.col("idb").alias("b")).distinct())))
+    remove_folder(rows.sparkSession, place)
     return groups.select(F.col("node").alias("id"), "root")
 
 
