@@ -216,6 +216,23 @@ def test_counts_beyond_the_head(docs, monkeypatch):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_batches_for_python_are_bounded_in_bytes(docs, monkeypatch):
+    """Every Python job of the scores has the limit in bytes, and the session's own setting is back after it."""
+    from typeloom.llm.shared import BATCH_BYTES, BATCH_LIMIT
+
+    conf, frame, seen = docs.sparkSession.conf, type(docs), []
+    conf.set(BATCH_LIMIT, "1g")
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: seen.append(conf.get(BATCH_LIMIT)) or plain(self, *a, **b))
+    try:
+        context_mixing.context_mixing_scores(docs.limit(40)).collect()
+        assert len(seen) == 4 and {int(x) for x in seen} == {BATCH_BYTES}
+        assert BATCH_BYTES <= context_mixing.PART_BYTES  # so a batch is one part
+        assert conf.get(BATCH_LIMIT) == "1g"
+    finally:
+        conf.unset(BATCH_LIMIT)
+
+
 TEXTS = ["the cat and the dog and the cat and the bird", None, " \t", "A  b\tc a b c A B C a b d \x1c é", "one", "the dog " * 40, "x y z x y z x y q"]
 M64 = (1 << 64) - 1
 

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import crc_of_id, cut
+from .shared import crc_of_id, cut, give_back, in_limited_batches
 
 #: Slots of the hashed tables (powers of two): the word before, two words before, the word before that one.
 ORDERS = (1 << 21, 1 << 22, 1 << 20)
@@ -89,6 +89,7 @@ class Tokens:
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in spelled), np.uint64, len(spelled))
         empty = spelled.index(b"") if b"" in spelled else -1
         at = np.asarray(split.offsets, dtype=np.int64)
+        del low, split
         real = codes != empty
         sizes = np.add.reduceat(np.append(real, False).astype(np.int64), at[:-1]) * (at[1:] > at[:-1]) if len(at) > 1 else np.zeros(0, np.int64)
         self.sizes = sizes + 1
@@ -96,7 +97,7 @@ class Tokens:
         self.starts = self.ends - self.sizes
         n = int(self.ends[-1]) if len(self.ends) else 0
         #: Number of each token's word in ``words``, -1 for the end.
-        self.number = np.full(n, -1, dtype=np.int64)
+        self.number = np.full(n, -1, dtype=np.int32)
         is_word = np.ones(n, dtype=bool)
         is_word[self.ends - 1] = False
         self.number[is_word] = codes[real]
@@ -326,6 +327,7 @@ def _counted(batches):
         for i in range(0, len(t.code), SLICE):
             part = slice(i, i + SLICE)
             np.add.at(seen, half_bytes(t.code[part], t.contexts(part)).ravel(), np.uint32(1))
+        del t  # before the next tokens are made
     yield from _chunks(seen)
 
 
@@ -404,6 +406,7 @@ def _scores(batches, table, weights, map_, head, logs_of, shares, rate):
         t = Tokens(batch.column(2))
         m = len(t.sizes)
         ln = mixer.run(t)
+        t.one = t.pair = t.skip = None  # the contexts are done with
         in_head = np.append(np.asarray(pc.fill_null(pc.index_in(t.words, value_set=head), -1)), pc.fill_null(pc.index_in(pa.scalar(b"", pa.large_binary()), value_set=head), -1).as_py()).astype(np.int64)
         place = in_head[t.number]
         inside = place >= 0
@@ -425,8 +428,10 @@ def _scores(batches, table, weights, map_, head, logs_of, shares, rate):
             size = len(of[part])
             none = [pa.nulls(size, kind) for kind in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(size, np.int8)), pa.array(keys[of[part]]), *none, spelled.take(pa.array(word[part])).cast(pa.binary()), pa.array(times[part]), pa.nulls(size, pa.int64())], names=names)
+        del t, place, inside, rest, each, of, spelled  # before the next tokens are made
 
 
+@in_limited_batches
 def context_mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 1, rate: float = RATE) -> DataFrame:
     """Train outside the held-out fold and score every row.
 
@@ -437,7 +442,7 @@ def context_mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).select("doc_id", held_out.alias("held_out"), "text")
     training = rows.filter("not held_out").select("text")
 
-    counted = cut(training.mapInArrow(_counted, "chunk int, word binary, n long, data binary"))
+    counted = cut(training.mapInArrow(lambda it: give_back(_counted(it)), "chunk int, word binary, n long, data binary"))
     words = cut(counted.filter("chunk < 0").groupBy("word").agg(F.sum("n").alias("c")))
     summed = counted.filter("chunk >= 0").select("chunk", "data").repartition(F.col("chunk")).mapInArrow(_summed, "chunk int, data binary").toArrow()
     n0, n1 = bit_counts(counts_of(zip(summed["chunk"].to_pylist(), summed["data"].to_pylist(), strict=True)))
@@ -456,7 +461,7 @@ def context_mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     shares = np.log10(buckets[:, 0] + 0.5 * (buckets[:, 1] + 1))  # by byte, what its words' counts are divided by
 
     without = spark.sparkContext.broadcast(without_own(n0, n1))
-    tuned = training.mapInArrow(lambda it: _tuned(it, without.value, rate), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
+    tuned = training.mapInArrow(lambda it: give_back(_tuned(it, without.value, rate)), "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toArrow()
     sums = np.zeros(8 * GATES * INPUTS + 16 * MAP_CELLS + 1)
     sums[np.asarray(tuned["at"])] = np.asarray(tuned["v"])
     weights, map_ = tuned_start(sums)
@@ -465,7 +470,7 @@ def context_mixing_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     model = spark.sparkContext.broadcast((packed(stretch(n0, n1)), weights, map_, head, logs_of, shares))
     del n0, n1
     schema = "kind byte, key long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, bits double, word binary, n long, n_bytes long"
-    scored = cut(rows.mapInArrow(lambda it: _scores(it, *model.value, rate), schema))
+    scored = cut(rows.mapInArrow(lambda it: give_back(_scores(it, *model.value, rate)), schema))
     tail = scored.filter("kind = 1").select("key", "word", "n").join(words, "word", "left")
     tail = tail.groupBy("key").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("also"))
     logs = F.col("logs") + F.coalesce("more", F.lit(0.0))

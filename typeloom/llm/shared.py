@@ -6,9 +6,11 @@ folder that the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of the batches that Python gets. Spark's own limit is by rows, whatever these hold.
+BATCH_BYTES = 11 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 LOWER_BYTES = bytes.maketrans(ASCII_UPPER.encode(), ASCII_LOWER.encode())
 
 
@@ -49,6 +54,40 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """From now on this session's batches for Python hold about ``BATCH_BYTES``; a lower limit stays."""
+    parsed = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if not 0 < parsed(spark.conf.get(BATCH_LIMIT)) <= BATCH_BYTES:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+
+def in_limited_batches(f):
+    """``f``, whose first argument is a table, with :func:`limit_batches` for the jobs that it runs itself."""
+
+    @wraps(f)
+    def run(docs: DataFrame, *args, **options):
+        conf = docs.sparkSession.conf
+        before = conf.get(BATCH_LIMIT, None)
+        limit_batches(docs.sparkSession)
+        try:
+            return f(docs, *args, **options)
+        finally:
+            if before is None:
+                conf.unset(BATCH_LIMIT)
+            else:
+                conf.set(BATCH_LIMIT, before)
+
+    return run
+
+
+def give_back(results):
+    """``results``; then the memory that is free goes back to the system, as Python workers are kept for later tasks."""
+    yield from results
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def unused(name: str, *tables: DataFrame) -> str:
     """``name``, made longer until no table has a column of that name in any case."""
     taken = {c.lower() for t in tables for c in t.columns}
