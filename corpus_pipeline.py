@@ -16,12 +16,13 @@ from typeloom.llm.digest_index import drop_exact_duplicates
 from typeloom.llm.langid import identify, train
 from typeloom.llm.mixing import mixed_documents
 from typeloom.llm.packing import best_fit_packing
-from typeloom.llm.shared import remove_folder, shared_dir
+from typeloom.llm.shared import limit_batches, remove_folder, shared_dir
 from typeloom.llm.simhash import drop_near_duplicates
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear; those without letters or with a narrow margin go."""
+    limit_batches(spark)  # the result is read after this returns, so the limit stays
     return identify(docs, train(docs)).filter("not rejected").select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
@@ -32,6 +33,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest id."""
+    limit_batches(spark)
     return drop_near_duplicates(docs, words=5)
 
 

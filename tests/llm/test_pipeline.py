@@ -3,11 +3,34 @@
 import __spark_entry__
 import corpus_pipeline
 from tests.conftest import TABLES
-from typeloom.llm import mixing, queries
+from typeloom.llm import mixing, queries, shared
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_texts_go_to_python_once_in_small_batches(spark, monkeypatch):
+    docs = spark.range(0, 8000, 1, 1).selectExpr("id as doc_id", "repeat('the cat and ', 400) as text", "'en' as lang", "'s' as source", "4800 as n_chars")
+    spark.conf.unset(shared.BATCH_LIMIT)
+    frame, sent = type(docs), []
+    plain = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, *a, **b: sent.append(self) or plain(self, *a, **b))
+    try:
+        corpus_pipeline.language_id(spark, docs, TABLES)
+        (packed,) = sent
+        sizes = [r["b"] for r in plain(packed, nbytes, "b long").collect()]
+    finally:
+        spark.conf.unset(shared.BATCH_LIMIT)
+    assert len(sizes) > 2 and max(sizes) < shared.BATCH_BYTES + 100_000
+    assert sum(sizes) < 1.1 * 8000 * 4800
+
+
+def nbytes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["b"])
+
+
 def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "pack_sequences"]
     docs = spark.read.parquet(f"{TABLES}/documents.parquet")

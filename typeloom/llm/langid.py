@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import crc_of_id
+from .shared import crc_of_id, give_back
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: What ``\w`` matches beside letters, decimal digits and the underscore: number signs such as those for one half.
@@ -113,18 +113,21 @@ def identify(docs: DataFrame, models: dict[str, bytes], text_col: str = "text",
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(models)
     names = docs.columns
-    packed = docs.select(F.col(text_col).cast("string").alias("t"), F.struct(*[docs[c] for c in names]).alias("row"))
+    # A text goes to Python once, within its row, unless it must be cast.
+    within = names.index(text_col) if text_col in names and docs.schema[text_col].dataType == T.StringType() else None
+    packed = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), *([F.col(text_col).cast("string").alias("t")] if within is None else []))
 
     def run(batches):
         encoders = Encoders(shared.value)
         for batch in batches:
-            found = [encoders.predict(t) for t in batch.column(0).to_pylist()]
-            cols = [batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())]
+            texts = batch.column(1) if within is None else batch.column(0).field(within)
+            found = [encoders.predict(t) for t in texts.to_pylist()]
+            cols = [batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())]
             cols.append(pa.array([x[0] == "und" or x[2] < min_margin for x in found], pa.bool_()))
             yield pa.RecordBatch.from_arrays(cols, names=["row", "lang_pred", "score", "margin", "rejected"])
 
     schema = T.StructType([T.StructField("row", packed.schema["row"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return packed.mapInArrow(run, schema)
+    return packed.mapInArrow(lambda it: give_back(run(it)), schema)
 
 
 def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held: int = 0, **options) -> DataFrame:
