@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .context_mixing import context_mixing_scores
 from .digest_index import exact_dedup
+from .hash_tree import shard_report
 from .html_text import extract_text
 from .langid import language_of
 from .mixing import mix_report
@@ -15,6 +16,7 @@ from .pii import personal_data
 from .quality import quality_scores
 from .shared import table
 from .simhash import simhash_near_duplicates
+from .sort_means import sort_means
 from .stable_projection import nearest
 
 
@@ -58,7 +60,51 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_html_text, op3_language, op4_mixing, op5_packing, op6_quality, op7_personal_data, op8_context_mixing, op9_exact_dedup, op10_nearest)}
+def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sort_means(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_html_text, op3_language, op4_mixing, op5_packing, op6_quality, op7_personal_data, op8_context_mixing, op9_exact_dedup, op10_nearest, op11_sort_means,
+        op13_hash_tree,
+    )
+}
+
+
+def _means_sql(rounds: int = 10) -> str:
+    """Every round assigns by distance to all centroids, and takes exact floored means."""
+    parts = [
+        """
+        kept AS MATERIALIZED (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT 8))"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""
+        d{i} AS (
+            SELECT r, k.v, c, list_sum(list_transform(list_zip(k.v, c{i}.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept k, c{i}),
+        a{i} AS MATERIALIZED (SELECT r, any_value(v) AS v, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{i} GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""
+        s{i} AS (
+            SELECT c, j, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS j FROM a{i}) GROUP BY c, j),
+        m{i} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS v FROM s{i} GROUP BY c),
+        c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(m{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return f"""
+        WITH {",".join(parts)}
+        SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+               (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(z.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN kept USING (r) JOIN c{rounds} z ON z.c = a.c
+    """
+
 
 SQL = {
     # Slot k stands at the golden-ratio point and takes the next block of its source in the order of the hash; slots that
@@ -109,4 +155,35 @@ SQL = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
     """,
+    "op11_sort_means": _means_sql(),
+    # Draws of the regions, of the racks in the region that won, and of the shards in the rack; the ninth shard is a region.
+    # The checksum is taken over all bytes with a table made from its polynomial.
+    "op13_hash_tree": r"""
+        WITH bits AS (
+            SELECT list(list_reduce(list_prepend(b::BIGINT, range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY b) AS t
+            FROM range(256) x(b)),
+        d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS k, coalesce(strlen(text), 0) + 1 AS size,
+                   xor(list_reduce(
+                       list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+                       lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
+            FROM documents, bits),
+        nodes(level, node, up, weight) AS (VALUES
+            (0, '0', '', 4), (0, '1', '', 4), (0, 'new8', '', 1),
+            (1, '0/0', '0', 2), (1, '0/1', '0', 2), (1, '1/0', '1', 2), (1, '1/1', '1', 2),
+            (2, '0/0/0', '0/0', 1), (2, '0/0/1', '0/0', 1), (2, '0/1/2', '0/1', 1), (2, '0/1/3', '0/1', 1),
+            (2, '1/0/4', '1/0', 1), (2, '1/0/5', '1/0', 1), (2, '1/1/6', '1/1', 1), (2, '1/1/7', '1/1', 1)),
+        draws AS (
+            SELECT r, level, node, up, ln((('0x' || left(md5(k || ':' || node), 13))::BIGINT + 0.5) / 4503599627370496::DOUBLE) / weight AS draw FROM d, nodes),
+        region AS (SELECT r, arg_max(node, draw) FILTER (node <> 'new8') AS region, arg_max(node, draw) AS grown FROM draws WHERE level = 0 GROUP BY r),
+        rack AS (SELECT r, arg_max(node, draw) AS rack FROM draws JOIN region USING (r) WHERE level = 1 AND up = region GROUP BY r),
+        shard AS (SELECT r, arg_max(node, draw) AS node FROM draws JOIN rack USING (r) WHERE level = 2 AND up = rack GROUP BY r),
+        placed AS (
+            SELECT d.*, split_part(node, '/', 3)::INT AS shard, CASE WHEN grown = 'new8' THEN 8 ELSE split_part(node, '/', 3)::INT END AS grown_shard,
+                   region, split_part(node, '/', 2) AS rack
+            FROM d JOIN region USING (r) JOIN shard USING (r))
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(k), doc_id, size, text_crc32) - 1 AS slot,
+               grown_shard, region, rack
+        FROM placed
+    """,
 }
