@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from .quality import quality_scores
 from .shared import table
 from .simhash import simhash_near_duplicates
 from .sort_means import sort_means
+from .token_alignment import token_alignment
+
+#: Where the vocabulary files are, on every machine.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 from .stable_projection import nearest
 
 
@@ -64,6 +70,10 @@ def op11_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sort_means(table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op13_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"))
 
@@ -72,7 +82,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_html_text, op3_language, op4_mixing, op5_packing, op6_quality, op7_personal_data, op8_context_mixing, op9_exact_dedup, op10_nearest, op11_sort_means,
-        op13_hash_tree,
+        op12_token_alignment, op13_hash_tree,
     )
 }
 

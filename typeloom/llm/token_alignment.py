@@ -226,7 +226,7 @@ def token_alignment(docs: DataFrame, byte_level: str, pieces: str, id_col: str =
     aligned = aligned_tokens(docs, byte_level, pieces, id_col, text_col)
     counts = pair_counts(aligned)
     # Pairs by the power of two of their count; the largest classes that together are at most `broadcast_pairs`.
-    classes = {r["c"]: r["k"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    classes = {r["c"]: r["k"] for r in counts.groupBy((F.length(F.bin("n")) - 1).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()}
     least, total = 64, 0
     while least > 0 and total + classes.get(least - 1, 0) <= broadcast_pairs:
         least -= 1
