@@ -86,14 +86,23 @@ def test_given_documents(spark, libraries):
     assert {r["doc_id"]: tuple(r[n] for n in NAMES) for r in got} == wanted
 
 
-def test_chunks_are_forgotten_without_effect(monkeypatch):
-    both = ta.Tokenizers(*FILES)
-    texts = [f"the word number {i} again" for i in range(50)]
-    whole = [x.tolist() for side in both.encode(texts) for x in side]
-    monkeypatch.setattr(ta, "HELD", 10)
-    both.clear()
-    parts = [[both.encode([t]) for t in texts[i : i + 1]] for i in range(len(texts))]
-    assert [x for p in parts for x in p[0][0][0].tolist()] == whole[0] and [x for p in parts for x in p[0][1][1].tolist()] == whole[4]
+@pytest.mark.parametrize(("held", "pack"), [(1, 40), (50, 1)])
+def test_packs_and_forgotten_chunks_change_nothing(spark, libraries, monkeypatch, held, pack):
+    texts = [f"the word number {i // 2} again, and the word" for i in range(30)] + ODD
+
+    def rows():
+        monkeypatch.setattr(ta, "HELD", held)
+        monkeypatch.setattr(ta, "PACK", pack)
+        import pyarrow as pa
+
+        batch = pa.RecordBatch.from_pydict({"row": list(range(len(texts))), "doc_id": list(range(len(texts))), "text": texts})
+        for b in ta._tokens(*FILES)([batch]):
+            a, b_ = b.column("a").to_pylist()[0], b.column("b").to_pylist()[0]
+            for d in b.column("texts").to_pylist()[0]:
+                yield [[i for c in d["chunks"] for i in side[c]] for side in (a, b_)]
+
+    wanted = [[[i for i, _ in side] for side in plain_tokens(libraries, t or "")] for t in texts]
+    assert list(rows()) == wanted
 
 
 def test_empty_table(spark):

@@ -8,10 +8,11 @@ A cut's place in each token sequence is found in one sort of the ends together w
 grows as n log n, however long it is. Arrays that a lambda reads by index are bound to a variable first (:func:`_let`), so
 that they are made once.
 
-Tokenising works by chunks: a single space between two characters that are no white space begins a new token in both
-tokenizers whatever stands around it, so what lies between such spaces is tokenised alone, and once for all its
-occurrences in a run of texts (a chunk's tokens are kept until there are ``HELD`` of them). This needs that no piece of the second tokenizer
-goes on past a space, which is checked when it is loaded.
+All works by chunks: a single space between two characters that are no white space begins a new token in both
+tokenizers whatever stands around it, so what lies between such spaces is tokenised alone, and no group goes on past it. A pack of texts
+(``PACK`` characters, or one longer text) is a row with its distinct chunks, whose groups and links are built once, and with the chunks
+of each text in order. A chunk's tokens are kept for later packs until there are ``HELD`` of them. This needs that no piece of the second
+tokenizer goes on past a space, which is checked when it is loaded.
 
 Counts of id pairs (documents that hold one linked) are summed map-side. Frequent pairs, at most ``broadcast_pairs`` of them by a
 threshold from a histogram of 64 counts, go to all tasks; each of the others has few documents, so that a join by
@@ -27,7 +28,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,11 @@ from .shared import cut, give_back, in_limited_batches, shared_dir
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Ids of the two tokenizers are written as one number.
 SHIFT = 20
-#: Tokens of chunks that are kept, and slices of texts that are put together at a time.
-HELD, SLICE = 1 << 21, 256
+#: Tokens of chunks that are kept, and characters of the texts that are put together.
+HELD, PACK = 1 << 21, 1 << 20
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-TOKENS = "row long, doc_id long, a array<int>, a_ends array<int>, b array<int>, b_ends array<int>"
+#: A pack: of each text its chunks by number, and the tokens of the chunks with the offsets in the chunk where they end.
+TOKENS = "texts array<struct<row:long,doc_id:long,n_a:long,n_b:long,chunks:array<int>>>, a array<array<int>>, a_ends array<array<int>>, b array<array<int>>, b_ends array<array<int>>"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -67,82 +69,76 @@ class Tokenizers:
         # The order of ids is the order of merges.
         ranks = {bytes(alphabet[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.byte_level = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.a_sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int32)
-        for t, i in ranks.items():
-            self.a_sizes[i] = len(t)
+        self.a_sizes = {i: len(t) for t, i in ranks.items()}
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = self.pieces.id_to_piece(list(range(self.pieces.get_piece_size())))
         if any("▁" in x.lstrip("▁") for x in names):
             raise ValueError("a piece goes on past a space, so texts cannot be tokenised in chunks")
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.b_sizes = np.array([len(x) for x in self.b_bytes], dtype=np.int32)
-        if max(len(self.a_sizes), len(names)) > 1 << SHIFT:
+        self.b_sizes = [len(x) for x in self.b_bytes]
+        if max(max(self.a_sizes), len(names) - 1) >= 1 << SHIFT:
             raise ValueError(f"more than {1 << SHIFT} ids")
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.fits: list[bool] = []
-        self.tokens: list[list[np.ndarray]] = [[], []]  # of each run of chunks that were learned together
-        self.counts: list[list[np.ndarray]] = [[], []]
+        #: By chunk: both sides' ids and ends; nothing for chunks whose bytes the tokens do not give back.
+        self.known: dict[str, tuple | None] = {}
         self.held = 0
 
     def learn(self, chunks: list[str]) -> None:
         a = [self.byte_level.encode_ordinary(" " + c) for c in chunks]
-        b = self.pieces.encode(chunks, num_threads=1)
-        for c in chunks:
-            self.known[c] = len(self.known)
-        # The byte-level tokens always give back their text.
-        self.fits += [b"".join([self.b_bytes[i] for i in ids]) == b" " + c.encode() for ids, c in zip(b, chunks, strict=True)]
-        for side, ids in enumerate((a, b)):
-            self.counts[side].append(np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)))
-            self.tokens[side].append(np.fromiter(chain.from_iterable(ids), dtype=np.int32))
-            self.held += len(self.tokens[side][-1])
-
-    def encode(self, texts: list[str]):
-        """For both sides ``(ids, ends, tokens of each text)``, those of all texts together; texts that cannot be given back have none."""
+        for c, x, y in zip(chunks, a, self.pieces.encode(chunks, num_threads=1), strict=True):
+            fits = b"".join([self.b_bytes[i] for i in y]) == b" " + c.encode()  # the byte-level tokens always do
+            self.known[c] = (x, list(accumulate(map(self.a_sizes.__getitem__, x))), y, list(accumulate(map(self.b_sizes.__getitem__, y)))) if fits else None
+            self.held += len(x) + len(y)
+
+    def pack(self, texts: list[str]):
+        """``(chunks of each text by number, number of tokens of each text for both sides, tokens of each chunk)``."""
         if self.held > HELD:
             self.clear()
-        split = [BETWEEN.split(t) for t in texts]
-        # In the order they come in, so that the same texts always give the same state.
-        if new := list(dict.fromkeys(c for chunks in split for c in chunks if c not in self.known)):
-            self.learn(new)
-        for side in (0, 1):
-            self.tokens[side] = [np.concatenate(self.tokens[side])] if self.tokens[side] else [np.zeros(0, np.int32)]
-            self.counts[side] = [np.concatenate(self.counts[side])] if self.counts[side] else [np.zeros(0, np.int64)]
-        numbers = [[self.known[c] for c in chunks] for chunks in split]
-        numbers = [x if all(map(self.fits.__getitem__, x)) else [] for x in numbers]
-        chunk = np.fromiter(chain.from_iterable(numbers), dtype=np.int64)
-        text = np.repeat(np.arange(len(texts)), np.fromiter(map(len, numbers), dtype=np.int64, count=len(texts)))
-        out = []
-        for side, sizes in enumerate((self.a_sizes, self.b_sizes)):
-            counts, tokens = self.counts[side][0], self.tokens[side][0]
-            starts = np.cumsum(counts) - counts
-            n = counts[chunk]
-            at = np.repeat(starts[chunk] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            ids = tokens[at]
-            per = np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)
-            ends = np.cumsum(sizes[ids], dtype=np.int64)
-            before = np.concatenate([[0], ends])[np.cumsum(per) - per]
-            out.append((ids, (ends - np.repeat(before, per)).astype(np.int32), per))
-        return out
+        split = [BETWEEN.split(t) if t else [] for t in texts]
+        # In the order they come in, so that the same texts always give the same rows.
+        distinct = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(split)))}
+        self.learn([c for c in distinct if c not in self.known])
+        tokens = [self.known[c] for c in distinct]
+        fits = [x is not None for x in tokens]
+        sizes = np.array([(len(x[0]), len(x[2])) if x else (0, 0) for x in tokens], dtype=np.int64).reshape(-1, 2)
+        numbers = [[distinct[c] for c in chunks] for chunks in split]
+        numbers = [x if all(map(fits.__getitem__, x)) else [] for x in numbers]
+        counts = [sizes[x].sum(axis=0) if x else (0, 0) for x in numbers]
+        return numbers, counts, [x or ([], [], [], []) for x in tokens]
+
+
+def _packs(batches):
+    """Rows in runs of texts of together ``PACK`` characters, one text at least."""
+    held, size = [], 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            n = len(row[2] or "")
+            if held and size + n > PACK:
+                yield held
+                held, size = [], 0
+            held.append(row)
+            size += n
+    if held:
+        yield held
 
 
 def _tokens(byte_level: str, pieces: str):
     def run(batches):
         both = Tokenizers(byte_level, pieces)
-        for b in batches:
-            for i in range(0, b.num_rows, SLICE):
-                part = b.slice(i, SLICE)
-                texts = [t or "" for t in part.column(2).to_pylist()]
-                filled = [i for i, t in enumerate(texts) if t]
-                lists = []
-                for ids, ends, per in both.encode([texts[i] for i in filled]):
-                    n = np.zeros(len(texts) + 1, dtype=np.int32)
-                    n[np.array(filled, dtype=np.int64) + 1] = per
-                    offsets = pa.array(np.cumsum(n, dtype=np.int32))
-                    lists += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, ends)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], names=["row", "doc_id", "a", "a_ends", "b", "b_ends"])
+        for rows in _packs(batches):
+            numbers, counts, tokens = both.pack([t or "" for _, _, t in rows])
+            ints = pa.list_(pa.int32())
+            texts = pa.StructArray.from_arrays(
+                [
+                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([int(a) for a, _ in counts], pa.int64()), pa.array([int(b) for _, b in counts], pa.int64()),
+                    pa.array(numbers, ints),
+                ],
+                ["row", "doc_id", "n_a", "n_b", "chunks"],
+            )
+            columns = [texts, *(pa.array([x[i] for x in tokens], ints) for i in range(4))]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["texts", "a", "a_ends", "b", "b_ends"])
 
     return lambda batches: give_back(run(batches))
 
@@ -157,38 +153,51 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _stops(ends: str, cuts: Column) -> Column:
+def _stops(ends: Column, cuts: Column) -> Column:
     """For each cut the number of tokens up to it: the cut's place when ends and cuts are sorted together, less the cuts before."""
     marked = F.sort_array(F.concat(F.transform(ends, lambda e: e.cast("long") * 2), F.transform(cuts, lambda c: c.cast("long") * 2 + 1)))
     places = _let(marked, lambda m: F.filter(_range(F.size(m)), lambda i: m[i] % 2 == 1))
     return F.transform(places, lambda p, g: p - g)
 
 
-def _slice(ids: str, stops: Column, g: Column) -> Column:
+def _slice(ids: Column, stops: Column, g: Column) -> Column:
     start = F.when(g > 0, stops[g - 1]).otherwise(0)
-    return F.slice(F.col(ids), start + 1, stops[g] - start)
+    return F.slice(ids, start + 1, stops[g] - start)
 
 
-def _aligned() -> Column:
-    """``(n_groups, n_links, written, links)`` of a row of tokens: the groups as text, and the id pairs of all links."""
+def _aligned(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
+    """``(n_groups, written, links)`` of the tokens of a chunk: the groups as text, and the id pairs of all links."""
 
     def grouped(cuts):
-        return _let(_stops("a_ends", cuts), lambda a_stops: _let(_stops("b_ends", cuts), lambda b_stops: F.transform(_range(F.size(cuts)), lambda g: F.struct(_slice("a", a_stops, g).alias("a"), _slice("b", b_stops, g).alias("b")))))
+        return _let(_stops(a_ends, cuts), lambda a_stops: _let(_stops(b_ends, cuts), lambda b_stops: F.transform(_range(F.size(cuts)), lambda g: F.struct(_slice(a, a_stops, g).alias("a"), _slice(b, b_stops, g).alias("b")))))
 
-    def text(ids):
-        return F.concat_ws(",", ids.cast("array<string>"))
+    def written(g):
+        return F.concat(F.concat_ws(",", g["a"].cast("array<string>")), F.lit("|"), F.concat_ws(",", g["b"].cast("array<string>")))
 
     def pairs(g):
-        wide = F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: F.shiftleft(x.cast("long"), SHIFT) + y)))
-        return F.when((F.size(g["a"]) == 1) & (F.size(g["b"]) == 1), F.array(F.shiftleft(g["a"][0].cast("long"), SHIFT) + g["b"][0])).otherwise(wide)
+        return F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: F.shiftleft(x.cast("long"), SHIFT) + y)))
 
     def described(groups):
-        written = F.concat_ws(";", F.transform(groups, lambda g: F.concat(text(g["a"]), F.lit("|"), text(g["b"]))))
-        n_links = F.aggregate(groups, F.lit(0).cast("long"), lambda n, g: n + F.size(g["a"]).cast("long") * F.size(g["b"]))
-        links = F.sort_array(F.flatten(F.transform(groups, pairs)))
-        return F.struct(F.size(groups).cast("long").alias("n_groups"), n_links.alias("n_links"), F.sha2(written, 256).alias("groups_sha256"), links.alias("links"))
+        return F.struct(F.size(groups).alias("n_groups"), F.concat_ws(";", F.transform(groups, written)).alias("written"), F.flatten(F.transform(groups, pairs)).alias("links"))
+
+    return _let(F.array_intersect(a_ends, b_ends), lambda cuts: _let(grouped(cuts), described))
+
+
+def _texts() -> Column:
+    """What each text of a pack has of its chunks."""
+
+    def text(d, n_groups, written, links):
+        def of(values):
+            return F.transform(d["chunks"], lambda c: values[c])
+
+        return F.struct(
+            d["row"].alias("row"), d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda n, c: n + n_groups[c]).alias("n_groups"),
+            F.when(F.size(d["chunks"]) > 0, F.sha2(F.array_join(of(written), ";"), 256)).otherwise("").alias("groups_sha256"), F.sort_array(F.flatten(of(links))).alias("links"),
+        )
 
-    return _let(F.array_intersect("a_ends", "b_ends"), lambda cuts: _let(grouped(cuts), described))
+    chunks = F.transform(_range(F.size("a")), lambda c: _aligned(F.col("a")[c], F.col("a_ends")[c], F.col("b")[c], F.col("b_ends")[c]))
+    every = _let(chunks, lambda x: F.struct(F.transform(x, lambda y: y["n_groups"]).alias("n"), F.transform(x, lambda y: y["written"]).alias("w"), F.transform(x, lambda y: y["links"]).alias("l")))
+    return _let(every, lambda x: _let(x["n"], lambda n: _let(x["w"], lambda w: _let(x["l"], lambda links: F.transform("texts", lambda d: text(d, n, w, links))))))
 
 
 @in_limited_batches
@@ -200,11 +209,9 @@ def aligned_tokens(docs: DataFrame, byte_level: str, pieces: str, id_col: str =
     """
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    tokens = rows.mapInArrow(_tokens(byte_level, pieces), TOKENS)
-    sizes = [F.size(x).cast("long").alias(f"n_{x}") for x in ("a", "b")]
-    found = tokens.select("row", "doc_id", *sizes, _aligned().alias("found"))
-    none = F.col("n_a") == 0
-    out = found.select("row", "doc_id", "n_a", "n_b", "found.n_groups", "found.n_links", F.when(none, "").otherwise(F.col("found.groups_sha256")).alias("groups_sha256"), "found.links")
+    packs = rows.mapInArrow(_tokens(byte_level, pieces), TOKENS)
+    texts = packs.select(F.explode(_texts()).alias("d"))
+    out = texts.select("d.row", "d.doc_id", "d.n_a", "d.n_b", "d.n_groups", F.size("d.links").cast("long").alias("n_links"), "d.groups_sha256", "d.links")
     place = f"{shared_dir(spark).rstrip('/')}/token-links/{uuid.uuid4().hex}"
     out.write.option("compression", "zstd").parquet(place)
     return spark.read.parquet(place)
@@ -231,14 +238,13 @@ def token_alignment(docs: DataFrame, byte_level: str, pieces: str, id_col: str =
     while least > 0 and total + classes.get(least - 1, 0) <= broadcast_pairs:
         least -= 1
         total += classes.get(least, 0)
-    frequent, rare = counts.filter(F.col("n") >= 2**least) if least < 63 else counts.limit(0), least > 0
-    keep = ["row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    each = aligned.select(*keep, F.explode_outer("links").alias("pair")).join(F.broadcast(frequent), "pair", "left")
+    frequent = counts.filter(F.col("n") >= 2**least) if least < 63 else counts.limit(0)
+    each = aligned.select("row", F.explode("links").alias("pair")).join(F.broadcast(frequent), "pair", "left")
+    sums = each.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
+    if least > 0:
+        few = each.filter("n is null").groupBy("row", "pair").agg(F.count(F.lit(1)).alias("m"))
+        more = few.join(counts.filter(F.col("n") < 2**least), "pair").select("row", (F.col("m") * F.col("best")).alias("n_best"), (F.col("m") * F.col("n")).alias("count_sum"))
+        sums = sums.union(more).groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = F.lit(0).cast("long")
-    first = [F.first(c).alias(c) for c in keep[1:]]
-    out = each.groupBy("row").agg(*first, F.coalesce(F.sum("best"), zero).alias("n_best"), F.coalesce(F.sum("n"), zero).alias("count_sum"))
-    if rare:
-        few = each.filter("pair is not null and n is null").groupBy("row", "pair").agg(F.count(F.lit(1)).alias("m"))
-        more = few.join(counts.filter(F.col("n") < 2**least), "pair").groupBy("row").agg(F.sum(F.col("m") * F.col("best")).alias("more_best"), F.sum(F.col("m") * F.col("n")).alias("more"))
-        out = out.join(more, "row", "left").withColumn("n_best", F.col("n_best") + F.coalesce("more_best", zero)).withColumn("count_sum", F.col("count_sum") + F.coalesce("more", zero))
-    return out.select(F.col("doc_id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    out = aligned.drop("links").join(sums, "row", "left")
+    return out.select(F.col("doc_id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
