@@ -42,8 +42,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Ids of the two tokenizers are written as one number.
 SHIFT = 20
 #: Tokens of chunks that are kept, and characters of the texts that are put together.
-HELD, PACK = 1 << 21, 1 << 20
+HELD, PACK = 1 << 21, 1 << 23
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+#: Tokens up to which a chunk's cuts are looked for one by one, as that takes less than a sort.
+SHORT = 64
 #: A pack: of each text its chunks by number, and the tokens of the chunks with the offsets in the chunk where they end.
 TOKENS = "texts array<struct<row:long,doc_id:long,n_a:long,n_b:long,chunks:array<int>>>, a array<array<int>>, a_ends array<array<int>>, b array<array<int>>, b_ends array<array<int>>"
 
@@ -154,10 +156,13 @@ def _range(n: Column) -> Column:
 
 
 def _stops(ends: Column, cuts: Column) -> Column:
-    """For each cut the number of tokens up to it: the cut's place when ends and cuts are sorted together, less the cuts before."""
+    """For each cut the number of tokens up to it.
+
+    In a long chunk this is the cut's place when ends and cuts are sorted together, less the cuts before.
+    """
     marked = F.sort_array(F.concat(F.transform(ends, lambda e: e.cast("long") * 2), F.transform(cuts, lambda c: c.cast("long") * 2 + 1)))
     places = _let(marked, lambda m: F.filter(_range(F.size(m)), lambda i: m[i] % 2 == 1))
-    return F.transform(places, lambda p, g: p - g)
+    return F.when(F.size(ends) <= SHORT, F.transform(cuts, lambda c: F.array_position(ends, c).cast("int"))).otherwise(F.transform(places, lambda p, g: p - g))
 
 
 def _slice(ids: Column, stops: Column, g: Column) -> Column:
@@ -171,16 +176,29 @@ def _aligned(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
     def grouped(cuts):
         return _let(_stops(a_ends, cuts), lambda a_stops: _let(_stops(b_ends, cuts), lambda b_stops: F.transform(_range(F.size(cuts)), lambda g: F.struct(_slice(a, a_stops, g).alias("a"), _slice(b, b_stops, g).alias("b")))))
 
-    def written(g):
-        return F.concat(F.concat_ws(",", g["a"].cast("array<string>")), F.lit("|"), F.concat_ws(",", g["b"].cast("array<string>")))
+    def text(x, y):
+        return F.concat(F.concat_ws(",", x.cast("array<string>")), F.lit("|"), F.concat_ws(",", y.cast("array<string>")))
+
+    def pair(x, y):
+        return F.shiftleft(x.cast("long"), SHIFT) + y
 
-    def pairs(g):
-        return F.flatten(F.transform(g["a"], lambda x: F.transform(g["b"], lambda y: F.shiftleft(x.cast("long"), SHIFT) + y)))
+    def pairs(xs, ys):
+        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pair(x, y))))
+
+    def found(n, written, links):
+        return F.struct(n.alias("n_groups"), written.alias("written"), links.alias("links"))
 
     def described(groups):
-        return F.struct(F.size(groups).alias("n_groups"), F.concat_ws(";", F.transform(groups, written)).alias("written"), F.flatten(F.transform(groups, pairs)).alias("links"))
+        return found(F.size(groups), F.concat_ws(";", F.transform(groups, lambda g: text(g["a"], g["b"]))), F.flatten(F.transform(groups, lambda g: pairs(g["a"], g["b"]))))
+
+    def aligned(cuts):
+        # All tokens in one group, and groups of one token each, need no search for the places of cuts.
+        one = F.size(cuts) == 1
+        each = (F.size(cuts) == F.size(a)) & (F.size(cuts) == F.size(b))
+        zipped = found(F.size(cuts), F.concat_ws(";", F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string")))), F.zip_with(a, b, pair))
+        return F.when(one, found(F.size(cuts), text(a, b), pairs(a, b))).when(each, zipped).otherwise(_let(grouped(cuts), described))
 
-    return _let(F.array_intersect(a_ends, b_ends), lambda cuts: _let(grouped(cuts), described))
+    return _let(F.array_intersect(a_ends, b_ends), aligned)
 
 
 def _texts() -> Column:
