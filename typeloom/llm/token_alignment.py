@@ -177,7 +177,7 @@ def _aligned(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
         return _let(_stops(a_ends, cuts), lambda a_stops: _let(_stops(b_ends, cuts), lambda b_stops: F.transform(_range(F.size(cuts)), lambda g: F.struct(_slice(a, a_stops, g).alias("a"), _slice(b, b_stops, g).alias("b")))))
 
     def text(x, y):
-        return F.concat(F.concat_ws(",", x.cast("array<string>")), F.lit("|"), F.concat_ws(",", y.cast("array<string>")))
+        return F.concat(F.array_join(x.cast("array<string>"), ","), F.lit("|"), F.array_join(y.cast("array<string>"), ","))
 
     def pair(x, y):
         return F.shiftleft(x.cast("long"), SHIFT) + y
@@ -189,13 +189,13 @@ def _aligned(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
         return F.struct(n.alias("n_groups"), written.alias("written"), links.alias("links"))
 
     def described(groups):
-        return found(F.size(groups), F.concat_ws(";", F.transform(groups, lambda g: text(g["a"], g["b"]))), F.flatten(F.transform(groups, lambda g: pairs(g["a"], g["b"]))))
+        return found(F.size(groups), F.array_join(F.transform(groups, lambda g: text(g["a"], g["b"])), ";"), F.flatten(F.transform(groups, lambda g: pairs(g["a"], g["b"]))))
 
     def aligned(cuts):
         # All tokens in one group, and groups of one token each, need no search for the places of cuts.
         one = F.size(cuts) == 1
         each = (F.size(cuts) == F.size(a)) & (F.size(cuts) == F.size(b))
-        zipped = found(F.size(cuts), F.concat_ws(";", F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string")))), F.zip_with(a, b, pair))
+        zipped = found(F.size(cuts), F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";"), F.zip_with(a, b, pair))
         return F.when(one, found(F.size(cuts), text(a, b), pairs(a, b))).when(each, zipped).otherwise(_let(grouped(cuts), described))
 
     return _let(F.array_intersect(a_ends, b_ends), aligned)
