@@ -23,6 +23,7 @@ from .settings import IndexSettings, NeutralSettings
 from .sources import definitions as sd
 from .sources.declarations import read_sources
 from .sources.files import append_csv, working_folder
+from .sources.symbols import read_project, signatures
 
 _GEO = """geo AS (
     SELECT s_name, n_name AS n, replace(r_name, ' ', '_') AS r, 'shop.' || s_name AS name, 'shop:' || CASE r_name WHEN 'ASIA' THEN 'scalaz' ELSE lower(replace(r_name, ' ', '_')) END || ':1' AS module_id
@@ -404,6 +405,55 @@ def source_views(spark, d):
     return through(rows, lambda k, t: (k, Type.decode([(n["variance"], n["name"], n["arity"], n["is_param"]) for n in json.loads(t)]).key()), "from_key string, target string")
 
 
+def _project(spark, d) -> DataFrame:
+    """Definitions of texts that use each other's types: a text a region, a nation (in the region's package) and a supplier (by import)."""
+    lands = _lands(spark, d)
+    regions = lands.select("r").distinct().select(F.concat(F.lit("region/"), "r").alias("artifact"), F.expr("concat('package geo.', r, '\ntrait Region[+T] {\n  def size: Int\n  def at(i: Int): T\n  def named(s: String): Unknown', r, '\n}\n')").alias("text"))
+    nations = lands.select(F.concat(F.lit("nation/"), "n"), F.expr("concat('package geo.', r, '\nabstract class ', n, '[+A] extends Region[List[A]] {\n  def only: ', n, '[Int]\n  def at(i: Int): List[A]\n}\n')"))
+    k = "'S' || split_part(s_name, '#', 2)"
+    text = f"concat('package shop\nimport geo.', r, '.{{', n, ' => Land}}\nclass ', {k}, '[B >: Land[Int]] extends Land[B] {{\n  def land: Land[Int] = ???\n  def region: geo.', r, '.Region[B] = ???\n}}\n')"
+    shops = _suppliers(spark, d).select(F.concat(F.lit("shop/"), "s_name"), F.expr(text))
+    return signatures(read_project(regions.union(nations).union(shops).withColumn("inner_path", F.lit("")), module=None))
+
+
+_SHOP = f"WITH {_GEO}, s AS (SELECT 'shop.S' || split_part(s_name, '#', 2) AS s, 'geo.' || r || '.' || n AS l, 'geo.' || r || '.Region' AS g FROM geo), l AS (SELECT 'geo.' || r || '.' || n AS l, 'geo.' || r || '.Region' AS g, r FROM lands)"
+
+
+@query(
+    f"{_SHOP} SELECT 'value' AS kind, s || '.land' AS name, '+<memberAccess>[-' || s || '[B], +' || l || '[+scala.Int]]' AS signature, '+' || l || '[+scala.Int]' AS lower, NULL AS error FROM s "
+    "UNION ALL SELECT 'value', s || '.region', '+<memberAccess>[-' || s || '[B], +' || g || '[+B]]', '+' || l || '[+scala.Int]', NULL FROM s UNION ALL SELECT 'type', s, NULL, '+' || l || '[+scala.Int]', NULL FROM s "
+    "UNION ALL SELECT 'value', l || '.only', '+<memberAccess>[-' || l || '[+A], +' || l || '[+scala.Int]]', '+scala.Nothing', NULL FROM l "
+    "UNION ALL SELECT DISTINCT 'error', g || '.named', NULL, NULL, 'type Unknown' || r || ' not found' FROM l"
+)
+def source_names(spark, d):
+    """Names that other texts declare: by import under another name, by their package, in full, in lower bounds; and one that nothing declares."""
+    from .functions.trees import rendered
+
+    rows = _project(spark, d)
+    own = rows.filter("(kind = 'type' and name like 'shop.%') or (kind = 'value' and (name like '%.land' or name like '%.region' or (name like '%.only' and name like 'geo.%'))) or kind = 'error'")
+    return own.select("kind", "name", "signature", rendered(F.col("params")[0]["lower"]).alias("lower"), "error")
+
+
+@query(
+    f"{_SHOP}, b AS (SELECT s, l || '[+B]' AS co, l || '[-B]' AS contra FROM s UNION ALL SELECT s, g || '[+scala.collection.immutable.List[+B]]', g || '[-scala.collection.immutable.List[-B]]' FROM s) "
+    "SELECT '+' || co AS source, '+' || s || '[B]' AS target FROM b UNION ALL SELECT '-' || s || '[B]', '-' || contra FROM b "
+    "UNION ALL SELECT '+' || s || '[B]', '+<bottom1>[B]' FROM s UNION ALL SELECT '-' || s || '[B]', '-<top1>[B]' FROM s UNION ALL SELECT '+' || s || '[B]', '+scala.Nothing' FROM s"
+)
+def source_base_types(spark, d):
+    """Views between suppliers and all their base types, those of other texts included, with type arguments put in."""
+    return _project(spark, d).filter("kind = 'view' and name like 'shop.%'").select(F.col("signature").alias("source"), F.col("seen_as").alias("target"))
+
+
+@query(
+    f"{_SHOP}, m(short, tpe) AS (VALUES ('size', '+scala.Int'), ('at', '+<methodInvocation1>[-scala.Int, +scala.collection.immutable.List[+B]]'), ('only', NULL)) "
+    "SELECT s || '.' || short AS name, '+<memberAccess>[-' || s || '[B], ' || coalesce(tpe, '+' || l || '[+scala.Int]') || ']' AS signature, CASE short WHEN 'size' THEN 'region' ELSE 'nation' END AS declared_in FROM s, m"
+)
+def source_inherited(spark, d):
+    """Members that suppliers have from their base types; the closest declaration hides the one above it."""
+    rows = _project(spark, d).filter("kind = 'value' and name like 'shop.%' and not (name like '%.land' or name like '%.region' or name like '%.<init>')")
+    return rows.select("name", "signature", F.split_part("artifact", F.lit("/"), F.lit(1)).alias("declared_in"))
+
+
 @query(f"WITH {_GEO} SELECT 'shop:' || lower(r) AS module, nullif(CASE WHEN length(r) > 4 THEN 'http://doc/' || r ELSE '' END, '') AS doc_url, count(*) AS relevant FROM lands GROUP BY r")
 def settings_source(spark, d):
     """Modules and judged queries of a settings text; an empty address is none."""

@@ -61,6 +61,9 @@ class Owner:
     public: bool = True
     abstract: bool = False
     link: str = ""
+    scope: int = 0  # tells apart places of a text where names may mean something else
+    written: tuple[tuple[str, str, str, str], ...] = ()  # its parameters with bounds, as Declared has them
+    scopes: tuple[tuple[str, str, str], ...] = ()  # what is around: (package, type, import or all; path; alias), outermost first
 
     @property
     def type(self) -> Type:
@@ -77,7 +80,7 @@ class Declared:
     kind: str
     owner: Owner
     name: str
-    params: tuple[tuple[str, str, str], ...]  # name, variance, upper bound
+    params: tuple[tuple[str, str, str, str], ...]  # name, variance, upper bound, lower bound
     clauses: list[tuple[bool, list[tuple[str, str]]]]  # implicit, (name, type)
     result: str
     flags: set[str]
@@ -93,8 +96,14 @@ class Reader:
     def __init__(self, text: str):
         self.text, self.words, self.at = text, tokens(text), 0
         self.found: list[Declared] = []
+        self.scope_count = 0
         self.body(Owner(), False)
 
+    def within(self, owner: Owner, *scopes: tuple[str, str, str]) -> Owner:
+        """``owner`` with more around it."""
+        self.scope_count += 1
+        return replace(owner, scope=self.scope_count, scopes=(*owner.scopes, *scopes))
+
     def peek(self, n: int = 0) -> str:
         return self.words[self.at + n].text if self.at + n < len(self.words) else ""
 
@@ -143,15 +152,14 @@ class Reader:
                 self.at += 1
                 inner = replace(owner, name=owner.inside(self.qualified()), kind="package")
                 inner.link = inner.name + "."
+                inner = self.within(inner, ("package", inner.name, ""))
                 if self.peek() == "{":
                     self.at += 1
                     self.body(inner, True)
                 else:
                     owner = inner
             elif word == "import":
-                self.at += 1
-                while self.peek() and not self.words[self.at].line and self.peek() != ";":
-                    self.skip_group() if self.peek() in ("(", "[", "{") else self.take()
+                owner = self.within(owner, *self.imports())
             elif word in MODIFIERS or word in ("class", "trait", "object", "def", "val", "var"):
                 self.declaration(owner)
             elif word in ("(", "[", "{"):
@@ -159,6 +167,38 @@ class Reader:
             else:
                 self.at += 1
 
+    def imports(self) -> list[tuple[str, str, str]]:
+        """The paths of an import clause: by name, renamed in braces, or all of a path."""
+        self.at += 1
+        out, path = [], []
+        while (word := self.peek()) and (not self.words[self.at].line or not path) and word != ";":
+            if word == "{":
+                begin = self.at + 1
+                self.skip_group()
+                inside = [w.text for w in self.words[begin : self.at - 1]]
+                for part in " ".join(inside).split(","):
+                    name, _, alias = (x.strip() for x in part.partition("=>"))
+                    if name == "_":
+                        out.append(("all", ".".join(path), ""))
+                    elif name and alias != "_":
+                        out.append(("import", ".".join([*path, name]), alias or name))
+                path = ["{"]
+                continue
+            self.at += 1
+            if word == ",":
+                out += self._imported(path)
+                path = []
+            elif word != ".":
+                path.append(word)
+        return out + self._imported(path)
+
+    @staticmethod
+    def _imported(path: list[str]) -> list[tuple[str, str, str]]:
+        if not path or path == ["{"]:
+            return []
+        path = path[1:] if path[0] == "_root_" else path
+        return [("all", ".".join(path[:-1]), "")] if path[-1] == "_" else [("import", ".".join(path), path[-1])]
+
     def declaration(self, owner: Owner) -> None:
         doc, start, flags = self.words[self.at].doc, self.words[self.at].start, set()
         while self.peek() in MODIFIERS:
@@ -197,7 +237,7 @@ class Reader:
             self.skip_group() if word in ("(", "[", "{") else self.take()
             first = False
 
-    def type_params(self) -> tuple[tuple[str, str, str], ...]:
+    def type_params(self) -> tuple[tuple[str, str, str, str], ...]:
         self.at += 1
         out = []
         while self.peek() and self.peek() != "]":
@@ -205,12 +245,11 @@ class Reader:
             name = self.take()
             if self.peek() == "[":
                 self.skip_group()
-            upper = ""
+            bounds = {}
             while self.peek() in ("<:", ">:", ":", "<%"):
                 bound = self.take()
-                text = self.type_text((",", "<:", ">:", ":", "<%"))
-                upper = text if bound == "<:" else upper
-            out.append((name, sign, upper))
+                bounds[bound] = self.type_text((",", "<:", ">:", ":", "<%"))
+            out.append((name, sign, bounds.get("<:", ""), bounds.get(">:", "")))
             if self.peek() == ",":
                 self.at += 1
         self.at += 1
@@ -259,16 +298,24 @@ class Reader:
                 self.at += 1
         public = owner.public and not flags & {"private", "protected"}
         link = f"{owner.link}{name}" + ("$" if kind == "object" else ".")
-        me = Owner(owner.inside(name), kind, tuple(Param(n, v) for n, v, _ in params), public, "abstract" in flags or kind == "trait", link)
+        me = Owner(owner.inside(name), kind, tuple(Param(n, v) for n, v, *_ in params), public, "abstract" in flags or kind == "trait", link, written=params, scopes=owner.scopes)
+        me = self.within(me, ("type", me.name, ""))
         self.found.append(Declared(kind, owner, name, params, clauses, "", flags, doc, start, me, parents))
         if self.peek() == "{":
             self.at += 1
             self.body(me, True)
 
 
+def plain_type(text: str) -> str:
+    """A type as written, without marks of by-name and repeated parameters and without what is mixed in or refined."""
+    return re.split(r"\s(?:with|forSome)\s|\{", text.strip().removeprefix("=> ").removesuffix(" *"))[0]
+
+
 class Resolver:
     """Types of declarations, by the names declared beside them."""
 
+    scope = 0
+
     def __init__(self, found: list[Declared]):
         self.types: dict[str, list[Owner]] = {}
         for d in found:
@@ -287,7 +334,7 @@ class Resolver:
             return Type(v, BY_NAME, (self.type(text[3:], bound, v),))
         if text.endswith(" *"):
             return Type(v, REPEATED, (self.type(text[:-2], bound, v),))
-        return self.of(read_type(re.split(r"\s(?:with|forSome)\s|\{", text)[0]), bound, v)
+        return self.of(read_type(plain_type(text)), bound, v)
 
     def of(self, raw: Raw, bound: set[str], v: str) -> Type:
         if raw.name in bound:
@@ -304,7 +351,8 @@ class Resolver:
 
 
 def _params(params, resolver: Resolver, bound: set[str]) -> list[Param]:
-    return [Param(n, v, upper=resolver.type(u, bound, CONTRA)) if u else Param(n, v) for n, v, u in params]
+    bounds = lambda u, low: ({"upper": resolver.type(u, bound, CONTRA)} if u else {}) | ({"lower": resolver.type(low, bound, CO)} if low else {})
+    return [Param(n, v, **bounds(u, low)) for n, v, u, low in params]
 
 
 def _method(clauses, out: Type, resolver: Resolver, bound: set[str]) -> Type:
@@ -319,23 +367,27 @@ def of_interest(d: Declared) -> bool:
     return d.owner.public and not d.flags & {"private", "protected"}
 
 
-def read_declarations(text: str, **where) -> list[dict]:
-    """Definition rows of one source text."""
+def read_declarations(text: str, linked: Resolver | None = None, **where) -> list[dict]:
+    """Definition rows of one source text.
+
+    With ``linked``, a resolver of names across texts, parents are rows of kind ``parent`` in place of views from direct parents.
+    """
     found = Reader(text).found
-    resolver, rows = Resolver(found), []
+    resolver, rows = linked or Resolver(found), []
     for d in filter(of_interest, found):
         owner = d.owner if d.me is None else d.me
+        resolver.scope = owner.scope
         bound = {p.name for p in owner.params} | {p[0] for p in d.params}
         place = {**where, "start": d.start, "stop": d.start + len(d.name)}
         body, attributes = parse_comment(d.doc) if d.doc else ("", [])
         said = {"comment": body, "attributes": [{"key": k, "value": v} for k, v in attributes]}
         try:
             if d.me is not None:
-                rows += _template(d, resolver, bound, said, place)
+                rows += _template(d, resolver, bound, said, place, linked is not None)
                 continue
             if not d.result:
                 raise ValueError(f"{d.owner.inside(d.name)} has no written type")
-            params = [*owner.params, *_params(d.params, resolver, bound)]
+            params = _params((*owner.written, *d.params), resolver, bound)
             static = owner.kind in ("object", "package")
             flags = {"overrides"} & {"overrides" if f == "override" else f for f in d.flags} | ({"implicit"} & d.flags) | ({"static"} if static else set())
             tpe = _method(d.clauses, resolver.type(d.result, bound), resolver, bound)
@@ -350,16 +402,30 @@ def read_declarations(text: str, **where) -> list[dict]:
     return rows
 
 
-def _template(d: Declared, resolver: Resolver, bound: set[str], said: dict, place: dict) -> list[dict]:
+def _parents(d: Declared, resolver: Resolver, bound: set[str], where: dict) -> list[dict]:
+    """The parents as rows, with their places; those that are not found as errors."""
+    me, rows = d.me, []
+    own = Type(CO, f"{me.name}.type") if me.kind == "object" else me.type
+    for i, p in enumerate(d.parents):
+        try:
+            target = resolver.type(p, bound)
+            rows.append({"kind": "parent", "name": me.name, "tpe": own.encode(), "target": target.encode(), "start": i, "params": [], "attributes": [], "flags": ["static"] if me.kind == "object" else [], **where})
+        except (ValueError, QueryError) as problem:
+            rows.append({"kind": "error", "name": me.name, "error": str(problem), **where})
+    return rows
+
+
+def _template(d: Declared, resolver: Resolver, bound: set[str], said: dict, place: dict, linked: bool) -> list[dict]:
     me = d.me
     where = {k: v for k, v in place.items() if k not in ("start", "stop")}
-    parents = [resolver.type(p, bound) for p in d.parents]
+    parents = [] if linked else [resolver.type(p, bound) for p in d.parents]
+    above = _parents(d, resolver, bound, where) if linked else []
     if me.kind == "object":
         own = Type(CO, f"{me.name}.type")
-        return [value_row(me.name, own, (), {"static"}, doc_link=me.link, **said, **place), *(view_row(v, **where) for v in inheritance_views(own, parents))]
+        return [value_row(me.name, own, (), {"static"}, doc_link=me.link, **said, **place), *above, *(() if linked else (view_row(v, **where) for v in inheritance_views(own, parents)))]
     params = _params(d.params, resolver, bound)
     rows = [type_row(me.name, params, **{**said, **where, "doc_link": me.link.rstrip(".")})] if not said["attributes"] else [{**type_row(me.name, params, said["comment"], **where, doc_link=me.link.rstrip(".")), "attributes": said["attributes"]}]
-    rows += [view_row(v, **where) for v in inheritance_views(me.type, parents)]
+    rows += above if linked else [view_row(v, **where) for v in inheritance_views(me.type, parents)]
     if me.kind == "class" and not me.abstract and not any(f.startswith("constructor p") for f in d.flags):
         rows.append(value_row(f"{me.name}.<init>", _method(d.clauses or [(False, [])], me.type, resolver, bound), params, {"static"}, **said, **place))
     return rows

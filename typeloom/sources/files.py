@@ -21,6 +21,13 @@ def working_folder(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows``, written to a working folder and read from there: what they were made of is not made again."""
+    place = working_folder(rows.sparkSession)
+    rows.write.parquet(place)
+    return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
 class Folder:
     """A folder on a Hadoop file system."""
 
