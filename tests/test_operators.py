@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from typeloom.functions import measures, text
-from typeloom.functions.types import Type, View, read_type
+from typeloom.functions.types import TREE, Type, View, read_type
 from typeloom.neutral import Definition, NeutralEngine
 from typeloom.operators import sets, views
 from typeloom.streaming import events as ev
@@ -84,6 +84,23 @@ def test_frequencies_by_list_and_by_table(spark):
     assert found["+scala.Nothing"] == 1.0 and found["+p.A"] == 0.6667 and found["+p.C"] == 1.0 and found["-p.A"] == 0.3333
 
 
+@pytest.mark.parametrize("generic", [10_000, 0])
+def test_frequencies_agree_on_cyclic_views(spark, monkeypatch, generic):
+    """A key that was passed is not passed again, whichever way the views are held."""
+    from typeloom.operators import index as ix
+    from typeloom.sources.definitions import read_lines
+
+    monkeypatch.setattr(ix, "FEW_GENERIC", generic)
+    p = Type("", "P", (), True)
+    views = [View(Type("+", "A", (p,)), Type("+", "B", (p,))), View(Type("+", "B", (p,)), Type("+", "A", (Type("", "Opt", (p,)),))), View(Type("+", "B", (Type("", "Opt", (p,)),)), Type("+", "C", (p,))), View(Type("+", "_", (), True), Type("+", "Z"))]
+    values = ix.split_kinds(read_lines(spark.createDataFrame([("p.a: A[Int]",), ("p.b: B[A[Int]]",)], "value string"), builtins=False))["values"].withColumn("value_id", F.xxhash64("name"))
+    values = values.withColumn("tpe", F.transform("tpe", lambda n: F.struct(F.when(n["name"] == "Int", "").otherwise(n["variance"]).alias("variance"), n["name"].alias("name"), n["arity"].alias("arity"), n["is_param"].alias("is_param"))))
+    schema = f"source {TREE.simpleString()}, target {TREE.simpleString()}"
+    table = ix.with_view_keys(spark.createDataFrame([(v.source.encode(), v.target.encode()) for v in views], schema))
+    a, b = (sorted(map(tuple, ix.type_frequencies(values, v, 3).collect())) for v in (views, table))
+    assert a == b and ("+", "Z", 1.0) in a and ("+", "B", 1.0) in a
+
+
 TYPES = [Definition("Long", read_type("+Long"), is_type=True), Definition("Int", read_type("+Int"), is_type=True, supertypes=(read_type("+Long"),))]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -16,6 +17,7 @@ from ..functions.types import IGNORED, Type, View, fingerprint, normalize, struc
 from ..functions.variance import INV
 from ..plans.expansion import views_between
 from ..sources.definitions import params_of
+from ..sources.files import kept
 
 TERMS = "array<struct<term:string,optional:boolean>>"
 
@@ -107,70 +109,94 @@ def wanted_views(views: DataFrame) -> DataFrame:
 
 
 def _subtypes(values: DataFrame) -> DataFrame:
-    """``(value_id, shown)``: the distinct subtrees of each value's normalized type, as text. The ignored nodes that hold them together are none."""
+    """``(value_id, type_id, shown)``: the distinct subtrees of each value's normalized type. The ignored nodes that hold them together are none.
+
+    Types are interned: ``type_id`` is a digest of the node and of its arguments' digests, and the type itself is
+    in ``shown`` only where a task meets it first.
+    """
 
     def run(batches):
-        known: dict[Type, str] = {}
+        known: dict[Type, bytes] = {}
+
+        def digest(t: Type) -> bytes:
+            found = known.get(t)
+            if found is None:
+                node = json.dumps([t.variance, t.name, len(t.args), t.param]).encode()
+                found = hashlib.blake2b(b"".join([node, *map(digest, t.args)]), digest_size=16).digest()
+                if len(known) >= 100_000:
+                    known.clear()
+                    written.clear()
+                known[t] = found
+            return found
+
+        written: set[bytes] = set()
         for b in batches:
-            ids, shown = [], []
+            ids, types, shown = [], [], []
             for vid, tpe, params in zip(b.column(0).to_pylist(), _trees(b.column(1)), _params(b.column(2)), strict=True):
-                found = {t for t in normalize(Type.decode(tpe), params_of(params)).nodes() if not t.is_kind(IGNORED)}
-                for t in found:
-                    text_ = known.get(t)
-                    if text_ is None:
-                        text_ = json.dumps(t.encode())
-                        if len(known) < 100_000:
-                            known[t] = text_
-                    shown.append(text_)
-                ids += [vid] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(shown, pa.string())], names=["value_id", "shown"])
+                for t in {t for t in normalize(Type.decode(tpe), params_of(params)).nodes() if not t.is_kind(IGNORED)}:
+                    key = digest(t)
+                    ids.append(vid)
+                    types.append(key)
+                    shown.append(None if key in written else json.dumps(t.encode()))
+                    written.add(key)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(types, pa.binary()), pa.array(shown, pa.string())], names=["value_id", "type_id", "shown"])
 
-    return values.select("value_id", "tpe", "params").mapInArrow(run, "value_id long, shown string")
+    return values.select("value_id", "tpe", "params").mapInArrow(run, "value_id long, type_id binary, shown string")
 
 
-_NAMED = "shown string, variance string, name string"
+_NAMED = "type_id binary, variance string, name string"
+#: Views from a bare parameter are sent to all tasks if they are at most so many; their keys are three values, which a join would not split.
+FEW_GENERIC = 10_000
 
 
 def _seen_as_on_driver(types: DataFrame, views: list[View], steps: int) -> DataFrame:
-    """``(shown, variance, name)`` of the alternatives of each type through a list of views."""
+    """``(type_id, variance, name)`` of the alternatives of each type through a list of views."""
 
     def run(frames):
         alternatives = views_between(views, steps)
         for frame in frames:
-            rows = [(x, y.variance, y.name) for x in frame["shown"] for y, _ in alternatives(Type.decode(json.loads(x)))]
-            yield pd.DataFrame(rows, columns=["shown", "variance", "name"])
+            rows = [(i, y.variance, y.name) for i, x in zip(frame["type_id"], frame["shown"], strict=True) for y, _ in alternatives(Type.decode(json.loads(x)))]
+            yield pd.DataFrame(rows, columns=["type_id", "variance", "name"])
 
-    return types.select("shown").mapInPandas(run, _NAMED)
+    return types.select("type_id", "shown").mapInPandas(run, _NAMED)
 
 
 def _seen_as_by_join(types: DataFrame, views: DataFrame, steps: int) -> DataFrame:
-    """The same through a table of views: a round of hops is a join on the view key, with unification as what remains to check."""
+    """The same through a table of views: a round of hops is a join on the view key, with unification as what remains to check.
+
+    As on the driver, a view key that a shorter way from the same type has passed is not passed again.
+    """
 
     def keyed(frames):
         for frame in frames:
             found = [Type.decode(json.loads(x)) for x in frame["at"]]
-            yield frame[["shown", "at"]].assign(key=[t.key() for t in found], any_key=[f"{t.variance}_" for t in found])
+            yield frame[["type_id", "at"]].assign(key=[t.key() for t in found], any_key=[f"{t.variance}_" for t in found])
 
     def hop(frames):
         for frame in frames:
             rows = []
-            for shown, at, source, target in zip(frame["shown"], frame["at"], frame["source"], frame["target"], strict=True):
+            for i, at, source, target in zip(frame["type_id"], frame["at"], frame["source"], frame["target"], strict=True):
                 y = View(Type.decode(source), Type.decode(target))(Type.decode(json.loads(at)))
                 if y is not None:
-                    rows.append((shown, json.dumps(y.encode()), y.variance, y.name))
-            yield pd.DataFrame(rows, columns=["shown", "at", "variance", "name"])
-
-    out_schema = "shown string, at string, variance string, name string"
-    front = types.select("shown", F.col("shown").alias("at"))
-    start = front.mapInPandas(keyed, "shown string, at string, key string, any_key string")
-    found = start.join(views, F.col("any_key") == F.col("from_key")).select("shown", "at", "source", "target").mapInPandas(hop, out_schema)
+                    rows.append((i, json.dumps(y.encode()), y.variance, y.name))
+            yield pd.DataFrame(rows, columns=["type_id", "at", "variance", "name"])
+
+    out_schema, key_schema = "type_id binary, at string, variance string, name string", "type_id binary, at string, key string, any_key string"
+    front = types.select("type_id", F.col("shown").alias("at"))
+    start = front.mapInPandas(keyed, key_schema)
+    generic, direct = views.filter(F.col("source")[0]["is_param"]), views.filter(~F.col("source")[0]["is_param"])
+    generic = F.broadcast(generic) if generic.limit(FEW_GENERIC + 1).count() <= FEW_GENERIC else generic
+    found = start.join(generic, F.col("any_key") == F.col("from_key")).select("type_id", "at", "source", "target").mapInPandas(hop, out_schema)
+    passed = None
     for _ in range(steps + 1):
-        at = front.mapInPandas(keyed, "shown string, at string, key string, any_key string")
-        direct = views.filter(~F.col("source")[0]["is_param"])
-        hops = at.join(direct, F.col("key") == F.col("from_key")).select("shown", "at", "source", "target").mapInPandas(hop, out_schema).distinct()
+        at = front.mapInPandas(keyed, key_schema)
+        at = kept(at if passed is None else at.join(passed, ["type_id", "key"], "left_anti"))
+        own = at.select("type_id", "key").distinct()
+        passed = own if passed is None else passed.union(own)
+        hops = kept(at.join(direct, F.col("key") == F.col("from_key")).select("type_id", "at", "source", "target").mapInPandas(hop, out_schema).distinct())
         found = found.union(hops)
-        front = hops.select("shown", "at")
-    return found.select("shown", "variance", "name").distinct()
+        front = hops.select("type_id", "at")
+    return found.select("type_id", "variance", "name").distinct()
 
 
 def type_frequencies(values: DataFrame, views: list[View] | DataFrame, steps: int = 3, sample_size: int = 0) -> DataFrame:
@@ -183,13 +209,13 @@ def type_frequencies(values: DataFrame, views: list[View] | DataFrame, steps: in
     if sample_size:
         values = values.orderBy(F.xxhash64("name", "module_id"), "value_id").limit(sample_size)
     total = values.count()
-    each = _subtypes(values).persist()  # asked for its types, and joined with what they are seen as
-    types = each.select("shown").distinct()
+    each = kept(_subtypes(values))  # asked for its types, and joined with what they are seen as
+    types = kept(each.filter("shown is not null").groupBy("type_id").agg(F.min("shown").alias("shown")))
     seen = _seen_as_by_join(types, views, steps) if isinstance(views, DataFrame) else _seen_as_on_driver(types, views, steps)
     root = F.from_json("shown", "array<array<string>>")[0]
-    named = seen.union(types.select("shown", root[0], root[1]))
-    named = named.union(named.select("shown", F.lit(INV), "name")).distinct()
-    once = each.join(named, "shown").select("value_id", "variance", "name").distinct()
+    named = seen.union(types.select("type_id", root[0], root[1]))
+    named = named.union(named.select("type_id", F.lit(INV), "name")).distinct()
+    once = each.select("value_id", "type_id").join(named, "type_id").select("value_id", "variance", "name").distinct()
     return once.groupBy("variance", "name").agg((F.count(F.lit(1)) / F.lit(max(total, 1))).cast("float").alias("frequency"))
 
 

@@ -196,18 +196,32 @@ def fingerprint_array(spark, d):
     return ix.with_fingerprints(_order_values(spark, d)).select("value_id", _shown("terms").alias("fingerprint"))
 
 
-@query(
+_FREQUENCY = (
     f"WITH {_ITEMS}, named AS (SELECT value_id, CASE WHEN term[1] IN ('+', '-') THEN term[1] ELSE '' END AS v, CASE WHEN term[1] IN ('+', '-') THEN substr(term, 2) ELSE term END AS name FROM items), "
     "seen AS (SELECT * FROM named UNION SELECT value_id, '-', 'Maker#' || right(name, 1) FROM named WHERE v = '-'), every AS (SELECT * FROM seen UNION SELECT value_id, '', name FROM seen) "
     "SELECT v AS variance, name, round(count(*) / (SELECT count(DISTINCT value_id) FROM items)::DOUBLE, 5) AS frequency FROM every GROUP BY v, name"
 )
+
+
+@query(_FREQUENCY)
 def type_frequency(spark, d):
     """Share of values in which a type occurs, by itself or by views: a brand that is taken can be seen as its maker."""
     from .functions.types import View
 
     brands = [r["p_brand"] for r in table(spark, d, "part").select("p_brand").distinct().collect()]
     views = [View(Type("-", b), Type("-", f"Maker#{b[-1]}")) for b in brands]
-    found = ix.type_frequencies(_order_values(spark, d).persist(), views).filter(~F.col("name").startswith("<"))
+    found = ix.type_frequencies(_order_values(spark, d), views).filter(~F.col("name").startswith("<"))
+    return found.select("variance", "name", F.round(F.col("frequency").cast("double"), 5).alias("frequency"))
+
+
+@query(_FREQUENCY)
+def type_frequency_joined(spark, d):
+    """The same with the views in a table: hops are joins on their keys, and a view back from the maker is not followed in circles."""
+    views = table(spark, d, "part").select("p_brand", F.concat(F.lit("Maker#"), F.right("p_brand", F.lit(1))).alias("maker")).distinct()
+    node = lambda name: F.array(F.struct(F.lit("-").alias("variance"), name.alias("name"), F.lit(0).alias("arity"), F.lit(False).alias("is_param"))).cast(sd.TREE)
+    brand, maker = node(F.col("p_brand")), node(F.col("maker"))
+    both = views.select(brand.alias("source"), maker.alias("target")).union(views.select(maker, maker))
+    found = ix.type_frequencies(_order_values(spark, d), ix.with_view_keys(both)).filter(~F.col("name").startswith("<"))
     return found.select("variance", "name", F.round(F.col("frequency").cast("double"), 5).alias("frequency"))
 
 
