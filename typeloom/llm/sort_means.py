@@ -161,7 +161,8 @@ def sort_means(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             if before is not None:
                 buckets.drop(buckets.names[-2:-1])
             before = after
-            parts = before.filter("n is not null").select("cluster", "n", F.posexplode("sums").alias("i", "s"))
+            # Grouped by row, so that each task reads a bucket: the sums are as few a task as clusters.
+            parts = before.filter("n is not null").groupBy("row", "cluster", "n").agg(F.max("sums").alias("sums")).select("cluster", "n", F.posexplode("sums").alias("i", "s"))
             sums = parts.groupBy("cluster", "i").agg(F.sum("n").alias("n"), F.sum(F.col("s").cast("decimal(38,0)")).alias("s")).collect()
             moved = centroids.copy()
             for r in sums:
