@@ -42,7 +42,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Ids of the two tokenizers are written as one number.
 SHIFT = 20
 #: Tokens of chunks that are kept, and characters of the texts that are put together.
-HELD, PACK = 1 << 21, 1 << 23
+HELD, PACK = 1 << 20, 1 << 21
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Tokens up to which a chunk's cuts are looked for one by one, as that takes less than a sort.
 SHORT = 64
