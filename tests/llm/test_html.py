@@ -91,8 +91,14 @@ def test_the_template_decides_inside_articles(spark):
 
 def test_teasers_do_not_hide_the_text():
     body = "<p>" + "Body words. " * 20 + "</p>"
-    assert text(f"<main>{body}<article>teaser</article></main>") == ("Body words. " * 20).strip()
-    assert text(f"<body><div>{body}</div><article>teaser</article></body>") == ("Body words. " * 20).strip()
+    words = ("Body words. " * 20).strip()
+    teasers = "<article>one</article><article>two</article>"
+    assert text(f"<main>{body}{teasers}</main>") == f"{words} one two"
+    assert text(f"<body><div>{body}</div>{teasers}</body>") == f"{words} one two"
+    assert text("<p>a</p><ul><li><a>longer than the text</a></ul>") == "a longer than the text"  # no template says that this is a list
+    # Nothing around an article takes its place, however long it is.
+    assert text(f"<article><p>The short real article.</p></article><div>{body}</div>") == "The short real article."
+    assert text(f"<main>{body}<article>short</article></main>") == "short"
     assert text(f"<main><p>intro</p><article>{body}</article></main>") == ("Body words. " * 20).strip()
     assert text("<article>a <math><mi>x</mi></math> b</article>") == "a x b"
     assert text(f"<article><p>{'<span>' * 6}<a href='x'>{body}</a></p></article>") == ("Body words. " * 20).strip()
@@ -116,3 +122,64 @@ def test_edges(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in got.collect()) == [("1", "", 0), ("2", "a", 1), ("2", "a", 1), ("None", "", 0)]
     assert html_text.extract_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["section id='social-policy'", "div class='menu-of-the-week'", "div class='search-results-analysis'", "div class='trending-topic'", "div class='post-search-engine'", "div class='overflow-hidden'", "h2 id='related-work'", "h2 id='comments'"])
+def test_a_word_in_a_name_drops_nothing(tag):
+    assert text(f"<article>a <{tag}>kept</{tag.split()[0]}> b</article>") == "a kept b"
+
+
+@pytest.mark.parametrize("name", ["site-nav", "newsletter-signup", "ad-slot", "cookieBar", "sidebar-left", "share-bar", "social-links", "related-stories", "ad-300x250", "reader-comments", "comment-123", "legal-notice", "promo_box"])
+def test_whole_names_drop(name):
+    assert text(f"<article>a<div class='{name}'>gone</div><div>b</div></article>") == "a b"
+
+
+def brute_template(pages, min_class=2, min_share=0.3, min_text_share=0.9):
+    """Classes of one host's pages from the whole vectors, by walking up from each token."""
+    read = [Page(p) for p in pages]
+    tokens = {t for p in read for t in p.tokens}
+    texts = {t for p in read for t in p.texts}
+    parent = {t: p.parents[t] for p in read for t in p.tokens}
+    vector = {t: tuple(p.tokens.get(t, 0) for p in read) for t in tokens}
+    on = {t: sum(c > 0 for c in v) for t, v in vector.items()}
+    often = {t for t in tokens if (on[t] >= max(3, min_text_share * len(read)) if t in texts else on[t] >= max(2, min_share * len(read)))}
+
+    def path(t):
+        return ([*path(parent[t]), t] if parent[t] != 1 else [t])
+
+    def class_of(t):  # of the innermost ancestor with this vector that began a class, else one within the parent's class
+        key = ()
+        begun = {}
+        for x in path(t):
+            key = begun.setdefault(vector[x], (*key, vector[x]))
+        return key
+
+    members = {}
+    for t in often:
+        members.setdefault(class_of(t), set()).add(t)
+    return {t for found in members.values() if len(found) >= min_class for t in found}
+
+
+def test_nested_classes_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+
+    def page(host, i):
+        items = "".join(f"<li class='i{host}'><b>{rng.choice('uvw')}{rng.random()}</b><i>tag</i></li>" for _ in range(rng.randint(0, 4)))
+        more = f"<p>Own {rng.random()}</p><p>Shared line</p>" if rng.random() < 0.8 else ""
+        return f"<div class='a{host}'><h4>Site</h4><ul>{items}</ul>{more}<em>End</em><span>{'same' if i % 3 else 'other'}</span></div>"
+
+    sites = {f"h{k}.example": [page(k, i) for i in range(6 + k)] for k in range(8)}
+    rows = [(i, f"http://{h}/{i}", p, "t", "x") for h, ps in sites.items() for i, p in enumerate(ps)]
+    got = {r["host"]: set(r["tokens"]) for r in html_text.templates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    wanted = {h: brute_template(ps) for h, ps in sites.items()}
+    assert got == {h: w for h, w in wanted.items() if w} and any(wanted.values())
+
+
+def test_equal_vectors_in_two_nests_are_two_classes():
+    one, two, three = (1, 1, 1), (2, 2, 2), (4, 4, 4)
+    rows = [(10, 1, one, False), (11, 10, one, False), (20, 11, two, False), (12, 20, one, True), (30, 20, three, False), (40, 11, three, False)]
+    assert html_text.nested(rows, 2) == {10, 11, 12}
+    assert html_text.nested([*rows, (31, 30, three, False), (21, 20, two, True)], 2) == {10, 11, 12, 20, 21, 30, 31}
+    assert html_text.nested([], 2) == set()

@@ -2,15 +2,17 @@
 
 Pages of a host share a template. Each page is read as a sequence of structural tokens: an element with its
 path of tags, classes and ids, or a text together with its path. Tokens that occur equally often on
-every page of a host (equal occurrence vectors) form an equivalence class. Classes of at least
-``min_class`` tokens on at least ``min_share`` of the host's pages (and two pages) whose tokens
-are nested in the same parent wherever they occur are valid (texts on ``min_text_share`` of the pages and three at least; copies of
-one page are no evidence); nested into each other they make up the host's
-template. What stands between template tokens are the slots, each known by its innermost template
+every page of a host (equal occurrence vectors) form an equivalence class, if they stand in the same nest: a token belongs to the
+class around it with its vector, or else to a class within the innermost one around it, so that classes form a tree. Counted are tokens
+on at least ``min_share`` of the host's pages (and two pages), texts on ``min_text_share`` of them (and three); copies of one page are no
+evidence. Classes of at least ``min_class`` tokens are valid and make up the host's template.
+What stands between template tokens are the slots, each known by its innermost template
 element. Texts that are template tokens are no content, inside an article either. Slots are labelled by role: those in menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments are dropped. Of the others, article slots are the text, unless the slots
-around them hold more: those of the main element or, on a page without one, twice as much in all slots that are not lists of links
-(the articles are then teasers beside the text). Reading and extraction take time and memory in proportion to the page.
+footers, sidebars, notices, adverts, forms and reader comments are dropped, which a tag, a role, or the whole of a class or id says: a name with a word
+in it that says anything else (``social-policy``) drops nothing, nor does the id of a heading. Of the others, the slots of a page's article element are the text, however long what stands
+around it is. Several article elements side by side may be the parts of a list, so what is around them in the main element (the page, if
+it has none) counts too, except slots that are lists of links. A page without an article has the text of its main element, else all
+slots that are not lists of links. Reading and extraction take time and memory in proportion to the page.
 
 Vectors are compared by sums of hashes of (page, count), which Spark adds up by host and token; so no host's pages
 meet in one task. Templates go to the pages by broadcast if they have at most
@@ -43,24 +45,30 @@ FENCES = frozenset("article main section nav aside header footer body table td t
 LISTS = frozenset("ul ol dl table".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of classes, ids and roles that mark what is not the article.
+#: Words of classes, ids and roles that mark what is not the article, if all other words of the name are of those below.
 DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice notification alert "
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner popup modal overlay cookie cookies consent gdpr notice notices notification alert "
     "sidebar aside widget nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc footer foot colophon copyright masthead topbar toolbar "
     "share sharing social related recommended trending popular newsletter subscribe subscription signup signin login register search form "
-    "complementary contentinfo navigation skip hidden".split()
+    "complementary contentinfo skip hidden".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist respond replies disqus discussion".split())
 HEADER_WORDS = frozenset("header banner".split())
-#: Ends of names that only say that something is contained; what is before them decides.
-CONTAINERS = frozenset("wrapper wrap container content inner outer box block section area row list items item group panel holder".split())
+#: Words that say where something stands or what it looks like, not what it is about.
+PLACES = frozenset(
+    "wrapper wrap container content inner outer box block section area row list items item group panel holder bar slot unit zone space thread trail "
+    "site page post entry reader user visitor global top bottom left right upper lower primary secondary main sub mobile desktop sticky fixed floating inline mini "
+    "button buttons link links posts articles stories icon icons label message messages cta legal privacy visually wp js ui fb no by for us".split()
+)
 #: Ends of names that say that something is the article, or around it.
 KEPT_WORDS = frozenset("main article post entry story body page text".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _NEGATED = frozenset("with has no without".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORDS = re.compile(r"[a-z]+")
+_HUMPS = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _SEEN: dict[str, tuple[bool, bool, bool]] = {}
 
 
@@ -68,14 +76,17 @@ def name_says(name: str) -> tuple[bool, bool, bool]:
     """Whether a class, id or role marks something to drop, a header, or comments."""
     known = _SEEN.get(name)
     if known is None:
-        words = _WORDS.findall(name)
-        if _NEGATED & set(words):
-            words = []
-        while len(words) > 1 and words[-1] in CONTAINERS:
-            words.pop()
-        about = bool(words) and words[-1] not in KEPT_WORDS
+        words = [w for w in _WORDS.findall(_HUMPS.sub(" ", name).lower()) if len(w) > 1]
         found = set(words)
-        known = (about and bool(found & DROPPED_WORDS), about and bool(found & HEADER_WORDS), bool(found & COMMENT_WORDS))
+        if _NEGATED & found:
+            words, found = [], set()
+        about = [w for w in words if w not in PLACES or w in KEPT_WORDS]
+        kept = bool(about) and about[-1] in KEPT_WORDS
+
+        def only(wanted: frozenset[str]) -> bool:
+            return bool(found & wanted) and found <= wanted | DROPPED_WORDS | HEADER_WORDS | COMMENT_WORDS | PLACES | KEPT_WORDS
+
+        known = (not kept and only(DROPPED_WORDS), not kept and only(HEADER_WORDS), only(COMMENT_WORDS))
         if len(_SEEN) < 10_000:
             _SEEN[name] = known
     return known
@@ -98,6 +109,7 @@ class Block(NamedTuple):
     token: int
     linked: int  # characters that are links
     node: int
+    article: int  # the node of the outermost article element around it, 0 outside
 
 
 class _Open(NamedTuple):
@@ -108,6 +120,7 @@ class _Open(NamedTuple):
     dropped: bool
     role: int
     node: int
+    article: int
     in_link: bool
     fence: int
     stop: int
@@ -123,7 +136,7 @@ class Page:
         self.texts: set[int] = set()  # tokens that are texts
         self.blocks: list[Block] = []
         self.tree: list[tuple[int, int]] = [(1, -1)]
-        self._stack: list[_Open] = [_Open("", 1, False, NONE, 0, False, 0, 0, 0)]
+        self._stack: list[_Open] = [_Open("", 1, False, NONE, 0, 0, False, 0, 0, 0)]
         self._places: dict[str, list[int]] = {}  # of open elements by tag
         self._text: list[str] = []
         self._linked = 0
@@ -137,7 +150,7 @@ class Page:
                 own = xxhash.xxh64_intdigest(text, top.token & 0xFFFFFFFF) & _MASK
                 self._token(own, top.token)
                 self.texts.add(own)
-                self.blocks.append(Block(top.role, top.dropped, text, own, self._linked, top.node))
+                self.blocks.append(Block(top.role, top.dropped, text, own, self._linked, top.node, top.article))
             self._text.clear()
         self._linked = 0
 
@@ -151,14 +164,14 @@ class Page:
         dropped, role, key, main = top.dropped, top.role, tag, tag == "main"
         dropped = dropped or tag in DROPPED_TAGS or (role == NONE and tag == "header")
         for name, value in _ATTR.findall(attrs) if attrs else ():
-            name, value = name.lower(), value.strip("\"'").lower()
+            name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id", "role"):
-                for one in value.split():
+                for one in value.split() if name != "id" or tag not in HEADINGS else ():
                     drop, header, comments = name_says(one)
                     dropped = dropped or drop or comments or (header and role == NONE)
-                    main = main or (one == "main" and tag in ("div", "section"))
-                key += f"|{name}={' '.join(_WORDS.findall(value))}"
-            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _HIDDEN_STYLE.search(value)):
+                    main = main or (one.lower() == "main" and tag in ("div", "section"))
+                key += f"|{name}={' '.join(_WORDS.findall(value.lower()))}"
+            elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN_STYLE.search(value)):
                 dropped = True
         if tag == "article":
             role = ARTICLE
@@ -167,7 +180,7 @@ class Page:
         token = xxhash.xxh64_intdigest(key, top.token & 0xFFFFFFFF) & _MASK
         self._token(token, top.token)
         at = len(self._stack)
-        self._stack.append(_Open(tag, token, dropped, role, len(self.tree), top.in_link or tag == "a", at if tag in FENCES else top.fence, at if tag in FENCES or tag in LISTS else top.stop, top.block if tag in FORMATTING else at))
+        self._stack.append(_Open(tag, token, dropped, role, len(self.tree), top.article or (len(self.tree) if tag == "article" else 0), top.in_link or tag == "a", at if tag in FENCES else top.fence, at if tag in FENCES or tag in LISTS else top.stop, top.block if tag in FORMATTING else at))
         self.tree.append((token, top.node))
         self._places.setdefault(tag, []).append(at)
 
@@ -266,15 +279,12 @@ def main_text(page: Page, template: frozenset[int] | set[int] = frozenset()) ->
     for b in blocks:
         slot = slot_of[b.node]
         size[slot] = size.get(slot, 0) + len(b.text)
-        linked[slot] = linked.get(slot, 0) + b.linked
-    articles = [b.text for b in blocks if b.role == ARTICLE]
-    around = [b for b in blocks if b.role == MAIN]
-    if articles or not around:
-        around = [b for b in around or blocks if b.role != ARTICLE and 2 * linked[slot_of[b.node]] <= size[slot_of[b.node]]]
-    share = 1 if any(b.role == MAIN for b in around) else 2
-    if articles and share * sum(map(len, articles)) >= sum(len(b.text) for b in around):
-        return " ".join(articles)
-    return " ".join(b.text for b in around)
+        linked[slot] = linked.get(slot, 0) + (b.linked if slot else 0)  # what no template delimits is no list of links
+    articles = {b.article for b in blocks if b.article}
+    if len(articles) == 1:
+        return " ".join(b.text for b in blocks if b.article)
+    main = any(b.role == MAIN for b in blocks)
+    return " ".join(b.text for b in blocks if b.article or (b.role == MAIN and not articles) or ((b.role == MAIN or not main) and 2 * linked[slot_of[b.node]] <= size[slot_of[b.node]]))
 
 
 def _host(url: str | None) -> str:
@@ -327,8 +337,48 @@ def templates(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     # Copies of one page say nothing about a template, and an article that many pages copy is not part of one.
     share = F.when(F.col("is_text") == 1, F.lit(min_text_share)).otherwise(F.lit(min_share))
     often = sums.filter("token <> 0 and low = high and first <> last").join(hosts, "host").filter(F.col("pages") >= share * F.col("of")).filter("is_text = 0 or pages >= 3")
-    by_class = often.groupBy("host", "vector1", "vector2", "pages").agg(F.collect_list("token").alias("tokens")).filter(F.size("tokens") >= min_class)
-    return by_class.groupBy("host").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
+    # A host's frequent tokens are at most 1 / min_share times those of a page, however many pages it has.
+    often = often.select("host", "token", F.col("low").alias("parent"), F.struct("vector1", "vector2", "pages").alias("vector"), F.col("is_text").cast("boolean").alias("is_text"))
+    per_host = often.groupBy("host").agg(F.collect_list(F.struct("token", "parent", "vector", "is_text")).alias("found"))
+
+    def run(batches):
+        for batch in batches:
+            hosts, tokens = batch.column(0), []
+            for found in batch.column(1):
+                rows = found.as_py()
+                tokens.append(sorted(nested([(r["token"], r["parent"], tuple(r["vector"].values()), r["is_text"]) for r in rows], min_class)))
+            yield pa.RecordBatch.from_arrays([hosts, pa.array(tokens, pa.list_(pa.int64()))], names=["host", "tokens"])
+
+    return per_host.mapInArrow(run, "host string, tokens array<long>").filter(F.size("tokens") > 0)
+
+
+def nested(rows: list[tuple[int, int, tuple, bool]], min_class: int) -> set[int]:
+    """The tokens of the tree of valid classes, from ``(token, parent, vector, is_text)``.
+
+    The parent of a frequent token is frequent too, or the root. Elements come before what they hold.
+    """
+    children: dict[int, list] = {}
+    by = {r[0] for r in rows}
+    for r in rows:
+        children.setdefault(r[1] if r[1] in by else 1, []).append(r)
+    ids: dict[tuple, int] = {}  # class by (vector, nest); 0 is the root
+    members: list[list[int]] = [[]]
+    lines: dict[int, tuple[int, dict]] = {1: (0, {})}  # of an element: its class, and the classes around its content by vector
+    todo = [1]
+    while todo:
+        at = todo.pop()
+        inner, around = lines[at]
+        for token, _, vector, is_text in children.get(at, ()):
+            own = around.get(vector)
+            if own is None:
+                own = ids.setdefault((vector, inner), len(members))
+                if own == len(members):
+                    members.append([])
+            members[own].append(token)
+            if not is_text:
+                lines[token] = (own, around if vector in around else around | {vector: own})
+                todo.append(token)
+    return {t for found in members if len(found) >= min_class for t in found}
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_tokens: int = 1_000_000, **options) -> DataFrame:
