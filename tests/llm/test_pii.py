@@ -87,8 +87,8 @@ def test_groups_of_digits_long_cues_and_secrets(spark):
     got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[50]["spans"] == "phone:9:22" and got[51]["spans"] == "" and got[50]["n_spans"] == 1
     assert got[110]["spans"] == "phone:203:214" and got[111]["spans"] == ""
-    assert all(got[200 + i]["spans"] == "secret:9:43" and got[200 + i]["n_secret"] == 1 and got[200 + i]["n_card"] == 0 for i in range(5))
-    assert got[210]["spans"] == "" and got[211]["spans"] == "secret:8:22"
+    assert all(got[200 + i]["secret_spans"] == "secret:9:43" and got[200 + i]["spans"] == "" and got[200 + i]["n_secret"] == 1 and got[200 + i]["n_card"] == 0 for i in range(5))
+    assert got[210]["n_spans"] == 0 and got[211]["secret_spans"] == "secret:8:22" and got[211]["spans"] == ""
 
 
 def test_chains_go_on_until_nothing_is_added(spark):
@@ -113,3 +113,14 @@ def test_edges(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.base_spans(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_added_spans_end_where_the_value_ends(spark):
+    rows = [(i, f"phone: +49 30 1234{i:03d} bye") for i in range(20)]
+    rows += [(100, 'phone: "030/1234567"!! bye'), (101, "phone: (030/1234568), bye"), (102, "phone: (030) 1234569. bye"), (103, "phone: '<0301234570>;' bye"), (104, 'phone: """!!! 123'), (105, "phone: \U0001f600 é ['030-1234571']?")]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = {100: "030/1234567", 101: "030/1234568", 102: "(030) 1234569", 103: "0301234570", 104: ""}
+    for i, value in wanted.items():
+        at = rows[20 + i - 100][1].find(value)
+        assert got[i]["spans"] == (f"phone:{at}:{at + len(value)}" if value else ""), i
+    assert got[105]["spans"] == ""  # the word before is another one

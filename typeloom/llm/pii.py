@@ -5,7 +5,7 @@ hexadecimal digits and letters. The word before a seed is a lexical pattern. Spa
 and instances in rounds: a pattern's confidence is the share of its word's occurrences in the corpus that
 confident instances follow, an instance's is that of its best pattern, and instances that become confident
 support further patterns, until no more do. At the end, identifier-like tokens and groups of digits (``min_digits`` digits or
-more, or an @) whose instance is confident are spans too, wherever they stand.
+more, or an @; without quotes, brackets and punctuation around them) whose instance is confident are spans too, wherever they stand.
 
 Positions: matches are wrapped in two control characters, the text is split at them, and lengths
 (in code points) are summed over the parts. Control characters U+0001 and U+0002 in a
@@ -34,6 +34,11 @@ SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,}+(?![0-9A-Za-z])"
 TOKEN = r"(?<![^\x20\x09-\x0D])(?:[(]?[0-9]++(?:[().\x20/-]{1,3}[0-9]++)++(?![^\x20\x09-\x0D.,;:!?)])|[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*)"
 KINDS = ("email", "ip", "card", "phone")
 SEEDS = (*KINDS, "secret")
+#: Without the quotes, brackets and punctuation around a token; brackets that hold a part of it stay.
+_END = """trim(trailing '"\\'.,;:!?)]}>' from m.value)"""
+_CUT = f"""if(instr({_END}, ')') > 0, m.value, trim(leading '"\\'([<{{' from {_END}))"""
+_LEAD = f"""if(instr({_END}, ')') > 0, 0, char_length({_END}) - char_length({_CUT}))"""
+_CORE = f"named_struct('start', m.start + {_LEAD}, 'stop', m.start + {_LEAD} + char_length({_CUT}), 'value', {_CUT}, 'cue', m.cue)"
 _SPACES = "\\t\\n\\u000b\\u000c\\r"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _SPAN = "array<struct<start:int,stop:int,value:string,cue:string>>"
@@ -90,7 +95,7 @@ def base_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         none = f"cast(array() as {_SPAN})"
         rows = rows.withColumn(kind, F.expr(f"filter(if({_WORTH[kind]}, {_spans('t', _PATTERN[kind])}, {none}), m -> {_VALID[kind]})"))
     seeds = ", ".join(SEEDS)
-    more = f"filter({_spans('t', TOKEN)}, m -> (instr(m.value, '@') > 0 or length({_DIGITS}) >= {min_digits}) and not exists(concat({seeds}), b -> b.start < m.stop and m.start < b.stop))"
+    more = f"filter(transform({_spans('t', TOKEN)}, m -> {_CORE}), m -> (instr(m.value, '@') > 0 or length({_DIGITS}) >= {min_digits}) and not exists(concat({seeds}), b -> b.start < m.stop and m.start < b.stop))"
     return rows.withColumn("more", F.expr(more)).drop("t")
 
 
@@ -128,9 +133,9 @@ def learn(docs: DataFrame, spans: DataFrame, text_col: str = "text", min_confide
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_digits: int = 6, broadcast_values: int = 100_000, **options) -> DataFrame:
-    """Per row: ``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans)``.
+    """Per row: ``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, secret_spans, n_secret, n_spans)``.
 
-    The first four count seeds; ``spans`` has these by kind, then those found by context and secrets, and ``n_spans`` counts them all.
+    The first four count seeds; ``spans`` has these and what contexts add, by kind; ``secret_spans`` has the fifth kind, and ``n_spans`` counts all.
     """
     spans = cut(base_spans(docs, id_col, text_col, min_digits))
     found = learn(docs, spans, text_col, **options)
@@ -143,6 +148,6 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         out = out.withColumn(f"all_{k}", F.expr(f"array_sort(concat({own}, {more}))"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select(
-        F.col("doc_id").alias(id_col), *counts, F.sha2(F.expr(_joined([(k, k) for k in KINDS])), 256).alias("base_sha256"), F.expr(_joined([(k, f"all_{k}") for k in SEEDS])).alias("spans"),
+        F.col("doc_id").alias(id_col), *counts, F.sha2(F.expr(_joined([(k, k) for k in KINDS])), 256).alias("base_sha256"), F.expr(_joined([(k, f"all_{k}") for k in KINDS])).alias("spans"), F.expr(_joined([("secret", "all_secret")])).alias("secret_spans"),
         F.size("all_secret").cast("long").alias("n_secret"), sum((F.size(f"all_{k}") for k in SEEDS), F.lit(0)).cast("long").alias("n_spans"),
     )
