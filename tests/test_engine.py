@@ -67,6 +67,11 @@ def test_catalogue(engine):
     with pytest.raises(ValueError):
         engine.finalize("unknown")
     assert [r["name"] for r in engine.find_by_name("O foo").collect()] == ["p.O.foo"]
+    every = {r["name"] for r in engine.table("values").collect()}
+    assert {r["name"] for r in engine.find_by_name(" . ").collect()} == every and engine.find_by_name("O foo absent").count() == 0
+    assert engine.find_by_name("foo O foo").count() == 1 and engine.find_by_name("O foo", [M2]).count() == 0
+    plan = engine.find_by_name("O foo")._jdf.queryExecution().executedPlan().toString()
+    assert "name_postings" in plan and "PushedFilters: [In(token" in plan
     types = {r["name"]: r for r in engine.table("type_defs").collect()}
     assert types["scala.Nothing"]["f_co"] == 1.0 and 0 < types["scala.Int"]["f_co"] < 1
     assert all(r["from_key"] for r in engine.table("views").collect())

@@ -113,6 +113,7 @@ class Engine:
         put(f"{at}/values", ix.with_fingerprints(values, s.polarized), by=None)
         values = get(f"{at}/values")
         put(f"{at}/postings", ix.postings(values).repartitionByRange("term").sortWithinPartitions("term"))
+        put(f"{at}/name_postings", ix.name_postings(values).repartitionByRange("token").sortWithinPartitions("token"))
         documents = text.document(F.col("name"), text.indexable(F.col("comment"), F.coalesce("attributes", F.expr("cast(array() as array<struct<key:string,value:string>>)"))))
         put(f"{at}/doc_terms", text.term_counts(values, "value_id", documents, True).repartitionByRange("token").sortWithinPartitions("token"))
         put(f"{at}/views", ix.with_view_keys(ix.wanted_views(_last(tables["views"], ["module_id", "name", "source", "target"]))))
@@ -289,10 +290,13 @@ class Engine:
         return group_results(found, ["group_key"])
 
     def find_by_name(self, name: str, modules: list[str] | None = None) -> DataFrame:
-        """Values whose name has all the tokens of ``name``."""
+        """Values whose name has all the tokens of ``name`` (all values, if it has none); the token filter reaches the scan of the sorted postings."""
         words = self.spark.createDataFrame([(name,)], "k string").select(F.array_distinct(text.tokens(F.col("k")))).first()[0]
-        own = text.tokens(F.col("name"))
-        return only_modules(self.table("values"), modules).filter(F.forall(F.lit(words), lambda w: F.array_contains(own, w)))
+        values = only_modules(self.table("values"), modules)
+        if not words:
+            return values
+        found = ix.with_all_tokens(only_modules(self.table("name_postings"), modules), words)
+        return values.join(found, "value_id", "left_semi")
 
     # --- service -------------------------------------------------------------------------
 

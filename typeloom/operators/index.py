@@ -87,6 +87,17 @@ def name_suffixes(type_defs: DataFrame) -> DataFrame:
     return type_defs.select(F.explode(text.suffixes(F.col("name"))).alias("suffix"), "name", F.size("params").alias("arity"), "params", "module_id")
 
 
+def name_postings(values: DataFrame) -> DataFrame:
+    """``(token, value_id, module_id)``: each token of each value's name once, made without a shuffle."""
+    return values.select(F.explode(F.array_distinct(text.tokens(F.col("name")))).alias("token"), "value_id", "module_id")
+
+
+def with_all_tokens(postings: DataFrame, words: list[str]) -> DataFrame:
+    """Ids of the values that have every one of the (distinct) ``words``; only their postings are read."""
+    hits = postings.filter(F.col("token").isin(words)).groupBy("value_id").agg(F.count(F.lit(1)).alias("n"))
+    return hits.filter(F.col("n") == len(words)).select("value_id")
+
+
 def with_view_keys(views: DataFrame) -> DataFrame:
     """Views with the key of their source: its root and the variances of its arguments; a bare parameter is ``_``.
 

@@ -19,7 +19,7 @@ from .functions.variance import CO
 from .operators import index as ix
 from .registry import corpus_terms, query, table
 from .registry_types import through
-from .settings import IndexSettings, NeutralSettings
+from .settings import IndexSettings, NeutralSettings, QuerySettings
 from .sources import definitions as sd
 from .sources.declarations import read_sources
 from .sources.files import append_csv, working_folder
@@ -254,6 +254,49 @@ def engine_search_keywords(spark, d):
     return engine(spark, d).search("supplier 000000003", n=1).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
+def _whole(spark, d, **settings) -> Engine:
+    """The engine with pages of any length."""
+    e = engine(spark, d)
+    return Engine(spark, e.folder.path, e.index_settings, QuerySettings(max_results=2**31 - 1, **settings))
+
+
+#: Everything a query for NATION_1 to its region finds, with one supplier's keyword: typed score, share of the keyword, matched terms.
+_BOTH = (
+    f"WITH {_GEO}, asked AS (SELECT n AS an, r AS ar FROM lands WHERE n = 'NATION_1'), f AS (SELECT (SELECT count(*) FROM geo JOIN asked ON n = an) / total::DOUBLE AS f1, (SELECT count(*) FROM geo JOIN asked ON r = ar) / total::DOUBLE AS f2 FROM total), "
+    f"found AS (SELECT name, n, r, CASE WHEN r <> ar THEN 0 WHEN n = an THEN 0.5 * {_ITF.format('f1')} + 0.5 * {_ITF.format('f2')} ELSE 0.5 * {_ITF.format('f2')} / 1.2 END AS typed, "
+    "CASE WHEN s_name = 'Supplier#000000003' THEN 0.1 * ln(1 + sqrt(2) * pow(1 + ln(total / 2.0), 2) / pow(18, 0.25)) ELSE 0 END AS said, "
+    "CASE WHEN r <> ar THEN '' WHEN n = an THEN '+geo.' || r || ' -geo.' || n ELSE '+geo.' || r END AS matched FROM geo, asked, f, total WHERE r = ar OR s_name = 'Supplier#000000003') "
+)
+
+
+@query(_BOTH + "SELECT name, round(typed + said, 4) AS score FROM found")
+def engine_search_typed_keywords(spark, d):
+    """Type and keywords in one query: values of either arm are found, and their scores add up."""
+    r = _lands(spark, d).filter("n = 'NATION_1'").first()["r"]
+    return _whole(spark, d).search(f"000000003: NATION_1 => {r}", n=2**31 - 1).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@query(_BOTH + "SELECT name, round(typed + said, 3) AS score, matched FROM found")
+def engine_search_explained(spark, d):
+    """What an explanation says: the score, and the terms of the fingerprint that matched."""
+    r = _lands(spark, d).filter("n = 'NATION_1'").first()["r"]
+    found = _whole(spark, d, explain=True).search(f"000000003: NATION_1 => {r}", n=2**31 - 1)
+    terms = F.array_sort(F.regexp_extract_all("explanation", F.lit(r"(\S+)\^[0-9.]+"), 1))
+    return found.select("name", F.round(F.regexp_extract("explanation", r"^(\S+) =", 1).cast("double"), 3).alias("score"), F.array_join(terms, " ").alias("matched"))
+
+
+@query(f"WITH {_GEO} SELECT name, round(sqrt(2) * pow(1 + ln(total / (total + 1.0)), 2) / pow(18, 0.25), 4) AS score FROM geo, total")
+def engine_search_retried(spark, d):
+    """A bare name that is no type is asked for again as a keyword."""
+    return _whole(spark, d).search("Supplier", n=2**31 - 1).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@query(f"WITH {_GEO} SELECT token, count(*) AS n, count(DISTINCT module_id) AS modules FROM (SELECT 'shop' AS token, module_id FROM geo UNION ALL SELECT 'supplier', module_id FROM geo UNION ALL SELECT lower(s_name), module_id FROM geo UNION ALL SELECT split_part(s_name, '#', 2), module_id FROM geo) x GROUP BY token")
+def engine_name_postings(spark, d):
+    postings = engine(spark, d).table("name_postings")
+    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("module_id").alias("modules"))
+
+
 @query(f"WITH {_GEO} SELECT name, module_id FROM geo WHERE s_name = 'Supplier#000000003'")
 def engine_find_by_name(spark, d):
     return engine(spark, d).find_by_name("000000003 supplier").select("name", "module_id")
