@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from typeloom.functions import measures, text
 from typeloom.functions.types import TREE, Type, View, read_type
-from typeloom.neutral import Definition, NeutralEngine
+from typeloom.neutral import Definition, DocumentStore, NeutralEngine, definition_views, term_frequencies, type_frequencies, view_keys
 from typeloom.operators import sets, views
+from typeloom.settings import NeutralSettings
 from typeloom.streaming import events as ev
 
 
@@ -110,7 +111,7 @@ def test_neutral_searches(spark):
     e.finalize()
     assert [r["name"] for r in e.search(read_type("+Int")).collect()] == ["foo"]
     assert [r["name"] for r in e.search(read_type("+Long")).collect()] == ["bar", "foo"]
-    assert {"+Int": 2, "/Int": 1, "+Long": 1, "/Long": 1, "+<bottom0>": 2}.items() <= e.counts.items()
+    assert {"+Int": 2, "/Int": 1, "+Long": 1, "/Long": 1, "+<bottom0>": 2}.items() <= dict(e.counts.collect()).items()
     assert e.store.by_keys(["+Int"]).count() == 1 and e.store.count(["+Int", "+Long"]) == 0
     assert 0 < e.frequency("-Nope") < 1e-300
 
@@ -123,9 +124,23 @@ def test_neutral_frequencies(spark, args, counts):
     e = NeutralEngine(spark)
     e.index([*TYPES, *(Definition(a, Type("+", "<methodInvocation1>", (read_type(a), read_type("+Unit")))) for a in args)])
     e.finalize()
-    assert counts.items() <= e.counts.items()
-    for term, n in e.counts.items():
-        assert n <= e.counts.get({"+": "+<bottom0>", "-": "-<top0>", "/": "/<unknown0>"}[term[0]], math.inf)
+    found = dict(e.counts.collect())
+    assert counts.items() <= found.items()
+    for term, n in found.items():
+        assert n <= found.get({"+": "+<bottom0>", "-": "-<top0>", "/": "/<unknown0>"}[term[0]], math.inf)
+
+
+def test_neutral_frequencies_of_a_table(spark):
+    """Types in a table give what the list gives; a type without a text has no views, keys count once, sources without keys lead nowhere."""
+    docs = DocumentStore(spark.createDataFrame([("f", ["-A", "-A", "+B"], "m"), ("g", ["+B"], "m"), ("h", [], "m")], "name string, keys array<string>, source string"))
+    rows = spark.createDataFrame([("+A", ["+B"]), ("+B", None), (None, ["+B"])], "type string, supertypes array<string>")
+    listed = [Definition("A", Type("+", "A"), (), (Type("+", "B"),), True), Definition("B", Type("+", "B"), is_type=True)]
+    views = view_keys(rows, NeutralSettings())
+    table = dict(term_frequencies(docs, views).collect())
+    assert table == dict(type_frequencies(docs, listed, [v for d in listed for v in definition_views(d)]).collect())
+    assert table["+B"] == 2 and table["+A"] == 2 and table["-A"] == 1 and table["-B"] == 1
+    assert dict(term_frequencies(docs, views.unionByName(spark.createDataFrame([([], ["+X"])], views.schema))).collect()) == table
+    assert term_frequencies(docs, views.limit(0)).count() == 0
 
 
 def stream(spark, tmp_path, rows, schema):

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
@@ -17,13 +16,11 @@ from pyspark.sql import functions as F
 
 from .functions.types import Type, View, read_type
 from .functions.variance import CO, CONTRA, INV
-from .plans.expansion import Leaf, Max, Sum, Tree, candidate_terms, fixpoint
+from .plans.expansion import Leaf, Max, Sum, Tree, candidate_terms, fixpoint, leaves
 from .plans.scoring import Scorer
 from .settings import NeutralSettings
 
 FN, TOP, BOTTOM, UNKNOWN, IGNORED = "<fn{}>", "<top{}>", "<bottom{}>", "<unknown{}>", "<ignored{}>"
-#: At most so many keys of views are sent to all tasks.
-BROADCAST_KEYS = 200_000
 #: The frequency of a term that no document leads to: the smallest positive number.
 RARE = 5e-324
 
@@ -245,31 +242,45 @@ class DocumentStore:
         return self.by_keys(keys).count()
 
 
-def type_frequencies(store: DocumentStore, types: Iterable[Definition], views: Iterable[View]) -> dict[str, int]:
-    """For each term the documents that the sources of its views lead to, summed over views.
+def view_keys(rows: DataFrame, settings: NeutralSettings) -> DataFrame:
+    """``(keys array<string>, terms array<string>)`` of all views of the types in ``rows(type, supertypes)``, read where the rows are.
 
-    One job counts all sources: each source's keys are matched to the documents that hold them all.
+    A view's keys are the terms of its source, its terms those of its target. Types and supertypes are texts; a null type
+    has no views, null supertypes count as none.
     """
-    by_source: dict[tuple, list[View]] = {}
-    for v in [*(e for t in types for e in elementary_views(t)), *views]:
-        by_source.setdefault(v.source, []).append(v)
-    numbered = list(by_source.items())
-    wanted = [(i, k) for i, (source, _) in enumerate(numbered) for k in set(fingerprint(source))]
-    if not wanted:
-        return {}
-    spark = store.docs.sparkSession
-    asked = spark.createDataFrame(wanted, "source int, key string")
-    need = asked.groupBy("source").agg(F.count(F.lit(1)).alias("need"))
-    if len(wanted) <= BROADCAST_KEYS:
-        asked, need = F.broadcast(asked), F.broadcast(need)
+    import pandas as pd
+
+    def run(frames):
+        for frame in frames:
+            found = []
+            for t, supers in zip(frame["type"], frame["supertypes"], strict=True):
+                if t is not None:
+                    d = Definition("", internal(read_type(t), settings), (), tuple(internal(read_type(x), settings) for x in (supers if supers is not None else ())), True)
+                    found += [*elementary_views(d), *definition_views(d)]
+            yield pd.DataFrame({"keys": [sorted(set(fingerprint(v.source))) for v in found], "terms": [fingerprint(v.target) for v in found]}, dtype=object)
+
+    return rows.select("type", "supertypes").mapInPandas(run, "keys array<string>, terms array<string>")
+
+
+def term_frequencies(store: DocumentStore, views: DataFrame) -> DataFrame:
+    """``(term, tf)``: the documents that the sources of a term's ``views(keys, terms)`` lead to, summed over views.
+
+    Each source counts once the documents that hold all its keys, however many views it has; a source without keys leads to none. Only
+    the sources' keys of the documents take part, and nothing is collected.
+    """
+    sources = views.select(F.array_sort(F.array_distinct("keys")).alias("keys"), "terms").withColumn("source", F.xxhash64(F.to_json("keys")))
+    per_term = sources.select("source", F.explode("terms").alias("term")).groupBy("source", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = sources.select("source", F.size("keys").alias("need"), F.explode("keys").alias("key")).distinct()
     docs = store.docs.select(F.xxhash64("name", "source", F.to_json("keys")).alias("doc"), F.explode(F.array_distinct("keys")).alias("key"))
-    hits = docs.join(asked, "key").groupBy("source", "doc").agg(F.count(F.lit(1)).alias("has")).join(need, "source").filter("has = need")
-    out: Counter = Counter()
-    for r in hits.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect():
-        for v in numbered[r["source"]][1]:
-            for term in fingerprint(v.target):
-                out[term] += r["n"]
-    return dict(out)
+    hits = docs.join(asked, "key").groupBy("source", "doc").agg(F.count(F.lit(1)).alias("has"), F.first("need").alias("need")).filter("has = need")
+    counts = hits.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return per_term.join(counts, "source").groupBy("term").agg(F.sum(F.col("n") * F.col("times")).alias("tf"))
+
+
+def type_frequencies(store: DocumentStore, types: Iterable[Definition], views: Iterable[View]) -> DataFrame:
+    """As :func:`term_frequencies`, for the elementary views of listed types and for listed views."""
+    rows = [(sorted(set(fingerprint(v.source))), fingerprint(v.target)) for v in [*(e for t in types for e in elementary_views(t)), *views]]
+    return term_frequencies(store, store.docs.sparkSession.createDataFrame(rows, "keys array<string>, terms array<string>"))
 
 
 class NeutralEngine:
@@ -295,16 +306,23 @@ class NeutralEngine:
             self.store.docs = self.store.docs.unionByName(more.docs)
         self.store.docs = self.store.docs.persist()
         self.views = list(dict.fromkeys(v for d in self.definitions for v in definition_views(d)))
-        self.counts = type_frequencies(self.store, [d for d in self.definitions if d.is_type], self.views)
+        self.counts = type_frequencies(self.store, [d for d in self.definitions if d.is_type], self.views).persist()
+
+    def frequencies(self, terms: Iterable[str]) -> dict[str, float]:
+        """Relative frequencies of the terms of a query, by one filtered read."""
+        bottom = "+" + BOTTOM.format(0)
+        found = {r["term"]: r["tf"] for r in self.counts.filter(F.col("term").isin(sorted({*terms, bottom}))).collect()}
+        most = found.get(bottom, 0)
+        return {t: found[t] / most if most and t in found else RARE for t in terms}
 
     def frequency(self, term: str) -> float:
-        most = self.counts.get("+" + BOTTOM.format(0), 0)
-        return self.counts[term] / most if most and term in self.counts else RARE
+        return self.frequencies([term])[term]
 
     def search(self, t: Type, params: Iterable[Bound] = (), more: DataFrame | None = None) -> DataFrame:
         """Documents by score, best first, with their penalties; ``more`` candidates are scored as well."""
         s = self.settings
-        tree = weigh(expand(internal(t, s), params, self.views), self.frequency, s)
+        tree = expand(internal(t, s), params, self.views)
+        tree = weigh(tree, self.frequencies({leaf.term for leaf in leaves(tree)}).__getitem__, s)
         found = self.store.by_any(candidate_terms(tree, s.cutoff))
         if more is not None:
             found = found.unionByName(more).dropDuplicates(["name", "source"])

@@ -507,23 +507,26 @@ def _search(spark, d, n: int) -> DataFrame:
     return found.select("value_id", "module_id", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
-@query()
-def search_ranked(spark, d):
-    return _search(spark, d, 100)
-
-
 _ITF = "greatest(ln(2.7 / (f * 2.7 + (1 - f))) / ln(2.7), 0.001)"
 
-@query(
+_SCORED = (
     f"WITH {_POSTINGS}, total AS (SELECT count(DISTINCT value_id) AS total FROM postings), asked(term, share) AS (VALUES ('+Brand#11', 0.5::DOUBLE), ('+Brand#12', 0.2), ('-Brand#22', 0.5), ('-Brand#23', 0.2)), "
     f"weights AS (SELECT term AS lterm, share * {_ITF} AS boost FROM (SELECT asked.term, share, count(DISTINCT value_id) / any_value(total)::DOUBLE AS f FROM asked LEFT JOIN postings ON asked.term = postings.term, total GROUP BY asked.term, share) x), "
     f"{_max_scores(('+Brand#11', '+Brand#12'), ('-Brand#22', '-Brand#23'), 'SELECT * FROM weights')}, m AS (SELECT value_id, any_value(module_id) AS module_id FROM postings GROUP BY value_id) "
     "SELECT value_id, module_id, round(score / (1 + 0.1 * penalty::DOUBLE), 4) AS score FROM s JOIN m USING (value_id) WHERE score > 0"
 )
+
+
+@query(_SCORED)
 def search_scored(spark, d):
     """All results of the search, not only the best."""
     return _search(spark, d, 1 << 30)
 
 
+@query(f"{_SCORED} ORDER BY score DESC, value_id LIMIT 100")
+def search_ranked(spark, d):
+    return _search(spark, d, 100)
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return search_ranked(spark, d)

@@ -575,9 +575,10 @@ def neutral_frequency(spark, d):
     """Documents that the sources of a term's views lead to; suppliers are functions from nation to region."""
     s = _suppliers(spark, d)
     docs = s.select(F.col("s_name").alias("name"), F.array(F.concat(F.lit("-"), "n"), F.concat(F.lit("+"), "r")).alias("keys"), F.lit("shop").alias("source"))
-    types = _neutral_types(spark, d)
-    views = [v for t in types for v in neutral.definition_views(t)]
-    return spark.createDataFrame(sorted(neutral.type_frequencies(neutral.DocumentStore(docs), types, views).items()), "term string, tf long")
+    lands = _lands(spark, d)
+    own = lambda c: F.concat(F.lit("+"), c)
+    types = lands.select(own("n").alias("type"), F.array(own("r")).alias("supertypes")).union(lands.select(own("r"), F.expr("cast(null as array<string>)")).distinct())
+    return neutral.term_frequencies(neutral.DocumentStore(docs), neutral.view_keys(types, NeutralSettings()))
 
 
 @query(
