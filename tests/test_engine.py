@@ -1,6 +1,9 @@
+import pathlib
+
 import pytest
+from pyspark.sql import functions as F
 
-from typeloom.engine import Engine
+from typeloom.engine import Engine, without
 from typeloom.functions.types import Type
 from typeloom.plans.errors import NameAmbiguous, NameNotFound, QueryError
 from typeloom.settings import IndexSettings, QuerySettings
@@ -109,6 +112,77 @@ def test_deletions_and_rebuilding(spark, tmp_path):
     assert e.status() == {"state": "empty"}
 
 
+def _files(e):
+    """Sizes of all data files of an index."""
+    return {f: f.stat().st_size for f in pathlib.Path(e.folder.path).rglob("*.parquet")}
+
+
+def _rows(e, kind):
+    return sorted(str(sorted(r.asDict(True).items())) for r in e.table(kind).drop("batch").collect())
+
+
+def test_segments(spark, tmp_path):
+    def lines(*modules):
+        return read_lines(spark.createDataFrame([x for x in LINES if x[1] in modules], "value string, m string"), module="m")
+
+    e = Engine(spark, str(tmp_path / "grown"))
+    e.index("a", lines(STD, M1))
+    e.finalize("a")
+    first = _files(e)
+    planned = e.table("values")
+    e.index("a", lines(M2, M1))  # values of the first are there already
+    e.finalize("a")
+    assert len(e._version("a")["segments"]) == 2 and first.items() <= _files(e).items()
+    assert e.table("values").count() == 7 == e._version("a")["values"]
+    whole = Engine(spark, str(tmp_path / "whole"))
+    whole.index("a", lines(STD, M1, M2))
+    whole.finalize("a")
+    kinds = ("values", "postings", "name_postings", "doc_terms", "views", "type_defs", "suffixes", "frequencies", "modules")
+    assert all(_rows(e, k) == _rows(whole, k) for k in kinds)
+    before = _files(e)
+    e.delete_module(M1)
+    assert _files(e) == before  # no table is written
+    assert planned.count() == 3 and e.table("values").count() == 4 == e._version("a")["values"]
+    for kind in ("values", "postings", "name_postings", "doc_terms", "views", "type_defs", "suffixes", "modules"):
+        assert e.table(kind).filter(f"module_id = '{M1}'").count() == 0
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    plan = e.table("postings").filter("term = '+scala.Int'")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(term" in plan and f"Not(EqualTo(module_id,{M1}))" in plan  # both reach the scan
+    e.index("a", lines(M1))
+    e.finalize("a")  # what was deleted comes back only with a later batch
+    assert all(_rows(e, k) == _rows(whole, k) for k in kinds)
+    assert len(e._version("a")["segments"]) == 3
+    e.compact("a")
+    assert len(e._version("a")["segments"]) == 1 and all(_rows(e, k) == _rows(whole, k) for k in kinds)
+    e.delete_module(M1)
+    e.delete_module(M2)
+    e.delete_module(STD)
+    assert e.table("values").count() == 0 and found(e, "create") == []
+    e.index("a", lines(M1))
+    e.finalize("a")  # more was deleted than is left: one segment again
+    assert len(e._version("a")["segments"]) == 1 and e.table("values").count() == 3
+
+
+def test_conditions_of_deletions(spark):
+    rows = spark.createDataFrame([("m", "x", 1.0), ("m", None, 3.0), ("n", "x", 3.0)], "module_id string, artifact string, batch double")
+    shown = lambda gone: sorted((r["module_id"], r["artifact"]) for r in without(rows, gone).na.fill("-").collect())
+    assert shown([["module_id", "m"]]) == [("n", "x")] and shown([["artifact", "x"]]) == [("m", "-")]
+    assert shown([["artifact", "x", 2.0]]) == [("m", "-"), ("n", "x")] and shown([["other", "x"]]) == shown([])
+
+
+def test_rows_of_types_are_replaced(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "i"))
+    e.index("a", read_lines(spark.createDataFrame(LINES, "value string, m string"), module="m"))
+    e.finalize("a")
+    segments, values = e._version("a")["segments"], _rows(e, "values")
+    new = e.table("type_defs").filter("name = 'q.C'").select("name", "params", "comment", "attributes", "module_id")
+    e.add("type_defs", new.withColumn("comment", F.lit("new")), ["module_id", "name"])
+    assert [r["comment"] for r in e.type_named("q.C").collect()] == ["new"] and e._version("a")["segments"] == segments
+    e.add("values", e.table("values").filter("name = 'q.O.m'").withColumn("comment", F.lit("said")), ["name"])
+    assert e.table("values").filter("comment = 'said'").count() == 1 and len(_rows(e, "values")) == len(values)
+
+
 def test_settings_are_checked():
     with pytest.raises(ValueError):
         QuerySettings(doc_boost=-1)

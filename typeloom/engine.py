@@ -2,10 +2,16 @@
 
 An index is built in a folder of its own and becomes visible when a new version is complete, so a reader
 never meets half an index, and searches go on while an index is built again.
+
+A version names its folders. Tables with rows for each value stand in segments: new batches become a segment of
+their own, and those before stay as they are. What is deleted is a condition on the rows of the segments there are,
+which readers put to their scans. The small tables of types are derived from all batches. Segments are
+made one again (:meth:`Engine.compact`) by itself when there are many, or much in them is deleted.
 """
 
 from __future__ import annotations
 
+import functools
 import time
 import uuid
 
@@ -33,11 +39,27 @@ DEFAULT_MODULES = ("scala-library", "scalaz")
 
 
 BASE = ("values", "type_defs", "views", "modules", "errors")
+#: Tables with rows for each value, in segments.
+OF_VALUES = ("values", "postings", "name_postings", "doc_terms")
+#: What makes a row of a table of types the same as one of an earlier batch.
+SAME = {"type_defs": ["module_id", "name"], "views": ["module_id", "name", "source", "target"], "modules": ["module_id"]}
+#: With more segments, or more deleted rows than live ones, segments are made one again.
+MAX_SEGMENTS = 8
+
 
+def without(rows: DataFrame, gone: list[list]) -> DataFrame:
+    """Rows but those that ``gone``, ``[column, value]`` or ``[column, value, time]``, deletes; all of a table without the column.
 
-def only(rows: DataFrame, column: str, gone: str) -> DataFrame:
-    """Rows but those with the value ``gone``; all of a table without the column."""
-    return rows.filter(~F.col(column).eqNullSafe(gone)) if column in rows.columns else rows
+    With a time, only rows of batches until then are deleted. A missing value is never deleted.
+    """
+    for column in sorted({g[0] for g in gone} & set(rows.columns)):
+        own = [g for g in gone if g[0] == column]
+        always = sorted({g[1] for g in own if len(g) == 2})
+        if always:
+            rows = rows.filter(F.col(column).isNull() | ~F.col(column).isin(always))
+        for _, value, until in (g for g in own if len(g) == 3):
+            rows = rows.filter(F.col(column).isNull() | (F.col(column) != value) | (F.col("batch") > until))
+    return rows
 
 
 def _type(nodes) -> Type:
@@ -62,13 +84,23 @@ class Engine:
         """The folder of all batches of an index."""
         return self.folder.read_json(f"{name}.building", {"at": f"{name}/building"})["at"]
 
-    def finalize(self, name: str) -> int:
-        """Derive the tables of a new version from all batches, and make it the one that is searched."""
-        where = self._building(name)
+    def _batches(self, name: str) -> dict[str, DataFrame]:
+        """All batches of an index, without what was deleted after they came."""
+        where, gone = self._building(name), self.folder.read_json(f"{name}.building", {}).get("gone", [])
         if not self.folder.has(f"{where}/values"):
             raise ValueError(f"nothing was indexed under {name!r}")
-        built = {k: self.folder.table(f"{where}/{k}") for k in BASE}
-        self._publish(name, built)
+        return {k: without(self.folder.table(f"{where}/{k}"), gone) for k in BASE}
+
+    def finalize(self, name: str) -> int:
+        """Make what was indexed searchable: a segment of the batches that came since the last version, and the tables of types anew.
+
+        Batches of an index come one after the other, none while it is finalized.
+        """
+        built, version = self._batches(name), self._version(name)
+        if version is None or version["settings"] != self.index_settings.fingerprint() or self._wants_compaction(version):
+            self._publish_whole(name, built)
+        else:
+            self._publish_delta(name, built, version)
         self.folder.write_json("active", {"index": name})
         errors = built["errors"].count()
         self.folder.write_json(f"{name}.state", {"state": READY, "errors": errors})
@@ -78,22 +110,60 @@ class Engine:
         """Derive an index again if it was built with other settings, with the definitions of ``others`` added; whether it was."""
         if not others and not self.needs_rebuild(name):
             return False
-        built = {k: self.folder.table(f"{self._building(name)}/{k}") for k in BASE}
+        built = self._batches(name)
         for other in others:
-            where = self._building(other)
-            built = {k: rows.unionByName(self.folder.table(f"{where}/{k}"), allowMissingColumns=True) for k, rows in built.items()}
+            built = {k: rows.unionByName(self._batches(other)[k], allowMissingColumns=True) for k, rows in built.items()}
         self._replace_base(name, built)
-        self._publish(name, {k: self.folder.table(f"{self._building(name)}/{k}") for k in BASE})
+        self._publish_whole(name, self._batches(name))
         return True
 
-    def _publish(self, name: str, built: dict[str, DataFrame]) -> None:
-        """A new version; the one before stays for searches that were planned on it, older ones go."""
-        old = self.folder.read_json(f"{name}.version", {"version": 0})["version"]
-        at = f"{name}/v{old + 1:06d}"
-        self._derive(at, built)
-        self.folder.write_json(f"{name}.version", {"version": old + 1, "settings": self.index_settings.fingerprint(), "values": self.folder.table(f"{at}/values").count()})
-        if old > 1:
-            self.folder.delete(f"{name}/v{old - 1:06d}")
+    def compact(self, name: str | None = None) -> None:
+        """Batches and segments of an index as one, without what was deleted."""
+        name = name or self.active()
+        self._replace_base(name, self._batches(name))
+        self._publish_whole(name, self._batches(name))
+
+    @staticmethod
+    def _wants_compaction(version: dict) -> bool:
+        return len(version["segments"]) >= MAX_SEGMENTS or version["written"] > 2 * max(version["values"], 1)
+
+    def _version(self, name: str) -> dict | None:
+        return self.folder.read_json(f"{name}.version")
+
+    def _next(self, name: str) -> int:
+        """The number of the next version; what a failed attempt at it wrote is written over."""
+        return (self._version(name) or {"version": 0})["version"] + 1
+
+    def _publish_whole(self, name: str, built: dict[str, DataFrame]) -> None:
+        """A version of one segment."""
+        segment = {"at": f"{name}/s{self._next(name):06d}", "gone": []}
+        self._derive_values(segment["at"], built["values"])
+        self._publish(name, built, [segment])
+
+    def _publish_delta(self, name: str, built: dict[str, DataFrame], version: dict) -> None:
+        """A version with a segment more: values of later batches that are not there yet."""
+        late = built["values"].filter(F.col("batch") > version["until"])
+        segments = version["segments"]
+        if late.limit(1).count():
+            segment = {"at": f"{name}/s{self._next(name):06d}", "gone": []}
+            self._derive_values(segment["at"], late, there=self._segments("values", segments).select("value_id"))
+            segments = [*segments, segment]
+        self._publish(name, built, segments)
+
+    def _publish(self, name: str, built: dict[str, DataFrame], segments: list[dict]) -> None:
+        """A new version; folders of the one before stay for searches that were planned on it, older ones go."""
+        old = self._version(name) or {"version": 0, "segments": [], "types": {"at": None}, "before": []}
+        values = self._segments("values", segments)
+        types = {"at": f"{name}/t{self._next(name):06d}", "gone": []}
+        self._derive_types(types["at"], built, values)
+        written = sum(self.folder.table(f"{s['at']}/values").count() for s in segments)
+        until = built["values"].agg(F.max("batch")).first()[0] or 0.0
+        folders = lambda v: {s["at"] for s in [*v["segments"], v["types"]] if s["at"]}
+        new = {"version": self._next(name), "settings": self.index_settings.fingerprint(), "values": values.count(), "written": written, "until": until, "segments": segments, "types": types}
+        new["before"] = sorted(folders(old) - folders(new))
+        self.folder.write_json(f"{name}.version", new)
+        for at in set(old["before"]) - folders(new):
+            self.folder.delete(at)
         self._cache.clear()
 
     def _replace_base(self, name: str, tables: dict[str, DataFrame]) -> None:
@@ -104,21 +174,27 @@ class Engine:
         self.folder.write_json(f"{name}.building", {"at": new})
         self.folder.delete(old)
 
-    def _derive(self, at: str, tables: dict[str, DataFrame]) -> None:
+    def _derive_values(self, at: str, values: DataFrame, there: DataFrame | None = None) -> None:
+        """A segment of values, each once, but those whose ids are ``there``. Values of a module lie together; module and artifact stand in all tables, so that they can be deleted by them."""
         put, get = self.folder.write, self.folder.table
-        s = self.index_settings
-        values = tables["values"].drop("batch", "value_id", "terms", "signature", "group_key").dropDuplicates()
+        values = values.drop("batch", "value_id", "terms", "signature", "group_key").dropDuplicates()
         # Ids follow the content, so that ties in scores come out the same in every build.
         values = values.withColumn("value_id", F.xxhash64(F.to_json(F.struct(*sorted(values.columns)))))
-        put(f"{at}/values", ix.with_fingerprints(values, s.polarized), by=None)
+        values = values if there is None else values.join(there, "value_id", "left_anti")
+        values = values.repartitionByRange("module_id", "value_id").sortWithinPartitions("module_id", "value_id")
+        put(f"{at}/values", ix.with_fingerprints(values, self.index_settings.polarized))
         values = get(f"{at}/values")
         put(f"{at}/postings", ix.postings(values).repartitionByRange("term").sortWithinPartitions("term"))
         put(f"{at}/name_postings", ix.name_postings(values).repartitionByRange("token").sortWithinPartitions("token"))
         documents = text.document(F.col("name"), text.indexable(F.col("comment"), F.coalesce("attributes", F.expr("cast(array() as array<struct<key:string,value:string>>)"))))
-        put(f"{at}/doc_terms", text.term_counts(values, "value_id", documents, True).repartitionByRange("token").sortWithinPartitions("token"))
-        put(f"{at}/views", ix.with_view_keys(ix.wanted_views(_last(tables["views"], ["module_id", "name", "source", "target"]))))
-        put(f"{at}/modules", _last(tables["modules"], ["module_id"]))
-        types = _last(tables["type_defs"], ["module_id", "name"]).drop("f_co", "f_contra", "f_inv")
+        put(f"{at}/doc_terms", text.term_counts(values, "value_id", documents, True, keep=("module_id", "artifact")).repartitionByRange("token").sortWithinPartitions("token"))
+
+    def _derive_types(self, at: str, tables: dict[str, DataFrame], values: DataFrame) -> None:
+        """The tables of types, with frequencies in all ``values``."""
+        put, get, s = self.folder.write, self.folder.table, self.index_settings
+        put(f"{at}/views", ix.with_view_keys(ix.wanted_views(_last(tables["views"], SAME["views"]))))
+        put(f"{at}/modules", _last(tables["modules"], SAME["modules"]))
+        types = _last(tables["type_defs"], SAME["type_defs"]).drop("f_co", "f_contra", "f_inv")
         views = get(f"{at}/views")
         few = not s.views or views.limit(DRIVER_VIEWS + 1).count() <= DRIVER_VIEWS
         views = (self._driver_views(views) if s.views else []) if few else views
@@ -140,10 +216,15 @@ class Engine:
     def table(self, kind: str, name: str | None = None) -> DataFrame:
         """A table of the current version of an index (the active one by default)."""
         name = name or self.active()
-        version = self.folder.read_json(f"{name}.version") if name else None
+        version = self._version(name) if name else None
         if not version:
             raise ValueError("no active index")
-        return self.folder.table(f"{name}/v{version['version']:06d}/{kind}")
+        return self._segments(kind, version["segments"] if kind in OF_VALUES else [version["types"]])
+
+    def _segments(self, kind: str, segments: list[dict]) -> DataFrame:
+        """A table of all segments, each without what was deleted since it was written."""
+        parts = [without(self.folder.table(f"{s['at']}/{kind}"), s["gone"]) for s in segments]
+        return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def status(self, name: str | None = None) -> dict:
         name = name or self.active()
@@ -163,7 +244,7 @@ class Engine:
 
     def needs_rebuild(self, name: str) -> bool:
         """Whether the index was built with other settings."""
-        return self.folder.read_json(f"{name}.version", {}).get("settings") != self.index_settings.fingerprint()
+        return (self._version(name) or {}).get("settings") != self.index_settings.fingerprint()
 
     def reset(self) -> None:
         for n in self.folder.names():
@@ -171,21 +252,40 @@ class Engine:
         self._cache.clear()
 
     def delete_module(self, module: str, name: str | None = None) -> None:
-        self._rewrite(name, lambda kind, rows: only(rows, "module_id", module))
+        """Delete what a module defines. Frequencies of types stay until the index is finalized."""
+        self._delete("module_id", module, name)
 
     def delete_artifact(self, path: str, name: str | None = None) -> None:
         """Delete the values of a source file."""
-        self._rewrite(name, lambda kind, rows: only(rows, "artifact", path))
+        self._delete("artifact", path, name)
 
-    def add(self, kind: str, rows: DataFrame, keys: list[str], name: str | None = None) -> None:
-        """Replace or add rows of one base table."""
-        self._rewrite(name, lambda k, old: upsert(old, rows.withColumn("batch", F.lit(time.time())), keys) if k == kind else old)
+    def _delete(self, column: str, value: str, name: str | None) -> None:
+        """Two small files are written, and no table: one condition for the batches so far, one for each segment."""
+        name = name or self.active()
+        version = self._version(name) if name else None
+        if not version:
+            raise ValueError("no active index")
+        base = self.folder.read_json(f"{name}.building", {"at": self._building(name)})
+        self.folder.write_json(f"{name}.building", base | {"gone": [*base.get("gone", []), [column, value, time.time()]]})
+        for part in [*version["segments"], version["types"]]:
+            part["gone"].append([column, value])
+        live = self._segments("values", version["segments"]).count()
+        self.folder.write_json(f"{name}.version", version | {"values": live})
+        self._cache.clear()
 
-    def _rewrite(self, name: str | None, change) -> None:
-        """A new version from the batches so far, each table changed."""
+    def add(self, kind: str, rows: DataFrame, keys: list[str], name: str | None = None) -> None:
+        """Replace or add rows of one base table. Tables of types by their own keys take a batch more, as the last one counts; others are written anew."""
         name = name or self.active()
-        self._replace_base(name, {k: change(k, self.folder.table(f"{self._building(name)}/{k}")) for k in BASE})
-        self._publish(name, {k: self.folder.table(f"{self._building(name)}/{k}") for k in BASE})
+        rows = rows.withColumn("batch", F.lit(time.time()))
+        if sorted(keys) == sorted(SAME.get(kind, [])):
+            old = self.folder.table(f"{self._building(name)}/{kind}")
+            whole = rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in old.dtypes])
+            self.folder.write(f"{self._building(name)}/{kind}", whole, "append")
+            self._publish(name, self._batches(name), self._version(name)["segments"])
+            return
+        built = self._batches(name)
+        self._replace_base(name, built | {kind: upsert(built[kind], rows, keys)})
+        self._publish_whole(name, self._batches(name))
 
     # --- planning ------------------------------------------------------------------------
 
@@ -281,7 +381,7 @@ class Engine:
             if not words and tree is None:
                 raise TooUnspecific(keywords)
             counts = self.table("doc_terms")
-            hits = text.keyword_scores(counts, words, self.folder.read_json(f"{self.active()}.version")["values"])
+            hits = text.keyword_scores(counts, words, self._version(self.active())["values"])
         return ranked(values, self.table("postings"), tree, hits, modules, self.query_settings, n, offset)
 
     def search_grouped(self, query: str, modules: list[str] | None = None, n: int = 100) -> DataFrame:

@@ -80,15 +80,15 @@ def tokens(text: Column, stemmed: bool = False) -> Column:
     return F.transform(flat, stem) if stemmed else flat
 
 
-def term_counts(docs: DataFrame, id_col: str, text: Column, stemmed: bool = False) -> DataFrame:
-    """``(id, token, tf, length)``: how often each token stands in each document, and the document's tokens in all.
+def term_counts(docs: DataFrame, id_col: str, text: Column, stemmed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(id, token, tf, length)``: how often each token stands in each document, and the document's tokens in all; columns of the document to ``keep`` follow.
 
     The tokens of :func:`tokens`, one row a word, so that everything but the split runs in generated code.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.explode(F.split(text, r"[\s.]+")).alias("w")).filter("w <> ''")
-    each = words.select("id", F.explode(word_parts(F.col("w"))).alias("t"))
+    words = docs.select(F.col(id_col).alias("id"), *keep, F.explode(F.split(text, r"[\s.]+")).alias("w")).filter("w <> ''")
+    each = words.select("id", *keep, F.explode(word_parts(F.col("w"))).alias("t"))
     token = F.lower("t")
-    counts = each.select("id", (stem(token) if stemmed else token).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"))
+    counts = each.select("id", *keep, (stem(token) if stemmed else token).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in keep])
     return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
 
 

@@ -77,10 +77,11 @@ def with_fingerprints(values: DataFrame, polarized: bool = True) -> DataFrame:
 
 
 def postings(values: DataFrame) -> DataFrame:
-    """``(term, value_id, module_id, optional, occurrence)``; a value's terms are in order, so occurrences are counted inside its array."""
+    """``(term, value_id, module_id, artifact, optional, occurrence)``; a value's terms are in order, so occurrences are counted inside its array."""
     numbered = F.expr("transform(terms, (t, i) -> named_struct('term', t.term, 'optional', t.optional, 'occurrence', cast(i + 2 - array_position(transform(terms, x -> x.term), t.term) as int)))")
-    each = values.select("value_id", "module_id", F.explode(numbered).alias("t"))
-    return each.select("t.term", "value_id", "module_id", "t.optional", "t.occurrence")
+    keep = [c for c in ("module_id", "artifact") if c in values.columns]
+    each = values.select("value_id", *keep, F.explode(numbered).alias("t"))
+    return each.select("t.term", "value_id", *keep, "t.optional", "t.occurrence")
 
 
 def name_suffixes(type_defs: DataFrame) -> DataFrame:
@@ -88,8 +89,8 @@ def name_suffixes(type_defs: DataFrame) -> DataFrame:
 
 
 def name_postings(values: DataFrame) -> DataFrame:
-    """``(token, value_id, module_id)``: each token of each value's name once, made without a shuffle."""
-    return values.select(F.explode(F.array_distinct(text.tokens(F.col("name")))).alias("token"), "value_id", "module_id")
+    """``(token, value_id, module_id, artifact)``: each token of each value's name once, made without a shuffle."""
+    return values.select(F.explode(F.array_distinct(text.tokens(F.col("name")))).alias("token"), "value_id", "module_id", "artifact")
 
 
 def with_all_tokens(postings: DataFrame, words: list[str]) -> DataFrame:

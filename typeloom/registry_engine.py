@@ -325,6 +325,36 @@ def engine_deletions(spark, d):
     return e.table("values").select("name", "module_id")
 
 
+@query(
+    f"WITH {_GEO}, w(compacted) AS (VALUES (false), (true)) SELECT compacted, module_id, count(*) AS of_values, 2 * count(*) AS of_postings, 4 * count(*) AS of_names, 8 * count(*) AS of_words FROM geo, w "
+    "WHERE n <> 'NATION_1' OR r = 'EUROPE' GROUP BY compacted, module_id"
+)
+def engine_segments(spark, d):
+    """An index that grows by a segment, has an artifact and a module deleted, and gets the module again; then the same as one segment."""
+    e, every = Engine(spark, working_folder(spark), IndexSettings(sample_size=0)), corpus(spark, d)
+    module = F.coalesce("module_id", F.lit(""))
+    e.index("geo", every.filter(module != "shop:scalaz:1"))
+    e.finalize("geo")
+    e.index("geo", every.filter(module == "shop:scalaz:1"))
+    e.finalize("geo")
+    e.delete_artifact("geo.NATION_1")
+    e.delete_module("shop:europe:1")
+    e.index("geo", every.filter(module == "shop:europe:1"))
+    e.finalize("geo")
+    before = _by_module(e, False)
+    e.compact("geo")
+    return before.union(_by_module(e, True))
+
+
+def _by_module(e: Engine, compacted: bool) -> DataFrame:
+    """Rows of an index's tables in each module."""
+    counts = e.table("values").select("module_id", F.lit("of_values").alias("k"), F.lit(1).cast("long").alias("n"))
+    for kind, name, n in (("postings", "of_postings", F.lit(1)), ("name_postings", "of_names", F.lit(1)), ("doc_terms", "of_words", F.col("tf"))):
+        counts = counts.union(e.table(kind).select("module_id", F.lit(name), n.cast("long")))
+    found = counts.groupBy("module_id").pivot("k", ["of_values", "of_postings", "of_names", "of_words"]).agg(F.sum("n"))
+    return found.select(F.lit(compacted).alias("compacted"), "module_id", "of_values", "of_postings", "of_names", "of_words")
+
+
 @query(f"WITH {_GEO} SELECT name, '!geo.' || least(n, r) || ' !geo.' || greatest(n, r) AS fingerprint FROM geo")
 def engine_rebuild(spark, d):
     """Two indexes become one when it is built again, with other settings."""
