@@ -187,3 +187,16 @@ def test_ingested_stream(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "index"))
     ev.ingest(spark.readStream.text(str(tmp_path / "lines")), e, "s", str(tmp_path / "cp"), read_lines)
     assert [r["name"] for r in e.search("Int").collect()] == ["p.x"]
+
+
+def test_norms_in_a_byte(spark):
+    """Against the format of 32-bit floating-point numbers itself: exponent and two digits of the fraction."""
+    import struct
+
+    lengths = [0, 1, 5, 6, 7, 8, 17, 70, 245, 246, 247, 4086, 100_000, 10**9, 10**15]
+    got = spark.createDataFrame([(n,) for n in lengths], "n long").select("n", text.norm_byte(F.col("n")).alias("b"))
+    for r in got.select("n", "b", text.norm_of(F.col("b")).alias("norm")).collect():
+        bits = struct.unpack(">I", struct.pack(">f", (r["n"] + 10) ** -0.25))[0] >> 21
+        assert r["b"] == bits - (96 << 2) and r["norm"] == struct.unpack(">f", struct.pack(">I", bits << 21))[0]
+    known = {r["n"]: r["norm"] for r in got.select("n", text.norm_of(F.col("b")).alias("norm")).collect()}
+    assert (known[6], known[7], known[8], known[246], known[247]) == (0.5, 0.4375, 0.4375, 0.25, 0.21875)

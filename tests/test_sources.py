@@ -2,7 +2,7 @@ import zipfile
 
 from typeloom.functions.types import Type
 from typeloom.sources.declarations import read_declarations
-from typeloom.sources.definitions import conversion_views, golden_frame, jobs, modules_frame, parse_comment, parse_line, read_archives, read_lines, read_settings, without_errors
+from typeloom.sources.definitions import conversion_views, golden_frame, jobs, modules_frame, parse_comment, parse_line, read_archives, read_lines, read_settings, settings_rows, without_errors
 from typeloom.sources.files import Folder, append_csv
 
 
@@ -59,6 +59,10 @@ def test_settings(spark):
     assert m.first()["doc_url"] is None
     assert golden_frame(spark, s).count() == 2
     assert jobs(m, m.union(m)).count() == 1
+    texts = [('{"modules": [{"organization": "o", "name": "n", "revision": "1", "doc_url": ""}], "projects": [{"name": "p", "queries": {"A": ["x", "y"], "B": []}}]}',), ("{",), (None,), ("{}",)]
+    modules, golden = settings_rows(spark.createDataFrame(texts, "value string"))
+    assert modules.collect() == m.collect() and golden.columns == golden_frame(spark, s).columns
+    assert sorted(golden.collect()) == sorted(golden_frame(spark, s).collect())
 
 
 def test_files(spark, tmp_path):

@@ -424,12 +424,21 @@ class Engine:
 
     def log(self, outcome: str, query: str, modules: list[str] | None = None, page: int = 0, detail: str = "") -> None:
         """Append to the interactions: failed, succeeded, or assessed."""
-        row = self.spark.createDataFrame([(outcome, query, list(modules or ()), page, detail)], "outcome string, query string, modules array<string>, page int, detail string")
-        self.folder.write("interactions", row.withColumn("ts", F.current_timestamp()), "append")
+        self.log_rows(self.spark.createDataFrame([(outcome, query, list(modules or ()), page, detail)], "outcome string, query string, modules array<string>, page int, detail string"))
+
+    def log_rows(self, rows: DataFrame) -> None:
+        """Append many interactions, such as a micro-batch of them. Columns that are missing are null, but for the time, which is now then."""
+        kinds = {"outcome": "string", "query": "string", "modules": "array<string>", "page": "int", "detail": "string", "ts": "timestamp"}
+        rows = rows if "ts" in rows.columns else rows.withColumn("ts", F.current_timestamp())
+        self.folder.write("interactions", rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds.items()]), "append")
 
     def assess_positively(self, query: str, modules: list[str] | None, signature: str) -> None:
         self.log("assessed", query, modules, detail=signature)
 
+    def assess_rows(self, rows: DataFrame) -> None:
+        """Assessments ``(query, modules, signature)`` of many results at once."""
+        self.log_rows(rows.withColumn("outcome", F.lit("assessed")).withColumnRenamed("signature", "detail"))
+
     def interactions(self) -> DataFrame:
         return self.folder.table("interactions")
 

@@ -81,7 +81,7 @@ def tokens(text: Column, stemmed: bool = False) -> Column:
 
 
 def term_counts(docs: DataFrame, id_col: str, text: Column, stemmed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(id, token, tf, length)``: how often each token stands in each document, and the document's tokens in all; columns of the document to ``keep`` follow.
+    """``(id, token, tf, norm)``: how often each token stands in each document, and the norm of the document's length; columns of the document to ``keep`` follow.
 
     The tokens of :func:`tokens`, one row a word, so that everything but the split runs in generated code.
     """
@@ -89,28 +89,44 @@ def term_counts(docs: DataFrame, id_col: str, text: Column, stemmed: bool = Fals
     each = words.select("id", *keep, F.explode(word_parts(F.col("w"))).alias("t"))
     token = F.lower("t")
     counts = each.select("id", *keep, (stem(token) if stemmed else token).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in keep])
-    return counts.withColumn("length", F.sum("tf").over(Window.partitionBy("id")))
+    return counts.withColumn("norm", norm_byte(F.sum("tf").over(Window.partitionBy("id"))))
 
 
 def keyword_counts(docs: DataFrame, id_col: str, text: Column, keywords: list[str], stemmed: bool = False) -> DataFrame:
-    """``(id, token, tf, length)`` of ``keywords`` alone: each document counts its own, and nothing is shuffled."""
+    """``(id, token, tf, norm)`` of ``keywords`` alone: each document counts its own, and nothing is shuffled."""
     held = docs.select(F.col(id_col).alias("id"), tokens(text, stemmed).alias("all"))
     own = F.transform(F.lit(sorted(set(keywords))), lambda k: F.struct(k.alias("token"), F.size(F.filter("all", lambda t: t == k)).cast("long").alias("tf")))
     each = held.select("id", F.size("all").cast("long").alias("length"), F.explode(F.filter(own, lambda x: x["tf"] > 0)).alias("x"))
-    return each.select("id", "x.token", "x.tf", "length")
+    return each.select("id", "x.token", "x.tf", norm_byte(F.col("length")).alias("norm"))
 
 
-def tfidf(tf: Column, df: Column, n: Column, length: Column) -> Column:
+def norm_byte(length: Column) -> Column:
+    """The norm of a document of ``length`` tokens, one over the fourth root of the length and 10, in one byte.
+
+    A byte is a power of two, counted from 2^-31, and two binary digits after the leading one; further digits are cut off.
+    """
+    norm = F.pow(length + 10, F.lit(-0.25)).cast("float").cast("double")
+    power = F.floor(F.log2(norm))
+    return (4 * (power + 31) + F.floor(norm * F.pow(F.lit(2.0), 2 - power)) - 4).cast("byte")
+
+
+def norm_of(byte: Column) -> Column:
+    """The norm that a byte stands for."""
+    code = byte.cast("int")
+    return (4 + code % 4) * F.pow(F.lit(2.0), F.floor(code / 4) - 33)
+
+
+def tfidf(tf: Column, df: Column, n: Column, norm: Column) -> Column:
     """A token's share of a keyword score."""
     idf = 1 + F.log(n / (df + 1))
-    return F.sqrt(tf) * idf * idf / F.pow(length + 10, F.lit(0.25))
+    return F.sqrt(tf) * idf * idf * norm
 
 
 def keyword_scores(counts: DataFrame, keywords: list[str], n_docs: int) -> DataFrame:
     """``(id, doc_score)`` of the documents with any of the (tokenised) ``keywords``."""
     hits = counts.filter(F.col("token").isin(keywords))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    return hits.join(F.broadcast(df), "token").groupBy("id").agg(F.sum(tfidf(F.col("tf"), F.col("df"), F.lit(n_docs), F.col("length"))).alias("doc_score"))
+    return hits.join(F.broadcast(df), "token").groupBy("id").agg(F.sum(tfidf(F.col("tf"), F.col("df"), F.lit(n_docs), norm_of(F.col("norm")))).alias("doc_score"))
 
 
 def link(base: Column, **parameters: Column) -> Column:

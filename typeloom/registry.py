@@ -299,9 +299,9 @@ _TOKENS = (
 
 
 @query(
-    f"WITH docs AS (SELECT doc_id AS id, text AS t FROM documents), {_TOKENS}, len AS (SELECT id, count(*) AS length FROM tok GROUP BY id), "
+    f"WITH docs AS (SELECT doc_id AS id, text AS t FROM documents), {_TOKENS}, len AS (SELECT id, floor(f * pow(2, 2 - floor(log2(f)))) * pow(2, floor(log2(f)) - 2) AS norm FROM (SELECT id, pow(count(*) + 10, -0.25)::FLOAT::DOUBLE AS f FROM tok GROUP BY id) x), "
     f"hits AS (SELECT id, token, count(*) AS tf FROM tok WHERE token IN ({', '.join(repr(k) for k in KEYWORDS)}) GROUP BY id, token), df AS (SELECT token, count(*) AS df FROM hits GROUP BY token) "
-    "SELECT hits.id AS id, round(sum(sqrt(tf) * (1 + ln((SELECT count(*) FROM documents) / (df + 1)::DOUBLE)) * (1 + ln((SELECT count(*) FROM documents) / (df + 1)::DOUBLE)) / pow(length + 10, 0.25)), 6) AS doc_score "
+    "SELECT hits.id AS id, round(sum(sqrt(tf) * (1 + ln((SELECT count(*) FROM documents) / (df + 1)::DOUBLE)) * (1 + ln((SELECT count(*) FROM documents) / (df + 1)::DOUBLE)) * norm), 6) AS doc_score "
     "FROM hits JOIN df USING (token) JOIN len ON len.id = hits.id GROUP BY hits.id"
 )
 def keyword_tfidf(spark, d):

@@ -227,6 +227,8 @@ def type_frequency_joined(spark, d):
 
 # --- searches ---------------------------------------------------------------------------
 
+#: The norm of documents of eight tokens: with two binary digits after the leading one.
+_NORM = "(floor(pow(18, -0.25) * pow(2, 2 - floor(log2(pow(18, -0.25))))) * pow(2, floor(log2(pow(18, -0.25))) - 2))"
 _ITF = "greatest(ln(2.7 / ({0} * 2.7 + (1 - {0}))) / ln(2.7), 0.001)"
 
 
@@ -248,7 +250,7 @@ def engine_search_grouped(spark, d):
     return engine(spark, d).search_grouped(f"NATION_1 => {r}").select("group_key", "members", "more")
 
 
-@query(f"WITH {_GEO} SELECT name, round(sqrt(2) * (pow(1 + ln(total / 2.0), 2) + pow(1 + ln(total / (total + 1.0)), 2)) / pow(18, 0.25), 4) AS score FROM geo, total WHERE s_name = 'Supplier#000000003'")
+@query(f"WITH {_GEO} SELECT name, round(sqrt(2) * (pow(1 + ln(total / 2.0), 2) + pow(1 + ln(total / (total + 1.0)), 2)) * {_NORM}, 4) AS score FROM geo, total WHERE s_name = 'Supplier#000000003'")
 def engine_search_keywords(spark, d):
     """Keywords alone: the document that has the rare one comes first."""
     return engine(spark, d).search("supplier 000000003", n=1).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
@@ -264,7 +266,7 @@ def _whole(spark, d, **settings) -> Engine:
 _BOTH = (
     f"WITH {_GEO}, asked AS (SELECT n AS an, r AS ar FROM lands WHERE n = 'NATION_1'), f AS (SELECT (SELECT count(*) FROM geo JOIN asked ON n = an) / total::DOUBLE AS f1, (SELECT count(*) FROM geo JOIN asked ON r = ar) / total::DOUBLE AS f2 FROM total), "
     f"found AS (SELECT name, n, r, CASE WHEN r <> ar THEN 0 WHEN n = an THEN 0.5 * {_ITF.format('f1')} + 0.5 * {_ITF.format('f2')} ELSE 0.5 * {_ITF.format('f2')} / 1.2 END AS typed, "
-    "CASE WHEN s_name = 'Supplier#000000003' THEN 0.1 * ln(1 + sqrt(2) * pow(1 + ln(total / 2.0), 2) / pow(18, 0.25)) ELSE 0 END AS said, "
+    f"CASE WHEN s_name = 'Supplier#000000003' THEN 0.1 * ln(1 + sqrt(2) * pow(1 + ln(total / 2.0), 2) * {_NORM}) ELSE 0 END AS said, "
     "CASE WHEN r <> ar THEN '' WHEN n = an THEN '+geo.' || r || ' -geo.' || n ELSE '+geo.' || r END AS matched FROM geo, asked, f, total WHERE r = ar OR s_name = 'Supplier#000000003') "
 )
 
@@ -285,7 +287,7 @@ def engine_search_explained(spark, d):
     return found.select("name", F.round(F.regexp_extract("explanation", r"^(\S+) =", 1).cast("double"), 3).alias("score"), F.array_join(terms, " ").alias("matched"))
 
 
-@query(f"WITH {_GEO} SELECT name, round(sqrt(2) * pow(1 + ln(total / (total + 1.0)), 2) / pow(18, 0.25), 4) AS score FROM geo, total")
+@query(f"WITH {_GEO} SELECT name, round(sqrt(2) * pow(1 + ln(total / (total + 1.0)), 2) * {_NORM}, 4) AS score FROM geo, total")
 def engine_search_retried(spark, d):
     """A bare name that is no type is asked for again as a keyword."""
     return _whole(spark, d).search("Supplier", n=2**31 - 1).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
@@ -370,15 +372,21 @@ def engine_rebuild(spark, d):
     return e.table("values", "geo").select("name", _shown("terms").alias("fingerprint"))
 
 
-@query("SELECT 'failed' AS outcome, 2 AS n, 0 AS pages UNION ALL SELECT 'succeeded', 1, 3 UNION ALL SELECT 'assessed', 1, 0")
+_OUTCOME = "CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'assessed' ELSE 'succeeded' END"
+
+
+@query(
+    f"SELECT {_OUTCOME} AS outcome, CASE WHEN event_type <> 'purchase' THEN event_id % 4 END::INTEGER AS page, count(*) AS n, count(DISTINCT user_id) AS queries, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS signatures, "
+    "strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS latest FROM events GROUP BY 1, 2"
+)
 def interaction_report(spark, d):
-    """Interactions are appended, and counted by outcome."""
+    """Users' events as interactions, appended as a batch of searches and one of assessments; counted by outcome and page."""
     e = Engine(spark, working_folder(spark))
-    e.log("failed", "Nowhere")
-    e.log("failed", "(A")
-    e.log("succeeded", "ASIA", [WORLD], 3)
-    e.assess_positively("ASIA", [WORLD], "shop.x: geo.ASIA")
-    return e.interactions().groupBy("outcome").agg(F.count(F.lit(1)).cast("int").alias("n"), F.sum("page").cast("int").alias("pages"))
+    events = table(spark, d, "events").select("ts", "props", "event_type", F.concat_ws(" ", F.lit("by"), "user_id").alias("query"), F.expr(_OUTCOME).alias("outcome"), (F.col("event_id") % 4).alias("page"))
+    e.log_rows(events.filter("outcome <> 'assessed'"))
+    e.assess_rows(events.filter("outcome = 'assessed'").select("ts", "query", F.array(F.lit(WORLD)).alias("modules"), F.col("props").alias("signature")))
+    counted = e.interactions().groupBy("outcome", "page").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("query").alias("queries"), F.count("detail").alias("signatures"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("latest"))
+    return counted.select("outcome", "page", "n", "queries", "signatures", "latest")
 
 
 @query("SELECT o_orderpriority AS query, round(avg(o_totalprice), 2) AS ap FROM orders GROUP BY o_orderpriority")
@@ -541,16 +549,20 @@ def source_inherited(spark, d):
     return rows.select("name", "signature", F.split_part("artifact", F.lit("/"), F.lit(1)).alias("declared_in"))
 
 
-@query(f"WITH {_GEO} SELECT 'shop:' || lower(r) AS module, nullif(CASE WHEN length(r) > 4 THEN 'http://doc/' || r ELSE '' END, '') AS doc_url, count(*) AS relevant FROM lands GROUP BY r")
+@query("SELECT DISTINCT c_mktsegment || ':n' || c_nationkey AS module, CASE WHEN c_nationkey % 5 > 0 THEN 'http://doc/n' || c_nationkey END AS doc_url, count(*) AS relevant, count(DISTINCT c_nationkey % 3) AS queries FROM customer GROUP BY c_mktsegment, c_nationkey")
 def settings_source(spark, d):
-    """Modules and judged queries of a settings text; an empty address is none."""
-    lands = _lands(spark, d).groupBy("r").agg(F.collect_list("n").alias("ns")).collect()
-    modules = [{"organization": "shop", "name": r["r"].lower(), "revision": "1", "doc_url": f"http://doc/{r['r']}" if len(r["r"]) > 4 else ""} for r in lands]
-    text = json.dumps({"modules": modules, "projects": [{"name": r["r"].lower(), "queries": {r["r"]: r["ns"]}} for r in lands]})
-    settings = sd.read_settings(text)
-    golden = sd.golden_frame(spark, settings).groupBy("project").agg(F.count(F.lit(1)).alias("relevant"))
-    m = sd.modules_frame(spark, settings)
-    return m.join(golden, m.name == golden.project).select(F.concat_ws(":", "organization", "name").alias("module"), "doc_url", "relevant")
+    """Modules and judged queries of settings texts, one for each customers' segment and nation, written as files and read from them."""
+    where, by = working_folder(spark), ["c_mktsegment", "c_nationkey"]
+    address = F.when(F.col("c_nationkey") % 5 > 0, F.concat(F.lit("http://doc/n"), "c_nationkey")).otherwise("")
+    name = F.concat(F.lit("n"), "c_nationkey")
+    modules = F.array(F.struct(F.col("c_mktsegment").alias("organization"), name.alias("name"), F.lit("1").alias("revision"), address.alias("doc_url")))
+    wanted = table(spark, d, "customer").groupBy(*by).agg(F.collect_list(F.col("c_custkey").cast("string")).alias("w"))
+    queries = F.create_map((F.col("c_nationkey") % 3).cast("string"), F.col("w"))
+    wanted.select(F.to_json(F.struct(modules.alias("modules"), F.array(F.struct(F.concat_ws(":", "c_mktsegment", name).alias("name"), queries.alias("queries"))).alias("projects"))).alias("value")).write.text(where)
+    m, golden = sd.settings_rows(spark.read.text(where))
+    golden = golden.groupBy("project").agg(F.count(F.lit(1)).alias("relevant"), F.countDistinct("query").alias("queries"))
+    m = m.select(F.concat_ws(":", "organization", "name").alias("module"), "doc_url")
+    return m.join(golden, m.module == golden.project).select("module", "doc_url", "relevant", "queries")
 
 
 @query("SELECT DISTINCT c_mktsegment AS organization, 'n' || c_nationkey AS name, '1' AS revision FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")

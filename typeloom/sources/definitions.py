@@ -289,6 +289,23 @@ def golden_frame(spark: SparkSession, settings: dict) -> DataFrame:
     return spark.createDataFrame(rows, "project string, query string, relevant_signature string")
 
 
+_SETTINGS = (
+    "modules array<struct<organization:string,name:string,revision:string,artifact:string,doc_url:string>>,"
+    "projects array<struct<name:string,queries:map<string,array<string>>>>"
+)
+
+
+def settings_rows(texts: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Modules and judged queries of many settings texts, read where the texts are: the columns of :func:`modules_frame` and :func:`golden_frame`.
+
+    A text that is no JSON object, or null, has neither; an empty address is none.
+    """
+    read = texts.select(F.from_json(column, _SETTINGS).alias("s"))
+    m = read.select(F.explode("s.modules").alias("m")).select("m.*").withColumn("doc_url", F.when(F.col("doc_url") != "", F.col("doc_url")))
+    p = read.select(F.explode("s.projects").alias("p")).select(F.col("p.name").alias("project"), F.explode("p.queries").alias("query", "wanted"))
+    return m, p.select("project", "query", F.explode("wanted").alias("relevant_signature"))
+
+
 def jobs(wanted: DataFrame, resolved: DataFrame) -> DataFrame:
     """Resolved modules among those wanted, once each."""
     key = ["organization", "name", "revision"]
