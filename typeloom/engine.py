@@ -27,7 +27,7 @@ from .operators.sets import group_results, only_modules, upsert
 from .plans import expansion
 from .plans.errors import NameNotFound, QueryError, TooUnspecific
 from .plans.language import Raw, RawQuery, parse
-from .plans.resolve import TypeName, names, resolve, standard_names, to_type
+from .plans.resolve import TypeName, names, resolve, standard_by_name, to_type
 from .settings import IndexSettings, QuerySettings
 from .sources.definitions import params_of
 from .sources.files import Folder
@@ -293,9 +293,9 @@ class Engine:
         """All names of a query in one job."""
         wanted = sorted(names(raw))
         found: dict[str, list[TypeName]] = {n: [] for n in wanted}
-        for t in standard_names():
-            if t.name in found:
-                found[t.name].append(t)
+        for n in wanted:
+            if n in standard_by_name():
+                found[n].append(standard_by_name()[n])
         rows = only_modules(self.table("suffixes"), [*modules, "builtin"] if modules else None).filter(F.col("suffix").isin(wanted))
         for r in rows.select("suffix", "name", "params").dropDuplicates(["suffix", "name"]).orderBy("name").collect():
             if all(t.name != r["name"] for t in found[r["suffix"]]):

@@ -16,7 +16,7 @@ from .functions.variance import CO, CONTRA, INV
 from .plans import expansion
 from .plans.errors import QueryError
 from .plans.language import parse
-from .plans.resolve import TypeName, resolve, standard_names, to_type
+from .plans.resolve import TypeName, resolve, standard_by_name, to_type
 from .registry import query, table
 
 #: Names of a part: brand, type, and its size as a type.
@@ -27,17 +27,43 @@ def _parts(spark, d) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("a"), F.col("p_type").alias("b"), F.concat(F.lit("S"), "p_size").alias("s"), "p_name", "p_size")
 
 
-def through(rows: DataFrame, f: Callable[..., tuple], schema: str) -> DataFrame:
-    """``f`` of each row's columns, in batches."""
+#: Results that a task of :func:`through` keeps.
+FOUND = 50_000
+
+
+def through(rows: DataFrame, f: Callable[..., tuple], schema: str, keys: int = 0) -> DataFrame:
+    """``f`` of each row's columns, in batches; with ``keys``, the first columns are given back as they are and before what ``f`` makes of the others.
+
+    Rows are dealt out, as a table of many rows can be one file of few bytes. With ``keys``, what ``f`` gave is kept for rows with the same
+    columns, which are far fewer than rows.
+    """
     import pandas as pd
 
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(frames):
+        known: dict[tuple, tuple] = {}
         for frame in frames:
-            yield pd.DataFrame([f(*row) for row in frame.itertuples(index=False)], columns=names)
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                asked = row[keys:]
+                if not keys:
+                    out.append(f(*asked))
+                    continue
+                found = known.get(asked)
+                if found is None:
+                    if len(known) >= FOUND:
+                        known.clear()
+                    found = known[asked] = f(*asked)
+                out.append(row[:keys] + found)
+            yield pd.DataFrame(out, columns=names)
+
+    return dealt(rows).toDF(*[f"c{i}" for i in range(len(rows.columns))]).mapInPandas(run, schema)
 
-    return rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).mapInPandas(run, schema)
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` in twice as many parts as there are cores at least."""
+    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 # --- type algebra -----------------------------------------------------------------------
@@ -55,11 +81,11 @@ def type_variances(spark, d):
     sign = F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit("/")), (F.col("p_partkey") % 3 + 1).cast("int"))
     rows = _parts(spark, d).select("p_partkey", F.concat(sign, F.lit("Box[+"), "a", F.lit(", -"), "b", F.lit(", /"), "s", F.lit("]")))
 
-    def f(k, text):
+    def f(text):
         t = read_type(text)
-        return (k, *(str(t.at(v)) for v in (CO, CONTRA, INV)), *(str(t.position(v)) for v in (CO, CONTRA, INV)))
+        return (*(str(t.at(v)) for v in (CO, CONTRA, INV)), *(str(t.position(v)) for v in (CO, CONTRA, INV)))
 
-    return through(rows, f, "p_partkey long, co string, contra string, inv string, position_co string, position_contra string, position_inv string")
+    return through(rows, f, "p_partkey long, co string, contra string, inv string, position_co string, position_contra string, position_inv string", keys=1)
 
 
 @query(
@@ -69,11 +95,11 @@ def type_variances(spark, d):
 def type_rendering(spark, d):
     rows = _parts(spark, d).select("p_partkey", "s", F.concat(F.lit("+Map[-"), "a", F.lit(", /"), "b", F.lit("]")))
 
-    def f(k, s, text):
+    def f(s, text):
         t, wrapped = read_type(text), Type(CO, "<implicit>", (Type(CONTRA, s),))
-        return k, str(t), t.signature(), t.key(), str(wrapped), wrapped.signature(), t.transform(lambda x: replace(x, name=x.name.lower())).signature(), len(list(t.nodes()))
+        return str(t), t.signature(), t.key(), str(wrapped), wrapped.signature(), t.transform(lambda x: replace(x, name=x.name.lower())).signature(), len(list(t.nodes()))
 
-    return through(rows, f, "p_partkey long, shown string, signature string, key string, with_implicit string, unwrapped string, transformed string, nodes int")
+    return through(rows, f, "p_partkey long, shown string, signature string, key string, with_implicit string, unwrapped string, transformed string, nodes int", keys=1)
 
 
 _FITS = "p_size % 2 = 0"
@@ -90,13 +116,13 @@ def type_bindings(spark, d):
     view = View(pattern, target)
     both = view.then(View(read_type("+Pair[-P, +Q]", {"P", "Q"}), read_type("+Swap[+Q]", {"P", "Q"})))
 
-    def f(k, a, b, text):
+    def f(a, b, text):
         t = read_type(text)
         found, seen, composed = unify(pattern, t), view(t), both(t)
         shown = None if found is None else ", ".join(f"{n}={found[n]}" for n in sorted(found))
-        return k, shown, str(target.substitute({"X": Type(CO, a), "Y": Type(CO, b)})), seen and str(seen), composed and str(composed), both.retained, both.distance
+        return shown, str(target.substitute({"X": Type(CO, a), "Y": Type(CO, b)})), seen and str(seen), composed and str(composed), both.retained, both.distance
 
-    return through(rows, f, "p_partkey long, bindings string, substituted string, seen_as string, composed string, kept double, distance int")
+    return through(rows, f, "p_partkey long, bindings string, substituted string, seen_as string, composed string, kept double, distance int", keys=1)
 
 
 @query(
@@ -108,11 +134,11 @@ def normalized_types(spark, d):
     rows = _parts(spark, d).select("p_partkey", F.concat(F.lit("<methodInvocation1>["), "a", F.lit(", <methodInvocation1>[<implicit>[Ord["), "s", F.lit("]], List[T]]]")))
     params = [Param("T")]
 
-    def f(k, text):
+    def f(text):
         t = read_type(text, {"T"}, CO)
-        return k, str(normalize(t, params)), str(without_implicits(t)), show_terms(fingerprint(t, params)), show_terms(fingerprint(t, params, False)), str(structure(t))
+        return str(normalize(t, params)), str(without_implicits(t)), show_terms(fingerprint(t, params)), show_terms(fingerprint(t, params, False)), str(structure(t))
 
-    return through(rows, f, "p_partkey long, normalized string, explicit string, fingerprint string, unpolarized string, structure string")
+    return through(rows, f, "p_partkey long, normalized string, explicit string, fingerprint string, unpolarized string, structure string", keys=1)
 
 
 # --- query language ---------------------------------------------------------------------
@@ -139,19 +165,19 @@ def _case(place: int) -> str:
 def parsed_queries(spark, d):
     rows = _parts(spark, d).select("p_partkey", F.expr(_case(0)))
 
-    def f(k, text):
+    def f(text):
         found = parse(text)
-        return k, text, found.keywords, None if found.type is None else str(found.type)
+        return text, found.keywords, None if found.type is None else str(found.type)
 
-    return through(rows, f, "p_partkey long, text string, keywords string, type string")
+    return through(rows, f, "p_partkey long, text string, keywords string, type string", keys=1)
 
 
 def _known(name: str) -> list[TypeName]:
     """Two lists, an ambiguous name, and whatever begins as the parts' names do."""
     item = Param("A", CO)
     held = {"List": [TypeName("coll.List", (item,)), TypeName("scala.List", (item,))], "Both": [TypeName("p.Both"), TypeName("q.Both")], "Array": [TypeName("scala.Array", (Param("A", INV),))]}
-    own = [t for t in standard_names() if t.name == name]
-    return held.get(name) or own or ([TypeName(name)] if name[:1] in "BSEMPL" and len(name) > 1 else [])
+    own = standard_by_name().get(name)
+    return held.get(name) or (own and [own]) or ([TypeName(name)] if name[:1] in "BSEMPL" and len(name) > 1 else [])
 
 
 @query(
@@ -161,7 +187,7 @@ def _known(name: str) -> list[TypeName]:
 def resolved_queries(spark, d):
     """Names to types: the preferred of several, single letters as any type, arguments left out, signs by the parameters."""
     text = "CASE p_partkey % 5 WHEN 0 THEN 'List[' || a || '] => ' || s WHEN 1 THEN 'T => ' || a WHEN 2 THEN 'List' WHEN 3 THEN 'Array[' || a || ']' ELSE '(Array[_], Z)' END"
-    return through(_parts(spark, d).select("p_partkey", F.expr(text)), lambda k, q: (k, str(to_type(resolve(parse(q).type, _known)))), "p_partkey long, type string")
+    return through(_parts(spark, d).select("p_partkey", F.expr(text)), lambda q: (str(to_type(resolve(parse(q).type, _known))),), "p_partkey long, type string", keys=1)
 
 
 @query(
@@ -172,19 +198,19 @@ def query_errors(spark, d):
     """What users are told of queries that cannot be answered."""
     text = "CASE p_partkey % 5 WHEN 0 THEN 'List[' || a WHEN 1 THEN 'x' || a || ' => ' || b WHEN 2 THEN 'Both' WHEN 3 THEN 'List[' || a || ', ' || b || ']' ELSE a || repeat(' => ' || a, 60) END"
 
-    def f(k, size, text):
+    def f(size, text):
         try:
             expansion.expand(to_type(resolve(parse(text).type, _known)), lambda t: (), size)
-            return k, "none"
+            return ("none",)
         except QueryError as problem:
-            return k, problem.message()
+            return (problem.message(),)
 
-    return through(_parts(spark, d).select("p_partkey", "p_size", F.expr(text)), f, "p_partkey long, message string")
+    return through(_parts(spark, d).select("p_partkey", "p_size", F.expr(text)), f, "p_partkey long, message string", keys=1)
 
 
 @query(f"WITH {_P} SELECT 'Type x' || a || ' not found.' AS outcome, count(*) AS n FROM p GROUP BY a")
 def error_report(spark, d):
-    """Failures by message."""
+    """Failures by message: each query is read once, and stands for as many as asked it."""
 
     def f(text):
         try:
@@ -192,7 +218,8 @@ def error_report(spark, d):
         except QueryError as problem:
             return (problem.message(),)
 
-    return through(_parts(spark, d).select(F.concat(F.lit("x"), "a")), f, "outcome string").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    asked = _parts(spark, d).groupBy(F.concat(F.lit("x"), "a").alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    return through(asked.select("n", "text"), f, "n long, outcome string", keys=1).groupBy("outcome").agg(F.sum("n").alias("n"))
 
 
 @query("WITH x AS (SELECT doc_id, string_split(text, ' ')[1] AS w FROM documents) SELECT doc_id, CASE WHEN regexp_matches(w, '^[\\p{L}_]$') THEN '+<unknown>' ELSE 'Type ' || w || ' not found.' END AS type FROM x WHERE regexp_matches(w, '^[\\p{L}_]+$')")
@@ -200,13 +227,13 @@ def wildcard_names(spark, d):
     """Single letters stand for any type; other names must be known."""
     rows = table(spark, d, "documents").select("doc_id", F.split("text", " ")[0].alias("w")).filter(F.col("w").rlike(r"^[\p{L}_]+$"))
 
-    def f(k, w):
+    def f(w):
         try:
-            return k, str(to_type(resolve(parse(w).type, lambda _: [])))
+            return (str(to_type(resolve(parse(w).type, lambda _: []))),)
         except QueryError as problem:
-            return k, problem.message()
+            return (problem.message(),)
 
-    return through(rows, f, "doc_id long, type string")
+    return through(rows, f, "doc_id long, type string", keys=1)
 
 
 @query(f"WITH {_P} SELECT p_partkey, '+scala.Pair[+' || a || ', -' || b || ']' AS bound FROM p")
@@ -214,10 +241,10 @@ def positional_bindings(spark, d):
     """Arguments go to parameters by their place, and take their signs."""
     pair = TypeName("scala.Pair", (Param("A", CO), Param("B", CONTRA)))
 
-    def f(k, a, b):
-        return k, str(to_type(resolve(parse(f"Pair[{a}, {b}]").type, lambda n: [pair] if n == "Pair" else [TypeName(n)])))
+    def f(a, b):
+        return (str(to_type(resolve(parse(f"Pair[{a}, {b}]").type, lambda n: [pair] if n == "Pair" else [TypeName(n)]))),)
 
-    return through(_parts(spark, d).select("p_partkey", "a", "b"), f, "p_partkey long, bound string")
+    return through(_parts(spark, d).select("p_partkey", "a", "b"), f, "p_partkey long, bound string", keys=1)
 
 
 # --- planning ---------------------------------------------------------------------------
@@ -235,26 +262,30 @@ def _views() -> expansion.Alternatives:
 def expanded_queries(spark, d):
     """A type with the alternatives of its root: as it expands, with what both share taken out, and unwrapped."""
 
-    def f(k, a):
-        tree = expansion.weigh(expansion.expand(read_type(f"+List[+{a}]"), _views()), lambda _: 0.0)
+    views = _views()
+
+    def f(a):
+        tree = expansion.weigh(expansion.expand(read_type(f"+List[+{a}]"), views), lambda _: 0.0)
         small = expansion.minimize(tree)
-        return k, str(tree), str(small), str(expansion.fixpoint(small)), " ".join(sorted({x.term for x in expansion.leaves(small)}))
+        return str(tree), str(small), str(expansion.fixpoint(small)), " ".join(sorted({x.term for x in expansion.leaves(small)}))
 
-    return through(_parts(spark, d).select("p_partkey", "a"), f, "p_partkey long, expanded string, minimized string, smallest string, terms string")
+    return through(_parts(spark, d).select("p_partkey", "a"), f, "p_partkey long, expanded string, minimized string, smallest string, terms string", keys=1)
 
 
 @query(f"WITH {_P} SELECT p_partkey, CASE WHEN p_size < 8 THEN 'The query expands to more than ' || p_size || ' clauses; please use more specific types.' ELSE 'expanded' END AS outcome FROM p")
 def clause_limit(spark, d):
     """The tree of :func:`expanded_queries` has eight clauses."""
 
-    def f(k, a, size):
+    views = _views()
+
+    def f(a, size):
         try:
-            expansion.expand(read_type(f"+List[+{a}]"), _views(), size)
-            return k, "expanded"
+            expansion.expand(read_type(f"+List[+{a}]"), views, size)
+            return ("expanded",)
         except QueryError as problem:
-            return k, problem.message()
+            return (problem.message(),)
 
-    return through(_parts(spark, d).select("p_partkey", "a", "p_size"), f, "p_partkey long, outcome string")
+    return through(_parts(spark, d).select("p_partkey", "a", "p_size"), f, "p_partkey long, outcome string", keys=1)
 
 
 _SHARED = """q AS (SELECT o_custkey AS query_id, 'o' || (o_orderkey % 4) AS own, 'x' || (o_custkey % 3) AS joint, count(*) AS n FROM orders GROUP BY ALL),
