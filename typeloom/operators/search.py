@@ -12,6 +12,10 @@ from ..settings import QuerySettings
 from .sets import only_modules
 
 
+#: The last place of a page that holds all results.
+EVERY = 2**31 - 1
+
+
 def candidates(postings: DataFrame, terms: list[str], modules: list[str] | None = None) -> DataFrame:
     """Ids of the values with any of the terms; the term filter reaches the scan of the sorted postings."""
     return only_modules(postings, modules).filter(F.col("term").isin(terms)).select("value_id").distinct()
@@ -47,5 +51,8 @@ def ranked(values: DataFrame, postings: DataFrame, tree: Tree | None, keyword_hi
         else:
             narrow = narrow.join(found, "value_id", "left_semi").withColumn("doc_score", F.lit(0.0))
         top = scored(narrow, tree, settings)
-    page = top.orderBy(F.desc("score"), "value_id").limit(min(offset + n, settings.max_results)).offset(offset)
+    last = min(offset + n, settings.max_results)
+    if last >= EVERY and not offset:  # a limit would take all results through one task, and a broadcast to all of them
+        return values.join(top, "value_id").orderBy(F.desc("score"), "value_id")
+    page = top.orderBy(F.desc("score"), "value_id").limit(last).offset(offset)
     return values.join(F.broadcast(page), "value_id").orderBy(F.desc("score"), "value_id")

@@ -17,6 +17,7 @@ from .functions import pages
 from .functions.types import Type, read_type, show_terms
 from .functions.variance import CO
 from .operators import index as ix
+from .operators.search import EVERY
 from .registry import corpus_terms, query, table
 from .registry_types import through
 from .settings import IndexSettings, NeutralSettings, QuerySettings
@@ -232,6 +233,12 @@ _NORM = "(floor(pow(18, -0.25) * pow(2, 2 - floor(log2(pow(18, -0.25))))) * pow(
 _ITF = "greatest(ln(2.7 / ({0} * 2.7 + (1 - {0}))) / ln(2.7), 0.001)"
 
 
+def _whole(spark, d, **settings) -> Engine:
+    """The engine with pages of any length, as the SQL has them: what fits grows with the suppliers."""
+    e = engine(spark, d)
+    return Engine(spark, e.folder.path, e.index_settings, QuerySettings(max_results=EVERY, **settings))
+
+
 @query(
     f"WITH {_GEO}, asked AS (SELECT n, r FROM lands WHERE n = 'NATION_1'), f AS (SELECT (SELECT count(*) FROM geo JOIN asked USING (n)) / total::DOUBLE AS f1, (SELECT count(*) FROM geo JOIN asked USING (r)) / total::DOUBLE AS f2 FROM total) "
     f"SELECT name, round(CASE WHEN geo.n = asked.n THEN 0.5 * {_ITF.format('f1')} + 0.5 * {_ITF.format('f2')} ELSE 0.5 * {_ITF.format('f2')} / 1.2 END, 4) AS score FROM geo JOIN asked ON geo.r = asked.r, f"
@@ -239,7 +246,7 @@ _ITF = "greatest(ln(2.7 / ({0} * 2.7 + (1 - {0}))) / ln(2.7), 0.001)"
 def engine_search(spark, d):
     """From a nation to its region: parse, resolve, expand over views, weigh, retrieve, score, rank."""
     r = _lands(spark, d).filter("n = 'NATION_1'").first()["r"]
-    return engine(spark, d).search(f"NATION_1 => {r}", n=100).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
+    return _whole(spark, d).search(f"NATION_1 => {r}", n=EVERY).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 @query(
@@ -247,7 +254,7 @@ def engine_search(spark, d):
 )
 def engine_search_grouped(spark, d):
     r = _lands(spark, d).filter("n = 'NATION_1'").first()["r"]
-    return engine(spark, d).search_grouped(f"NATION_1 => {r}").select("group_key", "members", "more")
+    return _whole(spark, d).search_grouped(f"NATION_1 => {r}", n=EVERY).select("group_key", "members", "more")
 
 
 @query(f"WITH {_GEO} SELECT name, round(sqrt(2) * (pow(1 + ln(total / 2.0), 2) + pow(1 + ln(total / (total + 1.0)), 2)) * {_NORM}, 4) AS score FROM geo, total WHERE s_name = 'Supplier#000000003'")
@@ -256,12 +263,6 @@ def engine_search_keywords(spark, d):
     return engine(spark, d).search("supplier 000000003", n=1).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
-def _whole(spark, d, **settings) -> Engine:
-    """The engine with pages of any length."""
-    e = engine(spark, d)
-    return Engine(spark, e.folder.path, e.index_settings, QuerySettings(max_results=2**31 - 1, **settings))
-
-
 #: Everything a query for NATION_1 to its region finds, with one supplier's keyword: typed score, share of the keyword, matched terms.
 _BOTH = (
     f"WITH {_GEO}, asked AS (SELECT n AS an, r AS ar FROM lands WHERE n = 'NATION_1'), f AS (SELECT (SELECT count(*) FROM geo JOIN asked ON n = an) / total::DOUBLE AS f1, (SELECT count(*) FROM geo JOIN asked ON r = ar) / total::DOUBLE AS f2 FROM total), "
@@ -275,14 +276,14 @@ _BOTH = (
 def engine_search_typed_keywords(spark, d):
     """Type and keywords in one query: values of either arm are found, and their scores add up."""
     r = _lands(spark, d).filter("n = 'NATION_1'").first()["r"]
-    return _whole(spark, d).search(f"000000003: NATION_1 => {r}", n=2**31 - 1).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
+    return _whole(spark, d).search(f"000000003: NATION_1 => {r}", n=EVERY).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 @query(_BOTH + "SELECT name, round(typed + said, 3) AS score, matched FROM found")
 def engine_search_explained(spark, d):
     """What an explanation says: the score, and the terms of the fingerprint that matched."""
     r = _lands(spark, d).filter("n = 'NATION_1'").first()["r"]
-    found = _whole(spark, d, explain=True).search(f"000000003: NATION_1 => {r}", n=2**31 - 1)
+    found = _whole(spark, d, explain=True).search(f"000000003: NATION_1 => {r}", n=EVERY)
     terms = F.array_sort(F.regexp_extract_all("explanation", F.lit(r"(\S+)\^[0-9.]+"), 1))
     return found.select("name", F.round(F.regexp_extract("explanation", r"^(\S+) =", 1).cast("double"), 3).alias("score"), F.array_join(terms, " ").alias("matched"))
 
@@ -290,7 +291,7 @@ def engine_search_explained(spark, d):
 @query(f"WITH {_GEO} SELECT name, round(sqrt(2) * pow(1 + ln(total / (total + 1.0)), 2) * {_NORM}, 4) AS score FROM geo, total")
 def engine_search_retried(spark, d):
     """A bare name that is no type is asked for again as a keyword."""
-    return _whole(spark, d).search("Supplier", n=2**31 - 1).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
+    return _whole(spark, d).search("Supplier", n=EVERY).select("name", F.round(F.col("score").cast("double"), 4).alias("score"))
 
 
 @query(f"WITH {_GEO} SELECT token, count(*) AS n, count(DISTINCT module_id) AS modules FROM (SELECT 'shop' AS token, module_id FROM geo UNION ALL SELECT 'supplier', module_id FROM geo UNION ALL SELECT lower(s_name), module_id FROM geo UNION ALL SELECT split_part(s_name, '#', 2), module_id FROM geo) x GROUP BY token")
@@ -307,10 +308,10 @@ def engine_find_by_name(spark, d):
 @query(f"WITH {_GEO}, asked AS (SELECT n, r FROM geo WHERE s_name = 'Supplier#000000003') SELECT name FROM geo JOIN asked ON geo.n = asked.n AND geo.r = asked.r")
 def engine_similar_values(spark, d):
     """Values that fit the type of a given value best: those with the same terms."""
-    e = engine(spark, d)
+    e = _whole(spark, d)
     t = e.table("values").filter("name = 'shop.Supplier#000000003'").first()["tpe"]
-    found = e.like(Type.decode(t), n=100).select("name", "score", "terms").collect()
-    return spark.createDataFrame([(r["name"],) for r in found if r["terms"] == found[0]["terms"]], "name string")
+    best = e.like(Type.decode(t), n=1).select("terms")
+    return e.like(Type.decode(t), n=EVERY).select("name", "terms").join(F.broadcast(best), "terms").select("name")
 
 
 # --- changes of an index ----------------------------------------------------------------
@@ -413,15 +414,25 @@ def micro_batches(spark, d):
     return e.table("values").select("name", "module_id")
 
 
+def _called(e: Engine, query: str, n: int = 10_000) -> int:
+    """How many results a query has in all pages of ``n``; the driver holds one page at a time."""
+    found = 0
+    while True:
+        page = len(e.call({"method": "search", "query": query, "n": n, "offset": found})["results"])
+        found += page
+        if page < n:
+            return found
+
+
 @query(
     f"WITH {_GEO}, asked AS (SELECT n, r FROM lands WHERE n = 'NATION_1') SELECT 'search' AS method, (SELECT count(*) FROM geo JOIN asked USING (r))::VARCHAR AS answer UNION ALL SELECT 'status', 'ready' "
     "UNION ALL SELECT 'modules', (SELECT string_agg(m, ' ' ORDER BY m) FROM (SELECT DISTINCT module_id AS m FROM geo UNION SELECT 'geo:world:1' UNION SELECT 'builtin') x) "
     "UNION ALL SELECT 'wrong', 'Type Nowhere not found.' UNION ALL SELECT 'none', 'unknown method ''none'''"
 )
 def service_calls(spark, d):
-    """Requests as plain values, and what they are answered."""
+    """Requests as plain values, and what they are answered; a search is asked for page by page."""
     e, r = engine(spark, d), _lands(spark, d).filter("n = 'NATION_1'").first()["r"]
-    rows = [("search", str(len(e.call({"method": "search", "query": f"NATION_1 => {r}", "n": 100})["results"]))), ("status", e.call({"method": "status"})["state"])]
+    rows = [("search", str(_called(_whole(spark, d), f"NATION_1 => {r}"))), ("status", e.call({"method": "status"})["state"])]
     rows += [("modules", " ".join(sorted(e.call({"method": "modules"})["modules"]))), ("wrong", e.call({"method": "search", "query": "Nowhere[ASIA]"})["error"]), ("none", e.call({"method": "none"})["error"])]
     return spark.createDataFrame(rows, "method string, answer string")
 
