@@ -107,3 +107,15 @@ def test_packs_and_forgotten_chunks_change_nothing(spark, libraries, monkeypatch
 
 def test_empty_table(spark):
     assert ta.token_alignment(spark.createDataFrame([], "doc_id long, text string"), *FILES).collect() == []
+
+
+def test_known_chunks_are_no_objects_of_their_own(libraries):
+    """The memory of chunks is flat: lists of each chunk's own took an executor over its memory."""
+    import gc
+
+    both = ta.Tokenizers(*FILES)
+    gc.collect()
+    before = len(gc.get_objects())
+    both.pack([" ".join(f"w{i}" for i in range(20_000))])
+    gc.collect()
+    assert len(both.known) == 20_000 and len(gc.get_objects()) - before < 2_000

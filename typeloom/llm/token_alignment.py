@@ -28,7 +28,8 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from itertools import accumulate, chain
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Ids of the two tokenizers are written as one number.
 SHIFT = 20
 #: Tokens of chunks that are kept, and characters of the texts that are put together.
-HELD, PACK = 1 << 20, 1 << 21
+HELD, PACK = 1 << 20, 1 << 20
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 #: Tokens up to which a chunk's cuts are looked for one by one, as that takes less than a sort.
 SHORT = 64
@@ -71,44 +72,68 @@ class Tokenizers:
         # The order of ids is the order of merges.
         ranks = {bytes(alphabet[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
         self.byte_level = tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.a_sizes = {i: len(t) for t, i in ranks.items()}
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = self.pieces.id_to_piece(list(range(self.pieces.get_piece_size())))
         if any("▁" in x.lstrip("▁") for x in names):
             raise ValueError("a piece goes on past a space, so texts cannot be tokenised in chunks")
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.pieces.is_byte(i) else x.replace("▁", " ").encode() for i, x in enumerate(names)]
-        self.b_sizes = [len(x) for x in self.b_bytes]
-        if max(max(self.a_sizes), len(names) - 1) >= 1 << SHIFT:
+        a_sizes = np.zeros(max(ranks.values()) + 1, np.int32)
+        a_sizes[list(ranks.values())] = [len(t) for t in ranks]
+        #: Bytes of the tokens of both sides by id.
+        self.sizes = (a_sizes, np.array([len(x) for x in self.b_bytes], np.int32))
+        if max(len(x) for x in self.sizes) > 1 << SHIFT:
             raise ValueError(f"more than {1 << SHIFT} ids")
         self.clear()
 
     def clear(self) -> None:
-        #: By chunk: both sides' ids and ends; nothing for chunks whose bytes the tokens do not give back.
-        self.known: dict[str, tuple | None] = {}
-        self.held = 0
+        #: Chunks by number; then both sides' ids of one chunk after the other, where each begins, and whether its tokens give back its bytes (else it has none).
+        #: Flat arrays, as lists of each chunk's own take several times the memory, and Python's garbage collector goes through them again and again.
+        self.known: dict[str, int] = {}
+        self.ids, self.starts, self.fits = (array("i"), array("i")), (array("q", [0]), array("q", [0])), bytearray()
 
     def learn(self, chunks: list[str]) -> None:
-        a = [self.byte_level.encode_ordinary(" " + c) for c in chunks]
-        for c, x, y in zip(chunks, a, self.pieces.encode(chunks, num_threads=1), strict=True):
+        for c, y in zip(chunks, self.pieces.encode(chunks, num_threads=1), strict=True):
             fits = b"".join([self.b_bytes[i] for i in y]) == b" " + c.encode()  # the byte-level tokens always do
-            self.known[c] = (x, list(accumulate(map(self.a_sizes.__getitem__, x))), y, list(accumulate(map(self.b_sizes.__getitem__, y)))) if fits else None
-            self.held += len(x) + len(y)
+            self.known[c] = len(self.fits)
+            self.fits.append(fits)
+            for ids, starts, own in zip(self.ids, self.starts, (self.byte_level.encode_ordinary(" " + c), y) if fits else ((), ()), strict=True):
+                ids.extend(own)
+                starts.append(len(ids))
 
     def pack(self, texts: list[str]):
-        """``(chunks of each text by number, number of tokens of each text for both sides, tokens of each chunk)``."""
-        if self.held > HELD:
+        """``((offsets, chunks by number) of the texts, numbers of tokens of each text for both sides, (offsets, ids, ends) of the chunks' tokens for both sides)``."""
+        if sum(map(len, self.ids)) > HELD:
             self.clear()
         split = [BETWEEN.split(t) if t else [] for t in texts]
         # In the order they come in, so that the same texts always give the same rows.
         distinct = {c: i for i, c in enumerate(dict.fromkeys(chain.from_iterable(split)))}
         self.learn([c for c in distinct if c not in self.known])
-        tokens = [self.known[c] for c in distinct]
-        fits = [x is not None for x in tokens]
-        sizes = np.array([(len(x[0]), len(x[2])) if x else (0, 0) for x in tokens], dtype=np.int64).reshape(-1, 2)
-        numbers = [[distinct[c] for c in chunks] for chunks in split]
-        numbers = [x if all(map(fits.__getitem__, x)) else [] for x in numbers]
-        counts = [sizes[x].sum(axis=0) if x else (0, 0) for x in numbers]
-        return numbers, counts, [x or ([], [], [], []) for x in tokens]
+        known = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        sides = [self._tokens_of(known, k) for k in (0, 1)]
+        sizes = np.array([len(x) for x in split], np.int64)
+        numbers = np.fromiter(map(distinct.__getitem__, chain.from_iterable(split)), np.int32, int(sizes.sum()))
+        lost = _sums(np.frombuffer(bytes(self.fits), np.uint8)[known][numbers] == 0, sizes) > 0
+        numbers, sizes = numbers[~np.repeat(lost, sizes)], np.where(lost, 0, sizes)
+        counts = [_sums(np.diff(offsets)[numbers], sizes) for offsets, _, _ in sides]
+        return (_offsets(sizes), numbers), counts, sides
+
+    def _tokens_of(self, known: np.ndarray, k: int):
+        """``(offsets, ids, ends)`` of the chunks ``known``, one after the other."""
+        starts = np.array(self.starts[k])
+        sizes = starts[known + 1] - starts[known]
+        offsets = _offsets(sizes)
+        ids = np.array(self.ids[k])[np.arange(offsets[-1]) + np.repeat(starts[known] - offsets[:-1], sizes)]
+        ends = np.cumsum(self.sizes[k][ids], dtype=np.int64)
+        return offsets, ids, (ends - np.repeat(np.concatenate([[0], ends])[offsets[:-1]], sizes)).astype(np.int32)
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+
+
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``values`` of these sizes."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[_offsets(sizes)])
 
 
 def _packs(batches):
@@ -130,16 +155,15 @@ def _tokens(byte_level: str, pieces: str):
     def run(batches):
         both = Tokenizers(byte_level, pieces)
         for rows in _packs(batches):
-            numbers, counts, tokens = both.pack([t or "" for _, _, t in rows])
-            ints = pa.list_(pa.int32())
+            (at, numbers), counts, sides = both.pack([t or "" for _, _, t in rows])
             texts = pa.StructArray.from_arrays(
                 [
-                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([int(a) for a, _ in counts], pa.int64()), pa.array([int(b) for _, b in counts], pa.int64()),
-                    pa.array(numbers, ints),
+                    pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), *map(pa.array, counts),
+                    pa.ListArray.from_arrays(at, numbers),
                 ],
                 ["row", "doc_id", "n_a", "n_b", "chunks"],
             )
-            columns = [texts, *(pa.array([x[i] for x in tokens], ints) for i in range(4))]
+            columns = [texts, *(pa.ListArray.from_arrays(offsets, x) for offsets, ids, ends in sides for x in (ids, ends))]
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["texts", "a", "a_ends", "b", "b_ends"])
 
     return lambda batches: give_back(run(batches))
