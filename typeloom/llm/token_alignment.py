@@ -1,12 +1,10 @@
 """Alignment of the tokens of two tokenizers (operator 12).
 
-Python only tokenises: of each text it gives the ids of both tokenizers and the byte offsets where their tokens
-end. All else is Spark's higher-order functions: ``array_intersect`` of the ends gives the cuts, ``sequence`` and ``transform`` the
-groups of tokens between two cuts, ``aggregate`` the number of links, and links are the pairs of ids of a group.
+Python tokenises, and aligns the tokens of all chunks of a pack at once on Arrow's and numpy's arrays: the byte offsets where tokens of both sides end
+are the cuts, tokens between two cuts a group, and links the pairs of ids of a group. Spark puts texts together from
+their chunks, counts pairs over all documents, and sums the counts of each text's links.
 
-A cut's place in each token sequence is found in one sort of the ends together with the cuts, so the work on a text
-grows as n log n, however long it is. Arrays that a lambda reads by index are bound to a variable first (:func:`_let`), so
-that they are made once.
+The work on a text grows as n log n, however long it is.
 
 All works by chunks: a single space between two characters that are no white space begins a new token in both
 tokenizers whatever stands around it, so what lies between such spaces is tokenised alone, and no group goes on past it. A pack of texts
@@ -33,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,10 +44,8 @@ SHIFT = 20
 #: Tokens of chunks that are kept, and characters of the texts that are put together.
 HELD, PACK = 1 << 20, 1 << 20
 BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-#: Tokens up to which a chunk's cuts are looked for one by one, as that takes less than a sort.
-SHORT = 64
-#: A pack: of each text its chunks by number, and the tokens of the chunks with the offsets in the chunk where they end.
-TOKENS = "texts array<struct<row:long,doc_id:long,n_a:long,n_b:long,chunks:array<int>>>, a array<array<int>>, a_ends array<array<int>>, b array<array<int>>, b_ends array<array<int>>"
+#: A pack: of each text its chunks by number; of each chunk its tokens, how many groups they make, these as text, and the id pairs of all links.
+TOKENS = "texts array<struct<row:long,doc_id:long,n_a:long,n_b:long,chunks:array<int>>>, a array<array<int>>, b array<array<int>>, n_groups array<long>, written array<string>, links array<array<long>>"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -118,13 +115,12 @@ class Tokenizers:
         return (_offsets(sizes), numbers), counts, sides
 
     def _tokens_of(self, known: np.ndarray, k: int):
-        """``(offsets, ids, ends)`` of the chunks ``known``, one after the other."""
+        """``(offsets, ids, ends)`` of the chunks ``known``, one after the other; ends count the bytes of all."""
         starts = np.array(self.starts[k])
         sizes = starts[known + 1] - starts[known]
         offsets = _offsets(sizes)
         ids = np.array(self.ids[k])[np.arange(offsets[-1]) + np.repeat(starts[known] - offsets[:-1], sizes)]
-        ends = np.cumsum(self.sizes[k][ids], dtype=np.int64)
-        return offsets, ids, (ends - np.repeat(np.concatenate([[0], ends])[offsets[:-1]], sizes)).astype(np.int32)
+        return offsets, ids, np.cumsum(self.sizes[k][ids], dtype=np.int64)
 
 
 def _offsets(sizes: np.ndarray) -> np.ndarray:
@@ -136,6 +132,35 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[_offsets(sizes)])
 
 
+def _aligned(a, b):
+    """Of each chunk ``(n_groups, written, links)``, from ``(offsets, ids, ends)`` of both sides.
+
+    Both sides have the same bytes in each chunk, so all chunks of a pack are cut at once: a chunk's end is a cut, and no group goes on past it.
+    """
+    sides = []
+    for (offsets, ids, ends), (_, _, other) in ((a, b), (b, a)):
+        cut = np.isin(ends, other, assume_unique=True)
+        group = np.cumsum(cut) - cut
+        sides.append((offsets, ids, cut, group, np.bincount(group)))
+    (offsets, a_ids, a_cut, a_group, n_a), (_, b_ids, b_cut, b_group, n_b) = sides
+    n_groups = _sums(a_cut, np.diff(offsets))
+    # Each token of the first side with all of the second in its group.
+    many = n_b[a_group]
+    first = np.repeat(np.cumsum(n_b)[a_group] - many, many)
+    within = np.arange(len(first)) - np.repeat(np.cumsum(many) - many, many)
+    links = np.repeat(a_ids.astype(np.int64) << SHIFT, many) | b_ids[first + within]
+    # Both sides' tokens in the order they are written, each with what follows it; a chunk's text is a part of them all joined.
+    order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+    follows = np.concatenate([np.where(a_cut, "|", ","), np.where(b_cut, ";", ",")]).astype(object)
+    last = _offsets(np.diff(sides[1][0]))[1:] - 1
+    follows[len(a_ids) + last[n_groups > 0]] = ""
+    joined = pc.binary_join_element_wise(pa.array(np.concatenate([a_ids, b_ids])[order]).cast(pa.string()), pa.array(follows[order], pa.string()), "")
+    at = np.frombuffer(joined.buffers()[1], np.int32)[: len(joined) + 1] if len(joined) else np.zeros(1, np.int32)
+    starts = at[offsets + sides[1][0]]
+    written = pa.StringArray.from_buffers(len(n_groups), pa.py_buffer(starts.astype(np.int32)), joined.buffers()[2] if len(joined) else pa.py_buffer(b""))
+    return pa.array(n_groups), written, pa.ListArray.from_arrays(_offsets(_sums(n_a * n_b, n_groups)), links)
+
+
 def _packs(batches):
     """Rows in runs of texts of together ``PACK`` characters, one text at least."""
     held, size = [], 0
@@ -163,83 +188,25 @@ def _tokens(byte_level: str, pieces: str):
                 ],
                 ["row", "doc_id", "n_a", "n_b", "chunks"],
             )
-            columns = [texts, *(pa.ListArray.from_arrays(offsets, x) for offsets, ids, ends in sides for x in (ids, ends))]
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["texts", "a", "a_ends", "b", "b_ends"])
+            columns = [texts, *(pa.ListArray.from_arrays(offsets, ids) for offsets, ids, _ in sides), *_aligned(*sides)]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns], names=["texts", "a", "b", "n_groups", "written", "links"])
 
     return lambda batches: give_back(run(batches))
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a variable that holds ``value``, which is made once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _range(n: Column) -> Column:
-    """0, 1, ... n - 1."""
-    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-
-def _stops(ends: Column, cuts: Column) -> Column:
-    """For each cut the number of tokens up to it.
-
-    In a long chunk this is the cut's place when ends and cuts are sorted together, less the cuts before.
-    """
-    marked = F.sort_array(F.concat(F.transform(ends, lambda e: e.cast("long") * 2), F.transform(cuts, lambda c: c.cast("long") * 2 + 1)))
-    places = _let(marked, lambda m: F.filter(_range(F.size(m)), lambda i: m[i] % 2 == 1))
-    return F.when(F.size(ends) <= SHORT, F.transform(cuts, lambda c: F.array_position(ends, c).cast("int"))).otherwise(F.transform(places, lambda p, g: p - g))
-
-
-def _slice(ids: Column, stops: Column, g: Column) -> Column:
-    start = F.when(g > 0, stops[g - 1]).otherwise(0)
-    return F.slice(ids, start + 1, stops[g] - start)
-
-
-def _aligned(a: Column, a_ends: Column, b: Column, b_ends: Column) -> Column:
-    """``(n_groups, written, links)`` of the tokens of a chunk: the groups as text, and the id pairs of all links."""
-
-    def grouped(cuts):
-        return _let(_stops(a_ends, cuts), lambda a_stops: _let(_stops(b_ends, cuts), lambda b_stops: F.transform(_range(F.size(cuts)), lambda g: F.struct(_slice(a, a_stops, g).alias("a"), _slice(b, b_stops, g).alias("b")))))
-
-    def text(x, y):
-        return F.concat(F.array_join(x.cast("array<string>"), ","), F.lit("|"), F.array_join(y.cast("array<string>"), ","))
-
-    def pair(x, y):
-        return F.shiftleft(x.cast("long"), SHIFT) + y
-
-    def pairs(xs, ys):
-        return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: pair(x, y))))
-
-    def found(n, written, links):
-        return F.struct(n.alias("n_groups"), written.alias("written"), links.alias("links"))
-
-    def described(groups):
-        return found(F.size(groups), F.array_join(F.transform(groups, lambda g: text(g["a"], g["b"])), ";"), F.flatten(F.transform(groups, lambda g: pairs(g["a"], g["b"]))))
-
-    def aligned(cuts):
-        # All tokens in one group, and groups of one token each, need no search for the places of cuts.
-        one = F.size(cuts) == 1
-        each = (F.size(cuts) == F.size(a)) & (F.size(cuts) == F.size(b))
-        zipped = found(F.size(cuts), F.array_join(F.zip_with(a, b, lambda x, y: F.concat(x.cast("string"), F.lit("|"), y.cast("string"))), ";"), F.zip_with(a, b, pair))
-        return F.when(one, found(F.size(cuts), text(a, b), pairs(a, b))).when(each, zipped).otherwise(_let(grouped(cuts), described))
-
-    return _let(F.array_intersect(a_ends, b_ends), aligned)
-
-
 def _texts() -> Column:
     """What each text of a pack has of its chunks."""
 
-    def text(d, n_groups, written, links):
+    def text(d):
         def of(values):
-            return F.transform(d["chunks"], lambda c: values[c])
+            return F.transform(d["chunks"], lambda c: F.col(values)[c])
 
         return F.struct(
-            d["row"].alias("row"), d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda n, c: n + n_groups[c]).alias("n_groups"),
-            F.when(F.size(d["chunks"]) > 0, F.sha2(F.array_join(of(written), ";"), 256)).otherwise("").alias("groups_sha256"), F.sort_array(F.flatten(of(links))).alias("links"),
+            d["row"].alias("row"), d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), F.aggregate(d["chunks"], F.lit(0).cast("long"), lambda n, c: n + F.col("n_groups")[c]).alias("n_groups"),
+            F.when(F.size(d["chunks"]) > 0, F.sha2(F.array_join(of("written"), ";"), 256)).otherwise("").alias("groups_sha256"), F.sort_array(F.flatten(of("links"))).alias("links"),
         )
 
-    chunks = F.transform(_range(F.size("a")), lambda c: _aligned(F.col("a")[c], F.col("a_ends")[c], F.col("b")[c], F.col("b_ends")[c]))
-    every = _let(chunks, lambda x: F.struct(F.transform(x, lambda y: y["n_groups"]).alias("n"), F.transform(x, lambda y: y["written"]).alias("w"), F.transform(x, lambda y: y["links"]).alias("l")))
-    return _let(every, lambda x: _let(x["n"], lambda n: _let(x["w"], lambda w: _let(x["l"], lambda links: F.transform("texts", lambda d: text(d, n, w, links))))))
+    return F.transform("texts", text)
 
 
 @in_limited_batches
