@@ -60,3 +60,19 @@ def test_forgotten_results_change_nothing(spark, monkeypatch):
 
 def test_standard_names_are_made_once():
     assert standard_names() is standard_names()
+
+
+def test_items_of_a_task_are_bounded(spark, monkeypatch):
+    from typeloom import registry as r
+
+    monkeypatch.setattr(r, "ITEMS", 500)
+    n = r.table(spark, TABLES, "lineitem").count()
+    parts = r.corpus_terms(spark, TABLES).rdd.glom().map(len).collect()
+    assert sum(parts) == n and len(parts) >= n // 500 and max(parts) < 1500
+
+
+def test_types_that_stay_as_they_are_are_not_made_anew():
+    from typeloom.functions.types import normalize, read_type
+
+    t = read_type("+Map[-A, +List[+B]]")
+    assert normalize(t).args[0] is t and t.transform(lambda x: x) is t

@@ -18,6 +18,7 @@ from .operators import index as ix
 from .operators import sets, views
 from .plans.expansion import Leaf, Max, Sum
 from .plans.scoring import Scorer
+from .sources.files import kept
 from .streaming import events as ev
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,13 +54,20 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Line items of one task.
+ITEMS = 1_000_000
+
+
 def corpus_terms(spark, d) -> DataFrame:
     """``(value_id, module_id, term, optional)`` of every line item."""
     variance = F.when(F.col("l_returnflag") == "A", "+").when(F.col("l_returnflag") == "R", "-").otherwise("/")
     items = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus", variance.alias("v"))
     parts = table(spark, d, "part").select("p_partkey", "p_brand")
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    joined = items.join(parts, items.l_partkey == parts.p_partkey).join(orders, items.l_orderkey == orders.o_orderkey)
+    # A task has so many items at most, however large the table is; what is grouped by value later stays where it is.
+    tasks = max(items.count() // ITEMS + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    branded = items.join(parts, items.l_partkey == parts.p_partkey).repartition(tasks, "l_orderkey")
+    joined = branded.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(F.col("l_orderkey").alias("value_id"), F.col("o_orderpriority").alias("module_id"), F.concat("v", "p_brand").alias("term"), (F.col("l_linestatus") == "F").alias("optional"))
 
 
@@ -182,12 +190,18 @@ _FREQ_OUT = "SELECT v AS variance, name, count(*) AS n, round(count(*) / (SELECT
 
 
 def _frequencies(spark, d) -> DataFrame:
-    """Terms and invariant copies, once a value; the count of values is exact and joined as one row."""
-    terms = corpus_terms(spark, d).select("value_id", F.left("term", F.lit(1)).alias("v"), F.substring("term", 2, 100).alias("name")).distinct()
-    both = terms.select("value_id", F.explode(F.array_distinct(F.array("v", F.lit("/")))).alias("variance"), "name").distinct()
-    total = F.broadcast(terms.agg(F.countDistinct("value_id").alias("total")))
-    counts = both.groupBy("variance", "name").agg(F.count(F.lit(1)).alias("n"))
-    return counts.crossJoin(total).select("variance", "name", "n", F.round(F.col("n") / F.col("total"), 9).alias("frequency"))
+    """Terms and invariant copies, once a value; the count of values is exact and joined as one row.
+
+    What a value has is made distinct inside its own few rows, so that no task holds the terms of many values at once.
+    """
+    term = F.struct(F.left("term", F.lit(1)).alias("variance"), F.substring("term", 2, 100).alias("name"))
+    values = corpus_terms(spark, d).groupBy("value_id").agg(F.collect_set(term).alias("terms"))
+    both = F.array_distinct(F.flatten(F.transform("terms", lambda t: F.array(t, F.struct(F.lit("/").alias("variance"), t["name"].alias("name"))))))
+    value = F.struct(F.lit("value").alias("variance"), F.lit("").alias("name"))
+    counts = kept(values.select(F.explode(F.array_append(both, value)).alias("t")).groupBy("t.variance", "t.name").agg(F.count(F.lit(1)).alias("n")))
+    of_values = F.col("variance").eqNullSafe("value")
+    total = F.broadcast(counts.filter(of_values).select(F.col("n").alias("total")))
+    return counts.filter(~of_values).crossJoin(total).select("variance", "name", "n", F.round(F.col("n") / F.col("total"), 9).alias("frequency"))
 
 
 @query(
