@@ -76,3 +76,16 @@ def test_types_that_stay_as_they_are_are_not_made_anew():
 
     t = read_type("+Map[-A, +List[+B]]")
     assert normalize(t).args[0] is t and t.transform(lambda x: x) is t
+
+
+def test_texts_of_a_task_that_counts_tokens_are_bounded(spark, monkeypatch):
+    from typeloom.functions import text
+
+    monkeypatch.setattr(text, "CHARS", 2000)
+    docs = spark.range(1000).selectExpr("id % 900 AS id", "concat('aB aB word', id) AS name").coalesce(1)
+    chars = docs.selectExpr("sum(length(name))").first()[0]
+    counts = text.term_counts(docs, "id", docs["name"]).select("id", "token", "tf")
+    parts = counts.rdd.glom().map(len).collect()
+    assert len(parts) >= chars // 2000 and max(parts) < 5500 // len(parts) * 3
+    wanted = docs.selectExpr("id", "explode(flatten(transform(split(name, ' '), w -> if(w = 'aB', array('ab', 'a', 'b'), array(w, 'word', regexp_extract(w, '[0-9]+', 0)))))) AS token").groupBy("id", "token").count()
+    assert counts.exceptAll(wanted).isEmpty() and wanted.exceptAll(counts).isEmpty()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Parts of a word: a break is where lower case turns to upper, letters to digits, or at anything else.
 PARTS = r"\p{Lu}*\p{Ll}+|\p{Lu}+|[0-9]+"
+#: Characters of the texts of one task that counts tokens.
+CHARS = 4_000_000
 
 
 def strip_html(text: Column) -> Column:
@@ -83,9 +85,13 @@ def tokens(text: Column, stemmed: bool = False) -> Column:
 def term_counts(docs: DataFrame, id_col: str, text: Column, stemmed: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, token, tf, norm)``: how often each token stands in each document, and the norm of the document's length; columns of the document to ``keep`` follow.
 
-    The tokens of :func:`tokens`, one row a word, so that everything but the split runs in generated code.
+    The tokens of :func:`tokens`, one row a word, so that everything but the split runs in generated code. Documents are dealt by
+    their id before they are split: a task has so many characters at most, unless one document has more, and tokens are counted where they are.
     """
-    words = docs.select(F.col(id_col).alias("id"), *keep, F.explode(F.split(text, r"[\s.]+")).alias("w")).filter("w <> ''")
+    given = docs.select(F.col(id_col).alias("id"), *keep, text.alias("text"))
+    chars = given.agg(F.sum(F.length("text"))).first()[0] or 0
+    given = given.repartition(max(chars // CHARS + 1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "id")
+    words = given.select("id", *keep, F.explode(F.split("text", r"[\s.]+")).alias("w")).filter("w <> ''")
     each = words.select("id", *keep, F.explode(word_parts(F.col("w"))).alias("t"))
     token = F.lower("t")
     counts = each.select("id", *keep, (stem(token) if stemmed else token).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("tf"), *[F.first(c).alias(c) for c in keep])
