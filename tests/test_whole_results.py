@@ -89,3 +89,23 @@ def test_texts_of_a_task_that_counts_tokens_are_bounded(spark, monkeypatch):
     assert len(parts) >= chars // 2000 and max(parts) < 5500 // len(parts) * 3
     wanted = docs.selectExpr("id", "explode(flatten(transform(split(name, ' '), w -> if(w = 'aB', array('ab', 'a', 'b'), array(w, 'word', regexp_extract(w, '[0-9]+', 0)))))) AS token").groupBy("id", "token").count()
     assert counts.exceptAll(wanted).isEmpty() and wanted.exceptAll(counts).isEmpty()
+
+
+def test_texts_of_a_project_are_dealt_out_and_outlined_once(spark, monkeypatch):
+    from typeloom.sources import symbols
+
+    tasks, keep, views = [], symbols.kept, symbols.base_views
+
+    def counted(rows, f=lambda rows: rows):
+        tasks.append((rows.rdd.getNumPartitions(), rows.columns))
+        return f(rows)
+
+    monkeypatch.setattr(symbols, "kept", lambda rows: counted(rows, keep))
+    monkeypatch.setattr(symbols, "base_views", lambda made, bases: counted(views(made, bases)))
+    texts = spark.range(40).selectExpr("concat('t', id) AS artifact", "'' AS inner_path", "concat('package p\\nclass A', id, if(id % 4 > 0, concat(' extends A', id - 1), ''), ' {\\n  def a', id, ': A0\\n}\\n') AS text").coalesce(1)
+    found = symbols.read_project(texts)
+    least = 2 * spark.sparkContext.defaultParallelism
+    outlines, made = tasks[:2]
+    assert "candidates" in outlines[1] and outlines[0] >= least and made[0] >= least and tasks[-1][0] >= least
+    kinds = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
+    assert kinds["type"] == 40 and found.filter("kind = 'value' and name like 'p.A39.a%'").count() == 4

@@ -18,6 +18,7 @@ from .plans.errors import QueryError
 from .plans.language import parse
 from .plans.resolve import TypeName, resolve, standard_by_name, to_type
 from .registry import query, table
+from .sources.files import dealt
 
 #: Names of a part: brand, type, and its size as a type.
 _P = "p AS (SELECT p_partkey, p_brand AS a, p_type AS b, 'S' || p_size AS s, p_name, p_size FROM part)"
@@ -61,11 +62,6 @@ def through(rows: DataFrame, f: Callable[..., tuple], schema: str, keys: int = 0
     return dealt(rows).toDF(*[f"c{i}" for i in range(len(rows.columns))]).mapInPandas(run, schema)
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """``rows`` in twice as many parts as there are cores at least."""
-    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-
-
 # --- type algebra -----------------------------------------------------------------------
 
 _SAME, _FLIPPED, _NONE = "'Box[+' || a || ', -' || b || ', ' || s || ']'", "'Box[-' || a || ', +' || b || ', ' || s || ']'", "'Box[' || a || ', ' || b || ', ' || s || ']'"

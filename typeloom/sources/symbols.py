@@ -26,7 +26,7 @@ from ..plans.language import Raw
 from ..plans.language import read_type as read_raw
 from .declarations import STANDARD, Declared, Owner, Reader, Resolver, plain_type, read_declarations
 from .definitions import DEFINITION, complete, inheritance_views, view_row
-from .files import kept
+from .files import dealt, kept
 
 #: Roots of names that are never declared in the texts themselves (fixed values).
 EXTERNAL = ("scala", "java", "javax")
@@ -153,9 +153,9 @@ def read_project(sources: DataFrame, text: str = "text", artifact: str = "artifa
                 rows += [complete(r) for r in read_declarations(body, Linked(known), artifact=path, inner_path=entry, module_id=m)]
             yield pd.DataFrame(rows, columns=names)
 
-    outlines = texts.select("source", "body").mapInPandas(outlined, _OUTLINE)
+    outlines = kept(dealt(texts.select("source", "body")).mapInPandas(outlined, _OUTLINE))  # asked for its types, and for its names
     linked = texts.join(link(outlines, symbol_table(outlines, library)), "source", "left")
-    made = kept(linked.mapInPandas(defined, DEFINITION))
+    made = kept(dealt(linked).mapInPandas(defined, DEFINITION))
     bases = base_types(made.filter(F.col("kind") == PARENT))
     every = made.filter(F.col("kind") != PARENT).unionByName(base_views(made, bases))
     return every.unionByName(inherited_members(made, bases))
@@ -212,7 +212,8 @@ def base_views(made: DataFrame, bases: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names)
 
     nested = [F.to_json(c).alias(c) for c in ("own", "bases")]
-    return every.join(held, ["name", "static", "module_id"], "left").select("artifact", "inner_path", "module_id", *nested).mapInPandas(run, DEFINITION)
+    rows = every.join(held, ["name", "static", "module_id"], "left").select("artifact", "inner_path", "module_id", *nested)
+    return dealt(rows).mapInPandas(run, DEFINITION)
 
 
 def _first_clause(tree: Column) -> Column:
