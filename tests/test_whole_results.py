@@ -109,3 +109,22 @@ def test_texts_of_a_project_are_dealt_out_and_outlined_once(spark, monkeypatch):
     assert "candidates" in outlines[1] and outlines[0] >= least and made[0] >= least and tasks[-1][0] >= least
     kinds = {r["kind"]: r["count"] for r in found.groupBy("kind").count().collect()}
     assert kinds["type"] == 40 and found.filter("kind = 'value' and name like 'p.A39.a%'").count() == 4
+
+
+def test_definitions_of_a_batch_are_made_once_by_all_cores(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from typeloom.engine import Engine
+    from typeloom.sources.definitions import read_lines
+
+    lines = spark.range(50).selectExpr("concat('p.a', id, ': scala.Int') AS value").coalesce(1)
+    found = read_lines(lines, builtins=False)
+    least = 2 * spark.sparkContext.defaultParallelism
+    assert found.rdd.getNumPartitions() >= least
+    e = Engine(spark, f"file://{tmp_path}/made")
+    e.index("a", found.withColumn("module_id", F.udf(lambda: uuid.uuid4().hex).asNondeterministic()()))
+    built = e._batches("a")
+    assert built["values"].count() == 50 and built["values"].select("module_id").exceptAll(built["modules"].select("module_id")).isEmpty()
+    assert sorted(n for n in os.listdir(tmp_path / "made" / "a") if not n.startswith(".")) == ["building"]
+    e.finalize("a")
+    assert e.table("values").count() == 50 and e.table("values").select(F.input_file_name()).distinct().count() >= least // 2

@@ -29,8 +29,8 @@ from .plans.errors import NameNotFound, QueryError, TooUnspecific
 from .plans.language import Raw, RawQuery, parse
 from .plans.resolve import TypeName, names, resolve, standard_by_name, to_type
 from .settings import IndexSettings, QuerySettings
-from .sources.definitions import params_of
-from .sources.files import Folder
+from .sources.definitions import DEFINITION, params_of
+from .sources.files import Folder, parts
 
 EMPTY, BUSY, READY = "empty", "busy", "ready"
 #: At most so many views are held on the driver; beyond, those of a query are looked up by key.
@@ -77,8 +77,11 @@ class Engine:
     def index(self, name: str, definitions: DataFrame) -> None:
         """Add a batch of definitions to the index that is being built under ``name``."""
         self.folder.write_json(f"{name}.state", {"state": BUSY})
-        for kind, rows in ix.split_kinds(definitions).items():
+        batch = f"{name}/batch-{uuid.uuid4().hex}"
+        self.folder.write(batch, definitions.select(*DEFINITION.fieldNames()))  # read or made once for all tables
+        for kind, rows in ix.split_kinds(self.folder.table(batch)).items():
             self.folder.write(f"{self._building(name)}/{kind}", rows.withColumn("batch", F.lit(time.time())), "append")
+        self.folder.delete(batch)
 
     def _building(self, name: str) -> str:
         """The folder of all batches of an index."""
@@ -181,7 +184,7 @@ class Engine:
         # Ids follow the content, so that ties in scores come out the same in every build.
         values = values.withColumn("value_id", F.xxhash64(F.to_json(F.struct(*sorted(values.columns)))))
         values = values if there is None else values.join(there, "value_id", "left_anti")
-        values = values.repartitionByRange("module_id", "value_id").sortWithinPartitions("module_id", "value_id")
+        values = values.repartitionByRange(parts(self.spark), "module_id", "value_id").sortWithinPartitions("module_id", "value_id")
         put(f"{at}/values", ix.with_fingerprints(values, self.index_settings.polarized))
         values = get(f"{at}/values")
         put(f"{at}/postings", ix.postings(values).repartitionByRange("term").sortWithinPartitions("term"))

@@ -17,7 +17,7 @@ from ..functions.types import IGNORED, Type, View, fingerprint, normalize, struc
 from ..functions.variance import INV
 from ..plans.expansion import views_between
 from ..sources.definitions import params_of
-from ..sources.files import kept
+from ..sources.files import dealt, kept
 
 TERMS = "array<struct<term:string,optional:boolean>>"
 
@@ -170,7 +170,7 @@ def _seen_as_on_driver(types: DataFrame, views: list[View], steps: int) -> DataF
             rows = [(i, y.variance, y.name) for i, x in zip(frame["type_id"], frame["shown"], strict=True) for y, _ in alternatives(Type.decode(json.loads(x)))]
             yield pd.DataFrame(rows, columns=["type_id", "variance", "name"])
 
-    return types.select("type_id", "shown").mapInPandas(run, _NAMED)
+    return dealt(types.select("type_id", "shown")).mapInPandas(run, _NAMED)
 
 
 def _seen_as_by_join(types: DataFrame, views: DataFrame, steps: int) -> DataFrame:

@@ -23,7 +23,7 @@ from .registry_types import through
 from .settings import IndexSettings, NeutralSettings, QuerySettings
 from .sources import definitions as sd
 from .sources.declarations import read_sources
-from .sources.files import append_csv, working_folder
+from .sources.files import append_csv, kept, working_folder
 from .sources.symbols import read_project, signatures
 
 _GEO = """geo AS (
@@ -334,7 +334,7 @@ def engine_deletions(spark, d):
 )
 def engine_segments(spark, d):
     """An index that grows by a segment, has an artifact and a module deleted, and gets the module again; then the same as one segment."""
-    e, every = Engine(spark, working_folder(spark), IndexSettings(sample_size=0)), corpus(spark, d)
+    e, every = Engine(spark, working_folder(spark), IndexSettings(sample_size=0)), kept(corpus(spark, d))
     module = F.coalesce("module_id", F.lit(""))
     e.index("geo", every.filter(module != "shop:scalaz:1"))
     e.finalize("geo")
@@ -362,7 +362,7 @@ def _by_module(e: Engine, compacted: bool) -> DataFrame:
 def engine_rebuild(spark, d):
     """Two indexes become one when it is built again, with other settings."""
     e = Engine(spark, working_folder(spark), IndexSettings(sample_size=0))
-    every = corpus(spark, d)
+    every = kept(corpus(spark, d))
     asia = F.coalesce(F.col("module_id") == "shop:scalaz:1", F.lit(False))
     e.index("other", every.filter(asia))
     e.index("geo", every.filter(~asia))

@@ -30,7 +30,12 @@ def kept(rows: DataFrame) -> DataFrame:
 
 def dealt(rows: DataFrame) -> DataFrame:
     """``rows`` in twice as many parts as there are cores at least."""
-    return rows.repartition(max(2 * rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.repartition(parts(rows.sparkSession))
+
+
+def parts(spark: SparkSession) -> int:
+    """Parts for rows of few bytes and much work, which Spark would put together by their bytes."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 class Folder:
